@@ -52,7 +52,7 @@ def assign_sections(sections: DataFrame, max_tokens: int = MAX_TOKENS,
     ``chunk_end`` is the order of the section that closes the chunk.  Only section
     lengths travel through Python, in blocks of ``block`` sections.
     """
-    items = sections.select("document_id", "reading_order", F.length("content").alias("chars"))
+    items = sections.select("document_id", "reading_order", F.col("char_count").alias("chars"))
     # a section takes at least one character and the gap, which bounds a chunk's reach
     reach = (4 * max_tokens + 4) // (GAP + 1) + 2
     if reach >= block:
@@ -97,16 +97,22 @@ def assign_sections(sections: DataFrame, max_tokens: int = MAX_TOKENS,
 
 def semantic_chunks(sections: DataFrame, titles: DataFrame | None = None,
                     max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
-                    block: int = SECTION_BLOCK) -> DataFrame:
+                    block: int = SECTION_BLOCK, texts: DataFrame | None = None) -> DataFrame:
     """Greedy packing of sections into chunks.
 
+    ``texts(document_id, page_number, section_no, content)`` is the section store; with it
+    the numbering, which needs no text, stays free of text columns.
+
     The governing heading is the last heading up to and including the section that
     closes the chunk.  ``titles(document_id, title)`` gives the title before any heading.
     """
     assigned = assign_sections(sections, max_tokens, overlap, block)
-    members = assigned.join(
-        sections.select("document_id", "reading_order", "page_number", "section_type", "content"),
-        ["document_id", "reading_order"])
+    place = ["page_number", "section_no"] if texts is not None else ["page_number"]
+    columns = [*place, "section_type"] if texts is not None else [*place, "section_type", "content"]
+    members = assigned.join(sections.select("document_id", "reading_order", *columns),
+                            ["document_id", "reading_order"])
+    if texts is not None:
+        members = members.join(texts.select("document_id", *place, "content"), ["document_id", *place])
     kinds = F.collect_set("section_type")
     packed = members.groupBy("document_id", "chunk_end").agg(
         F.min(F.when(~F.col("is_overlap"), F.col("reading_order"))).alias("__first"),
@@ -116,10 +122,7 @@ def semantic_chunks(sections: DataFrame, titles: DataFrame | None = None,
         F.count("*").alias("section_count"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "content"))),
                                  lambda x: x["content"]), "\n\n").alias("content"))
-    heading = F.when(F.col("section_type") == "heading", F.struct(
-        "reading_order",
-        F.when(F.col("title") != "", F.col("title")).otherwise(F.col("content")).alias("title"),
-        "level"))
+    heading = F.when(F.col("section_type") == "heading", F.struct("reading_order", "title", "level"))
     governing = running(sections.select("document_id", "reading_order", heading.alias("__h")),
                         ["document_id"], ["reading_order"],
                         width_block(F.col("reading_order"), block),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import U, squash, strip
+from folioscope.functions.text import squash, strip
 
 MIN_PAGES = 3
 
@@ -41,7 +41,7 @@ def _candidates(text: Column, tail: bool) -> Column:
     # slice(-2, 2) of a one-line page is empty, the single line is both first and last
     if tail:
         edge = F.when(F.size(lines) == 1, lines).otherwise(edge)
-    return F.filter(edge, lambda x: (F.length(x) > 3) & ~x.rlike(rf"{U}^\d+$"))
+    return F.filter(edge, lambda x: (F.length(x) > 3) & ~x.rlike(r"^\p{Nd}+\z"))
 
 
 def detect_header_footer(pages: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -77,19 +77,22 @@ def _with_repeated(pages: DataFrame, threshold: float) -> DataFrame:
         "__repeated", F.coalesce("__repeated", F.array().cast("array<string>")))
 
 
+def _without_repeated(lines: Column) -> Column:
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__repeated"), squash(x)))
+    return F.when(F.size("__repeated") > 0, kept).otherwise(lines)
+
+
 def strip_header_footer(pages: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Drop every line equal to a repeated header or footer of its document."""
     marked = _with_repeated(pages, threshold)
-    kept = F.filter(F.split("text", "\n"),
-                    lambda x: ~F.array_contains(F.col("__repeated"), squash(x)))
+    kept = _without_repeated(F.split("text", "\n"))
     return marked.withColumn("text", F.array_join(kept, "\n")).drop("__repeated")
 
 
 def clean_pages(pages: DataFrame, threshold: float = 0.75) -> DataFrame:
     """All cleaning rules; one row per page with ``raw_chars`` and ``clean_chars``."""
     marked = _with_repeated(pages, threshold)
-    kept = F.filter(normalized_lines(F.col("text")),
-                    lambda x: ~F.array_contains(F.col("__repeated"), squash(x)))
+    kept = _without_repeated(normalized_lines(F.col("text")))
     lines = F.transform(kept, lambda x: F.regexp_replace(x, "[ \t]+", " "))
     cleaned = marked.withColumn("__clean", F.coalesce(_collapse(F.array_join(lines, "\n")), F.lit("")))
     return cleaned.select(

@@ -25,7 +25,7 @@ def _when_texts(test: Column, values: list[str]) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of white-space separated words."""
-    return F.size(F.filter(F.split(c, rf"(?U)[{WS}]+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(c, rf"[{WS}]+"), lambda w: w != ""))
 
 
 def process_queries(questions: DataFrame, max_chars: int = V.MAX_QUERY_CHARS) -> DataFrame:

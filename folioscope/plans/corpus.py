@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from folioscope.functions.vocab import MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS
 from folioscope.operators import chunking, indexing
 from folioscope.operators.cleaning import clean_pages
-from folioscope.operators.structure import SECTION_BLOCK, segment_sections
+from folioscope.operators.structure import (SECTION_BLOCK, number_sections, page_sections,
+                                            section_texts)
 from folioscope.operators.scans import row_numbers
 from folioscope.session import materialize
 
@@ -28,9 +29,10 @@ def chunk_pages(pages: DataFrame, titles: DataFrame | None = None, max_tokens: i
                 overlap: int = OVERLAP_TOKENS, clean: bool = True) -> DataFrame:
     """Raw pages to validated chunks (``reject_reason`` is null for good ones)."""
     cleaned = clean_pages(pages) if clean else pages
-    # sections feed the packing, the headings and the chunk texts: computed once
-    sections = materialize(segment_sections(cleaned), "sections")
-    packed = chunking.semantic_chunks(sections, titles, max_tokens, overlap)
+    # page sections feed the packing, the headings and the chunk texts: computed once
+    paged = materialize(page_sections(cleaned), "page-sections")
+    packed = chunking.semantic_chunks(number_sections(paged), titles, max_tokens, overlap,
+                                      texts=section_texts(paged))
     best = optimize_chunks(packed.drop("section_count"), max_tokens=max_tokens)
     return chunking.chunk_ids(chunking.validate_chunks(best, max_tokens))
 

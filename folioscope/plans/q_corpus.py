@@ -94,7 +94,8 @@ def estimate_tokens_query(spark, sf):
 
 
 def semantic_chunks(spark, sf):
-    found = chunking.semantic_chunks(materialize(sections(spark, sf), "sections"))
+    paged = materialize(structure.page_sections(I.rendered_pages(spark, sf)), "page-sections")
+    found = chunking.semantic_chunks(structure.number_sections(paged), texts=structure.section_texts(paged))
     return found.select("document_id", "chunk_order", pages_text(), "section_title", "section_type",
                         "hierarchy_level", "estimated_tokens", "section_count", F.md5("content").alias("content_md5"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import q_corpus
+from folioscope.plans import q_corpus, q_questions
 
-MODULES = [q_corpus]
+MODULES = [q_corpus, q_questions]
 
 
 def queries() -> dict:

@@ -28,7 +28,10 @@ def local_session(app: str = "folioscope", cpus: str | int = "*", partitions: in
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(partitions))
                .config("spark.driver.memory", memory)
-               .config("spark.ui.enabled", "false"))
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
+               # small local inputs still spread over all threads
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k"))
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
