@@ -77,6 +77,15 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(rf"([{WORD}]+)"), 1))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    The optimizer may inline a column into a lambda that uses it, which would evaluate it
+    once per array element; a one-element array binds it outside.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def contains_any(c: Column, terms: list[str]) -> Column:
     """True when any term occurs as a substring (terms are literals)."""
     test = F.lit(False)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import vocab as V
+from folioscope.functions.text import let
 from folioscope.operators.scans import row_numbers, width_block
 
 # An encoder maps batches of texts to batches of vectors.  It is a generator function, so
@@ -73,11 +74,10 @@ def vector_norm(v: Column) -> Column:
 
 def l2_normalize(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     """Unit vectors; a zero vector is divided by 1e-12."""
-    normed = vectors.withColumn("__norm", vector_norm(F.col(vector)))
-    length = F.when(F.col("__norm") == 0, F.lit(1e-12)).otherwise(F.col("__norm"))
-    return normed.withColumn("__norm", length).withColumn(
-        vector, F.transform(vector, lambda x: (x.cast("double") / F.col("__norm")).cast("float"))
-    ).drop("__norm").withColumn("normalized", F.lit(True))
+    norm = vector_norm(F.col(vector))
+    length = F.when(norm == 0, F.lit(1e-12)).otherwise(norm)
+    unit = let(length, lambda n: F.transform(vector, lambda x: (x.cast("double") / n).cast("float")))
+    return vectors.withColumn(vector, unit).withColumn("normalized", F.lit(True))
 
 
 def document_type_of(name: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import vocab as V
-from folioscope.functions.text import contains_any
+from folioscope.functions.text import contains_any, let
 from folioscope.operators.indexing import visibility_of
 from folioscope.session import materialize
 
@@ -233,8 +233,8 @@ def check_coverage(candidates: DataFrame, required: DataFrame) -> DataFrame:
         return F.coalesce(F.try_element_at(synonyms, key), F.array(key))
 
     text = F.lower("content")
-    found = F.filter("required_metrics",
-                     lambda m: F.exists(proofs(m), lambda s: F.contains(text, s)))
+    found = let(text, lambda t: F.filter(
+        "required_metrics", lambda m: F.exists(proofs(m), lambda s: F.contains(t, s))))
     per_question = (candidates.select("query_id", "content").join(required, "query_id")
                     .groupBy("query_id").agg(
                         F.array_sort(F.array_distinct(F.flatten(F.collect_set(found)))).alias("__found"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import q_corpus, q_questions
+from folioscope.plans import q_corpus, q_questions, q_retrieval
 
-MODULES = [q_corpus, q_questions]
+MODULES = [q_corpus, q_questions, q_retrieval]
 
 
 def queries() -> dict:
