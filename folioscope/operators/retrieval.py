@@ -137,7 +137,8 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K,
     ``probe_bits`` > 0 switches to an approximate search that scores only chunks whose
     sign code differs from the query's in at most one bit.  Ties go to the smaller id.
     """
-    wanted = queries.select("query_id", "vector").filter(F.size("vector") > 0)
+    # query vectors come from an encoder: computed once, then measured and read by block
+    wanted = materialize(queries.select("query_id", "vector").filter(F.size("vector") > 0), "queries")
     first = wanted.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     spark = chunks.sparkSession
     id_type, query_type = _arrow_type(chunks, "chunk_id"), _arrow_type(queries, "query_id")
@@ -150,8 +151,7 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K,
     if blocks > 1:
         # hashing spreads ids evenly, the factor 2 keeps every block below the bound
         blocks *= 2
-        wanted = materialize(wanted.withColumn(
-            "__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+        wanted = wanted.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     slim = chunks.select("chunk_id", "vector")
     parts = []
     for block in range(blocks):

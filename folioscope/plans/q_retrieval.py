@@ -103,10 +103,11 @@ def _asked(spark, sf):
 
 def _hits(spark, sf):
     """Hits of the decomposed sub-questions among company documents, with payload."""
-    company = S.search_filter(collection(spark, sf), document_type=V.COMPANY, visibility=V.USER_VISIBLE)
-    parts = Q.decompose_queries(_asked(spark, sf)).select(
-        "query_id", F.posexplode("subqueries").alias("subquery_pos", "subquery"))
-    return with_payload(search_texts(parts, company, V.TOP_K, V.MIN_SIMILARITY), company.drop("vector"))
+    company = S.search_filter(I.document_chunks(spark, sf), document_type=V.COMPANY, visibility=V.USER_VISIBLE)
+    vectors = l2_normalize(embed(company))
+    parts = materialize(Q.decompose_queries(_asked(spark, sf)).select(
+        "query_id", F.posexplode("subqueries").alias("subquery_pos", "subquery")), "parts")
+    return with_payload(search_texts(parts, vectors, V.TOP_K, V.MIN_SIMILARITY), company)
 
 
 def _merged(spark, sf):
@@ -198,7 +199,7 @@ def evidence_flags(spark, sf):
 
 
 def retrieve_batch(spark, sf):
-    result = retrieve(I.questions(spark, sf), collection(spark, sf))
+    result = retrieve(I.questions(spark, sf), materialize(collection(spark, sf), "collection"))
     return result.contexts.select("query_id", F.md5("context_text").alias("context_md5"), "chunks_used",
                                   "estimated_tokens", "token_utilization", QQ.flat("sources"))
 
