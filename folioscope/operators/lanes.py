@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.vocab import COOLDOWN_SECONDS
+from folioscope.functions.time import micros
 from folioscope.operators.scans import running, time_block
 
 STATES = ["AVAILABLE", "BUSY", "RATE_LIMITED", "DAILY_EXHAUSTED", "DEGRADED", "DISABLED"]
@@ -102,7 +103,7 @@ def lane_failure_runs(attempts: DataFrame, block: Column | None = None,
     state = (F.when(F.col("success"), "AVAILABLE").when(limited, "RATE_LIMITED")
              .when(F.col("error_count") >= DEGRADED_AFTER, "DEGRADED").otherwise("AVAILABLE"))
     until = F.when(state.isin("RATE_LIMITED", "DEGRADED"),
-                   F.timestamp_micros(F.unix_micros("ts") + cooldown * 1_000_000))
+                   F.timestamp_micros(micros("ts") + cooldown * 1_000_000))
     return (based.withColumn("error_count", run).withColumn("state_after", state)
             .withColumn("cooldown_until", until).drop("__errors", "__base"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import vocab as V
 from folioscope.functions.text import half_even, normalized_key, strip
+from folioscope.functions.time import micros
 from folioscope.operators import orbits
 from folioscope.operators.scans import running, time_block
 
@@ -27,7 +28,7 @@ def first_registration(requests: DataFrame) -> DataFrame:
 
 
 def remaining_seconds(started_at: Column, as_of: Column, duration: int = V.SESSION_SECONDS) -> Column:
-    elapsed = ((F.unix_micros(as_of) - F.unix_micros(started_at)) / F.lit(1_000_000.0)).cast("long")
+    elapsed = ((micros(as_of) - micros(started_at)) / F.lit(1_000_000.0)).cast("long")
     return F.when(started_at.isNull(), F.lit(duration).cast("long")).otherwise(
         F.greatest(F.lit(0).cast("long"), F.lit(duration) - elapsed))
 
@@ -121,9 +122,11 @@ def team_detail(board: DataFrame, prompts: DataFrame, team_name: str | None = No
                       "team_name", "left")
 
 
-def prompt_history(prompts: DataFrame, team_name: str) -> DataFrame:
-    """A team's prompts, oldest first."""
-    return prompts.filter(F.col("team_name") == team_name.strip()).orderBy("created_at", "id")
+def prompt_history(prompts: DataFrame, team_name: str | None = None) -> DataFrame:
+    """Prompts oldest first, of one team or of every team."""
+    if team_name is not None:
+        prompts = prompts.filter(F.col("team_name") == team_name.strip())
+    return prompts.orderBy("team_name", "created_at", "id")
 
 
 def team_search(board: DataFrame, term: str = "", status: str = "ALL") -> DataFrame:
@@ -164,7 +167,7 @@ def repeat_questions(log: DataFrame, ttl_seconds: int = V.ANSWER_TTL_SECONDS,
     never cached.  A hot question is cut into time blocks.
     """
     keyed = log.withColumn("__text", normalized_key(F.col("question"))).filter("__text <> ''")
-    items = keyed.select(F.md5("__text").alias("question_key"), F.unix_micros("ts").alias("at"), "id")
+    items = keyed.select(F.md5("__text").alias("question_key"), micros("ts").alias("at"), "id")
     reach = ttl_seconds * 1_000_000 + 1
 
     def make_step(group):

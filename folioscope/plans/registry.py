@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import q_corpus, q_questions, q_retrieval
+from folioscope.plans import q_corpus, q_questions, q_retrieval, q_sources, q_streaming, q_usage
 
-MODULES = [q_corpus, q_questions, q_retrieval]
+MODULES = [q_corpus, q_questions, q_retrieval, q_usage, q_sources, q_streaming]
 
 
 def queries() -> dict:

@@ -42,15 +42,20 @@ def collection_reset(base: DataFrame, new: DataFrame, document_type: str) -> Dat
         new.filter(F.col("document_type") == document_type).select(*base.columns))
 
 
-def collection_info(collection: DataFrame, expected: list[str] | None = None) -> DataFrame:
-    """Status and point count per document type; expected types without rows are NOT_FOUND."""
+def collection_info(collection: DataFrame, expected: list[str] | None = None,
+                    existing: list[str] | None = None) -> DataFrame:
+    """Status and point count per document type.
+
+    ``expected`` types without rows are NOT_FOUND unless listed in ``existing``.
+    """
     counts = collection.groupBy("document_type").agg(F.count("*").alias("points_count"))
     if expected:
         names = collection.sparkSession.createDataFrame([(n,) for n in expected], "document_type string")
         counts = names.join(counts, "document_type", "full")
-    return counts.select("document_type", F.coalesce("points_count", F.lit(0)).alias("points_count"),
-                         F.when(F.coalesce("points_count", F.lit(0)) > 0, "green")
-                         .otherwise("NOT_FOUND").alias("status"))
+    points = F.coalesce("points_count", F.lit(0))
+    there = (points > 0) | F.col("document_type").isin(existing or [])
+    return counts.select("document_type", points.alias("points_count"),
+                         F.when(there, "green").otherwise("NOT_FOUND").alias("status"))
 
 
 def shown_name() -> Column:
@@ -123,7 +128,9 @@ class CollectionStore:
             return False
         name = METRICS.get(metric.lower(), METRICS["cosine"])
         meta = {"dimension": dimension, "metric": name}
-        empty = schema_of.limit(0).withMetadata("vector", meta)
+        empty = schema_of.limit(0)
+        if "vector" in empty.columns:
+            empty = empty.withMetadata("vector", meta)
         self._write(empty, document_type)
         return True
 
@@ -140,15 +147,21 @@ class CollectionStore:
         base = self.read(document_type)
         self._write(collection_upsert(base, rows.withColumn("document_type", F.lit(document_type))), document_type)
 
+    def exists(self, document_type: str) -> bool:
+        return bool(self._versions(document_type))
+
+    def replace_documents(self, rows: DataFrame, document_type: str) -> None:
+        """Replace every document that occurs in ``rows`` by its new rows."""
+        kept = collection_delete_document(self.read(document_type), rows)
+        fresh = rows.withColumn("document_type", F.lit(document_type))
+        self._write(kept.unionByName(fresh.select(*kept.columns)), document_type)
+
     def delete_documents(self, documents: DataFrame, document_type: str) -> None:
         self._write(collection_delete_document(self.read(document_type), documents), document_type)
 
     def info(self) -> DataFrame:
-        found = []
-        for kind in (V.COMPANY, V.INSTRUCTION):
-            if self._versions(kind):
-                found.append(self.read(kind).select("document_type"))
-        if not found:
-            found = [self.spark.createDataFrame([], "document_type string")]
-        rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-        return collection_info(rows, [V.COMPANY, V.INSTRUCTION])
+        kinds = [k for k in (V.COMPANY, V.INSTRUCTION) if self._versions(k)]
+        rows = self.spark.createDataFrame([], "document_type string")
+        for kind in kinds:
+            rows = rows.unionByName(self.read(kind).select("document_type"))
+        return collection_info(rows, [V.COMPANY, V.INSTRUCTION], kinds)
