@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,62 +166,56 @@ def _pack_lengths(max_tokens: int):
     return starts
 
 
-def _pieces(content: Column, max_tokens: int) -> tuple[Column, Column]:
-    blank_line = F.split(content, "\n\n")
-    raw = F.when(F.size(blank_line) > 1, blank_line).otherwise(F.split(content, "\n"))
-    parts = F.filter(F.transform(raw, strip), lambda x: x != "")
-    return parts, _pack_lengths(max_tokens)(F.transform(F.col("__parts"), F.length))
-
-
 def split_oversized(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Split chunks above ``max_tokens`` on blank lines (or single newlines) and re-pack.
 
     Pieces keep the chunk's pages and titles.  Adds ``piece`` (0-based) and
     ``split_chunk``.  Only part lengths of oversized rows reach Python.
     """
-    small = chunks.filter(F.col("estimated_tokens") <= max_tokens).withColumn(
-        "piece", F.lit(0)).withColumn("split_chunk", F.lit(False))
-    parts, starts = _pieces(F.col("content"), max_tokens)
-    large = (chunks.filter(F.col("estimated_tokens") > max_tokens)
-             .withColumn("__parts", parts).withColumn("__starts", starts))
+    large = F.col("estimated_tokens") > max_tokens
+    blank_line = F.split("content", "\n\n")
+    raw = F.when(F.size(blank_line) > 1, blank_line).otherwise(F.split("content", "\n"))
+    parts = F.when(large, F.filter(F.transform(raw, strip), lambda x: x != "")).otherwise(F.array("content"))
+    lengths = F.when(large, F.transform("__parts", F.length)).otherwise(F.array(F.lit(1)))
+    staged = (chunks.withColumn("__parts", parts)
+              .withColumn("__starts", _pack_lengths(max_tokens)(lengths)))
     ends = F.concat(F.slice(F.col("__starts"), F.lit(2), F.size("__starts")),
                     F.array((F.size("__parts") + 1).cast("int")))
     texts = F.zip_with("__starts", ends, lambda s, e: F.array_join(
         F.slice(F.col("__parts"), s, e - s), "\n\n"))
-    split = (large.select(*[c for c in chunks.columns if c != "content"],
+    derived = {"content", "estimated_tokens", "char_count"}
+    split = staged.select(*[c for c in chunks.columns if c not in derived], large.alias("split_chunk"),
                           F.posexplode(texts).alias("piece", "content"))
-             .withColumn("estimated_tokens", estimate_tokens(F.col("content")))
-             .withColumn("split_chunk", F.lit(True)))
-    if "char_count" in chunks.columns:
-        split = split.withColumn("char_count", F.length("content"))
-    return small.unionByName(split.select(*small.columns))
+    split = split.withColumn("estimated_tokens", estimate_tokens(F.col("content")))
+    return split.withColumn("char_count", F.length("content")) if "char_count" in chunks.columns else split
 
 
-def merge_tiny(chunks: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS,
-               block: int = SECTION_BLOCK) -> DataFrame:
-    """One left-to-right pass that merges a chunk below ``min_tokens`` with its successor.
+def merge_pairs(sizes: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS,
+                block: int = SECTION_BLOCK) -> DataFrame:
+    """(document_id, chunk_order, pair) of one left-to-right merging pass.
 
-    ``chunk_order`` must be a dense 0-based number per document.  Whether a pair *may*
-    merge depends on the pair alone; inside a run of such chunks every second one starts
-    a pair, so the pass is a running maximum and a parity, not a loop.
+    ``sizes(document_id, chunk_order, estimated_tokens)`` has dense 0-based orders.  Whether
+    a chunk *may* merge with its successor depends on the two alone; inside a run of such
+    chunks every second one starts a pair, so the pass is a running maximum and a parity,
+    not a loop.
     """
-    nxt = chunks.select("document_id", (F.col("chunk_order") - 1).alias("chunk_order"),
-                        F.col("estimated_tokens").alias("__next"))
+    nxt = sizes.select("document_id", (F.col("chunk_order") - 1).alias("chunk_order"),
+                       F.col("estimated_tokens").alias("__next"))
     tok = F.col("estimated_tokens")
     may = (tok < min_tokens) & F.coalesce(tok + F.col("__next") <= max_tokens, F.lit(False))
-    flagged = chunks.join(nxt, ["document_id", "chunk_order"], "left").withColumn("__may", may)
-    flags = running(flagged.select("document_id", "chunk_order", "__may"), ["document_id"],
-                    ["chunk_order"], width_block(F.col("chunk_order"), block),
-                    {"__stop": ("max", F.when(~F.col("__may"), F.col("chunk_order")))},
-                    inclusive=False)
+    flagged = sizes.join(nxt, ["document_id", "chunk_order"], "left").select(
+        "document_id", "chunk_order", may.alias("__may"))
+    flags = running(flagged, ["document_id"], ["chunk_order"], width_block(F.col("chunk_order"), block),
+                    {"__stop": ("max", F.when(~F.col("__may"), F.col("chunk_order")))}, inclusive=False)
     offset = F.col("chunk_order") - F.coalesce("__stop", F.lit(-1)) - 1
-    paired = chunks.join(
-        flags.select("document_id", "chunk_order", (F.col("chunk_order") - offset % 2).alias("pair")),
-        ["document_id", "chunk_order"])
+    return flags.select("document_id", "chunk_order", (F.col("chunk_order") - offset % 2).alias("pair"))
+
+
+def join_pairs(members: DataFrame, order: list[str]) -> DataFrame:
+    """Merge the one or two chunks of every (document_id, pair), sorted by ``order``."""
     member = F.array_sort(F.collect_list(F.struct(
-        "chunk_order", "page_numbers", "section_title", "section_type", "hierarchy_level",
-        "content")))
-    pairs = paired.groupBy("document_id", "pair").agg(member.alias("m"))
+        *order, "page_numbers", "section_title", "section_type", "hierarchy_level", "content")))
+    pairs = members.groupBy("document_id", "pair").agg(member.alias("m"))
     both = F.size("m") == 2
     first, second = F.col("m")[0], F.try_element_at("m", F.lit(2))
     content = F.array_join(F.transform("m", lambda x: x["content"]), "\n\n")
@@ -238,6 +232,17 @@ def merge_tiny(chunks: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int
                  ).withColumn("char_count", F.length("content"))
 
 
+def merge_tiny(chunks: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS,
+               block: int = SECTION_BLOCK) -> DataFrame:
+    """Merge every chunk below ``min_tokens`` with its successor where both fit.
+
+    ``chunk_order`` must be a dense 0-based number per document.
+    """
+    pairs = merge_pairs(chunks.select("document_id", "chunk_order", "estimated_tokens"),
+                        min_tokens, max_tokens, block)
+    return join_pairs(chunks.join(pairs, ["document_id", "chunk_order"]), ["chunk_order"])
+
+
 def reindex_chunks(chunks: DataFrame, order: list[str], block: int = SECTION_BLOCK) -> DataFrame:
     """Dense 0-based ``chunk_order`` per document along ``order``; tokens recomputed."""
     keep = [c for c in chunks.columns if c not in ("chunk_order", "estimated_tokens", *order)]

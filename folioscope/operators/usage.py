@@ -15,6 +15,7 @@ from folioscope.functions.text import half_even, normalized_key, strip
 from folioscope.functions.time import micros
 from folioscope.operators import orbits
 from folioscope.operators.scans import running, time_block
+from folioscope.session import materialize
 
 NO_EVENT = -1  # stands for "no event" where a key must not be null
 DAY_MICROS = 86_400_000_000
@@ -167,7 +168,9 @@ def repeat_questions(log: DataFrame, ttl_seconds: int = V.ANSWER_TTL_SECONDS,
     never cached.  A hot question is cut into time blocks.
     """
     keyed = log.withColumn("__text", normalized_key(F.col("question"))).filter("__text <> ''")
-    items = keyed.select(F.md5("__text").alias("question_key"), micros("ts").alias("at"), "id")
+    # slim rows that several branches read
+    items = materialize(keyed.select(F.md5("__text").alias("question_key"), micros("ts").alias("at"), "id"),
+                        "questions")
     reach = ttl_seconds * 1_000_000 + 1
 
     def make_step(group):

@@ -10,19 +10,32 @@ from folioscope.operators import chunking, indexing
 from folioscope.operators.cleaning import clean_pages
 from folioscope.operators.structure import (SECTION_BLOCK, number_sections, page_sections,
                                             section_texts)
-from folioscope.operators.scans import row_numbers
+from folioscope.operators.scans import row_numbers, running, width_block
 from folioscope.session import materialize
 
 
 def optimize_chunks(chunks: DataFrame, min_tokens: int = MIN_TOKENS,
                     max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Split oversized chunks, merge tiny neighbours, renumber."""
-    pieces = chunking.split_oversized(chunks, max_tokens)
-    dense = row_numbers(pieces.drop("split_chunk"), ["document_id"], ["chunk_order", "piece"],
-                        F.floor(F.col("chunk_order") / F.lit(SECTION_BLOCK)), "__n")
-    numbered = dense.withColumn("chunk_order", F.col("__n") - 1).drop("__n", "piece")
-    merged = chunking.merge_tiny(numbered, min_tokens, max_tokens)
-    return chunking.reindex_chunks(merged.withColumnRenamed("chunk_order", "pair"), ["pair"])
+    """Split oversized chunks, merge tiny neighbours, renumber.
+
+    Pieces are written once; numbering and pairing run on sizes only, and the texts are
+    joined to the finished numbers.
+    """
+    pieces = materialize(chunking.split_oversized(chunks, max_tokens).drop("split_chunk"), "pieces")
+    key = ["document_id", "chunk_order", "piece"]
+    dense = materialize(row_numbers(
+        pieces.select(*key, "estimated_tokens"), ["document_id"], ["chunk_order", "piece"],
+        width_block(F.col("chunk_order"), SECTION_BLOCK), "__n").withColumn(
+        "place", F.col("__n") - 1).drop("__n"), "piece-numbers")
+    pairs = chunking.merge_pairs(dense.select(
+        "document_id", F.col("place").alias("chunk_order"), "estimated_tokens"), min_tokens, max_tokens)
+    # a pair is named by its first place, so counting first places renumbers the pairs
+    ranked = running(pairs, ["document_id"], ["chunk_order"], width_block(F.col("chunk_order"), SECTION_BLOCK),
+                     {"__rank": ("sum", (F.col("chunk_order") == F.col("pair")).cast("long"))})
+    named = dense.select(*key, "place").join(
+        ranked.select("document_id", F.col("chunk_order").alias("place"),
+                      (F.col("__rank") - 1).alias("pair")), ["document_id", "place"])
+    return chunking.join_pairs(pieces.join(named, key), ["place"]).drop("merged")
 
 
 def chunk_pages(pages: DataFrame, titles: DataFrame | None = None, max_tokens: int = MAX_TOKENS,
@@ -31,8 +44,9 @@ def chunk_pages(pages: DataFrame, titles: DataFrame | None = None, max_tokens: i
     cleaned = clean_pages(pages) if clean else pages
     # page sections feed the packing, the headings and the chunk texts: computed once
     paged = materialize(page_sections(cleaned), "page-sections")
-    packed = chunking.semantic_chunks(number_sections(paged), titles, max_tokens, overlap,
-                                      texts=section_texts(paged))
+    # the section index holds no text
+    index = materialize(number_sections(paged).drop("content"), "section-index")
+    packed = chunking.semantic_chunks(index, titles, max_tokens, overlap, texts=section_texts(paged))
     best = optimize_chunks(packed.drop("section_count"), max_tokens=max_tokens)
     return chunking.chunk_ids(chunking.validate_chunks(best, max_tokens))
 

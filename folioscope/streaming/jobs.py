@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -118,4 +119,5 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return spark.read.schema(schema.add("batch_no", "int")).parquet(f"{path}/*")
+    written = T.StructType([*schema.fields, T.StructField("batch_no", T.IntegerType())])
+    return spark.read.schema(written).parquet(f"{path}/*")
