@@ -35,13 +35,12 @@ def collapse_whitespace(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.withColumn(text, _collapse(F.regexp_replace(F.col(text), "[ \t]+", " ")))
 
 
-def _candidates(text: Column, tail: bool) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), squash), lambda x: x != "")
-    edge = F.slice(lines, -2, 2) if tail else F.slice(lines, 1, 2)
-    # slice(-2, 2) of a one-line page is empty, the single line is both first and last
-    if tail:
-        edge = F.when(F.size(lines) == 1, lines).otherwise(edge)
-    return F.filter(edge, lambda x: (F.length(x) > 3) & ~x.rlike(r"^\p{Nd}+\z"))
+def _candidates(lines: Column, tail: bool) -> Column:
+    """Collapsed edge lines that can be a header or footer; ``lines`` are not blank."""
+    edge = F.slice(lines, 1, 2)
+    if tail:  # the single line of a one-line page is both first and last
+        edge = F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), F.lit(2))
+    return F.filter(F.transform(edge, squash), lambda x: (F.length(x) > 3) & ~x.rlike(r"^\p{Nd}+\z"))
 
 
 def detect_header_footer(pages: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -50,11 +49,12 @@ def detect_header_footer(pages: DataFrame, threshold: float = 0.75) -> DataFrame
     Two candidate lines per page edge leave each page; counts are combined map-side,
     so a document holding a third of all pages does not load one task.
     """
-    per_page = pages.select(
+    filled = F.filter(F.split("text", "\n"), lambda x: strip(x) != "")
+    per_page = pages.select("document_id", filled.alias("__filled")).select(
         "document_id",
         F.explode(F.array(
-            F.struct(F.lit("header").alias("kind"), _candidates(F.col("text"), False).alias("lines")),
-            F.struct(F.lit("footer").alias("kind"), _candidates(F.col("text"), True).alias("lines")),
+            F.struct(F.lit("header").alias("kind"), _candidates(F.col("__filled"), False).alias("lines")),
+            F.struct(F.lit("footer").alias("kind"), _candidates(F.col("__filled"), True).alias("lines")),
         )).alias("edge"))
     counts = (per_page.select("document_id", "edge.kind", F.explode("edge.lines").alias("line"))
               .groupBy("document_id", "kind", "line").agg(F.count("*").alias("occurrences")))

@@ -44,8 +44,10 @@ def process_queries(questions: DataFrame, max_chars: int = V.MAX_QUERY_CHARS) ->
 def domains_of(text: Column) -> Column:
     """Names of the domains with a whole-word match, in vocabulary order."""
     lower = F.lower(text)
+    # the plain substring test spares most texts the regular expression
     return F.array_compact(F.array(*[
-        F.when(lower.rlike(word_pattern(terms)), F.lit(name)) for name, terms in V.DOMAINS.items()]))
+        F.when(contains_any(lower, terms) & lower.rlike(word_pattern(terms)), F.lit(name))
+        for name, terms in V.DOMAINS.items()]))
 
 
 def detect_domains(questions: DataFrame, text: str = "normalized_query") -> DataFrame:
@@ -62,8 +64,13 @@ def decompose_queries(questions: DataFrame, text: str = "normalized_query") -> D
     marks = F.transform(F.filter(F.transform(F.split("__q", r"\?"), strip), lambda p: p != ""),
                         lambda p: F.concat(p, F.lit("?")))
     clause = rf"(?isU)^(.*?)({V.CLAUSE_PATTERN}.*)$"
-    head = strip(F.regexp_extract("__q", clause, 1))
-    tail = strip(F.regexp_replace(strip(F.regexp_extract("__q", clause, 2)),
+
+    def part(group):  # without word boundaries the pattern is cheap and holds all matches
+        likely = F.col("__q").rlike("(?isU)" + V.CLAUSE_PATTERN.replace(r"\b", ""))
+        return F.when(likely, F.regexp_extract("__q", clause, group)).otherwise("")
+
+    head = strip(part(1))
+    tail = strip(F.regexp_replace(strip(part(2)),
                                   rf"(?iU)^(?:and|,)[{WS}]*", ""))
     tail = F.concat(F.upper(F.substring(tail, 1, 1)), F.substring(tail, F.lit(2), F.length(tail)))
     staged = (questions.withColumn("__q", clean).withColumn("__marks", marks)
@@ -91,7 +98,7 @@ def resolve_temporal(questions: DataFrame, text: str = "normalized_query") -> Da
     reference = comparison = F.lit(None).cast("string")
     periods = terms = texts([])
     for pattern, ref, years, compare, search in reversed(V.TEMPORAL_RULES):
-        hit = lower.rlike("(?U)" + pattern)
+        hit = contains_any(lower, pattern[3:-3].split("|")) & lower.rlike("(?U)" + pattern)
         reference = F.when(hit, ref).otherwise(reference)
         periods = F.when(hit, texts(years)).otherwise(periods)
         comparison = F.when(hit, F.lit(compare)).otherwise(comparison)

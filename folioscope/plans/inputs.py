@@ -14,9 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text-heavy table; an input of fewer splits than threads is spread first."""
+    df = table(spark, sf_dir, name)
+    threads = spark.sparkContext.defaultParallelism
+    return df.repartition(threads) if df.rdd.getNumPartitions() < threads else df
+
+
 def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages: one document per source, one page per row."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = text_table(spark, sf_dir, "documents").select(
         F.col("source").alias("document_id"), "doc_id", "text")
     return row_numbers(docs, ["document_id"], ["doc_id"], width_block(F.col("doc_id"), ID_BLOCK),
                        "page_number").drop("doc_id")
@@ -94,7 +101,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: German ones are internal guidance, the others company evidence."""
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     kind = F.when(F.col("lang") == "de", "instruction").otherwise("company")
     return docs.select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"),

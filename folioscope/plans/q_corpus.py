@@ -18,7 +18,7 @@ def pages_text(column="page_numbers"):
 
 
 def load_pages(spark, sf):
-    html = P.html_pages(I.table(spark, sf, "pages"), "page_id", "html")
+    html = P.html_pages(I.text_table(spark, sf, "pages"), "page_id", "html")
     return html.select("document_id", "page_number", "raw_char_count", F.md5("text").alias("text_md5"))
 
 
@@ -90,7 +90,7 @@ def document_statistics(spark, sf):
 
 
 def estimate_tokens_query(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
+    return I.text_table(spark, sf, "documents").select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
 
 
 def semantic_chunks(spark, sf):

@@ -144,7 +144,7 @@ def second_pass_merge(spark, sf):
 
 
 def _scored(spark, sf):
-    merged = S.merge_candidates(_hits(spark, sf)).withColumn("pass_no", F.lit(1))
+    merged = _merged(spark, sf).withColumn("pass_no", F.lit(1))
     return R.rerank_score(merged.withColumn("query_text", F.col("query_id")))
 
 

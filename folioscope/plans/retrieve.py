@@ -82,7 +82,7 @@ def retrieve_batch(questions: DataFrame, collection: DataFrame, encoder: Encoder
         "query_id", F.posexplode("fallback").alias("subquery_pos", "subquery"))
     more = S.evidence_boundary(with_payload(
         search_texts(again, company, top_k, min_score, encoder), company))
-    candidates = S.second_pass_merge(accepted, more)
+    candidates = materialize(S.second_pass_merge(accepted, more), "all-candidates")
 
     scored = R.rerank_score(candidates.join(
         plans.select("query_id", F.col("normalized_query").alias("query_text"), "effective_top_n"),
