@@ -7,7 +7,6 @@ last adds shard, slot and shard_bytes.  Stages are written as Parquet to the sha
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, jaccard_join, language_id, mixing, resharding
 from folioscope.llm.common import held_out, table
@@ -19,9 +18,7 @@ MIN_COSINE = 0.1
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters that resemble a learned language at all; ``lang`` stays as it was."""
     prototypes = language_id.learn(docs.filter(~held_out(3, 1)))
-    judged = language_id.predict(docs, prototypes)
-    kept = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= MIN_COSINE)
-    return judged.filter(kept).select(*docs.columns)
+    return language_id.recognised(docs, prototypes, MIN_COSINE)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

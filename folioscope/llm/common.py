@@ -102,11 +102,21 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], weights: list[str],
 
 
 def row_keys(df: DataFrame) -> DataFrame:
-    """Add non-null ``_id`` and ``_row``, equal for rows equal in all columns."""
-    whole = F.xxhash64(*[df[c] for c in df.columns])
-    return df.withColumns({"_id": F.coalesce(df["doc_id"].cast("long"), F.lit(0)), "_row": whole})
+    """``_values``, the row as a struct, with non-null ``_id`` and ``_row``, which are equal for equal rows only.
+
+    Packing the row keeps its own columns apart from those that an operator adds, whatever their names.
+    """
+    return df.select(F.coalesce(df["doc_id"].cast("long"), F.lit(0)).alias("_id"),
+                     F.xxhash64(*[df[c] for c in df.columns]).alias("_row"),
+                     F.struct(*[df[c] for c in df.columns]).alias("_values"))
+
+
+def distinct_rows(marked: DataFrame) -> DataFrame:
+    """One row per (_id, _row); equal rows are combined before the shuffle."""
+    return marked.groupBy("_id", "_row").agg(F.first("_values").alias("_values"))
 
 
-def distinct_rows(marked: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per (_id, _row) with ``_values``, a struct of ``columns``; equal rows are combined before the shuffle."""
-    return marked.groupBy("_id", "_row").agg(F.first(F.struct(*[F.col(c) for c in columns])).alias("_values"))
+def keep_texts(df: DataFrame, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows whose text passes ``keep``, judged where they lie."""
+    return map_texts(df, lambda batch: batch.filter(pa.array(keep(batch.column("text").to_pylist()), pa.bool_())),
+                     df.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import map_texts
+from folioscope.llm.common import keep_texts, map_texts
 
 EDIT_RATE = 0.06
 MIN_CHARS = 24
@@ -172,10 +172,5 @@ def remove(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_cha
     """The rows of ``docs`` in which no item is found; rows are dropped where they lie."""
     for block in item_blocks(items, block_chars):
         find = _search(block, rate)
-
-        def run(batch, find=find):
-            keep = [not (t and find(t)) for t in batch.column("text").to_pylist()]
-            return batch.filter(pa.array(keep))
-
-        docs = map_texts(docs, run, docs.schema)
+        docs = keep_texts(docs, lambda texts, find=find: [not (t and find(t)) for t in texts])
     return docs

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import held_out, map_texts
+from folioscope.llm.common import held_out, keep_texts, map_texts
 
 DIMENSION = 1024
 SEED = 20_240_117
@@ -134,32 +134,43 @@ def cosines(texts: list[str | None], prototypes: np.ndarray) -> tuple[np.ndarray
     return out, some
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``lang_score`` (the best cosine, cut to 0..1)."""
-    names = list(prototypes)
-    matrix = np.array([prototypes[x] for x in names]).reshape(len(names), DIMENSION)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("lang_score", T.DoubleType())])
+def judge(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score (the best cosine, cut to 0..1) of each text."""
+    if not names:
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    found, some = cosines(texts, matrix)
+    labels = [names[b] if s else UNDETERMINED for b, s in zip(found.argmax(axis=1), some, strict=True)]
+    return labels, np.where(some, np.clip(found.max(axis=1), 0.0, 1.0), 0.0)
+
+
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """The columns of ``docs`` but the text, with lang_pred and score."""
+    names, matrix = list(prototypes), np.array(list(prototypes.values())).reshape(-1, DIMENSION)
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batch):
-        texts = batch.column(text).to_pylist()
-        if names:
-            found, some = cosines(texts, matrix)
-            best = found.argmax(axis=1)
-            labels = [names[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)]
-            scores = np.where(some, np.clip(found.max(axis=1), 0.0, 1.0), 0.0)
-        else:
-            labels, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        labels, scores = judge(batch.column("text").to_pylist(), names, matrix)
         return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
-            names=[*batch.schema.names, "lang_pred", "lang_score"])
+            [*[batch.column(f.name) for f in kept], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
+            names=schema.names)
+
+    return map_texts(docs, run, schema)
+
+
+def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float) -> DataFrame:
+    """The rows of ``docs`` in a learned language, with a cosine of at least ``least``."""
+    names, matrix = list(prototypes), np.array(list(prototypes.values())).reshape(-1, DIMENSION)
+
+    def keep(texts):
+        labels, scores = judge(texts, names, matrix)
+        return [x != UNDETERMINED and s >= least for x, s in zip(labels, scores, strict=True)]
 
-    return map_texts(docs, run, schema, text)
+    return keep_texts(docs, keep)
 
 
 def identify(docs: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; learns from rows that are not held out."""
     prototypes = learn(docs.filter(~held_out(modulus, remainder)))
-    slim = docs.select("doc_id", "text", held_out(modulus, remainder).alias("held_out"))
-    # the text leaves the rows inside the same task
-    return predict(slim, prototypes).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    rows = docs.select("doc_id", "text", held_out(modulus, remainder).alias("held_out"))
+    return predict(rows, prototypes)

@@ -61,8 +61,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def offset(source: Column, seed: int) -> Column:
-    """The source's random offset in units, 0 to UNIT - 1."""
-    return F.pmod(F.xxhash64(source, F.lit(seed)), F.lit(UNIT))
+    """The source's random offset in units, 0 to UNIT - 1: 28 bits of a digest, so that SQL can draw it as well."""
+    digest = F.md5(F.concat(F.coalesce(source, F.lit("")), F.lit(f"|{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") * F.lit(UNIT >> 28)
 
 
 def decide(docs: DataFrame, key: list[str], seed: int = SEED, **shares) -> DataFrame:
@@ -87,7 +88,8 @@ def mix(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
     combined before the shuffle), which joins the sum of its decisions and is repeated.
     """
     marked = row_keys(docs)
-    drawn = decide(marked, ["_id", "source", "_row"], seed, **shares).groupBy("_id", "_row").agg(
+    slim = marked.select("_id", "_row", F.col("_values.source").alias("source"), F.col("_values.text").alias("text"))
+    drawn = decide(slim, ["_id", "source", "_row"], seed, **shares).groupBy("_id", "_row").agg(
         F.sum("copies").alias("_copies"))
     drawn = drawn.filter("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return distinct_rows(marked, docs.columns).join(drawn, ["_id", "_row"]).select("_values.*")
+    return distinct_rows(marked).join(drawn, ["_id", "_row"]).select("_values.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import (
-    decontaminate, jaccard_join, language_id, mixing, pu_quality, resharding, site_style, string_kernel, token_counts,
+    decontaminate, jaccard_join, language_id, mixing, oracles, pu_quality, resharding, site_style, string_kernel, token_counts,
     voronoi_knn)
 from folioscope.llm.common import table
 
@@ -43,7 +43,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_shingles", "component_id", "class_id", "links")
+        "doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
