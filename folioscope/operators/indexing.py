@@ -22,8 +22,10 @@ Encoder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
 def hashing_encoder(dimension: int = V.EMBEDDING_DIMENSION) -> Encoder:
-    """Word counts hashed into ``dimension`` buckets; needs no model weights."""
+    """Word counts hashed into ``dimension`` buckets; needs no model weights.
 
+    A batch hashes each of its distinct words once and counts all buckets at once.
+    """
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         @lru_cache(maxsize=200_000)
         def bucket(word: str) -> int:
@@ -31,12 +33,14 @@ def hashing_encoder(dimension: int = V.EMBEDDING_DIMENSION) -> Encoder:
 
         word = re.compile(r"\w+")
         for batch in texts:
-            rows = []
-            for text in batch:
-                found = [bucket(w) for w in word.findall((text or "").lower())]
-                rows.append(np.bincount(found, minlength=dimension).astype(np.float32)
-                            if found else np.zeros(dimension, dtype=np.float32))
-            yield pd.Series(rows)
+            words = [word.findall((text or "").lower()) for text in batch]
+            row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            flat = np.empty(len(row), dtype=object)
+            flat[:] = [w for own in words for w in own]
+            codes, names = pd.factorize(flat)
+            place = np.fromiter(map(bucket, names), dtype=np.int64, count=len(names))
+            counts = np.bincount(row * dimension + place[codes] if len(row) else row, minlength=len(words) * dimension)
+            yield pd.Series(list(counts.reshape(len(words), dimension).astype(np.float32)))
 
     return encode
 
@@ -59,6 +63,12 @@ def embed_chunks(chunks: DataFrame, encoder: Encoder | None = None, chunk_id: st
                     F.lit(False).alias("normalized")))
 
 
+def with_vectors(chunks: DataFrame, encoder: Encoder | None = None, text: str = "content") -> DataFrame:
+    """Chunks with their unit ``vector`` and its ``dimension`` in the same row: nothing is joined or shuffled."""
+    raw = chunks.withColumn("vector", encode_text(F.col(text), encoder)).withColumn("dimension", F.size("vector"))
+    return l2_normalize(raw).drop("normalized")
+
+
 def batch_ids(chunks: DataFrame, size: int, order: str = "vec_id", width: int = 100_000) -> DataFrame:
     """Consecutive groups of ``size`` rows along an integer key, numbered without a global sort."""
     if size <= 0:
@@ -121,7 +131,7 @@ def build_payload(chunks: DataFrame, created_at: str = "", version: str = V.PAYL
 
 
 def pair_chunks_vectors(payload: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Payload rows with their vector, joined by chunk id."""
+    """Payload rows with vectors made elsewhere, joined by chunk id; ``pairing_audit`` lists what finds no partner."""
     return payload.join(vectors.select("chunk_id", "vector", F.size("vector").alias("dimension")),
                         "chunk_id")
 

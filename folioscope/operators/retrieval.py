@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,9 +15,9 @@ from folioscope.functions.text import contains_any, let
 from folioscope.operators.indexing import visibility_of
 from folioscope.session import materialize
 
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024   # largest query matrix sent to executors at once
+BLOCK_BYTES = 8 * 1024 * 1024     # vectors of one side in a pair of blocks
+SCORE_BYTES = 32 * 1024 * 1024    # scores of one multiplication
 SCORE_DIGITS = 6
-SUB_BATCH = 2048
 
 
 def search_filter(rows: DataFrame, document_type=None, visibility=None, document_id=None,
@@ -83,46 +82,58 @@ def _codes(m: np.ndarray, bits: int) -> np.ndarray:
     return ((m @ planes) > 0) @ (1 << np.arange(bits))
 
 
-def _score_partition(batches: Iterator[pa.RecordBatch], ids: list, q: np.ndarray, id_type: pa.DataType,
-                     query_type: pa.DataType, k: int, min_score: float | None, metric: str,
-                     probe_bits: int) -> Iterator[pa.RecordBatch]:
-    best = _TopK(k)
-    q_codes = _codes(q, probe_bits) if probe_bits else None
-    for batch in batches:
-        vectors = batch.column(1)
-        dim = q.shape[1]
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        m_all = flat.reshape(-1, dim)
-        chunk_ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
-        for at in range(0, len(m_all), SUB_BATCH):
-            m, names = m_all[at:at + SUB_BATCH], chunk_ids[at:at + SUB_BATCH]
-            if probe_bits:
-                cells = _codes(m, probe_bits)
-                jobs = []
-                for cell in np.unique(cells):
-                    differing = np.bitwise_xor(q_codes, cell)
-                    near = np.flatnonzero((differing & (differing - 1)) == 0)
-                    if len(near):
-                        jobs.append((near, np.flatnonzero(cells == cell)))
-            else:
-                jobs = [(np.arange(len(q)), np.arange(len(m)))]
-            for queries, rows in jobs:
-                s = _scores(metric, q[queries], m[rows])
-                keep = np.ones(s.shape, dtype=bool) if min_score is None else s >= min_score
-                if s.shape[1] > k:
-                    keep &= s >= np.partition(s, -k, axis=1)[:, -k][:, None]
-                qi, ci = np.nonzero(keep)
-                best.add(pd.DataFrame({"q": queries[qi], "id": names[rows[ci]], "score": s[qi, ci]}))
-    top = best.shrink()
-    if len(top):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i in top["q"]], query_type), pa.array(list(top["id"]), id_type),
-             pa.array(top["score"], pa.float64())], names=["query_id", "chunk_id", "score"])
+def usable(vector: Column, dimension: int) -> Column:
+    """Whether a vector has ``dimension`` finite components."""
+    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
+                     & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    return F.coalesce((F.size(vector) == dimension) & whole, F.lit(False))
+
+
+def vector_rejects(rows: DataFrame, dimension: int, key: str = "chunk_id") -> DataFrame:
+    """Rows that no search scores: (key, problem), for null vectors, other lengths and unusable components."""
+    return rows.filter(~usable(F.col("vector"), dimension)).select(
+        key, F.when(F.col("vector").isNull(), "no vector").when(F.size("vector") != dimension, "other length")
+        .otherwise("null or not finite").alias("problem"))
+
+
+def _with_cells(rows: DataFrame, key: str, bits: int, near: bool) -> DataFrame:
+    """Add the sign-code ``cell``; with ``near``, once for the code and once for each code that differs in one bit."""
+    if not bits:
+        return rows.withColumn("cell", F.lit(0))
+
+    def code(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_codes(np.stack(vectors.to_numpy()).astype(np.float64), bits)).astype("int32")
+
+    cells = rows.withColumn("cell", F.pandas_udf(code, "int")("vector"))
+    if not near:
+        return cells
+    flips = F.array(F.col("cell"), *[F.col("cell").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
+    return cells.withColumn("cell", F.explode(flips))
 
 
-def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return kinds[df.schema[name].dataType.simpleString()]
+def _best_of_blocks(queries: pa.Table, chunks: pa.Table, k: int, min_score: float | None, metric: str) -> pa.Table | None:
+    """The best k of a block of chunks for every query of a block."""
+    def matrix(table):
+        column = table.column("vector").combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+
+    if not queries.num_rows or not chunks.num_rows:
+        return None
+    q, m = matrix(queries), matrix(chunks)
+    names = np.asarray(chunks.column("chunk_id").to_pylist(), dtype=object)
+    best = _TopK(k)
+    step = max(1, SCORE_BYTES // (8 * len(q)))
+    for at in range(0, len(m), step):
+        s = _scores(metric, q, m[at:at + step])
+        keep = np.ones(s.shape, dtype=bool) if min_score is None else s >= min_score
+        if s.shape[1] > k:
+            keep &= s >= np.partition(s, -k, axis=1)[:, -k][:, None]
+        qi, ci = np.nonzero(keep)
+        best.add(pd.DataFrame({"q": qi, "id": names[at + ci], "score": s[qi, ci]}))
+    top = best.shrink()
+    return pa.table({"query_id": queries.column("query_id").take(pa.array(top["q"], pa.int64())),
+                     "chunk_id": pa.array(list(top["id"]), chunks.schema.field("chunk_id").type),
+                     "score": pa.array(top["score"], pa.float64())})
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K,
@@ -130,49 +141,58 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K,
                 probe_bits: int = 0) -> DataFrame:
     """Best ``k`` chunks per query: (query_id, chunk_id, score, rank).
 
-    ``chunks(chunk_id, vector)`` are scored where they lie: every task multiplies its
-    batches with a block of query vectors and keeps only its own best ``k`` per query, so
-    neither pairs nor vectors are shuffled.  A block is measured before it is broadcast;
-    more queries than fit one block are scored block by block.  The search is exact;
-    ``probe_bits`` > 0 switches to an approximate search that scores only chunks whose
-    sign code differs from the query's in at most one bit.  Ties go to the smaller id.
+    Both sides are cut into blocks of at most about BLOCK_BYTES of vectors; each pair of a query block and a chunk
+    block is multiplied by one task, in steps of SCORE_BYTES of scores, and gives the best ``k`` of the block.  So a
+    task's memory does not depend on the number of queries or chunks, and no vector passes through the driver.  The
+    search is exact.  ``probe_bits`` > 0 keys the blocks by sign code and meets only blocks whose code differs from the
+    query's in at most one bit; that search is approximate.  Ties go to the smaller id.
+
+    Vectors that are null, of another length than the longest query, or have components that are null or not finite
+    are not searched; ``vector_rejects`` lists them.
     """
-    # query vectors come from an encoder: computed once, then measured and read by block
-    wanted = materialize(queries.select("query_id", "vector").filter(F.size("vector") > 0), "queries")
-    first = wanted.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    spark = chunks.sparkSession
-    id_type, query_type = _arrow_type(chunks, "chunk_id"), _arrow_type(queries, "query_id")
+    # vectors come from an encoder: computed once, then counted and dealt
+    asked = materialize(queries.select("query_id", "vector").filter(F.size("vector") > 0), "queries")
+    dimension = asked.agg(F.max(F.size("vector"))).first()[0]
     schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
               f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double")
-    if not first["n"]:
+    spark = chunks.sparkSession
+    if dimension is None:
         return spark.createDataFrame([], schema + ", rank int")
-    per_block = max(1, QUERY_BLOCK_BYTES // (8 * first["d"]))
-    blocks = -(-first["n"] // per_block)
-    if blocks > 1:
-        # hashing spreads ids evenly, the factor 2 keeps every block below the bound
-        blocks *= 2
-        wanted = wanted.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    slim = chunks.select("chunk_id", "vector")
-    parts = []
-    for block in range(blocks):
-        held = (wanted.filter(F.col("__b") == block) if blocks > 1 else wanted).toArrow()
-        if not held.num_rows:
-            continue
-        matrix = held.column("vector").combine_chunks().flatten().to_numpy(
-            zero_copy_only=False).astype(np.float64).reshape(held.num_rows, -1)
-        shared = spark.sparkContext.broadcast((held.column("query_id").to_pylist(), matrix))
-
-        def score(batches, shared=shared):
-            ids, q = shared.value
-            return _score_partition(batches, ids, q, id_type, query_type, k, min_score, metric,
-                                    probe_bits)
-
-        parts.append(slim.mapInArrow(score, schema))
-    partial = reduce(DataFrame.unionByName, parts)
+    rows = max(1, BLOCK_BYTES // (8 * dimension))
+    fit = usable(F.col("vector"), dimension)
+    searched = materialize(_with_cells(chunks.select("chunk_id", "vector").filter(fit), "chunk_id", probe_bits, False),
+                           "chunk-vectors")
+    wanted = _with_cells(asked.filter(fit), "query_id", probe_bits, True)
+    # one row per cell: there are 2 ** probe_bits cells at most
+    held = {r["cell"]: r["n"] for r in searched.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    sought = {r["cell"]: r["n"] for r in wanted.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    shape = spark.createDataFrame([(c, -(-n // rows), -(-sought[c] // rows)) for c, n in held.items() if c in sought],
+                                  "cell int, chunk_blocks int, query_blocks int")
+
+    def dealt(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Rows in their own block, once for every block of the other side."""
+        parts = side.join(F.broadcast(shape), "cell").withColumn(
+            own[:-1], F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+        return parts.withColumn(other[:-1], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(
+            key, "vector", "cell", "query_block", "chunk_block")
+
+    keys = ["cell", "query_block", "chunk_block"]
+    left = dealt(wanted, "query_id", "query_blocks", "chunk_blocks").groupBy(*keys)
+    right = dealt(searched, "chunk_id", "chunk_blocks", "query_blocks").groupBy(*keys)
+    nothing = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in spark.createDataFrame([], schema).schema])
+
+    def solve(q: pa.Table, m: pa.Table) -> pa.Table:
+        found = _best_of_blocks(q, m, k, min_score, metric)
+        return nothing.empty_table() if found is None else found
+
+    partial = left.cogroup(right).applyInArrow(solve, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
 def payload_defaults(rows: DataFrame) -> DataFrame:
     """Defaults for missing payload fields of search hits."""
     def text(name):

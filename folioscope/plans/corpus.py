@@ -58,5 +58,4 @@ def index_pages(pages: DataFrame, document_type: str, encoder=None, created_at:
     tagged = indexing.tag_dataset(chunks, document_type)
     payload = indexing.build_payload(
         tagged.withColumn("document_name", F.col("document_id").cast("string")), created_at=created_at)
-    vectors = indexing.l2_normalize(indexing.embed_chunks(tagged, encoder=encoder))
-    return indexing.pair_chunks_vectors(payload, vectors)
+    return indexing.with_vectors(payload, encoder)

@@ -53,6 +53,16 @@ CORPUS = """corpus AS (
   SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, text
   FROM documents)"""
 
+
+
+def with_banners(pages: str) -> str:
+    """``corpus``: ``pages`` with a first and a last line on nine of ten pages."""
+    return f"""corpus AS (SELECT document_id, page_number, CASE WHEN page_number % 10 <> 0 THEN 'Records of ' || document_id
+  || {NL} || text || {NL} || 'Notice to readers of ' || document_id ELSE text END AS text FROM {pages})"""
+
+
+BANNER_CORPUS = CORPUS.replace("corpus AS", "plain AS", 1) + ",\n" + with_banners("plain")
+
 RENDERED_BASE = """rendered_base AS (
   SELECT 'customer-' || o_custkey AS document_id,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_number,
@@ -274,8 +284,10 @@ FINAL_CHUNKS = f"""final AS (
     section_title, section_type, hierarchy_level, content, {estimate('content')} AS estimated_tokens,
     length(content) AS char_count FROM merged)"""
 
-CHUNK_CTES = with_(RENDERED, lines_of("rendered"), TYPED, SECTIONS, PACK, split_ctes("semantic"), NUMBERED_PIECES,
-                   merge_ctes("numbered"), FINAL_CHUNKS)
+CHUNKING = (TYPED, SECTIONS, PACK, split_ctes("semantic"), NUMBERED_PIECES, merge_ctes("numbered"), FINAL_CHUNKS)
+CHUNK_CTES = with_(RENDERED, lines_of("rendered"), *CHUNKING)
+# the same from pages that have to be cleaned first
+CLEAN_CHUNK_CTES = with_(RENDERED, with_banners("rendered"), HEADERS, CLEANED, lines_of("cleaned"), *CHUNKING)
 
 # ---- questions ---------------------------------------------------------------------------
 QUESTIONS = f"""questions AS (

@@ -15,10 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text-heavy table; an input of fewer splits than threads is spread first."""
-    df = table(spark, sf_dir, name)
-    threads = spark.sparkContext.defaultParallelism
-    return df.repartition(threads) if df.rdd.getNumPartitions() < threads else df
+    """A text-heavy table, read by splits; its files decide how it is spread."""
+    return table(spark, sf_dir, name)
 
 
 def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +55,12 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("document_id", "page_number", lines.alias("text"))
 
 
+def with_banners(pages: DataFrame) -> DataFrame:
+    """Pages with a first and a last line that name the document, on nine of ten pages."""
+    framed = F.concat(F.lit("Records of "), "document_id", F.lit("\n"), "text", F.lit("\nNotice to readers of "), "document_id")
+    return pages.withColumn("text", F.when(F.col("page_number") % 10 != 0, framed).otherwise(F.col("text")))
+
+
 # Question texts, chosen by a customer's nation.
 QUESTION_TEXTS = [
     "Who are the current owners of the company and what are its marketing strategies?",

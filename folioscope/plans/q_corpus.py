@@ -18,7 +18,9 @@ def pages_text(column="page_numbers"):
 
 
 def load_pages(spark, sf):
-    html = P.html_pages(I.text_table(spark, sf, "pages"), "page_id", "html")
+    """Web pages whose footer stands on a page of its own, behind a form feed."""
+    split = F.replace("html", F.lit("<footer"), F.lit("\f<footer"))
+    html = P.html_pages(I.text_table(spark, sf, "pages").withColumn("html", split), "page_id", "html")
     return html.select("document_id", "page_number", "raw_char_count", F.md5("text").alias("text_md5"))
 
 
@@ -28,11 +30,11 @@ def normalize_chars(spark, sf):
 
 
 def detect_header_footer(spark, sf):
-    return cleaning.detect_header_footer(I.corpus_pages(spark, sf))
+    return cleaning.detect_header_footer(I.with_banners(I.corpus_pages(spark, sf)))
 
 
 def strip_header_footer(spark, sf):
-    return cleaning.strip_header_footer(I.corpus_pages(spark, sf)).select(
+    return cleaning.strip_header_footer(I.with_banners(I.corpus_pages(spark, sf))).select(
         "document_id", "page_number", F.md5("text").alias("text_md5"))
 
 
@@ -42,12 +44,12 @@ def collapse_whitespace(spark, sf):
 
 
 def clean_pages(spark, sf):
-    return cleaning.clean_pages(I.corpus_pages(spark, sf)).select(
+    return cleaning.clean_pages(I.with_banners(I.corpus_pages(spark, sf))).select(
         "document_id", "page_number", "raw_chars", "clean_chars", F.md5("text").alias("text_md5"))
 
 
 def cleaning_stats(spark, sf):
-    return cleaning.cleaning_stats(cleaning.clean_pages(I.corpus_pages(spark, sf)))
+    return cleaning.cleaning_stats(cleaning.clean_pages(I.with_banners(I.corpus_pages(spark, sf))))
 
 
 def detect_heading(spark, sf):
@@ -151,8 +153,10 @@ def chunk_corpus(spark, sf):
 
 
 def chunk_documents(spark, sf):
-    return corpus.chunk_pages(I.corpus_pages(spark, sf)).select(
-        "document_id", "chunk_order", "chunk_id", "estimated_tokens", "reject_reason")
+    """The whole pipeline, from pages with headers and footers."""
+    return corpus.chunk_pages(I.with_banners(I.rendered_pages(spark, sf))).select(
+        "document_id", "chunk_order", pages_text(), "section_title", "section_type", "hierarchy_level",
+        "estimated_tokens", "reject_reason", F.md5("content").alias("content_md5"))
 
 
 def embed_chunks(spark, sf):
@@ -209,9 +213,10 @@ def tag_dataset(spark, sf):
 
 
 def index_corpus(spark, sf):
-    rows = corpus.index_pages(I.corpus_pages(spark, sf), "company", created_at=WHEN)
-    return rows.select("document_name", "document_type", "visibility", "chunk_id", "page_start", "page_end",
-                       "estimated_tokens", "dimension")
+    rows = corpus.index_pages(I.with_banners(I.rendered_pages(spark, sf)), "company", created_at=WHEN)
+    return rows.select("document_name", "document_type", "visibility", "reading_order", "page_start", "page_end",
+                       "section_type", "estimated_tokens", "character_count", "dimension",
+                       F.md5("content").alias("content_md5"))
 
 
 QUERIES = {
@@ -246,9 +251,9 @@ doc_chunks AS (
 TURNS = f"""turns AS (
   SELECT conv_id AS document_id, turn AS n, [turn] AS page_numbers, role AS section_title, role AS section_type,
     length(role) AS hierarchy_level, text AS content, {D.estimate('text')} AS tok FROM conversations)"""
-CLEAN = D.with_(D.CORPUS, D.HEADERS, D.CLEANED)
+CLEAN = D.with_(D.BANNER_CORPUS, D.HEADERS, D.CLEANED)
 
-HTML = "html"
+HTML = "replace(html, '<footer', chr(12) || '<footer')"
 for pattern, to in ((r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", "''"), (r"(?s)<!--.*?-->", "''"),
                     (r"(?i)<br\s*/?>|</(p|div|h[1-6]|li|tr)>", D.NL), (r"<[^>]*>", "''")):
     HTML = f"regexp_replace({HTML}, '{pattern}', {to}, 'g')"
@@ -261,9 +266,9 @@ FROM (SELECT page_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i
       FROM (SELECT page_id, string_split({HTML}, chr(12)) AS ts FROM pages))""",
     "normalize_chars": D.with_(D.CORPUS) + f"""SELECT document_id, page_number,
 md5(array_to_string({D.unix_lines('text')}, {D.NL})) AS text_md5 FROM corpus""",
-    "detect_header_footer": D.with_(D.CORPUS, D.HEADERS)
+    "detect_header_footer": D.with_(D.BANNER_CORPUS, D.HEADERS)
     + "SELECT document_id, kind, line, occurrences, pages FROM repeated",
-    "strip_header_footer": D.with_(D.CORPUS, D.HEADERS, "rep AS (SELECT document_id, list(DISTINCT line) AS rep "
+    "strip_header_footer": D.with_(D.BANNER_CORPUS, D.HEADERS, "rep AS (SELECT document_id, list(DISTINCT line) AS rep "
                                    "FROM repeated GROUP BY 1)") + f"""SELECT document_id, page_number,
 md5(array_to_string(list_filter(string_split(text, {D.NL}), lambda x: NOT list_contains(
   coalesce(rep, []::VARCHAR[]), {D.squash('x')})), {D.NL})) AS text_md5 FROM corpus LEFT JOIN rep USING (document_id)""",
@@ -329,6 +334,13 @@ CAST(sum(estimated_tokens) AS BIGINT) AS total_tokens FROM docs GROUP BY 1""",
     "chunk_corpus": D.CHUNK_CTES + f"""SELECT document_id, chunk_order, {PT}, section_title, section_type,
 hierarchy_level, estimated_tokens, CASE WHEN estimated_tokens > 512 THEN 'too_many_tokens' END AS reject_reason,
 md5(content) AS content_md5 FROM final""",
+    "chunk_documents": D.CLEAN_CHUNK_CTES + f"""SELECT document_id, chunk_order, {PT}, section_title, section_type,
+hierarchy_level, estimated_tokens, CASE WHEN estimated_tokens > 512 THEN 'too_many_tokens' END AS reject_reason,
+md5(content) AS content_md5 FROM final""",
+    "index_corpus": D.CLEAN_CHUNK_CTES + """SELECT document_id AS document_name, 'company' AS document_type,
+'user_visible' AS visibility, chunk_order AS reading_order, list_min(page_numbers) AS page_start,
+list_max(page_numbers) AS page_end, section_type, estimated_tokens, char_count AS character_count, 384 AS dimension,
+md5(content) AS content_md5 FROM final WHERE estimated_tokens <= 512""",
     "embed_chunks": """WITH hashed AS (
   SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 384 AS b
   FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents)),

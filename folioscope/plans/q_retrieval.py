@@ -9,7 +9,7 @@ from folioscope.functions.text import half_even
 from folioscope.operators import questions as Q
 from folioscope.operators import ranking as R
 from folioscope.operators import retrieval as S
-from folioscope.operators.indexing import embed_chunks as embed, l2_normalize
+from folioscope.operators.indexing import with_vectors
 from folioscope.plans import duck as D, inputs as I
 from folioscope.plans import q_questions as QQ
 from folioscope.plans.q_corpus import DOCS
@@ -29,6 +29,16 @@ def vector_topk(spark, sf):
     return S.vector_topk(I.vector_chunks(spark, sf), I.label_queries(spark, sf), min_score=LOW)
 
 
+def vector_topk_holes(spark, sf):
+    """Vectors with holes: some null, some shorter, some with a null or an infinite component."""
+    chunks = I.vector_chunks(spark, sf)
+    kind, v = F.pmod("chunk_id", F.lit(7)), F.col("vector")
+    broken = F.when(kind == 0, F.lit(None)).when(kind == 1, F.slice(v, 1, 10)).when(
+        kind == 2, F.concat(F.slice(v, 2, F.size(v)), F.array(F.lit(None).cast("float")))).when(
+        kind == 3, F.concat(F.slice(v, 2, F.size(v)), F.array(F.lit(float("inf")).cast("float")))).otherwise(v)
+    return S.vector_topk(chunks.withColumn("vector", broken), I.label_queries(spark, sf), min_score=LOW)
+
+
 def vector_topk_euclid(spark, sf):
     return S.vector_topk(I.vector_chunks(spark, sf), I.label_queries(spark, sf), min_score=None, metric="euclid")
 
@@ -60,8 +70,7 @@ def diversity_select(spark, sf):
 
 # ---- on documents and questions ------------------------------------------------------------
 def collection(spark, sf):
-    chunks = I.document_chunks(spark, sf)
-    return chunks.join(l2_normalize(embed(chunks)).select("chunk_id", "vector"), "chunk_id")
+    return with_vectors(I.document_chunks(spark, sf))
 
 
 def embed_queries(spark, sf):
@@ -104,7 +113,7 @@ def _asked(spark, sf):
 def _hits(spark, sf):
     """Hits of the decomposed sub-questions among company documents, with payload."""
     company = S.search_filter(I.document_chunks(spark, sf), document_type=V.COMPANY, visibility=V.USER_VISIBLE)
-    vectors = l2_normalize(embed(company))
+    vectors = with_vectors(company).select("chunk_id", "vector")
     parts = materialize(Q.decompose_queries(_asked(spark, sf)).select(
         "query_id", F.posexplode("subqueries").alias("subquery_pos", "subquery")), "parts")
     return with_payload(search_texts(parts, vectors, V.TOP_K, V.MIN_SIMILARITY), company)
@@ -205,7 +214,7 @@ def retrieve_batch(spark, sf):
 
 
 QUERIES = {
-    "vector_topk": vector_topk, "vector_topk_euclid": vector_topk_euclid, "vector_topk_lsh": vector_topk_lsh,
+    "vector_topk": vector_topk, "vector_topk_holes": vector_topk_holes, "vector_topk_euclid": vector_topk_euclid, "vector_topk_lsh": vector_topk_lsh,
     "evidence_boundary": evidence_boundary, "boundary_audit": boundary_audit, "diversity_select": diversity_select,
     "embed_queries": embed_queries, "search_filter": search_filter, "payload_defaults": payload_defaults,
     "retrieve_guidance": retrieve_guidance, "merge_candidates": merge_candidates,
@@ -388,6 +397,9 @@ topped AS (SELECT p.*, t.top_n FROM passes p JOIN tops t USING (query_id))""",
 
 ORACLES = {
     "vector_topk": LABEL_HITS + "SELECT query_id, chunk_id, score, rank FROM label_hits",
+    "vector_topk_holes": D.with_(LABEL, label_top(
+        "list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v)))",
+        f"WHERE score >= {LOW} AND chunk_id % 7 > 3")) + "SELECT query_id, chunk_id, score, rank FROM label_hits",
     "vector_topk_euclid": D.with_(LABEL, label_top("-list_distance(q, v)", "")) +
     "SELECT query_id, chunk_id, score, rank FROM label_hits",
     "evidence_boundary": LABEL_HITS + "SELECT query_id, chunk_id, rank, document_name FROM label_hits WHERE label <> 0",

@@ -15,9 +15,9 @@ def vectors(spark, n, d, seed, name):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
-@pytest.mark.parametrize("bound", [64 * 1024 * 1024, 8 * 8 * 5])
+@pytest.mark.parametrize("bound", [8 * 1024 * 1024, 8 * 8 * 5])
 def test_topk_is_exact_in_one_and_many_blocks(spark, monkeypatch, metric, bound):
-    monkeypatch.setattr(S, "QUERY_BLOCK_BYTES", bound)
+    monkeypatch.setattr(S, "BLOCK_BYTES", bound)
     m, chunks = vectors(spark, 300, 8, 1, "chunk_id")
     q, queries = vectors(spark, 17, 8, 2, "query_id")
     m[7] = m[3]
@@ -33,6 +33,28 @@ def test_topk_is_exact_in_one_and_many_blocks(spark, monkeypatch, metric, bound)
         assert [c for _, c in sorted(got[i])] == order
 
 
+def test_unusable_vectors_are_listed_and_never_shift_scores(spark, rows):
+    inf = float("inf")
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [0.0, 1.0, 0.0]), (5, [1.0]),
+                                    (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [inf, 1.0])],
+                                   "chunk_id long, vector array<float>")
+    queries = spark.createDataFrame([(0, [0.0, 1.0])], "query_id long, vector array<float>")
+    assert rows(S.vector_topk(chunks, queries, 5, None), "chunk_id", "score") == [(1, 0.0), (3, 1.0)]
+    assert [r[0] for r in rows(S.vector_rejects(chunks, 2), "chunk_id")] == [2, 4, 5, 6, 7, 8]
+
+
+def test_approximate_search_has_bounded_recall(spark):
+    """Unit vectors around ten centres: nearly all true neighbours differ from the query in one bit at most."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((10, 16))
+    m = (centres[np.arange(400) % 10] + 0.15 * rng.standard_normal((400, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "chunk_id long, vector array<float>")
+    asked = df.filter("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
+    exact = {tuple(r) for r in S.vector_topk(df, asked, 10, None).select("query_id", "chunk_id").collect()}
+    near = {tuple(r) for r in S.vector_topk(df, asked, 10, None, probe_bits=4).select("query_id", "chunk_id").collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
 def test_approximate_search_finds_the_query_itself(spark):
     _, chunks = vectors(spark, 200, 8, 4, "chunk_id")
     found = S.vector_topk(chunks, chunks.withColumnRenamed("chunk_id", "query_id"), 1, 0.5, probe_bits=4).collect()
