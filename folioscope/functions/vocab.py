@@ -289,13 +289,13 @@ PAYLOAD_VERSION = "1.0"
 REDACTED = "[REDACTED_API_KEY]"
 MIN_SECRET_CHARS = 4
 
-# Structured log stages -> summary columns.
+# Structured log stages -> the field with the duration and the summary column.
 STAGE_EVENTS = {
-    "DB_TEAM_LOOKUP_COMPLETE": "team_lookup_ms",
-    "DB_QUOTA_RESERVATION_COMPLETE": "quota_ms",
-    "EMBEDDING_COMPLETE": "embedding_ms",
-    "QDRANT_RETRIEVAL_COMPLETE": "search_ms",
-    "LLM_FIRST_TOKEN": "first_token_ms",
-    "LLM_GENERATION_COMPLETE": "generation_ms",
-    "HTTP_REQUEST_COMPLETE": "total_ms",
+    "DB_TEAM_LOOKUP_COMPLETE": ("duration_ms", "team_lookup_ms"),
+    "DB_QUOTA_RESERVATION_COMPLETE": ("duration_ms", "quota_ms"),
+    "EMBEDDING_COMPLETE": ("duration_ms", "embedding_ms"),
+    "QDRANT_RETRIEVAL_COMPLETE": ("duration_ms", "search_ms"),
+    "LLM_FIRST_TOKEN": ("ttft_ms", "first_token_ms"),
+    "LLM_GENERATION_COMPLETE": ("duration_ms", "generation_ms"),
+    "RAG_LATENCY_SUMMARY": ("total_ms", "total_ms"),
 }

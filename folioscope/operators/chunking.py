@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioscope.functions.text import estimate_tokens, half_even, not_blank, strip
 from folioscope.functions.vocab import MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS
@@ -146,31 +145,26 @@ def semantic_chunks(sections: DataFrame, titles: DataFrame | None = None,
         F.length("content").alias("char_count"), "section_count")
 
 
-def _pack_lengths(max_tokens: int):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def starts(lengths: pd.Series) -> pd.Series:
-        """1-based first part of every piece of a greedy packing."""
-        out = []
-        for row in lengths:
-            held, begin = 0, []
-            for i, chars in enumerate(row):
-                joined = held + GAP + int(chars)
-                if not begin or _tokens(joined) > max_tokens:
-                    begin.append(i + 1)
-                    held = int(chars)
-                else:
-                    held = joined
-            out.append(begin)
-        return pd.Series(out)
+def _pack_lengths(lengths: Column, max_tokens: int) -> Column:
+    """1-based first part of every piece of a greedy packing, folded over the part lengths."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("begins"))
 
-    return starts
+    def step(state: Column, chars: Column) -> Column:
+        joined = state["held"] + F.lit(GAP) + chars
+        tokens = F.greatest(F.lit(1), F.rint(joined / 4.0).cast("int"))
+        new = (F.size(state["begins"]) == 0) | (tokens > max_tokens)
+        return F.struct((state["at"] + 1).alias("at"), F.when(new, chars).otherwise(joined).alias("held"),
+                        F.when(new, F.concat(state["begins"], F.array(state["at"] + 1))).otherwise(
+                            state["begins"]).alias("begins"))
+
+    return F.aggregate(lengths, start, step, lambda state: state["begins"])
 
 
 def split_oversized(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Split chunks above ``max_tokens`` on blank lines (or single newlines) and re-pack.
 
     Pieces keep the chunk's pages and titles.  Adds ``piece`` (0-based) and
-    ``split_chunk``.  Only part lengths of oversized rows reach Python.
+    ``split_chunk``.
     """
     large = F.col("estimated_tokens") > max_tokens
     blank_line = F.split("content", "\n\n")
@@ -178,7 +172,7 @@ def split_oversized(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFram
     parts = F.when(large, F.filter(F.transform(raw, strip), lambda x: x != "")).otherwise(F.array("content"))
     lengths = F.when(large, F.transform("__parts", F.length)).otherwise(F.array(F.lit(1)))
     staged = (chunks.withColumn("__parts", parts)
-              .withColumn("__starts", _pack_lengths(max_tokens)(lengths)))
+              .withColumn("__starts", _pack_lengths(lengths, max_tokens)))
     ends = F.concat(F.slice(F.col("__starts"), F.lit(2), F.size("__starts")),
                     F.array((F.size("__parts") + 1).cast("int")))
     texts = F.zip_with("__starts", ends, lambda s, e: F.array_join(

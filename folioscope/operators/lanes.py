@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.vocab import COOLDOWN_SECONDS
 from folioscope.functions.time import micros
-from folioscope.operators.scans import running, time_block
+from folioscope.operators.scans import RANGE, range_blocks
 
 STATES = ["AVAILABLE", "BUSY", "RATE_LIMITED", "DAILY_EXHAUSTED", "DEGRADED", "DISABLED"]
 DEGRADED_AFTER = 3
@@ -83,29 +83,43 @@ def rate_limited(status_code: Column, error: Column) -> Column:
             | F.contains(text, F.lit("rate limit")))
 
 
-def lane_failure_runs(attempts: DataFrame, block: Column | None = None,
-                      cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
+LIMITS = ("requests_used", "daily_limit", "active_requests", "max_concurrent_requests")
+
+
+def lane_failure_runs(attempts: DataFrame, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
     """Consecutive errors, resulting state and cooldown end after every attempt.
 
-    ``attempts(attempt_id, lane_id, ts, success, status_code, error)``.  Errors since the
-    last success = running errors minus their value at the last success; both are blocked
-    running aggregates, so a hot lane is spread over its time blocks.
+    ``attempts(attempt_id, lane_id, ts, success, status_code, error)``; with the counters of LIMITS, taken after the
+    attempt, a lane can also end up DAILY_EXHAUSTED or BUSY.
+
+    Errors since the last success are counted inside blocks of about equal row counts.  A block hands on its number of
+    errors and how many of them came before its last success; the blocks of a lane are few, so their running totals
+    give what each block inherits.  Attempts are moved once, within their block.
     """
-    blk = time_block(F.col("ts")) if block is None else block
-    order = ["ts", "attempt_id"]
-    counted = running(attempts, ["lane_id"], order, blk,
-                      {"__errors": ("sum", F.when(F.col("success"), 0).otherwise(1).cast("long"))})
-    based = running(counted, ["lane_id"], order, blk,
-                    {"__base": ("max", F.when(F.col("success"), F.col("__errors")))})
-    run = F.when(F.col("success"), F.lit(0).cast("long")).otherwise(
-        F.col("__errors") - F.coalesce("__base", F.lit(0)))
+    ranged = range_blocks(attempts, ["lane_id"], ["ts", "attempt_id"], "attempts")
+    inner = Window.partitionBy("lane_id", RANGE).orderBy("ts", "attempt_id").rowsBetween(Window.unboundedPreceding, 0)
+    errors = F.sum(F.when(F.col("success"), 0).otherwise(1).cast("long")).over(inner)
+    local = ranged.withColumn("__errors", errors).withColumn(
+        "__base", F.max(F.when(F.col("success"), F.col("__errors"))).over(inner))
+    before = Window.partitionBy("lane_id").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = local.groupBy("lane_id", RANGE).agg(F.max("__errors").alias("__n"), F.max("__base").alias("__b"))
+    sofar = blocks.withColumn("__sofar", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    done = sofar.withColumn("__done", F.col("__sofar") + F.col("__b"))
+    carry = done.select(
+        "lane_id", RANGE, (F.col("__sofar") - F.coalesce(F.max("__done").over(before), F.lit(0))).alias("__carry"))
+    joined = local.join(carry, ["lane_id", RANGE])
+    run = F.when(F.col("success"), F.lit(0).cast("long")).when(
+        F.col("__base").isNotNull(), F.col("__errors") - F.col("__base")).otherwise(F.col("__errors") + F.col("__carry"))
     limited = ~F.col("success") & rate_limited(F.col("status_code"), F.col("error"))
-    state = (F.when(F.col("success"), "AVAILABLE").when(limited, "RATE_LIMITED")
-             .when(F.col("error_count") >= DEGRADED_AFTER, "DEGRADED").otherwise("AVAILABLE"))
-    until = F.when(state.isin("RATE_LIMITED", "DEGRADED"),
+    known = all(c in attempts.columns for c in LIMITS)
+    spent = F.col("requests_used") >= F.col("daily_limit") if known else F.lit(False)
+    full = F.col("active_requests") >= F.col("max_concurrent_requests") if known else F.lit(False)
+    state = (F.when(limited, "RATE_LIMITED").when(~F.col("success") & (F.col("error_count") >= DEGRADED_AFTER), "DEGRADED")
+             .when(spent, "DAILY_EXHAUSTED").when(F.col("success") & full, "BUSY").otherwise("AVAILABLE"))
+    until = F.when(F.col("state_after").isin("RATE_LIMITED", "DEGRADED"),
                    F.timestamp_micros(micros("ts") + cooldown * 1_000_000))
-    return (based.withColumn("error_count", run).withColumn("state_after", state)
-            .withColumn("cooldown_until", until).drop("__errors", "__base"))
+    return (joined.withColumn("error_count", run).withColumn("state_after", state).withColumn("cooldown_until", until)
+            .select(*attempts.columns, "error_count", "state_after", "cooldown_until"))
 
 
 def provider_usage(attempts: DataFrame) -> DataFrame:

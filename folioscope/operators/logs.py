@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import vocab as V
 from folioscope.functions.text import half_even, strip
-from folioscope.operators.scans import running
+from folioscope.operators.scans import RANGE, range_blocks, running
 
 LINE = r"\[([A-Z_]+)\] (request_id=.*)$"
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
@@ -16,7 +16,7 @@ PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 def parse_structured_logs(lines: DataFrame) -> DataFrame:
     """``[EVENT] request_id=.. timestamp=.. duration_ms=.. k=v`` lines to typed columns.
 
-    Lines in another format are dropped.  The first value of a repeated key is kept.
+    Lines in another format are left to ``other_lines``.  The first value of a repeated key is kept.
     """
     parsed = lines.withColumn("event", F.regexp_extract("line", LINE, 1)).filter("event <> ''")
     pairs = F.filter(F.split(F.regexp_extract("line", LINE, 2), " "), lambda p: F.contains(p, F.lit("=")))
@@ -35,12 +35,20 @@ def parse_structured_logs(lines: DataFrame) -> DataFrame:
             .drop("__p", "__k"))
 
 
-def latency_summary(parsed: DataFrame, stages: dict[str, str] | None = None) -> DataFrame:
-    """Stage durations per request; missing stages are 0."""
+def other_lines(lines: DataFrame) -> DataFrame:
+    """The lines that ``parse_structured_logs`` does not take."""
+    return lines.filter(F.coalesce(F.regexp_extract("line", LINE, 1), F.lit("")) == "")
+
+
+def latency_summary(parsed: DataFrame, stages: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Stage durations per request; missing stages are 0.
+
+    ``stages`` maps an event to the logged field that holds its duration and to the result column.
+    """
     stages = stages or V.STAGE_EVENTS
     wide = parsed.groupBy("request_id").agg(*[
-        F.coalesce(F.max(F.when(F.col("event") == event, F.col("duration_ms"))), F.lit(0.0)).alias(name)
-        for event, name in stages.items()])
+        F.coalesce(F.max(F.when(F.col("event") == event, F.col("fields")[field].try_cast("double"))), F.lit(0.0)).alias(name)
+        for event, (field, name) in stages.items()])
     return wide.withColumn("database_ms", half_even(F.col("team_lookup_ms") + F.col("quota_ms"), 2)
                            ).drop("team_lookup_ms", "quota_ms")
 
@@ -53,16 +61,16 @@ def stage_timing(timings: DataFrame, stages: list[str]) -> DataFrame:
                           half_even(total, 4).alias("total"))
 
 
-def latency_percentiles(latencies: DataFrame, width: float = 1.0) -> DataFrame:
+def latency_percentiles(latencies: DataFrame) -> DataFrame:
     """Exact min, avg, p50, p95, p99, max per ``level`` of ``latency``.
 
     Percentile p is the sorted value at 0-based position min(int(p * n), n - 1).  Equal
-    values are counted before the shuffle; the running count is cut into value blocks of
-    ``width``, so no level is sorted in one task.
+    values are counted before the shuffle; the running count is cut into ranges of about as
+    many values each, so no level is sorted in one task, whatever its unit.
     """
-    counts = latencies.groupBy("level", "latency").agg(F.count("*").alias("n"))
-    cumulated = running(counts, ["level"], ["latency"], F.floor(F.col("latency") / F.lit(width)),
-                        {"__upto": ("sum", F.col("n"))})
+    counts = range_blocks(latencies.groupBy("level", "latency").agg(F.count("*").alias("n")), ["level"], ["latency"],
+                          "latencies")
+    cumulated = running(counts, ["level"], ["latency"], F.col(RANGE), {"__upto": ("sum", F.col("n"))}).drop(RANGE)
     totals = latencies.groupBy("level").agg(
         F.count("*").alias("requests"), F.min("latency").alias("__min"), F.max("latency").alias("__max"),
         F.sum(F.col("latency").cast("decimal(18,6)")).cast("double").alias("__sum"))

@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.session import materialize
+
 BLOCK = "__block"
+RANGE = "__range"
 
 
 def running(df: DataFrame, keys: list[str], order: list[str | Column], block: Column,
@@ -55,6 +58,16 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str | Column], block
     return running(df, keys, order, block, {name: ("sum", F.lit(1).cast("long"))})
 
 
+def range_blocks(df: DataFrame, keys: list[str], order: list[str], name: str = "ranges") -> DataFrame:
+    """``df`` with ``RANGE``, a block for ``running`` that holds about as many rows as any other.
+
+    Ranges of (keys, order) are cut by a sample of the rows, so a key with most rows, or a burst of one key within a
+    second, is spread over many of them.  They are written once, as a sample must not be drawn twice; pass slim rows.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return materialize(df.repartitionByRange(n, *keys, *order).withColumn(RANGE, F.spark_partition_id()), name)
+
+
 def width_block(c: Column, width: int) -> Column:
     """Block number of an integer ordering key."""
     return F.floor(c / F.lit(width)).cast("long")

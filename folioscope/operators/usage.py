@@ -14,7 +14,7 @@ from folioscope.functions import vocab as V
 from folioscope.functions.text import half_even, normalized_key, strip
 from folioscope.functions.time import micros
 from folioscope.operators import orbits
-from folioscope.operators.scans import running, time_block
+from folioscope.operators.scans import RANGE, range_blocks, running
 from folioscope.session import materialize
 
 NO_EVENT = -1  # stands for "no event" where a key must not be null
@@ -57,38 +57,37 @@ def quota_defaults(keys: DataFrame, quotas: DataFrame, events: DataFrame,
         F.coalesce("__limit", "__event_limit", F.lit(default)).alias("question_limit"))
 
 
-def quota_admission(requests: DataFrame, block: Column | None = None,
-                    duration: int = V.SESSION_SECONDS) -> DataFrame:
+def quota_admission(requests: DataFrame, duration: int = V.SESSION_SECONDS) -> DataFrame:
     """Outcome of every request: EXPIRED, QUOTA or ACCEPTED.
 
     ``requests(request_id, team_name, ts, started_at, question_limit, refunded)``.  Expiry is
     tested first; a refunded request gives its slot back.  The count of earlier consuming
-    requests is a blocked running sum, so a hot team is spread over its time blocks.
+    requests is a running sum over blocks of about equal row counts, so a hot team or a burst is spread.
     """
     expired = remaining_seconds(F.col("started_at"), F.col("ts"), duration) <= 0
-    marked = requests.withColumn("__expired", expired)
+    marked = range_blocks(requests, ["team_name"], ["ts", "request_id"], "requests").withColumn("__expired", expired)
     consumes = (~F.col("__expired") & ~F.col("refunded")).cast("long")
     counted = running(marked, ["team_name"], ["ts", "request_id"],
-                      time_block(F.col("ts")) if block is None else block,
-                      {"used_before": ("sum", consumes)}, inclusive=False)
+                      F.col(RANGE), {"used_before": ("sum", consumes)}, inclusive=False)
     outcome = (F.when(F.col("__expired"), "EXPIRED")
                .when(F.col("used_before") >= F.col("question_limit"), "QUOTA").otherwise("ACCEPTED"))
     status = F.when(outcome == "EXPIRED", 403).when(outcome == "QUOTA", 429).otherwise(200)
-    return counted.withColumn("outcome", outcome).withColumn("status_code", status).drop("__expired")
+    return counted.withColumn("outcome", outcome).withColumn("status_code", status).drop("__expired", RANGE)
 
 
 def event_overview(teams: DataFrame, quotas: DataFrame, as_of: Column) -> DataFrame:
     """One row: teams, active teams, questions used and remaining."""
-    timed = session_timer(teams, as_of).agg(
-        F.count("*").alias("registered_teams"),
-        F.count_if(~F.col("is_expired")).alias("active_teams"))
-    used = quotas.agg(
-        F.coalesce(F.sum("questions_used"), F.lit(0)).alias("total_questions_used"),
-        F.coalesce(F.sum(F.greatest(F.lit(0), F.col("question_limit") - F.col("questions_used"))),
-                   F.lit(0)).alias("total_questions_remaining"))
-    one = F.lit(1)
-    # two single-row tables
-    return timed.withColumn("__k", one).join(used.withColumn("__k", one), "__k").drop("__k")
+    none = F.lit(0).cast("long")
+    timed = session_timer(teams, as_of).select(
+        F.lit(1).cast("long").alias("teams"), (~F.col("is_expired")).cast("long").alias("active"),
+        none.alias("used"), none.alias("remaining"))
+    used = quotas.select(
+        none.alias("teams"), none.alias("active"), F.col("questions_used").cast("long").alias("used"),
+        F.greatest(F.lit(0), F.col("question_limit") - F.col("questions_used")).cast("long").alias("remaining"))
+    return timed.unionByName(used).agg(
+        F.coalesce(F.sum("teams"), none).alias("registered_teams"), F.coalesce(F.sum("active"), none).alias("active_teams"),
+        F.coalesce(F.sum("used"), none).alias("total_questions_used"),
+        F.coalesce(F.sum("remaining"), none).alias("total_questions_remaining"))
 
 
 def team_board(teams: DataFrame, quotas: DataFrame, prompts: DataFrame, as_of: Column,

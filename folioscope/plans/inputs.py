@@ -198,7 +198,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("attempt_id"), F.col("user_id").alias("lane_id"), "ts",
         (~failed).alias("success"),
         F.when(~failed, 200).when(F.col("value") > 100, 429).otherwise(500).alias("status_code"),
-        F.when(failed & (F.col("value") < 1), "Rate limit reached").alias("error"))
+        F.when(failed & (F.col("value") < 1), "Rate limit reached").alias("error"),
+        F.pmod(F.floor("value").cast("long"), F.lit(60)).alias("requests_used"), F.lit(50).alias("daily_limit"),
+        F.pmod("event_id", F.lit(3)).alias("active_requests"), F.lit(2).alias("max_concurrent_requests"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +219,21 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", line.alias("line"))
 
 
+STAGES = [("DB_TEAM_LOOKUP_COMPLETE", "duration_ms"), ("DB_QUOTA_RESERVATION_COMPLETE", "duration_ms"),
+          ("EMBEDDING_COMPLETE", "duration_ms"), ("QDRANT_RETRIEVAL_COMPLETE", "duration_ms"),
+          ("LLM_FIRST_TOKEN", "ttft_ms"), ("LLM_GENERATION_COMPLETE", "duration_ms"), ("RAG_LATENCY_SUMMARY", "total_ms")]
+
+
+def stage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as stage lines: seven consecutive events are the seven stages of one request."""
+    pick = (F.pmod("event_id", F.lit(len(STAGES))) + 1).cast("int")
+    event, field = (F.element_at(F.array(*[F.lit(s[i]) for s in STAGES]), pick) for i in (0, 1))
+    return table(spark, sf_dir, "events").select(F.concat(
+        F.lit("["), event, F.lit("] request_id=req_"), F.floor(F.col("event_id") / len(STAGES)).cast("string"),
+        F.lit(" timestamp="), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z "), field, F.lit("="),
+        F.col("value").cast("decimal(12,2)").cast("string")).alias("line"))
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as files: the name is made from the url's last part and the host."""
     name = F.concat(

@@ -146,7 +146,7 @@ def parse_structured_logs(spark, sf):
 
 
 def latency_summary(spark, sf):
-    return G.latency_summary(_parsed(spark, sf))
+    return G.latency_summary(G.parse_structured_logs(I.stage_lines(spark, sf)))
 
 
 def stage_timing(spark, sf):
@@ -270,8 +270,8 @@ LOG = f"""log AS (SELECT event_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '
   CASE WHEN event_type <> 'view' THEN value END AS duration_ms, '/users/' || user_id AS path, event_type FROM events)"""
 
 
-def spent(event):
-    return f"coalesce(max(duration_ms) FILTER (event = '{event}'), 0.0)"
+def stage(i):
+    return f"coalesce(max(CAST(CAST(value AS DECIMAL(12, 2)) AS DOUBLE)) FILTER (event_id % 7 = {i}), 0.0::DOUBLE)"
 
 
 def pct(p):
@@ -331,23 +331,24 @@ CASE WHEN model = 'MACHINERY' THEN 0 ELSE error_count END AS error_count,
 CASE WHEN model = 'MACHINERY' THEN 'insert' WHEN model = 'BUILDING' AND enabled THEN 'disable' WHEN model = 'BUILDING' THEN 'keep'
   WHEN NOT enabled THEN 'update' ELSE 'keep' END AS action FROM lanes""",
     "lane_failure_runs": f"""WITH a AS (SELECT event_id AS attempt_id, user_id AS lane_id, ts, event_type <> 'error' AS ok,
-  event_type = 'error' AND (value > 100 OR value < 1) AS limited FROM events),
+  event_type = 'error' AND (value > 100 OR value < 1) AS limited, CAST(floor(value) AS BIGINT) % 60 >= 50 AS spent,
+  event_id % 3 >= 2 AS busy FROM events),
 b AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY lane_id ORDER BY ts, attempt_id) AS run FROM a),
 c AS (SELECT *, CASE WHEN ok THEN 0 ELSE CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY lane_id, run
   ORDER BY ts, attempt_id) AS BIGINT) END AS error_count FROM b),
-d AS (SELECT *, CASE WHEN ok THEN 'AVAILABLE' WHEN limited THEN 'RATE_LIMITED' WHEN error_count >= 3 THEN 'DEGRADED'
-  ELSE 'AVAILABLE' END AS state_after FROM c)
+d AS (SELECT *, CASE WHEN limited THEN 'RATE_LIMITED' WHEN NOT ok AND error_count >= 3 THEN 'DEGRADED'
+  WHEN spent THEN 'DAILY_EXHAUSTED' WHEN ok AND busy THEN 'BUSY' ELSE 'AVAILABLE' END AS state_after FROM c)
 SELECT attempt_id, lane_id, error_count, state_after, {ts(
-    "CASE WHEN state_after <> 'AVAILABLE' THEN ts + to_seconds(60) END", 'cooldown_until')} FROM d""",
+    "CASE WHEN state_after IN ('RATE_LIMITED', 'DEGRADED') THEN ts + to_seconds(60) END", 'cooldown_until')} FROM d""",
     "provider_usage": """SELECT count(*) AS total_requests, count(*) FILTER (value <= 50) AS primary_requests,
 count(*) FILTER (value > 50) AS fallback_requests, count(*) FILTER (event_type <> 'error') AS success_count,
 count(*) FILTER (event_type = 'error') AS failure_count FROM events""",
     "parse_structured_logs": D.with_(LOG) + f"""SELECT event_id, event, request_id, {ts('event_time')},
 coalesce(duration_ms, -1.0) AS duration_ms, path, CASE event_type WHEN 'view' THEN 4 WHEN 'click' THEN 6 ELSE 5 END AS n_fields
 FROM log""",
-    "latency_summary": D.with_(LOG) + f"""SELECT request_id, {spent('EMBEDDING_COMPLETE')} AS embedding_ms, 0.0 AS search_ms,
-0.0 AS first_token_ms, 0.0 AS generation_ms, {spent('HTTP_REQUEST_COMPLETE')} AS total_ms,
-{D.half_even(spent('DB_TEAM_LOOKUP_COMPLETE'), 2)} AS database_ms FROM log GROUP BY 1""",
+    "latency_summary": f"""SELECT 'req_' || (event_id // 7) AS request_id, {stage(2)} AS embedding_ms,
+{stage(3)} AS search_ms, {stage(4)} AS first_token_ms, {stage(5)} AS generation_ms, {stage(6)} AS total_ms,
+{D.half_even(stage(0) + ' + ' + stage(1), 2)} AS database_ms FROM events GROUP BY event_id // 7""",
     "stage_timing": f"""SELECT event_id, {D.half_even('value / 3000.0::DOUBLE', 4)} AS search,
 {D.half_even('value / 7000.0::DOUBLE', 4)} AS rerank,
 {D.half_even('0.0::DOUBLE + value / 3000.0::DOUBLE + value / 7000.0::DOUBLE', 4)} AS total FROM events""",

@@ -55,6 +55,11 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; whoever runs it can drop it when it has ended."""
+    return os.path.join(scratch_root(spark), f"run-{spark.sparkContext.applicationId}")
+
+
 def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -63,6 +68,6 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     costs one task and not the whole lineage.
     """
     spark = df.sparkSession
-    path = os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(run_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

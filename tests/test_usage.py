@@ -60,7 +60,7 @@ def test_percentiles_equal_sorted_positions(spark):
     rng = random.Random(4)
     values = {"a": [round(rng.random() * 50, 2) for _ in range(137)], "b": [5.0] * 40, "c": [1.25]}
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "level string, latency double")
-    for r in G.latency_percentiles(df, width=3.0).collect():
+    for r in G.latency_percentiles(df).collect():
         s = sorted(values[r.level])
         for name, p in G.PERCENTILES.items():
             assert r[name] == round(s[min(int(p * len(s)), len(s) - 1)], 3)
