@@ -92,6 +92,8 @@ def transfers(blocks: list[tuple[int, int, int, int]], new_shards: int) -> list[
     ``blocks`` has (old shard, band, rows, bytes).
     """
     total = sum(rows for _, _, rows, _ in blocks)
+    if not total:
+        return []
     capacity = [total // new_shards] * new_shards
     held = dict.fromkeys(range(new_shards), 0)
     for shard, _, rows, _ in blocks:
@@ -132,6 +134,7 @@ def assign(docs: DataFrame, keep: list[str], old: Column | None = None, old_shar
     rows = docs.select(*keep, size_of().alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
                        (old_shard(old_shards) if old is None else old).alias("old_shard"))
     rows = rows.withColumn("band", band_of(F.col("size"))).withColumn("one", F.lit(1).cast("long"))
+    rows = materialize(rows, "rows")  # ranges are drawn from a sample first: texts are read once only
     placed = materialize(ranked(rows, ["old_shard", "band"], ["size", "text_crc32", *keep], ["one"], "blocks"), "placed")
     blocks = placed.groupBy("old_shard", "band").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
     moves = transfers([tuple(b) for b in blocks], new_shards)
@@ -146,12 +149,17 @@ def assign(docs: DataFrame, keep: list[str], old: Column | None = None, old_shar
 
 
 def attach(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS) -> DataFrame:
-    """All columns of ``docs`` with shard, slot and shard_bytes; texts move once, to join their rows' places."""
+    """All columns of ``docs`` with shard, slot and shard_bytes; texts move once, to join their rows' places.
+
+    Columns of these names that ``docs`` has are replaced.
+    """
     marked = row_keys(docs)
-    plan = assign(marked, ["_id", "_row"], old=old_shard(old_shards, "_id"), new_shards=new_shards)
+    slim = marked.select("_id", "_row", F.col("_values.text").alias("text"))
+    plan = assign(slim, ["_id", "_row"], old=old_shard(old_shards, "_id"), new_shards=new_shards)
     places = plan.select("_id", "_row", "shard", "slot", F.col("size").alias("shard_bytes"))
-    return distinct_rows(marked, docs.columns).join(places, ["_id", "_row"]).select(
-        "_values.*", "shard", "slot", "shard_bytes")
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot", "shard_bytes")]
+    return distinct_rows(marked).join(places, ["_id", "_row"]).select(
+        *[F.col("_values")[c].alias(c) for c in own], "shard", "slot", "shard_bytes")
 
 
 def rewrite(placed: DataFrame, moved: DataFrame, path: str) -> list[int]:
