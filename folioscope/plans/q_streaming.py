@@ -16,7 +16,8 @@ from folioscope.streaming import jobs as J
 
 def _stream(spark, sf, name):
     schema = I.table(spark, sf, name).schema
-    found = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a table is one file or a folder of files
+    found = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
     return found.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.names else found
 
 
@@ -32,12 +33,15 @@ def stream_ingest(spark, sf):
     root, checkpoint = _scratch(spark, "ingest")
     store = CollectionStore(spark, root)
     J.stream_ingest(pages, store, V.COMPANY, checkpoint).awaitTermination()
-    return store.read(V.COMPANY).select("document_id", "chunk_id", "chunk_order", "estimated_tokens")
+    return store.read(V.COMPANY).select("document_id", "reading_order", "section_type", "estimated_tokens", "dimension",
+                                        F.md5("content").alias("content_md5"))
 
 
 def stream_repeat_filter(spark, sf):
     log = _stream(spark, sf, "events").select(F.col("event_id").alias("id"), "ts", F.col("props").alias("question"))
-    return J.run_to_table(J.stream_repeat_filter(log), *_scratch(spark, "repeat")).select("id", "question_key")
+    kept = J.run_to_table(J.stream_repeat_filter(log), *_scratch(spark, "repeat"))
+    # which repeats pass depends on the batches; that every question passes once at least does not
+    return kept.groupBy("question_key").agg((F.count("*") >= 1).alias("passed"))
 
 
 def stream_quota(spark, sf):
@@ -52,13 +56,13 @@ def stream_quota(spark, sf):
 def stream_lane_monitor(spark, sf):
     failed = F.col("event_type") == "error"
     attempts = _stream(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("lane_id"), "ts", (~failed).alias("success"),
+        F.col("event_id").alias("attempt_id"), F.col("user_id").cast("string").alias("lane_id"), "ts", (~failed).alias("success"),
         F.when(~failed, 200).when(F.col("value") > 100, 429).otherwise(500).alias("status_code"),
         F.lit(None).cast("string").alias("error")).withWatermark("ts", "1 minute")
     rows = J.run_to_table(J.stream_lane_monitor(attempts), *_scratch(spark, "lanes"), mode="update")
-    # batch 0 holds the whole input; later batches hold timers only
-    first = rows.groupBy("lane_id").agg(F.min_by(F.struct("state", "error_count"), "batch_no").alias("r"))
-    return first.select("lane_id", "r.state", "r.error_count")
+    last = rows.filter("cause = 'attempt'").groupBy("lane_id").agg(
+        F.max_by(F.struct("state", "error_count"), "batch_no").alias("r"))
+    return last.select("lane_id", "r.state", "r.error_count")
 
 
 def stream_admin_metrics(spark, sf):
@@ -71,12 +75,18 @@ def stream_admin_metrics(spark, sf):
 QUERIES = {name: globals()[name] for name in (
     "stream_ingest stream_repeat_filter stream_quota stream_lane_monitor stream_admin_metrics").split()}
 
+DOCUMENT_PAGES = "corpus AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, 1 AS page_number, text FROM documents)"
+
 ORACLES = {
+    "stream_ingest": D.with_(DOCUMENT_PAGES, D.HEADERS, D.CLEANED, D.lines_of("cleaned"), *D.CHUNKING)
+    + """SELECT document_id, chunk_order AS reading_order, section_type, estimated_tokens, 384 AS dimension,
+md5(content) AS content_md5 FROM final WHERE estimated_tokens <= 512""",
+    "stream_repeat_filter": f"""SELECT DISTINCT {D.squash('lower(props)')} AS question_key, true AS passed FROM events""",
     "stream_quota": D.with_(QUOTAS) + """SELECT 'team-' || user_id AS team_name, count(*) AS requests,
 count(*) FILTER (event_type <> 'error') AS questions_used,
 greatest(0, 60 - count(*) FILTER (event_type <> 'error')) AS questions_remaining FROM events GROUP BY user_id""",
     "stream_lane_monitor": """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS lane_id, ts, event_type <> 'error' AS ok,
-  value > 100 AS limited, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS back FROM events),
+  value > 100 AS limited, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events),
 r AS (SELECT lane_id, coalesce(min(back) FILTER (ok), count(*) + 1) - 1 AS error_count FROM a GROUP BY 1)
 SELECT lane_id, CASE WHEN ok THEN 'AVAILABLE' WHEN limited THEN 'RATE_LIMITED' WHEN error_count >= 3 THEN 'DEGRADED'
   ELSE 'AVAILABLE' END AS state, error_count FROM r JOIN a USING (lane_id) WHERE back = 1""",

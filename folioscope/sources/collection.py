@@ -150,9 +150,9 @@ class CollectionStore:
     def exists(self, document_type: str) -> bool:
         return bool(self._versions(document_type))
 
-    def replace_documents(self, rows: DataFrame, document_type: str) -> None:
-        """Replace every document that occurs in ``rows`` by its new rows."""
-        kept = collection_delete_document(self.read(document_type), rows)
+    def replace_documents(self, rows: DataFrame, document_type: str, documents: DataFrame | None = None) -> None:
+        """Replace every document of ``documents`` (by default those in ``rows``) by its new rows."""
+        kept = collection_delete_document(self.read(document_type), rows if documents is None else documents)
         fresh = rows.withColumn("document_type", F.lit(document_type))
         self._write(kept.unionByName(fresh.select(*kept.columns)), document_type)
 

@@ -18,24 +18,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from folioscope.functions import vocab as V
 from folioscope.functions.text import normalized_key
 from folioscope.operators.lanes import DEGRADED_AFTER, rate_limited
-from folioscope.plans.corpus import chunk_pages
+from folioscope.plans.corpus import index_pages
+from folioscope.session import materialize
 from folioscope.sources.collection import CollectionStore
 
 
 def stream_ingest(pages: DataFrame, store: CollectionStore, document_type: str, checkpoint: str,
                   index: Callable[[DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
-    """Chunk every arriving micro-batch of whole documents and upsert it.
+    """Index every arriving micro-batch of pages: chunks, payload and vectors of the documents that it touches.
 
-    Chunk ids are deterministic, so a replayed batch replaces its own rows.
+    A document's pages may come in several batches.  Every batch keeps its pages in a folder of its own (a replayed
+    batch writes it again); the touched documents are built anew from all their pages, the latest batch's version of
+    each.  They replace what the collection had of them, also where nothing is left to index.
     """
-    build = index or (lambda df: chunk_pages(df).filter("reject_reason is null").drop("reject_reason"))
+    build = index or (lambda df: index_pages(df, document_type))
+    folder = f"{store.root}/pages-{document_type}"
 
-    def write(batch: DataFrame, _: int) -> None:
-        rows = build(batch)
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("batch_no", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/b{number:06d}")
+        schema = T.StructType([*batch.schema.fields, T.StructField("batch_no", T.IntegerType())])
+        kept = spark.read.schema(schema).parquet(f"{folder}/b*").filter(F.col("batch_no") <= number)
+        touched = kept.filter(F.col("batch_no") == number).select("document_id").distinct()
+        last = F.max_by(F.struct(*batch.columns), "batch_no").alias("p")
+        pages = kept.join(touched, "document_id", "left_semi").groupBy("document_id", "page_number").agg(last).select("p.*")
+        rows = materialize(build(pages), "ingested")
         if not store.exists(document_type):
             store.create(rows, document_type, V.EMBEDDING_DIMENSION)
-        # stale chunks of re-ingested documents go first
-        store.replace_documents(rows, document_type)
+        store.replace_documents(rows, document_type, touched)
 
     return (pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -55,41 +65,46 @@ def stream_quota(requests: DataFrame) -> DataFrame:
         "questions_remaining", F.greatest(F.lit(0), F.col("question_limit") - F.col("questions_used")))
 
 
-LANE_OUTPUT = "lane_id string, state string, error_count int, at timestamp"
+LANE_OUTPUT = "lane_id string, state string, error_count int, at timestamp, cause string"
 LANE_STATE = "error_count int, state string"
 
 
 def stream_lane_monitor(attempts: DataFrame, cooldown: int = V.COOLDOWN_SECONDS) -> DataFrame:
     """Lane state after each batch of attempts; a cooled-down lane turns AVAILABLE by a timer.
 
-    ``attempts(lane_id, ts, success, status_code, error)`` with a watermark on ``ts``.
+    ``attempts(attempt_id, lane_id, ts, success, status_code, error)`` with a watermark on ``ts``.  A micro-batch's
+    attempts of a lane are put in order of (ts, attempt_id) over all Arrow batches that they come in; ``cause`` tells
+    rows after attempts from rows of the timer.
     """
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             errors, _ = state.get
             state.update((errors, "AVAILABLE"))
             at = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-            yield pd.DataFrame({"lane_id": [key[0]], "state": ["AVAILABLE"], "error_count": [errors], "at": [at]})
+            yield pd.DataFrame({"lane_id": [key[0]], "state": ["AVAILABLE"], "error_count": [errors], "at": [at],
+                                "cause": ["timer"]})
             return
         errors, name = state.get if state.exists else (0, "AVAILABLE")
-        latest = None
-        for batch in batches:
-            for row in batch.sort_values("ts").itertuples(index=False):
-                latest = row.ts
-                errors = 0 if row.success else errors + 1
-                if row.success:
-                    name = "AVAILABLE"
-                elif row.limited:
-                    name = "RATE_LIMITED"
-                else:
-                    name = "DEGRADED" if errors >= DEGRADED_AFTER else "AVAILABLE"
+        # the trigger bounds a micro-batch; only the last run of errors and the last attempt decide
+        rows = pd.concat(list(batches)).sort_values(["ts", "attempt_id"], kind="stable")
+        good = rows["success"].to_numpy().nonzero()[0]
+        errors = len(rows) - 1 - int(good[-1]) if len(good) else errors + len(rows)
+        end = rows.iloc[-1]
+        latest = end["ts"]
+        if end["success"]:
+            name = "AVAILABLE"
+        elif end["limited"]:
+            name = "RATE_LIMITED"
+        else:
+            name = "DEGRADED" if errors >= DEGRADED_AFTER else "AVAILABLE"
         state.update((errors, name))
         until = int(latest.timestamp() * 1000) + cooldown * 1000
         if name in ("RATE_LIMITED", "DEGRADED") and until > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(until)
-        yield pd.DataFrame({"lane_id": [key[0]], "state": [name], "error_count": [errors], "at": [latest]})
+        yield pd.DataFrame({"lane_id": [key[0]], "state": [name], "error_count": [errors], "at": [latest],
+                            "cause": ["attempt"]})
 
-    slim = attempts.select("lane_id", "ts", "success",
+    slim = attempts.select("attempt_id", "lane_id", "ts", "success",
                            rate_limited(F.col("status_code"), F.col("error")).alias("limited"))
     return slim.groupBy("lane_id").applyInPandasWithState(
         update, LANE_OUTPUT, LANE_STATE, "update", GroupStateTimeout.EventTimeTimeout)

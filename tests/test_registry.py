@@ -31,6 +31,5 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_is_known_and_has_sql_or_a_reason():
-    rows_only = {"vector_topk_lsh", "latency_percentiles_approx", "pdf_discovery",
-                 "stream_ingest", "stream_repeat_filter"}
+    rows_only = {"vector_topk_lsh", "latency_percentiles_approx", "pdf_discovery"}
     assert set(registry.queries()) - set(registry.oracle_sql()) == rows_only
