@@ -5,18 +5,20 @@ corpus collide with a chance of about pairs / 2**64).  Texts with equal sets for
 
 Small sets.  Two sets that link have an overlap of at least t * |set| with either of them, so for a set of size s every
 subset of a size from ceil(t * s) to s is enumerated, and two small sets link only if they enumerate one subset alike.
-Large sets.  Inverted lists are scanned, of the first s - ceil(t * s) + 1 shingles only: in any order common to all
-sets, two sets that link share one of these.  The order puts frequent shingles last.
-A set is small while its subsets are no more than the shingles that its list entries would hold (``enumerated``), so
-the boundary is where enumerating starts to cost more.  A large set can link with a small one: sizes at which this can
-happen have both kinds of entries.
-
-Lists.  Entries that share a key (subset or shingle) are candidates.  A light list compares all its pairs; in a heavy
-list (more than ``LIGHT`` classes) every set is compared with one pivot only, the smallest set p of the list.  If u is
-not linked to p, v is at least as large as p, and u and v share nothing outside p, then |u & v| <= |u & p| and
-|u | v| >= |u | p|, so u and v do not link either.  Hence what a heavy list still owes are pairs, one of them not linked
-to p, that share a shingle outside p: the sets without p make new lists below p, which are joined by the same rule,
-until no list is heavy.  Pairs of one group are thus never all emitted, and no link between two components is lost.
+A set is small while its subsets cost no more than the list entries it would have as a large one (``enumerated``).
+
+Large sets.  Inverted lists are scanned.  A list of a single shingle would hold everyone who quotes a shared passage,
+so a list is kept for a part of a set: sets of one range of sizes differ by at most D shingles if they link, shingles
+are dealt into more than D parts by their hash, and so two sets that link have a part alike.  Ranges grow by a fixed
+factor; a set that can link with sets of the next range enters its lists as well.
+
+Lists.  Classes that share a key (subset or part) are candidates.  A light list compares all its pairs; in a heavy list
+(more than ``LIGHT`` classes) every set is compared with one pivot p only, the class that shares most lists with
+others.  If u is not linked to p, |v| >= |p|, and u and v share nothing outside p, then |u & v| <= |u & p| and
+|u | v| >= |u | p|, so u and v do not link either.  Hence a heavy list still owes pairs, one of them not linked to p,
+that share a shingle outside p or whose other set is so small that |u & p| could be enough.  The first make new lists
+below p, joined by the same rule, the second are compared.  After ``LEVELS`` levels lists compare all their pairs,
+whatever their length, so that no link between two components is lost; near copies of one text end before.
 
 Sets are only built for classes in lists of two or more; they are recomputed from their texts.  Everything that several
 branches read is written to the shared folder once.  Components grow by large-star and small-star steps.
@@ -28,9 +30,9 @@ own, linked if their sets are equal; a component of null ids only has a null com
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
-import re
 
 import numpy as np
 import pandas as pd
@@ -39,18 +41,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import WORD, distinct_rows, map_texts, row_keys
+from folioscope.llm.common import distinct_rows, map_texts, row_keys
 from folioscope.session import materialize
 
 WORDS = 4
 PERCENT = 85
-LIGHT = 12
-LOCALLY_FREQUENT = 8
-FREQUENT_SHARE = 0.001
-FREQUENT_LEAST = 16
-_TOKENS = re.compile(WORD)
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LIGHT = 3
+LEVELS = 4
+GROWTH = 1.4
+FILTER_BITS = 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(0x5851F42D4C957F2D)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -62,32 +63,37 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, hashes): text i has the sorted distinct shingle hashes ``hashes[edges[i]:edges[i + 1]]``."""
-    tokens = [_TOKENS.findall(t.translate(_UPPER)) if t else [] for t in texts]
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text.
+
+    Splitting and lowering bytes knows only ASCII white space and A to Z, as the contract does.
+    """
+    tokens = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
     lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-    flat = list(itertools.chain.from_iterable(tokens))
-    counts = np.where(lengths == 0, 0, np.maximum(lengths - words + 1, 1))
-    row = np.repeat(np.arange(len(texts)), counts)
-    if not flat:
-        return np.zeros(len(texts) + 1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    codes, names = pd.factorize(np.array(flat, dtype=object))
+    flat = np.empty(int(lengths.sum()), dtype=object)
+    flat[:] = list(itertools.chain.from_iterable(tokens))
+    if not len(flat):
+        return [np.zeros(0, dtype=np.uint64)] * len(texts)
+    codes, names = pd.factorize(flat)
     hashed = pd.util.hash_array(np.asarray(names, dtype=object), categorize=False)[codes]
-    starts = np.cumsum(lengths) - lengths
-    at = np.repeat(starts, counts) + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    last = np.repeat(starts + lengths, counts)
-    value = np.full(len(row), np.uint64(words))
     with np.errstate(over="ignore"):
+        value = np.zeros(len(hashed), dtype=np.uint64)
+        padded = np.concatenate([hashed, np.zeros(words, dtype=np.uint64)])
         for k in range(words):
-            inside = at + k < last
-            word = np.where(inside, hashed[np.minimum(at + k, len(hashed) - 1)], np.uint64(0))
-            value = scramble(value * _MIX + word + np.uint64(k))
-    order = np.lexsort((value, row))
-    value, row = value[order], row[order]
-    first = np.ones(len(row), dtype=bool)
-    first[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    value, row = value[first], row[first]
-    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]), value
+            value = scramble(value * _MIX + padded[k:k + len(hashed)] + np.uint64(k))
+        out, start = [], 0
+        for n in lengths.tolist():
+            if n >= words:
+                out.append(np.unique(value[start:start + n - words + 1]))
+            elif n:
+                short = np.full(1, np.uint64(n))
+                for k in range(n):
+                    short = scramble(short * _MIX + hashed[start + k:start + k + 1])
+                out.append(short)
+            else:
+                out.append(np.zeros(0, dtype=np.uint64))
+            start += n
+    return out
 
 
 def class_key(values: np.ndarray) -> int:
@@ -102,12 +108,18 @@ def least_overlap(size: int, percent: int = PERCENT) -> int:
     return -(-percent * size // 100)
 
 
+def most_apart(size: int, percent: int = PERCENT) -> int:
+    """The most shingles that are in one of two linked sets only, if neither is larger than ``size``."""
+    return 2 * size - 2 * -(-percent * 2 * size // (100 + percent))
+
+
 def enumerated(size: int, percent: int = PERCENT) -> bool:
-    """Whether a set is small: its subsets cost no more than its list entries would, with the shingles they hold."""
+    """Whether a set is small: it has at most ``size`` subsets to enumerate."""
     missing = size - least_overlap(size, percent)
-    return sum(math.comb(size, m) for m in range(missing + 1)) <= 2 * (missing + 1) * max(1, size // 2)
+    return sum(math.comb(size, m) for m in range(missing + 1)) <= max(1, size + 1)
 
 
+@functools.cache
 def largest_small(percent: int = PERCENT) -> int:
     size = 1
     while enumerated(size + 1, percent):
@@ -115,96 +127,136 @@ def largest_small(percent: int = PERCENT) -> int:
     return size
 
 
-def entry_keys(ordered: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of the lists that a set enters; ``ordered`` has its shingles with frequent ones last."""
-    size, border, out = len(ordered), largest_small(percent), []
-    if size <= border:
-        whole = np.sort(ordered)
-        with np.errstate(over="ignore"):
-            marks = scramble(whole + _MIX)
+@functools.cache
+def size_range(c: int, percent: int = PERCENT) -> tuple[int, int, int]:
+    """(largest size, most apart, parts) of the c-th range of large sizes.
+
+    A few parts more than needed make up for parts that are empty by chance.
+    """
+    top = int((largest_small(percent) + 1) * GROWTH ** c)
+    apart = max(most_apart(top, percent), most_apart(top - 1, percent) + 1)
+    return top, apart, apart + 3 + apart // 16
+
+
+def ranges_of(size: int, percent: int = PERCENT) -> list[int]:
+    """The ranges whose lists a set of this size enters."""
+    c, partner = 0, 100 * size // percent
+    while size_range(c, percent)[0] < size:
+        c += 1
+    out = [c] if partner > largest_small(percent) else []
+    return [*out, c + 1] if partner > size_range(c, percent)[0] else out
+
+
+def entry_keys(values: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys of the lists that a set enters."""
+    size, out = len(values), []
+    with np.errstate(over="ignore"):
+        marks = scramble(values + _MIX)
+        if size <= largest_small(percent):
             total = np.bitwise_xor.reduce(marks)
             for m in range(size - least_overlap(size, percent) + 1):
                 for gone in itertools.combinations(range(size), m):
-                    out.append(total ^ np.bitwise_xor.reduce(marks[list(gone)]) if gone else total)
-    # sizes that can link across the border are listed as well
-    if size > border or 100 * size >= percent * (border + 1):
-        out.extend(ordered[:size - least_overlap(size, percent) + 1])
-    return np.array(out, dtype=np.uint64)
+                    out.append([total ^ np.bitwise_xor.reduce(marks[list(gone)]) if gone else total])
+        for c in ranges_of(size, percent):
+            _, apart, parts = size_range(c, percent)
+            part = (scramble(marks + np.uint64(c)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            place = part[first] + (np.uint64(c + 1) << np.uint64(32))
+            out.append(scramble(np.bitwise_xor.reduceat(marks[order], first) + place * _MIX))
+            if len(first) <= apart:  # the part alike could be an empty one
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
+                out.append(scramble(_NONE + (empty + (np.uint64(c + 1) << np.uint64(32))) * _MIX))
+    return np.concatenate([np.asarray(x, dtype=np.uint64) for x in out])
 
 
 def linked(overlap: Column, a: Column, b: Column, percent: int = PERCENT) -> Column:
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of at least a FREQUENT_SHARE of all rows, sorted.
+def _features(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The columns of ``docs`` but the text, with n, key and list entries of every row's set.
 
-    Counted where they are frequent within one piece of a partition, which such shingles are.  There are at most
-    mean set size / FREQUENT_SHARE of them.  They only order shingles; any order gives the same links.
+    Of copies within a piece of a partition, one has the entries.
     """
-    def count(batch):
-        _, values = shingle_sets(batch.column("text").to_pylist(), words)
-        found, n = np.unique(values, return_counts=True)
-        many = n >= LOCALLY_FREQUENT
-        return pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(n[many].astype(np.int64))],
-                                          names=["shingle", "n"])
-
-    least = max(FREQUENT_LEAST, int(docs.count() * FREQUENT_SHARE))
-    counts = map_texts(docs.select("text"), count, T.StructType.fromDDL("shingle long, n long"))
-    rows = counts.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("shingle").collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
-
-
-def in_order(values: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """A sorted set with its frequent shingles last."""
-    if not len(often) or not len(values):
-        return values
-    place = np.searchsorted(often, values)
-    late = often[np.minimum(place, len(often) - 1)] == values
-    return np.concatenate([values[~late], values[late]]) if late.any() else values
-
-
-def _features(docs: DataFrame, often: np.ndarray, words: int, percent: int) -> DataFrame:
-    """The columns of ``docs`` but the text, with n, key and list entries of every row's set."""
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, T.StructField("n", T.LongType()), T.StructField("key", T.LongType()),
                            T.StructField("entries", T.ArrayType(T.LongType()))])
 
     def run(batch):
-        edges, values = shingle_sets(batch.column("text").to_pylist(), words)
-        keys, entries = [], []
-        for a, b in itertools.pairwise(edges):
-            keys.append(class_key(values[a:b]) if b > a else None)
-            entries.append(entry_keys(in_order(values[a:b], often), percent).view(np.int64) if b > a else [])
+        keys, entries, seen, sizes = [], [], set(), []
+        for values in shingle_sets(batch.column("text").to_pylist(), words):
+            key = class_key(values) if len(values) else None
+            keys.append(key)
+            sizes.append(len(values))
+            entries.append(None if key is None or key in seen else entry_keys(values, percent).view(np.int64))
+            seen.add(key)
         return pa.RecordBatch.from_arrays(
-            [*[batch.column(f.name) for f in kept], pa.array(np.diff(edges)), pa.array(keys, pa.int64()),
+            [*[batch.column(f.name) for f in kept], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
              pa.array(entries, pa.list_(pa.int64()))], names=schema.names)
 
     return map_texts(docs, run, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, often: np.ndarray, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """key, n, tokens of the classes in ``wanted`` (key, rid), from one text of each."""
     some = docs.join(wanted.select("rid").distinct(), "rid", "left_semi")
 
     def run(batch):
-        edges, values = shingle_sets(batch.column("text").to_pylist(), words)
-        full = [(a, b) for a, b in itertools.pairwise(edges) if b > a]
+        full = [v for v in shingle_sets(batch.column("text").to_pylist(), words) if len(v)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([class_key(values[a:b]) for a, b in full], pa.int64()),
-             pa.array([b - a for a, b in full], pa.int64()),
-             pa.array([in_order(values[a:b], often).view(np.int64) for a, b in full], pa.list_(pa.int64()))],
-            names=["key", "n", "tokens"])
+            [pa.array([class_key(v) for v in full], pa.int64()), pa.array([len(v) for v in full], pa.int64()),
+             pa.array([v.view(np.int64) for v in full], pa.list_(pa.int64()))], names=["key", "n", "tokens"])
 
     made = map_texts(some.select("rid", "text"), run, T.StructType.fromDDL("key long, n long, tokens array<long>"))
     return made.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
 
 
+def _bits(tokens: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the tokens' low bits, to drop most other entries before they are shuffled."""
+    def run(batches):
+        own = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            own[batch.column("token").to_numpy() & (1 << FILTER_BITS) - 1] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for r in tokens.coalesce(6).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _shared_entries(features: DataFrame) -> DataFrame:
+    """Distinct (token, key, n) of the lists that hold two classes or more."""
+    flat = features.filter("entries is not null").select(F.explode("entries").alias("token"), "key", "n")
+    ends = flat.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    shared = materialize(ends.filter("low < high").select("token"), "shared")
+    bits = features.sparkSession.sparkContext.broadcast(np.packbits(_bits(shared)))
+    schema = T.StructType.fromDDL("token long, key long, n long")
+
+    def run(batches):
+        known = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            lists = batch.column("entries").fill_null([])
+            token = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
+            keep = known[token & (1 << FILTER_BITS) - 1]
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[keep]), batch.column("key").take(row), batch.column("n").take(row)], names=schema.names)
+
+    some = features.filter("entries is not null").select("key", "n", "entries").mapInArrow(run, schema)
+    return some.join(shared, "token", "left_semi").distinct()
+
+
 def _lists(entries: DataFrame) -> DataFrame:
-    """Entries (gid, token, key, n, apart) with their list's size and pivot; lists without any pair to find go."""
+    """Entries (gid, token, key, n, degree, apart) with their list's size and pivot; lists without a pair to find go."""
     totals = entries.groupBy("gid", "token").agg(
-        F.count("*").alias("size"), F.min(F.struct("n", "key")).alias("pivot"), F.max("apart").alias("open"))
-    totals = totals.filter((F.col("size") > 1) & F.col("open")).drop("open")
+        F.count("*").alias("size"), F.max(F.struct("degree", F.negative("n").alias("less"), "key")).alias("pivot"),
+        F.max("apart").alias("open"))
+    totals = totals.filter((F.col("size") > 1) & F.col("open")).select(
+        "gid", "token", "size", F.col("pivot.key").alias("pivot"), F.negative("pivot.less").alias("pivot_n"))
     return entries.join(totals, ["gid", "token"])
 
 
@@ -212,35 +264,48 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _level(lists: DataFrame, sets: DataFrame, percent: int, light: int) -> tuple[DataFrame, DataFrame]:
-    """(links, entries one level down) of written ``lists``."""
-    few = lists.filter(F.col("size") <= light)
+def _level(lists: DataFrame, owed: DataFrame | None, sets: DataFrame, percent: int,
+           light: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, entries one level down, pairs still to compare) of written ``lists`` and the pairs ``owed`` before."""
+    few = lists if light is None else lists.filter(F.col("size") <= light)
     left = few.select("gid", "token", F.col("key").alias("a"), F.col("n").alias("an"), F.col("apart").alias("a_apart"))
     right = few.select("gid", "token", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("apart").alias("b_apart"))
     pairs = left.join(right, ["gid", "token"]).filter(
         (F.col("a") < F.col("b")) & (F.col("a_apart") | F.col("b_apart")) & _close(F.col("an"), F.col("bn"), percent))
-    pairs = pairs.select("a", "b", F.lit(False).alias("heavy"), F.lit(0).cast("long").alias("gid"))
-    heavy = lists.filter((F.col("size") > light) & (F.col("key") != F.col("pivot.key"))).select(
-        F.col("key").alias("a"), F.col("pivot.key").alias("b"), F.lit(True).alias("heavy"),
-        F.xxhash64("gid", "pivot.key").alias("gid"))
-    wanted = pairs.unionByName(heavy).distinct()
+    pairs = pairs.select("a", "b")
+    if owed is not None:
+        pairs = pairs.unionByName(owed)
+    wanted = pairs.withColumn("heavy", F.lit(False)).withColumn("gid", F.lit(0).cast("long"))
+    many = lists.filter(F.lit(False)) if light is None else lists.filter(F.col("size") > light)
+    pivots = many.filter(F.col("key") != F.col("pivot"))
+    wanted = wanted.unionByName(pivots.select(
+        F.col("key").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("heavy"),
+        F.xxhash64("gid", "pivot").alias("gid"))).distinct()
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt"))
-    both = wanted.join(one, "a").join(two, "b")
-    overlap = F.size(F.array_intersect("at", "bt")).cast("long")
-    known = both.withColumn("overlap", overlap).withColumn(
-        "linked", linked(F.col("overlap"), F.col("an"), F.col("bn"), percent))
-    # of a's shingles outside the pivot only so many can be missing from a partner that a still owes
-    rest = F.array_except("at", "bt")
-    owed = F.greatest(F.lit(1), F.ceil(F.col("an") * percent / 100.0) - F.col("overlap"))
-    keep = (F.col("an") - F.col("overlap") - owed + 1).cast("int")
-    down = F.when(F.col("heavy") & (keep > 0), F.slice(rest, F.lit(1), F.greatest(keep, F.lit(0))))
-    known = materialize(known.select("a", "b", "gid", "heavy", "linked", "an", down.alias("down")), "pairs")
+    known = wanted.join(one, "a").join(two, "b").withColumn("overlap", F.size(F.array_intersect("at", "bt")).cast("long"))
+    known = known.withColumn("linked", linked(F.col("overlap"), F.col("an"), F.col("bn"), percent))
+    # an overlap with any set that a links to must have so many shingles outside the pivot
+    outside = F.greatest(F.lit(1), F.ceil(F.col("an") * percent / 100.0) - F.col("overlap"))
+    keep = (F.col("an") - F.col("overlap") - outside + 1).cast("int")
+    down = F.when(F.col("heavy") & (keep > 0),
+                  F.slice(F.array_except("at", "bt"), F.lit(1), F.greatest(keep, F.lit(0))))
+    known = materialize(known.select("a", "b", "gid", "heavy", "linked", "an", "overlap", down.alias("down")), "pairs")
     links = known.filter("linked").select("a", "b")
-    below = known.filter("heavy and down is not null").select(
-        "gid", F.explode("down").alias("token"), F.col("a").alias("key"), F.col("an").alias("n"),
-        (~F.col("linked")).alias("apart"))
-    return links, below.distinct()
+    judged = known.filter("heavy")
+    degrees = lists.select(F.col("key").alias("a"), "degree").distinct()
+    below = judged.filter("down is not null").join(degrees, "a").select(
+        "gid", F.explode("down").alias("token"), F.col("a").alias("key"), F.col("an").alias("n"), "degree",
+        (~F.col("linked")).alias("apart")).distinct()
+    # sets so much smaller than the pivot that what u has of the pivot could do
+    reach = judged.filter("not linked").select(
+        F.col("a").alias("key"), F.col("b").alias("pivot"),
+        F.floor(F.col("overlap") * (100 + percent) / float(percent) - F.col("an") + 1e-9).alias("most"))
+    far = pivots.join(reach, ["key", "pivot"]).select("gid", "token", F.col("key").alias("a"), "most")
+    lesser = pivots.filter(F.col("n") < F.col("pivot_n")).select("gid", "token", F.col("key").alias("b"), "n")
+    more = far.join(lesser, ["gid", "token"]).filter((F.col("n") <= F.col("most")) & (F.col("a") != F.col("b")))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links, below, more
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -266,23 +331,27 @@ def components(links: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int = LIGHT,
          carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``carry``, n_shingles, component_id, class_id, root and links (of the row's class) of every row.
+    """doc_id, ``carry``, n_shingles, component_id, class_id and root of every row.
 
     ``class_id`` is the least id with the same set; ``root`` is null for empty sets, else equal within a component.
     """
     rows = docs.select("doc_id", *carry, "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"))
-    often = frequent(rows, words)
-    features = materialize(_features(rows, often, words, percent), "features")
+    features = materialize(_features(rows, words, percent), "features")
     full = features.filter("key is not null")
-    entries = full.select(F.lit(0).cast("long").alias("gid"), F.explode("entries").alias("token"), "key", "n", "rid")
-    entries = entries.groupBy("gid", "token", "key", "n").agg(F.min("rid").alias("rid")).withColumn("apart", F.lit(True))
+    shared = materialize(_shared_entries(features), "entries")
+    degrees = shared.groupBy("key").agg(F.count("*").alias("degree"))
+    entries = shared.join(degrees, "key").select(F.lit(0).cast("long").alias("gid"), "token", "key", "n", "degree",
+                                                 F.lit(True).alias("apart"))
     lists = materialize(_lists(entries), "lists")
-    wanted = lists.groupBy("key").agg(F.min("rid").alias("rid"))
-    sets = materialize(_sets(rows, wanted, often, words), "sets")
-    found = []
-    while not lists.isEmpty():
-        links, below = _level(lists, sets, percent, light)
+    wanted = full.select("key", "rid").join(degrees.select("key"), "key", "left_semi").groupBy("key").agg(
+        F.min("rid").alias("rid"))
+    sets = materialize(_sets(rows, materialize(wanted, "wanted"), words), "sets")
+    found, owed, level = [], None, 0
+    while not (lists.isEmpty() and (owed is None or owed.isEmpty())):
+        level += 1
+        links, below, owed = _level(lists, owed, sets, percent, light if level < LEVELS else None)
         found.append(links)
+        owed = materialize(owed, "owed")
         lists = materialize(_lists(below), "lists")
     if found:
         links = found[0]
@@ -290,20 +359,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int
             links = links.unionByName(more)
         links = materialize(links.distinct(), "links")
         roots = components(links)
-        degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-        roots = roots.join(degree, "key")
         classes = full.groupBy("key").agg(F.min("doc_id").alias("class_id")).join(roots, "key", "left")
     else:
-        classes = full.groupBy("key").agg(F.min("doc_id").alias("class_id")).select(
-            "*", F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("links"))
-    classes = materialize(classes.select("key", "class_id", F.coalesce("links", F.lit(0)).alias("links"),
-                                         F.coalesce("root", "key").alias("root")), "classes")
+        classes = full.groupBy("key").agg(F.min("doc_id").alias("class_id")).withColumn("root", F.lit(None).cast("long"))
+    classes = materialize(classes.select("key", "class_id", F.coalesce("root", "key").alias("root")), "classes")
     least = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
     classes = classes.join(least, "root")
     named = features.select("doc_id", *carry, F.col("n").alias("n_shingles"), "key").join(classes, "key", "left")
     return named.select("doc_id", *carry, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                        F.coalesce("class_id", "doc_id").alias("class_id"), "root",
-                        F.coalesce("links", F.lit(0)).alias("links"))
+                        F.coalesce("class_id", "doc_id").alias("class_id"), "root")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -312,12 +376,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows with empty sets all stay.  Of rows equal in all columns, one is as good as another.
     """
     marked = row_keys(docs)
-    rows = materialize(join(marked, carry=("_id", "_row"), **options).filter("root is not null").groupBy(
+    slim = marked.select(F.col("_values.doc_id").alias("doc_id"), "_id", "_row", F.col("_values.text").alias("text"))
+    rows = materialize(join(slim, carry=("_id", "_row"), **options).filter("root is not null").groupBy(
         "root", "doc_id", "_id", "_row").agg(F.count("*").alias("copies")), "members")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "_id", "_row")).alias("f"))
     kept = first.select("f._id", "f._row", F.lit(True).alias("kept"))
     judged = rows.join(kept, ["_id", "_row"], "left").filter("kept is null or copies > 1")
     gone = judged.select("_id", "_row")
     repeated = judged.filter("kept").select("_id", "_row")
-    once = distinct_rows(marked.join(repeated, ["_id", "_row"], "left_semi"), docs.columns).select("_values.*")
-    return marked.join(gone, ["_id", "_row"], "left_anti").select(*docs.columns).unionByName(once)
+    once = distinct_rows(marked.join(repeated, ["_id", "_row"], "left_semi")).select("_values.*")
+    return marked.join(gone, ["_id", "_row"], "left_anti").select("_values.*").unionByName(once)
