@@ -108,20 +108,19 @@ def products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 def solve(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
     """The best k of one block of data for every query of one block."""
-    names = ["query_row", "query_id", "vec_id", "score"]
-    if not len(queries) or not len(data):
-        return pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
-    dim = int(data["dim"].iloc[0])
-    data = data.assign(last=data["vec_id"].isna()).sort_values(["last", "vec_id"], kind="stable")
-    scores = products(_matrix(queries["v"], dim), _matrix(data["v"], dim))
-    rows, ids = data["row_id"].to_numpy(), data["vec_id"].astype("Int64").array
-    out = []
-    for i, (row, query) in enumerate(zip(queries["row_id"], queries["vec_id"], strict=True)):
-        best = np.argsort(-scores[i], kind="stable")[:k + 1]
-        best = best[rows[best] != row][:k]
-        out.append(pd.DataFrame({"query_row": row, "query_id": query, "vec_id": ids[best],
-                                 "score": [int(s) for s in scores[i][best]]}))
-    return pd.concat(out, ignore_index=True)
+    found: list[tuple] = []
+    if len(queries) and len(data):
+        dim = int(data["dim"].iloc[0])
+        data = data.assign(last=data["vec_id"].isna()).sort_values(["last", "vec_id"], kind="stable")
+        scores = products(_matrix(queries["v"], dim), _matrix(data["v"], dim))
+        rows, ids = data["row_id"].to_numpy(), [None if pd.isna(x) else int(x) for x in data["vec_id"]]
+        for i, (row, query) in enumerate(zip(queries["row_id"], queries["vec_id"], strict=True)):
+            best = np.argsort(-scores[i], kind="stable")[:k + 1]
+            best = best[rows[best] != row][:k]
+            found += [(int(row), int(query), ids[j], int(scores[i][j])) for j in best]
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    return pd.DataFrame({name: pd.array(values, dtype="Int64") for name, values in zip(
+        ("query_row", "query_id", "vec_id", "score"), columns, strict=True)})
 
 
 def top_k(vectors: DataFrame, k: int = TOP, every: int = QUERY_EVERY, pivots: int = PIVOTS,
