@@ -6,9 +6,9 @@ match nothing but count as gap.  Kernels are divided by the root of both self-ke
 
 A sentence is compared through its units: its words in lower case, and runs of single letters joined to one ("i d i o t").
 Units longer than ``WINDOW`` are read through overlapping windows.  The machine is learned from sentences of labelled
-documents: units that only occur in sentences of toxic documents, and that many of these share, against units of clean
-documents; then the clean units that it takes for toxic are added and it is learned again.  Landmarks are the
-units, most frequent first, that resemble no landmark before; the Nystrom map sends a unit to K(unit, landmarks) K(landmarks)^-1/2, in which
+documents: units that many toxic documents share and clean ones hardly have, against units of clean documents; then
+the clean units that it takes for toxic are added and it is learned again.  Landmarks are the units, most frequent
+first, that resemble no landmark before; the Nystrom map sends a unit to K(unit, landmarks) K(landmarks)^-1/2, in which
 the machine is linear.  As the kernel is itself linear in the subsequences, weights of landmarks fold into one weight
 per subsequence, and scoring a unit costs one lookup per subsequence and one self-kernel.
 
@@ -38,18 +38,20 @@ from pyspark.sql import types as T
 from folioscope.llm.common import held_out, map_texts
 from folioscope.session import materialize
 
-ORDER = 3
+ORDER = 4
 DECAY = 0.6
-LETTERS = 46
+LETTERS = 32
 WINDOW = 12
 STRIDE = 6
 MOST_TOXIC = 4000
 MOST_CLEAN = 8000
 MOST_UNITS = 4000
-LANDMARKS = 160
+LANDMARKS = 240
 THRESHOLD = 0.3
 LEAST_SHARE = 0.004
-COST = 10.0
+TOXIC_LIFT = 5.0
+CLEAN_LIFT = 2.0
+COST = 100.0
 ROUNDS = 2
 NOTHING = -3.0
 
@@ -137,18 +139,22 @@ def table_of(unit: str) -> np.ndarray:
     return out / norm if norm else out
 
 
-def values(units: list[str], tables: np.ndarray) -> np.ndarray:
-    """(unit, column): normalised kernel with each column of ``tables``; a unit has its largest window's."""
+def values(units: list[str], tables: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """(unit, column): normalised kernel with each column of ``tables``; a unit has its largest window's.
+
+    ``place`` gives the row of a subsequence where ``tables`` has not all.
+    """
     out = np.full((len(units), tables.shape[1]), -np.inf)
     for _, (owner, codes) in encode(units).items():
-        for at in range(0, len(owner), 20_000):
-            part = codes[at:at + 20_000]
+        step = max(500, 20_000 // max(1, tables.shape[1] // 8))
+        for at in range(0, len(owner), step):
+            part = codes[at:at + step]
             total = np.zeros((len(part), tables.shape[1]))
             for number, weight in subsequences(part):
-                total += weight * tables[number]
+                total += weight * tables[number if place is None else place[number]]
             norm = np.sqrt(self_kernel(part))[:, None]
             total = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
-            np.maximum.at(out, owner[at:at + 20_000], total)
+            np.maximum.at(out, owner[at:at + step], total)
     return np.where(np.isneginf(out), 0.0, out)
 
 
@@ -160,9 +166,9 @@ def units_of(texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
     single = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)) == 1
     if single.any():
         # runs of three or more single letters of one text are read as one word
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
-        extra = [(row[a], "".join(flat[a:b])) for a, b in zip(edge[::2], edge[1::2], strict=True)
-                 if b - a >= ORDER and row[a] == row[b - 1]]
+        own = np.concatenate([[0], np.where(single, row + 1, 0), [0]])
+        edge = np.flatnonzero(np.diff(own))
+        extra = [(row[a], "".join(flat[a:b])) for a, b in itertools.pairwise(edge) if b - a >= ORDER and single[a]]
         if extra:
             row = np.concatenate([row, [r for r, _ in extra]])
             flat += [u for _, u in extra]
@@ -215,13 +221,19 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 4
     w = np.zeros(x.shape[1])
     keep = np.eye(len(w))
     keep[-1, -1] = 1e-6
+    def loss(v):
+        return 0.5 * v @ keep @ v + 0.5 * (cost * np.maximum(0.0, 1 - y * (x @ v)) ** 2).sum()
+
     for _ in range(steps):
         inside = y * (x @ w) < 1
         a, c = x[inside], cost[inside]
-        step = np.linalg.solve(keep + (a * c[:, None]).T @ a, (a * c[:, None]).T @ y[inside])
-        if np.abs(step - w).max() < 1e-7:
+        step = np.linalg.solve(keep + (a * c[:, None]).T @ a, (a * c[:, None]).T @ y[inside]) - w
+        length, now = 1.0, loss(w)
+        while length > 1e-4 and loss(w + length * step) > now:
+            length /= 2
+        if length <= 1e-4 or np.abs(length * step).max() < 1e-7:
             break
-        w = step
+        w = w + length * step
     return w[:-1], float(w[-1])
 
 
@@ -233,17 +245,24 @@ def learn(toxic: dict[str, int], clean: list[str], landmarks: int = LANDMARKS) -
     """
     names = list(toxic)
     chosen = choose_landmarks(names, landmarks * 3 // 5) + choose_landmarks(clean, landmarks * 2 // 5)
-    tables = np.stack([table_of(u) for u in chosen], axis=1)
-    gram = tables.T @ tables
+    # rows of subsequences that some landmark has; the first row is empty
+    each = [table_of(u) for u in chosen]
+    seen = np.unique(np.concatenate([np.zeros(1, dtype=np.int64), *[np.flatnonzero(t) for t in each]]))
+    tables = np.stack([t[seen] for t in each], axis=1).astype(np.float32)
+    place = np.zeros(LETTERS ** ORDER, dtype=np.int32)
+    place[seen] = np.arange(len(seen))
+    gram = (tables.T @ tables).astype(np.float64)
     eigen, vectors = np.linalg.eigh(gram)
     good = eigen > 1e-6 * eigen.max()
     root = vectors[:, good] / np.sqrt(eigen[good])
-    x = values(names + clean, tables) @ root
+    x = values(names + clean, tables, place) @ root
     y = np.concatenate([np.ones(len(names)), -np.ones(len(clean))])
     share = np.array(list(toxic.values()), dtype=float)
     cost = np.concatenate([COST * share / share.max(), np.full(len(clean), COST)])
     w, bias = squared_hinge(x, y, cost)
-    return Machine(tables @ (root @ w), bias)
+    folded = np.zeros(LETTERS ** ORDER, dtype=np.float32)
+    folded[seen] = tables @ (root @ w)
+    return Machine(folded, bias)
 
 
 def calibrate(decisions: np.ndarray, toxic: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -289,9 +308,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
         F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
     units = materialize(units, "units")
     least = max(2, int(found[True] * LEAST_SHARE))
-    bad = {r["unit"]: r["bad"] for r in units.filter((F.col("good") == 0) & (F.col("bad") >= least)).orderBy(
+    # how many times as often toxic documents have the unit; labels err, so a few clean ones may have an insult
+    lift = (F.col("bad") / F.lit(float(found[True]))) / ((F.col("good") + 1) / F.lit(float(found[False])))
+    units = units.withColumn("lift", lift)
+    bad = {r["unit"]: r["bad"] for r in units.filter((F.col("lift") >= TOXIC_LIFT) & (F.col("bad") >= least)).orderBy(
         F.desc("bad"), "unit").limit(MOST_UNITS).collect()}
-    clean = units.filter("good > 0")
+    clean = units.filter((F.col("good") > 0) & (F.col("lift") < CLEAN_LIFT))
     good = [r["unit"] for r in clean.orderBy(F.xxhash64("unit"), "unit").limit(MOST_UNITS).collect()]
     if not bad or not good:
         return None
