@@ -201,7 +201,8 @@ def _features(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """key, n, tokens of the classes in ``wanted`` (key, rid), from one text of each."""
-    some = docs.join(wanted.select("rid").distinct(), "rid", "left_semi")
+    some, _ = _split(docs, "rid", _bits(wanted.select(F.col("rid").alias("token"))))
+    some = some.join(wanted.select("rid").distinct(), "rid", "left_semi")
 
     def run(batch):
         full = [v for v in shingle_sets(batch.column("text").to_pylist(), words) if len(v)]
@@ -227,6 +228,18 @@ def _bits(tokens: DataFrame) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
+def _split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` may be one of those in ``bits``, rows that cannot be), told apart where they lie."""
+    sent = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def may(values: pd.Series) -> pd.Series:
+        at = values.to_numpy() & (1 << FILTER_BITS) - 1
+        return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    marked = F.pandas_udf(may, "boolean")(F.col(column))
+    return df.filter(marked), df.filter(~marked)
+
+
 def _shared_entries(features: DataFrame) -> DataFrame:
     """Distinct (token, key, n) of the lists that hold two classes or more."""
     flat = features.filter("entries is not null").select(F.explode("entries").alias("token"), "key", "n")
@@ -256,7 +269,7 @@ def _lists(entries: DataFrame) -> DataFrame:
         F.count("*").alias("size"), F.max(F.struct("degree", F.negative("n").alias("less"), "key")).alias("pivot"),
         F.max("apart").alias("open"))
     totals = totals.filter((F.col("size") > 1) & F.col("open")).select(
-        "gid", "token", "size", F.col("pivot.key").alias("pivot"), F.negative("pivot.less").alias("pivot_n"))
+        "gid", "token", "size", F.col("pivot.key").alias("pivot"))
     return entries.join(totals, ["gid", "token"])
 
 
@@ -290,20 +303,20 @@ def _level(lists: DataFrame, owed: DataFrame | None, sets: DataFrame, percent: i
     keep = (F.col("an") - F.col("overlap") - outside + 1).cast("int")
     down = F.when(F.col("heavy") & (keep > 0),
                   F.slice(F.array_except("at", "bt"), F.lit(1), F.greatest(keep, F.lit(0))))
-    known = materialize(known.select("a", "b", "gid", "heavy", "linked", "an", "overlap", down.alias("down")), "pairs")
+    known = materialize(known.select("a", "b", "gid", "heavy", "linked", "an", "bn", "overlap", down.alias("down")), "pairs")
     links = known.filter("linked").select("a", "b")
     judged = known.filter("heavy")
     degrees = lists.select(F.col("key").alias("a"), "degree").distinct()
     below = judged.filter("down is not null").join(degrees, "a").select(
         "gid", F.explode("down").alias("token"), F.col("a").alias("key"), F.col("an").alias("n"), "degree",
         (~F.col("linked")).alias("apart")).distinct()
-    # sets so much smaller than the pivot that what u has of the pivot could do
-    reach = judged.filter("not linked").select(
-        F.col("a").alias("key"), F.col("b").alias("pivot"),
-        F.floor(F.col("overlap") * (100 + percent) / float(percent) - F.col("an") + 1e-9).alias("most"))
-    far = pivots.join(reach, ["key", "pivot"]).select("gid", "token", F.col("key").alias("a"), "most")
-    lesser = pivots.filter(F.col("n") < F.col("pivot_n")).select("gid", "token", F.col("key").alias("b"), "n")
-    more = far.join(lesser, ["gid", "token"]).filter((F.col("n") <= F.col("most")) & (F.col("a") != F.col("b")))
+    # sets so much smaller than the pivot that what u has of the pivot could do, once per pair of the pivot's group
+    most = F.floor(F.col("overlap") * (100 + percent) / float(percent) - F.col("an") + 1e-9)
+    far = judged.filter("not linked").select("gid", "a", most.alias("most"))
+    lesser = judged.filter("an < bn").select("gid", F.col("a").alias("b"), F.col("an").alias("n"))
+    lesser = lesser.join(far.groupBy("gid").agg(F.max("most").alias("reach")), "gid").filter("n <= reach").drop("reach")
+    far = far.join(lesser.groupBy("gid").agg(F.min("n").alias("least")), "gid").filter("most >= least").drop("least")
+    more = far.join(lesser, "gid").filter((F.col("n") <= F.col("most")) & (F.col("a") != F.col("b")))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return links, below, more
 
@@ -349,7 +362,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int
     found, owed, level = [], None, 0
     while not (lists.isEmpty() and (owed is None or owed.isEmpty())):
         level += 1
-        links, below, owed = _level(lists, owed, sets, percent, light if level < LEVELS else None)
+        some = sets
+        if level > 1:  # lists below a pivot have few of the classes
+            named = [lists.select(F.col("key").alias("token")), lists.select(F.col("pivot").alias("token")),
+                     owed.select(F.col("a").alias("token")), owed.select(F.col("b").alias("token"))]
+            some, _ = _split(sets, "key", _bits(functools.reduce(DataFrame.unionByName, named)))
+        links, below, owed = _level(lists, owed, some, percent, light if level < LEVELS else None)
         found.append(links)
         owed = materialize(owed, "owed")
         lists = materialize(_lists(below), "lists")
@@ -383,6 +401,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     kept = first.select("f._id", "f._row", F.lit(True).alias("kept"))
     judged = rows.join(kept, ["_id", "_row"], "left").filter("kept is null or copies > 1")
     gone = judged.select("_id", "_row")
+    # rows that stay for certain are not moved
+    inside, outside = _split(marked, "_row", _bits(gone.select(F.col("_row").alias("token"))))
     repeated = judged.filter("kept").select("_id", "_row")
-    once = distinct_rows(marked.join(repeated, ["_id", "_row"], "left_semi")).select("_values.*")
-    return marked.join(gone, ["_id", "_row"], "left_anti").select("_values.*").unionByName(once)
+    once = distinct_rows(inside.join(repeated, ["_id", "_row"], "left_semi")).select("_values.*")
+    stay = inside.join(gone, ["_id", "_row"], "left_anti").select("_values.*")
+    return outside.select("_values.*").unionByName(stay).unionByName(once)
