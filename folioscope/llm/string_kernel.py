@@ -246,9 +246,15 @@ def learn(toxic: dict[str, int], clean: list[str], landmarks: int = LANDMARKS) -
     names = list(toxic)
     chosen = choose_landmarks(names, landmarks * 3 // 5) + choose_landmarks(clean, landmarks * 2 // 5)
     # rows of subsequences that some landmark has; the first row is empty
-    each = [table_of(u) for u in chosen]
-    seen = np.unique(np.concatenate([np.zeros(1, dtype=np.int64), *[np.flatnonzero(t) for t in each]]))
-    tables = np.stack([t[seen] for t in each], axis=1).astype(np.float32)
+    each = []
+    for unit in chosen:
+        table = table_of(unit)
+        own = np.flatnonzero(table)
+        each.append((own, table[own].astype(np.float32)))
+    seen = np.unique(np.concatenate([np.zeros(1, dtype=np.int64), *[own for own, _ in each]]))
+    tables = np.zeros((len(seen), len(each)), dtype=np.float32)
+    for i, (own, weights) in enumerate(each):
+        tables[np.searchsorted(seen, own), i] = weights
     place = np.zeros(LETTERS ** ORDER, dtype=np.int32)
     place[seen] = np.arange(len(seen))
     gram = (tables.T @ tables).astype(np.float64)
