@@ -13,6 +13,8 @@ from folioscope.llm.common import held_out, table
 from folioscope.session import materialize
 
 MIN_COSINE = 0.1
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group of near copies: texts whose sets of five-word shingles have a Jaccard of 0.8 or more."""
+    return jaccard_join.keep_one(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline over the smallest tables, stage by stage, against plain Python."""
 
 import collections
+import itertools
 
 import duckdb
 import pytest
@@ -48,3 +49,35 @@ def test_query_equals_sql(spark, name):
     found = con.execute(ORACLES[name])
     columns = [d[0] for d in found.description]
     assert normal(df.columns, [tuple(r) for r in df.collect()]) == normal(columns, found.fetchall())
+
+
+def shingles(text, words):
+    w = text.lower().split()
+    return frozenset(tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+
+def near_copies(texts, words, percent):
+    """The place of the first text of every text's group, by all pairs."""
+    sets, root = [shingles(t, words) for t in texts], list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_copies_of_five_words_and_eighty_percent_go(spark, docs):
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(150).collect()
+    texts = [r.text for r in given] + ["a b", "A  b", "a b c", "", "e f g h i", "e f g h i j"]
+    for n in (8, 9, 10, 12, 20, 40, 60, 100, 400):
+        words = [f"w{n}x{i}" for i in range(n)]
+        texts.append(" ".join(words))
+        for share in (0.15, 0.18, 0.2, 0.22, 0.25, 0.3):
+            texts.append(" ".join(words + [f"y{n}z{share}q{i}" for i in range(round(share * n))]))
+            texts.append(" ".join([*words[:n // 2], f"v{share}", *words[n // 2 + 1:]]))
+    root = near_copies(texts, 5, 80)
+    kept = corpus_pipeline.join_near_copies(spark, docs(list(enumerate(texts))), SF)
+    whole = {i for i, r in enumerate(root) if r == i or not texts[i].split()}
+    assert {r.doc_id for r in kept.collect()} == whole
+    assert whole != {i for i, r in enumerate(near_copies(texts, 4, 85)) if r == i or not texts[i].split()}
