@@ -12,15 +12,15 @@ from folioscope.llm import decontaminate, jaccard_join, language_id, mixing, res
 from folioscope.llm.common import held_out, table
 from folioscope.session import materialize
 
-MIN_COSINE = 0.1
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters that resemble a learned language at all; ``lang`` stays as it was."""
-    prototypes = language_id.learn(docs.filter(~held_out(3, 1)))
-    return language_id.recognised(docs, prototypes, MIN_COSINE)
+    """Documents with letters that resemble a learned language as texts of their length do; ``lang`` stays as it was."""
+    training = docs.filter(~held_out(3, 1))
+    prototypes = language_id.learn(training)
+    return language_id.recognised(docs, prototypes, language_id.learn_limits(training, prototypes))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

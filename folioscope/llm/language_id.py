@@ -27,6 +27,11 @@ SEED = 20_240_117
 ALPHABET = 64
 CODES = ALPHABET ** 3
 UNDETERMINED = "und"
+LOW_SHARE = 0.001   # of the training texts of a length band
+MARGIN = 0.9
+LEAST_ROWS = 50     # training texts that a band's quantile takes
+CHANCE = 0.1        # cosine that a text of no learned language reaches easily
+STEPS = 1000        # of the histogram of cosines
 _CACHE: dict[str, np.ndarray] = {}
 
 
@@ -111,8 +116,8 @@ def learn(training: DataFrame) -> dict[str, np.ndarray]:
 
 
 def cosines(texts: list[str | None], prototypes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cosine of every text with every prototype, and whether the text has letters."""
-    out, some = np.zeros((len(texts), len(prototypes))), np.zeros(len(texts), dtype=bool)
+    """Cosine of every text with every prototype, and the text's number of letters."""
+    out, letters = np.zeros((len(texts), len(prototypes))), np.zeros(len(texts), dtype=np.int64)
     for at in range(0, len(texts), 256):
         part = texts[at:at + 256]
         row, code = trigrams(part)
@@ -128,17 +133,18 @@ def cosines(texts: list[str | None], prototypes: np.ndarray) -> tuple[np.ndarray
         counts = counts.reshape(len(part), len(seen)).astype(np.float32)
         for a in range(0, len(seen), width):
             bundles += counts[:, a:a + width] @ bind(seen[a:a + width]).astype(np.float32)
-        some[at:at + 256] = counts.any(axis=1)
+        letters[at:at + 256] = np.bincount(row, minlength=len(part))
         norms = np.maximum(np.linalg.norm(bundles, axis=1), 1e-9)
         out[at:at + 256] = (bundles @ prototypes.T.astype(np.float32)) / norms[:, None]
-    return out, some
+    return out, letters
 
 
 def judge(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and score (the best cosine, cut to 0..1) of each text."""
     if not names:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    found, some = cosines(texts, matrix)
+    found, letters = cosines(texts, matrix)
+    some = letters > 0
     labels = [names[b] if s else UNDETERMINED for b, s in zip(found.argmax(axis=1), some, strict=True)]
     return labels, np.where(some, np.clip(found.max(axis=1), 0.0, 1.0), 0.0)
 
@@ -158,13 +164,55 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     return map_texts(docs, run, schema)
 
 
-def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float) -> DataFrame:
-    """The rows of ``docs`` in a learned language, with a cosine of at least ``least``."""
-    names, matrix = list(prototypes), np.array(list(prototypes.values())).reshape(-1, DIMENSION)
+def bands(letters: np.ndarray) -> np.ndarray:
+    """Length band of each number of letters: the power of two below it."""
+    return np.frexp(np.maximum(letters, 1).astype(np.float64))[1] - 1
+
+
+def learn_limits(training: DataFrame, prototypes: dict[str, np.ndarray]) -> np.ndarray:
+    """The least cosine of a text in a learned language by length band; -1 for texts too short to judge.
+
+    A band's limit is MARGIN of the LOW_SHARE quantile of its training texts' own best cosines, together with those of
+    the next shorter bands while there are fewer than LEAST_ROWS.  Where shorter ones do not suffice, or the limit is
+    not above CHANCE, the length does not allow a judgement.
+    """
+    limits = np.full(64, -1.0)
+    if not prototypes:
+        return limits
+    matrix = np.array(list(prototypes.values()))
+    rows = training.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text")
+
+    def run(batch):
+        found, letters = cosines(batch.column("text").to_pylist(), matrix)
+        some = letters > 0
+        step = np.clip(np.floor(found.max(axis=1)[some] * STEPS), 0, STEPS - 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(bands(letters[some]).astype(np.int32)), pa.array(step)],
+                                          names=["band", "step"])
+
+    own = map_texts(rows, run, T.StructType.fromDDL("band int, step int")).groupBy("band", "step").count()
+    counts = np.zeros((len(limits), STEPS), dtype=np.int64)
+    for r in own.collect():  # at most bands times STEPS rows
+        counts[r["band"], r["step"]] = r["count"]
+    for band in range(len(limits)):
+        first = band
+        while first and counts[first:band + 1].sum() < LEAST_ROWS:
+            first -= 1
+        below = counts[first:band + 1].sum(axis=0).cumsum()
+        if below[-1] >= LEAST_ROWS:
+            limit = MARGIN * np.searchsorted(below, max(1.0, LOW_SHARE * below[-1])) / STEPS
+            limits[band] = limit if limit > CHANCE else -1.0
+    return limits
+
+
+def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float | np.ndarray) -> DataFrame:
+    """The rows of ``docs`` with letters whose best cosine is at least ``least``, one limit or one per length band."""
+    matrix, limits = np.array(list(prototypes.values())).reshape(-1, DIMENSION), np.broadcast_to(least, 64)
 
     def keep(texts):
-        labels, scores = judge(texts, names, matrix)
-        return [x != UNDETERMINED and s >= least for x, s in zip(labels, scores, strict=True)]
+        if not len(matrix):
+            return [False] * len(texts)
+        found, letters = cosines(texts, matrix)
+        return ((letters > 0) & (found.max(axis=1) >= limits[bands(letters)])).tolist()
 
     return keep_texts(docs, keep)
 

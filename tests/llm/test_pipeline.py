@@ -81,3 +81,17 @@ def test_near_copies_of_five_words_and_eighty_percent_go(spark, docs):
     whole = {i for i, r in enumerate(root) if r == i or not texts[i].split()}
     assert {r.doc_id for r in kept.collect()} == whole
     assert whole != {i for i, r in enumerate(near_copies(texts, 4, 85)) if r == i or not texts[i].split()}
+
+
+def test_clean_short_texts_stay_and_foreign_passages_go(spark, docs):
+    given = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    short = [(-1, "Avec.", "fr"), (-2, "A.", "en"), (-3, "A. All rights reserved.", "en"), (-4, "Edrere.", "en")]
+    foreign = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a "
+        "dir qual era e cosa dura esta selva selvaggia e aspra e forte che nel pensier rinova la paura",
+        "Vaka vanha Vainamoinen itse tuon sanoiksi virkki: siita nyt tuli lahto, jonka kaikki maailma muistaa; kun olin "
+        "nuorempi, elin paremmin kuin moni muu mies naapurissa ja kylassa"]
+    extra = docs([*short, *[(-10 - i, t, None) for i, t in enumerate(foreign)], (-20, "12345 !!!", "en")])
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, given.unionByName(extra), SF).select("doc_id").collect()}
+    named = {r.doc_id for r in given.filter("text rlike '[a-zA-Z]'").select("doc_id").collect()}
+    assert len(named - kept) <= 0.001 * len(named) and {r for r in kept if r < 0} == {-1, -2, -3, -4}
