@@ -82,11 +82,16 @@ def _codes(m: np.ndarray, bits: int) -> np.ndarray:
     return ((m @ planes) > 0) @ (1 << np.arange(bits))
 
 
-def usable(vector: Column, dimension: int) -> Column:
-    """Whether a vector has ``dimension`` finite components."""
+def finite(vector: Column) -> Column:
+    """Whether a vector has components, all of them finite."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
                      & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return F.coalesce((F.size(vector) == dimension) & whole, F.lit(False))
+    return F.coalesce((F.size(vector) > 0) & whole, F.lit(False))
+
+
+def usable(vector: Column, dimension: int) -> Column:
+    """Whether a vector has ``dimension`` finite components."""
+    return finite(vector) & F.coalesce(F.size(vector) == dimension, F.lit(False))
 
 
 def vector_rejects(rows: DataFrame, dimension: int, key: str = "chunk_id") -> DataFrame:
@@ -97,12 +102,16 @@ def vector_rejects(rows: DataFrame, dimension: int, key: str = "chunk_id") -> Da
 
 
 def _with_cells(rows: DataFrame, key: str, bits: int, near: bool) -> DataFrame:
-    """Add the sign-code ``cell``; with ``near``, once for the code and once for each code that differs in one bit."""
+    """Add ``length`` and the sign-code ``cell``; with ``near``, also a row for each code that differs in one bit."""
+    rows = rows.withColumn("length", F.size("vector"))
     if not bits:
         return rows.withColumn("cell", F.lit(0))
 
     def code(vectors: pd.Series) -> pd.Series:
-        return pd.Series(_codes(np.stack(vectors.to_numpy()).astype(np.float64), bits)).astype("int32")
+        out = pd.Series(0, index=vectors.index, dtype="int32")
+        for _, same in vectors.groupby(vectors.map(len)):  # lengths of one batch may differ
+            out[same.index] = _codes(np.stack(same.to_numpy()).astype(np.float64), bits).astype("int32")
+        return out
 
     cells = rows.withColumn("cell", F.pandas_udf(code, "int")("vector"))
     if not near:
@@ -147,36 +156,38 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K,
     search is exact.  ``probe_bits`` > 0 keys the blocks by sign code and meets only blocks whose code differs from the
     query's in at most one bit; that search is approximate.  Ties go to the smaller id.
 
-    Vectors that are null, of another length than the longest query, or have components that are null or not finite
-    are not searched; ``vector_rejects`` lists them.
+    A query meets the chunks whose vectors are as long as its own.  Vectors that are null, empty, or have components
+    that are null or not finite are not searched; ``vector_rejects`` lists them for one length.
     """
+    fit = finite(F.col("vector"))
     # vectors come from an encoder: computed once, then counted and dealt
-    asked = materialize(queries.select("query_id", "vector").filter(F.size("vector") > 0), "queries")
-    dimension = asked.agg(F.max(F.size("vector"))).first()[0]
+    asked = materialize(queries.select("query_id", "vector").filter(fit), "queries")
     schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
               f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double")
     spark = chunks.sparkSession
-    if dimension is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    rows = max(1, BLOCK_BYTES // (8 * dimension))
-    fit = usable(F.col("vector"), dimension)
     searched = materialize(_with_cells(chunks.select("chunk_id", "vector").filter(fit), "chunk_id", probe_bits, False),
                            "chunk-vectors")
-    wanted = _with_cells(asked.filter(fit), "query_id", probe_bits, True)
-    # one row per cell: there are 2 ** probe_bits cells at most
-    held = {r["cell"]: r["n"] for r in searched.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    sought = {r["cell"]: r["n"] for r in wanted.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    shape = spark.createDataFrame([(c, -(-n // rows), -(-sought[c] // rows)) for c, n in held.items() if c in sought],
-                                  "cell int, chunk_blocks int, query_blocks int")
+    wanted = _with_cells(asked, "query_id", probe_bits, True)
+
+    def sizes(side: DataFrame) -> dict:
+        # one row per length and cell: there are 2 ** probe_bits cells at most
+        found = side.groupBy("length", "cell").agg(F.count("*").alias("n")).collect()
+        return {(r["length"], r["cell"]): r["n"] for r in found}
+
+    held, sought = sizes(searched), sizes(wanted)
+    blocks = {key: max(1, BLOCK_BYTES // (8 * key[0])) for key in held}
+    shape = spark.createDataFrame([(*key, -(-n // blocks[key]), -(-sought[key] // blocks[key]))
+                                   for key, n in held.items() if key in sought],
+                                  "length int, cell int, chunk_blocks int, query_blocks int")
 
     def dealt(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
         """Rows in their own block, once for every block of the other side."""
-        parts = side.join(F.broadcast(shape), "cell").withColumn(
+        parts = side.join(F.broadcast(shape), ["length", "cell"]).withColumn(
             own[:-1], F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
         return parts.withColumn(other[:-1], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(
-            key, "vector", "cell", "query_block", "chunk_block")
+            key, "vector", "length", "cell", "query_block", "chunk_block")
 
-    keys = ["cell", "query_block", "chunk_block"]
+    keys = ["length", "cell", "query_block", "chunk_block"]
     left = dealt(wanted, "query_id", "query_blocks", "chunk_blocks").groupBy(*keys)
     right = dealt(searched, "chunk_id", "chunk_blocks", "query_blocks").groupBy(*keys)
     nothing = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in spark.createDataFrame([], schema).schema])

@@ -43,6 +43,17 @@ def test_unusable_vectors_are_listed_and_never_shift_scores(spark, rows):
     assert [r[0] for r in rows(S.vector_rejects(chunks, 2), "chunk_id")] == [2, 4, 5, 6, 7, 8]
 
 
+def test_an_odd_query_leaves_the_others_their_hits(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0, 0.0]), (4, [None, 1.0])],
+                                   "chunk_id long, vector array<float>")
+    queries = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0] * 9), (3, [float("nan")] * 4),
+                                     (4, None), (5, [])], "query_id long, vector array<float>")
+    for bits in (0, 2):
+        found = S.vector_topk(chunks, queries, 5, 0.5, probe_bits=bits).collect()
+        assert sorted((r.query_id, r.chunk_id) for r in found) == [(0, 2), (1, 3)]
+    assert not S.vector_topk(chunks, queries.filter("query_id > 1"), 5, None).collect()
+
+
 def test_approximate_search_has_bounded_recall(spark):
     """Unit vectors around ten centres: nearly all true neighbours differ from the query in one bit at most."""
     rng = np.random.default_rng(5)
