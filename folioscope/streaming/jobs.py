@@ -6,9 +6,13 @@ on shared storage, so a lost executor or driver resumes without losing or doubli
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,14 +71,75 @@ def stream_quota(requests: DataFrame) -> DataFrame:
 
 LANE_OUTPUT = "lane_id string, state string, error_count int, at timestamp, cause string"
 LANE_STATE = "error_count int, state string"
+HELD_ERRORS = 200_000   # errors of a lane in memory; more wait in a file of the task
+
+
+class _Errors:
+    """(ts, attempt_id) of errors, to count those after a success that is only known at the end."""
+
+    def __init__(self) -> None:
+        self.parts: list[pd.DataFrame] = []
+        self.held, self.file = 0, None
+
+    def add(self, rows: pd.DataFrame, good: tuple | None) -> None:
+        rows = rows[["ts", "attempt_id"]]
+        self.parts.append(rows if good is None else rows[_after(rows, good)])
+        self.held += len(self.parts[-1])
+        if self.held > HELD_ERRORS:
+            rows = pd.concat(self.parts)
+            self.parts = [rows if good is None else rows[_after(rows, good)]]
+            self.held = len(self.parts[0])
+            if self.held > HELD_ERRORS // 2:
+                self.file = self.file or tempfile.TemporaryFile()
+                pickle.dump(self.parts[0], self.file)
+                self.parts, self.held = [], 0
+
+    def count(self, good: tuple | None) -> int:
+        def number(rows: pd.DataFrame) -> int:
+            return len(rows) if good is None else int(_after(rows, good).sum())
+
+        out = sum(map(number, self.parts))
+        if self.file is not None:
+            end = self.file.tell()
+            self.file.seek(0)
+            while self.file.tell() < end:
+                out += number(pickle.load(self.file))
+            self.file.close()
+        return out
+
+
+def _after(rows: pd.DataFrame, key: tuple) -> np.ndarray:
+    ts, attempt_id = key
+    return ((rows["ts"] > ts) | ((rows["ts"] == ts) & (rows["attempt_id"] > attempt_id))).to_numpy()
+
+
+def _that_can_matter(attempts: DataFrame) -> DataFrame:
+    """Of a lane's attempts in an Arrow batch, the latest success and the errors after it, dropped where they lie.
+
+    What goes is older than a success that stays, so the watermark drops no success whose errors are still counted.
+    The schema's metadata carries the watermark over.
+    """
+    def run(batches):
+        for batch in batches:
+            rows = batch.select(["lane_id", "ts", "attempt_id", "success"]).to_pandas()
+            rows["place"] = np.arange(len(rows))
+            rows = rows.sort_values(["ts", "attempt_id"], kind="stable")
+            left = rows["success"].astype(int)[::-1].groupby(rows["lane_id"][::-1], dropna=False).cumsum()
+            keep = rows["place"][(left == 0) | ((left == 1) & rows["success"])]
+            yield batch.take(pa.array(np.sort(keep.to_numpy())))
+
+    return attempts.mapInArrow(run, attempts.schema)
 
 
 def stream_lane_monitor(attempts: DataFrame, cooldown: int = V.COOLDOWN_SECONDS) -> DataFrame:
     """Lane state after each batch of attempts; a cooled-down lane turns AVAILABLE by a timer.
 
     ``attempts(attempt_id, lane_id, ts, success, status_code, error)`` with a watermark on ``ts``.  A micro-batch's
-    attempts of a lane are put in order of (ts, attempt_id) over all Arrow batches that they come in; ``cause`` tells
+    attempts of a lane count in the order of (ts, attempt_id) over all Arrow batches that they come in; ``cause`` tells
     rows after attempts from rows of the timer.
+
+    Batches are folded one by one into the latest attempt, the latest success and the errors after it, so a task's
+    memory does not grow with a lane.  A lane's errors after its latest success still pass through one task.
     """
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -85,11 +150,23 @@ def stream_lane_monitor(attempts: DataFrame, cooldown: int = V.COOLDOWN_SECONDS)
                                 "cause": ["timer"]})
             return
         errors, name = state.get if state.exists else (0, "AVAILABLE")
-        # the trigger bounds a micro-batch; only the last run of errors and the last attempt decide
-        rows = pd.concat(list(batches)).sort_values(["ts", "attempt_id"], kind="stable")
-        good = rows["success"].to_numpy().nonzero()[0]
-        errors = len(rows) - 1 - int(good[-1]) if len(good) else errors + len(rows)
-        end = rows.iloc[-1]
+        end = good = None
+        failed = _Errors()
+        for rows in batches:
+            rows = rows.sort_values(["ts", "attempt_id"], kind="stable")
+            if not len(rows):
+                continue
+            last = rows.iloc[-1]
+            if end is None or (last["ts"], last["attempt_id"]) >= (end["ts"], end["attempt_id"]):
+                end = last
+            successes = rows[rows["success"]]
+            if len(successes):
+                own = (successes["ts"].iloc[-1], successes["attempt_id"].iloc[-1])
+                good = own if good is None else max(good, own)
+            failed.add(rows[~rows["success"]], good)
+        if end is None:
+            return
+        errors = failed.count(good) + (errors if good is None else 0)
         latest = end["ts"]
         if end["success"]:
             name = "AVAILABLE"
@@ -106,7 +183,7 @@ def stream_lane_monitor(attempts: DataFrame, cooldown: int = V.COOLDOWN_SECONDS)
 
     slim = attempts.select("attempt_id", "lane_id", "ts", "success",
                            rate_limited(F.col("status_code"), F.col("error")).alias("limited"))
-    return slim.groupBy("lane_id").applyInPandasWithState(
+    return _that_can_matter(slim).groupBy("lane_id").applyInPandasWithState(
         update, LANE_OUTPUT, LANE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 

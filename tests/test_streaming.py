@@ -1,5 +1,6 @@
 """Streaming jobs over several files, one micro-batch per file."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.sources.collection import CollectionStore
@@ -40,3 +41,34 @@ def test_lanes_follow_time_over_all_batches(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     last = max((r for r in out if r.cause == "attempt"), key=lambda r: r.batch_no)
     assert (last.state, last.error_count) == ("DEGRADED", 3)
+
+
+def test_hot_lanes_are_folded_and_never_held_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "HELD_ERRORS", 50)
+    frame = pd.DataFrame({"ts": pd.to_datetime(range(2000), unit="s"), "attempt_id": range(2000)}).sample(frac=1, random_state=1)
+    errors, most, good = J._Errors(), 0, None
+    for at in range(0, 2000, 20):
+        good = (pd.Timestamp(700, unit="s"), 700) if at >= 1000 else None
+        errors.add(frame[at:at + 20], good)
+        most = max(most, errors.held)
+    assert most <= 50 and errors.count(good) == 1299
+
+    schema = "attempt_id long, lane_id string, ts timestamp, success boolean, status_code int, error string"
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("attempt_id"))
+    rows = [(i, lane, None, lane == "a" and i in (7, 300), 500, None) for i in range(900) for lane in "ab"]
+    df = spark.createDataFrame(rows, schema).withColumn("ts", at).orderBy(F.rand(5))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        stream = files(spark, tmp_path, [df]).withWatermark("ts", "1 minute")
+        out = J.run_to_table(J.stream_lane_monitor(stream), f"{tmp_path}/out", f"{tmp_path}/check", mode="update").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {r.lane_id: (r.state, r.error_count) for r in out if r.cause == "attempt"}
+    assert last == {"a": ("DEGRADED", 599), "b": ("DEGRADED", 900)}
+
+
+def test_attempts_before_a_success_of_their_batch_are_not_shuffled(spark):
+    schema = "attempt_id long, lane_id string, ts timestamp, success boolean, limited boolean"
+    rows = [(i, "a", None, i == 80, False) for i in range(100)]
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("attempt_id"))).coalesce(1)
+    assert sorted(r.attempt_id for r in J._that_can_matter(df).collect()) == list(range(80, 100))
