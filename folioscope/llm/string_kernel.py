@@ -1,10 +1,13 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystrom landmarks.
 
-The kernel of two strings sums, over all common subsequences of ``ORDER`` letters, DECAY to the power of the stretches
-that they take in both; so letters put in between, left out or changed cost little.  Characters that are not letters
-match nothing but count as gap.  Kernels are divided by the root of both self-kernels.
+The kernel of two strings sums, over all common subsequences of 2 to ``ORDER`` letters, DECAY to the power of the
+stretches that they take in both; so letters put in between, left out or changed cost little.  Characters that are not
+letters match nothing but count as gap.  Every order's kernel is divided by the root of both self-kernels; orders add
+up by ``SHARES``, and a unit with too few letters for the larger orders is compared by those that it has.
 
 A sentence is compared through its units: its words in lower case, and runs of single letters joined to one ("i d i o t").
+Scored texts are also read through neighbouring short pieces joined over blanks ("id iot"), and units with digits or
+signs for letters as what they look like ("m0r0n").
 Units longer than ``WINDOW`` are read through overlapping windows.  The machine is learned from sentences of labelled
 documents: units that many toxic documents share and clean ones hardly have, against units of clean documents; then
 the clean units that it takes for toxic are added and it is learned again.  Landmarks are the units, most frequent
@@ -39,10 +42,12 @@ from folioscope.llm.common import held_out, map_texts
 from folioscope.session import materialize
 
 ORDER = 4
+SHARES = {2: 0.2, 3: 0.3, 4: 0.5}   # of the orders in the kernel
 DECAY = 0.6
 LETTERS = 32
 WINDOW = 12
-STRIDE = 6
+STRIDE = 1
+PIECE = 5        # characters of the longest piece that is joined with its neighbours
 MOST_TOXIC = 4000
 MOST_CLEAN = 8000
 MOST_UNITS = 4000
@@ -98,15 +103,14 @@ def encode(units: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
             for n, parts in out.items()}
 
 
-def self_kernel(codes: np.ndarray) -> np.ndarray:
-    """The kernel of each row with itself, by the recursion over prefixes of both."""
+def self_kernels(codes: np.ndarray) -> dict[int, np.ndarray]:
+    """The kernel of each row with itself by order, by the recursion over prefixes of both."""
     rows, n = codes.shape
-    if n < ORDER:
-        return np.zeros(rows)
     same = (codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] > 0)
     inner = np.ones((n + 1, n + 1, rows), dtype=np.float32)
     match = np.ascontiguousarray(same.transpose(1, 2, 0)).astype(np.float32) * np.float32(DECAY ** 2)
-    for _ in range(ORDER - 1):
+    out = {1: (match * inner[:-1, :-1]).sum(axis=(0, 1)).astype(np.float64)}
+    for order in range(2, ORDER + 1):
         after = np.zeros((n + 1, n + 1, rows), dtype=np.float32)
         for i in range(1, n + 1):
             run = np.zeros(rows, dtype=np.float32)
@@ -114,12 +118,21 @@ def self_kernel(codes: np.ndarray) -> np.ndarray:
                 run = np.float32(DECAY) * run + match[i - 1, j - 1] * inner[i - 1, j - 1]
                 after[i, j] = np.float32(DECAY) * after[i - 1, j] + run
         inner = after
-    return (match * inner[:-1, :-1]).sum(axis=(0, 1)).astype(np.float64)
+        out[order] = (match * inner[:-1, :-1]).sum(axis=(0, 1)).astype(np.float64)
+    return out
+
+
+def self_kernel(codes: np.ndarray) -> np.ndarray:
+    """The kernel of the largest order of each row with itself."""
+    return self_kernels(codes)[ORDER]
+
 
+def subsequences(codes: np.ndarray, order: int = ORDER):
+    """(number of the subsequence, weight) for every choice of places; 0 where a place holds no letter.
 
-def subsequences(codes: np.ndarray):
-    """(number of the subsequence, weight) for every choice of places; 0 where a place holds no letter."""
-    for places in itertools.combinations(range(codes.shape[1]), ORDER):
+    No letter has code 0, so numbers of different orders differ.
+    """
+    for places in itertools.combinations(range(codes.shape[1]), order):
         weight = DECAY ** (places[-1] - places[0] + 1)
         number, whole = codes[:, places[0]], codes[:, places[0]] > 0
         for p in places[1:]:
@@ -132,9 +145,13 @@ def table_of(unit: str) -> np.ndarray:
     """The unit's weight by subsequence, of length 1; longer units by their first window."""
     out = np.zeros(LETTERS ** ORDER)
     for _, (_, codes) in encode([unit]).items():
-        for number, weight in subsequences(codes[:1]):
-            out[number[0]] += weight
-    out[0] = 0
+        for order, share in SHARES.items():
+            own = np.zeros(LETTERS ** order)
+            for number, weight in subsequences(codes[:1], order):
+                own[number[0]] += weight
+            own[0] = 0
+            if norm := np.sqrt((own ** 2).sum()):
+                out[:len(own)] += np.sqrt(share) * own / norm
     norm = np.sqrt((out ** 2).sum())
     return out / norm if norm else out
 
@@ -149,15 +166,52 @@ def values(units: list[str], tables: np.ndarray, place: np.ndarray | None = None
         step = max(500, 20_000 // max(1, tables.shape[1] // 8))
         for at in range(0, len(owner), step):
             part = codes[at:at + step]
-            total = np.zeros((len(part), tables.shape[1]))
-            for number, weight in subsequences(part):
-                total += weight * tables[number if place is None else place[number]]
-            norm = np.sqrt(self_kernel(part))[:, None]
-            total = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
+            total, held = np.zeros((len(part), tables.shape[1])), np.zeros((len(part), 1))
+            own = self_kernels(part)
+            for order, share in SHARES.items():
+                sums = np.zeros_like(total)
+                for number, weight in subsequences(part, order):
+                    sums += weight * tables[number if place is None else place[number]]
+                norm = np.sqrt(own[order])[:, None]
+                total += np.sqrt(share) * np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+                held += share * (norm > 0)
+            total = np.divide(total, np.sqrt(held), out=np.zeros_like(total), where=held > 0)
             np.maximum.at(out, owner[at:at + step], total)
     return np.where(np.isneginf(out), 0.0, out)
 
 
+def joined(texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+    """(text, unit) of two to four neighbouring short pieces read as one word, up to WINDOW characters."""
+    row, out = [], []
+    for i, text in enumerate(texts):
+        pieces = text.lower().split() if text else []
+        short = [len(p) <= PIECE for p in pieces]
+        seen = set()
+        for a in range(len(pieces) - 1):
+            if not short[a]:
+                continue
+            unit = pieces[a]
+            for b in range(a + 1, min(a + 4, len(pieces))):
+                unit += pieces[b]
+                if not short[b] or len(unit) > WINDOW:
+                    break
+                if len(unit) > 2:
+                    seen.add(unit)
+        row += [i] * len(seen)
+        out += seen
+    return np.array(row, dtype=np.int64), out
+
+
+LOOKS_LIKE = str.maketrans("013457@$!|", "oieastasil")
+
+
+def unmasked(units: list[str]) -> tuple[np.ndarray, list[str]]:
+    """(number, unit) of the units in which signs or digits stand among letters, read as the letters they look like."""
+    read = [u.rstrip("!|").translate(LOOKS_LIKE) for u in units]
+    at = [i for i, (u, r) in enumerate(zip(units, read, strict=True)) if not u.startswith(r) and any(map(str.isalpha, u))]
+    return np.array(at, dtype=np.int64), [read[i] for i in at]
+
+
 def units_of(texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
     """(text, unit) of every unit of the texts' sentences."""
     words = [t.lower().split() if t else [] for t in texts]
@@ -182,11 +236,17 @@ class Machine:
         self.table, self.bias, self.slope, self.shift = table, bias, slope, shift
 
     def units(self, units: list[str]) -> np.ndarray:
-        return values(units, self.table[:, None])[:, 0] + self.bias
+        own = values(units, self.table[:, None])[:, 0]
+        at, read = unmasked(units)
+        if len(read):
+            own[at] = np.maximum(own[at], values(read, self.table[:, None])[:, 0])
+        return own + self.bias
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """The worst unit's decision value of each text."""
         row, flat = units_of(texts)
+        more, units = joined(texts)
+        row, flat = np.concatenate([row, more]), flat + units
         out = np.full(len(texts), NOTHING)
         if len(flat):
             column = np.empty(len(flat), dtype=object)

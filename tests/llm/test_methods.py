@@ -214,3 +214,19 @@ def test_shared_branch_goes_and_articles_stay(spark):
     copies = [(i, f"http://other/{i}", "<body><article><p>One article.</p></article></body>") for i in range(30)]
     pages = spark.createDataFrame(copies, "page_id long, url string, html string")
     assert {r.text for r in site_style.extract(pages).collect()} == {"One article."}
+
+
+def test_masked_split_and_inserted_forms_of_learned_insults():
+    rng = random.Random(4)
+    syllables = ["th", "er", "on", "an", "re", "in", "the", "at"]
+    clean = list({"".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(600)})
+    insults = {"moron": 50, "idiot": 40, "trash": 30, "scum": 20, "worthless": 25}
+    machine = string_kernel.learn(insults, clean)
+    harmless = max(machine.units(clean).max(), machine.texts([" ".join(clean[i:i + 8]) for i in range(0, 600, 8)]).max())
+    for word in insults:
+        half = len(word) // 2
+        looks = word.translate(str.maketrans("ois", "015"))
+        forms = [looks, "-".join(word), "x".join(word), *[word[:i] + "*" + word[i + 1:] for i in range(len(word))]]
+        split = [f"you {word[:half]} {word[half:]} there", f"{word[:2]} {word[2:4]} {word[4:]}"]
+        assert machine.units(forms).min() > harmless + 0.3, word
+        assert machine.texts([*split, looks]).min() > 0 and machine.units([f"such{word}ness"])[0] > 0, word
