@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import (
-    decontaminate, jaccard_join, language_id, mixing, oracles, pu_quality, resharding, site_style, string_kernel, token_counts,
-    voronoi_knn)
+    decontaminate, heap_clusters, importance, jaccard_join, language_id, mixing, oracles, projection_forest, pu_quality,
+    resharding, site_style, string_kernel, token_counts, voronoi_knn)
 from folioscope.llm.common import table
 
 
@@ -58,6 +58,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_clusters.cluster(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_resharding": op2_resharding,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_voronoi_knn": op8_voronoi_knn,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_heap_clusters": op12_heap_clusters,
+    "op13_projection_forest": op13_projection_forest,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
