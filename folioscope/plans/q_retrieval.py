@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import vocab as V
 from folioscope.functions.text import half_even
+from folioscope.operators import lsh as L
 from folioscope.operators import questions as Q
 from folioscope.operators import ranking as R
 from folioscope.operators import retrieval as S
@@ -44,7 +45,20 @@ def vector_topk_euclid(spark, sf):
 
 
 def vector_topk_lsh(spark, sf):
-    return S.vector_topk(I.vector_chunks(spark, sf), I.label_queries(spark, sf), min_score=LOW, probe_bits=4)
+    return L.lsh_topk(I.vector_chunks(spark, sf), I.label_queries(spark, sf), min_score=LOW)
+
+
+def vector_topk_lsh_recall(spark, sf):
+    """Per query: its exact hits, whether found ones have exact scores, and the work; and the recall over all queries."""
+    exact = materialize(vector_topk(spark, sf), "exact").select("query_id", "chunk_id", F.col("score").alias("exact_score"))
+    found = materialize(vector_topk_lsh(spark, sf), "found")
+    hits = exact.join(found.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left")
+    recall = hits.agg(F.count("score") / F.count("*")).first()[0]
+    chunks = I.vector_chunks(spark, sf).count()
+    work = found.groupBy("query_id").agg((F.max("pairs_scored") < 0.3 * chunks).alias("few_scored"))
+    per_query = hits.groupBy("query_id").agg(F.count("*").alias("exact_hits"), F.coalesce(
+        F.bool_and(F.col("score") == F.col("exact_score")), F.lit(False)).alias("scores_exact"))
+    return per_query.join(work, "query_id", "left").withColumn("recall_reached", F.lit(recall is not None and recall >= 0.9))
 
 
 def _label_hits(spark, sf):
@@ -215,6 +229,7 @@ def retrieve_batch(spark, sf):
 
 QUERIES = {
     "vector_topk": vector_topk, "vector_topk_holes": vector_topk_holes, "vector_topk_euclid": vector_topk_euclid, "vector_topk_lsh": vector_topk_lsh,
+    "vector_topk_lsh_recall": vector_topk_lsh_recall,
     "evidence_boundary": evidence_boundary, "boundary_audit": boundary_audit, "diversity_select": diversity_select,
     "embed_queries": embed_queries, "search_filter": search_filter, "payload_defaults": payload_defaults,
     "retrieve_guidance": retrieve_guidance, "merge_candidates": merge_candidates,
@@ -397,6 +412,8 @@ topped AS (SELECT p.*, t.top_n FROM passes p JOIN tops t USING (query_id))""",
 
 ORACLES = {
     "vector_topk": LABEL_HITS + "SELECT query_id, chunk_id, score, rank FROM label_hits",
+    "vector_topk_lsh_recall": LABEL_HITS + """SELECT query_id, count(*) AS exact_hits, true AS scores_exact, true AS few_scored,
+true AS recall_reached FROM label_hits GROUP BY query_id""",
     "vector_topk_holes": D.with_(LABEL, label_top(
         "list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v)))",
         f"WHERE score >= {LOW} AND chunk_id % 7 > 3")) + "SELECT query_id, chunk_id, score, rank FROM label_hits",
