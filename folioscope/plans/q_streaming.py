@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import vocab as V
 from folioscope.plans import duck as D, inputs as I
-from folioscope.plans.q_usage import QUOTAS
 from folioscope.session import scratch_root
 from folioscope.sources.collection import CollectionStore
 from folioscope.streaming import jobs as J
@@ -38,19 +37,20 @@ def stream_ingest(spark, sf):
 
 
 def stream_repeat_filter(spark, sf):
+    """Every question passes once: all of the table is available at once, so it is one batch."""
     log = _stream(spark, sf, "events").select(F.col("event_id").alias("id"), "ts", F.col("props").alias("question"))
     kept = J.run_to_table(J.stream_repeat_filter(log), *_scratch(spark, "repeat"))
-    # which repeats pass depends on the batches; that every question passes once at least does not
-    return kept.groupBy("question_key").agg((F.count("*") >= 1).alias("passed"))
+    return kept.groupBy("question_key").agg(F.count("*").alias("times_passed"))
 
 
 def stream_quota(spark, sf):
-    requests = _stream(spark, sf, "events").select(I.team_of().alias("team_name"), (
-        F.col("event_type") == "error").alias("refunded"), F.lit(60).alias("question_limit"))
-    rows = J.run_to_table(J.stream_quota(requests), *_scratch(spark, "quota"), mode="update")
-    last = F.max(F.struct("batch_no", "requests", "questions_used", "questions_remaining"))
-    return rows.groupBy("team_name").agg(last.alias("r")).select(
-        "team_name", "r.requests", "r.questions_used", "r.questions_remaining")
+    """Every event as a request of its user's team; sessions start with the day."""
+    requests = _stream(spark, sf, "events").select(
+        F.col("event_id").alias("request_id"), I.team_of().alias("team_name"), "ts",
+        F.date_trunc("day", "ts").alias("started_at"), F.lit(QUOTA_LIMIT).alias("question_limit"),
+        (F.col("event_type") == "error").alias("refunded"))
+    return J.run_to_table(J.stream_quota(requests, QUOTA_SECONDS), *_scratch(spark, "quota"), idle_batches=False).select(
+        "request_id", "team_name", "used_before", "outcome", "status_code")
 
 
 def stream_lane_monitor(spark, sf):
@@ -72,6 +72,8 @@ def stream_admin_metrics(spark, sf):
     return last.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "team_name", "r.events")
 
 
+QUOTA_LIMIT, QUOTA_SECONDS = 60, 16 * 3600
+
 QUERIES = {name: globals()[name] for name in (
     "stream_ingest stream_repeat_filter stream_quota stream_lane_monitor stream_admin_metrics").split()}
 
@@ -81,10 +83,14 @@ ORACLES = {
     "stream_ingest": D.with_(DOCUMENT_PAGES, D.HEADERS, D.CLEANED, D.lines_of("cleaned"), *D.CHUNKING)
     + """SELECT document_id, chunk_order AS reading_order, section_type, estimated_tokens, 384 AS dimension,
 md5(content) AS content_md5 FROM final WHERE estimated_tokens <= 512""",
-    "stream_repeat_filter": f"""SELECT DISTINCT {D.squash('lower(props)')} AS question_key, true AS passed FROM events""",
-    "stream_quota": D.with_(QUOTAS) + """SELECT 'team-' || user_id AS team_name, count(*) AS requests,
-count(*) FILTER (event_type <> 'error') AS questions_used,
-greatest(0, 60 - count(*) FILTER (event_type <> 'error')) AS questions_remaining FROM events GROUP BY user_id""",
+    "stream_repeat_filter": f"""SELECT {D.squash('lower(props)')} AS question_key, 1 AS times_passed FROM events GROUP BY 1""",
+    "stream_quota": f"""WITH r AS (SELECT event_id AS request_id, 'team-' || user_id AS team_name, ts,
+  date_diff('second', date_trunc('day', ts), ts) >= {QUOTA_SECONDS} AS expired, event_type = 'error' AS refunded FROM events),
+c AS (SELECT *, coalesce(count(*) FILTER (NOT expired AND NOT refunded) OVER (PARTITION BY team_name ORDER BY ts, request_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_before FROM r),
+o AS (SELECT *, CASE WHEN expired THEN 'EXPIRED' WHEN used_before >= {QUOTA_LIMIT} THEN 'QUOTA' ELSE 'ACCEPTED' END AS outcome FROM c)
+SELECT request_id, team_name, used_before, outcome,
+CASE outcome WHEN 'EXPIRED' THEN 403 WHEN 'QUOTA' THEN 429 ELSE 200 END AS status_code FROM o""",
     "stream_lane_monitor": """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS lane_id, ts, event_type <> 'error' AS ok,
   value > 100 AS limited, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events),
 r AS (SELECT lane_id, coalesce(min(back) FILTER (ok), count(*) + 1) - 1 AS error_count FROM a GROUP BY 1)

@@ -6,8 +6,6 @@ on shared storage, so a lost executor or driver resumes without losing or doubli
 
 from __future__ import annotations
 
-import pickle
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from folioscope.functions import vocab as V
 from folioscope.functions.text import normalized_key
 from folioscope.operators.lanes import DEGRADED_AFTER, rate_limited
+from folioscope.operators.usage import remaining_seconds
 from folioscope.plans.corpus import index_pages
 from folioscope.session import materialize
 from folioscope.sources.collection import CollectionStore
@@ -61,56 +59,69 @@ def stream_repeat_filter(log: DataFrame, ttl_seconds: int = V.ANSWER_TTL_SECONDS
             .withWatermark("ts", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(["question_key"]))
 
 
-def stream_quota(requests: DataFrame) -> DataFrame:
-    """Live consuming-request counters per team (update mode)."""
-    return requests.groupBy("team_name").agg(
-        F.count("*").alias("requests"), F.count_if(~F.col("refunded")).alias("questions_used"),
-        F.max("question_limit").alias("question_limit")).withColumn(
-        "questions_remaining", F.greatest(F.lit(0), F.col("question_limit") - F.col("questions_used")))
+def _rocksdb(stream: DataFrame) -> None:
+    """Arbitrary state with timers and time-to-live needs this store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in stream.sparkSession.conf.get(key):
+        stream.sparkSession.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-LANE_OUTPUT = "lane_id string, state string, error_count int, at timestamp, cause string"
-LANE_STATE = "error_count int, state string"
-HELD_ERRORS = 200_000   # errors of a lane in memory; more wait in a file of the task
+class _Admission(StatefulProcessor):
+    """Questions used per team, forgotten once the team's session cannot be open any more."""
 
+    def __init__(self, ttl_seconds: int):
+        self.ttl = ttl_seconds * 1000
 
-class _Errors:
-    """(ts, attempt_id) of errors, to count those after a success that is only known at the end."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getValueState("used", "used long", ttlDurationMs=self.ttl)
 
-    def __init__(self) -> None:
-        self.parts: list[pd.DataFrame] = []
-        self.held, self.file = 0, None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # only narrow columns are held: the order of a batch is known when all of it is there
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "request_id"], kind="stable")
+        used = self.used.get()[0] if self.used.exists() else 0
+        consumes = (~batch["expired"] & ~batch["refunded"]).to_numpy().astype(np.int64)
+        before = used + np.cumsum(consumes) - consumes
+        if consumes.any():
+            self.used.update((int(used + consumes.sum()),))
+        full = before >= batch["question_limit"].to_numpy()
+        outcome = np.where(batch["expired"], "EXPIRED", np.where(full, "QUOTA", "ACCEPTED"))
+        status = np.where(batch["expired"], 403, np.where(full, 429, 200)).astype(np.int32)
+        for at in range(0, len(batch), OUT_ROWS):
+            part = slice(at, at + OUT_ROWS)
+            yield pd.DataFrame({"team_name": key[0], "request_id": batch["request_id"].to_numpy()[part],
+                                "ts": batch["ts"].to_numpy()[part], "used_before": before[part], "outcome": outcome[part],
+                                "status_code": status[part]})
 
-    def add(self, rows: pd.DataFrame, good: tuple | None) -> None:
-        rows = rows[["ts", "attempt_id"]]
-        self.parts.append(rows if good is None else rows[_after(rows, good)])
-        self.held += len(self.parts[-1])
-        if self.held > HELD_ERRORS:
-            rows = pd.concat(self.parts)
-            self.parts = [rows if good is None else rows[_after(rows, good)]]
-            self.held = len(self.parts[0])
-            if self.held > HELD_ERRORS // 2:
-                self.file = self.file or tempfile.TemporaryFile()
-                pickle.dump(self.parts[0], self.file)
-                self.parts, self.held = [], 0
+    def close(self) -> None:
+        pass
 
-    def count(self, good: tuple | None) -> int:
-        def number(rows: pd.DataFrame) -> int:
-            return len(rows) if good is None else int(_after(rows, good).sum())
 
-        out = sum(map(number, self.parts))
-        if self.file is not None:
-            end = self.file.tell()
-            self.file.seek(0)
-            while self.file.tell() < end:
-                out += number(pickle.load(self.file))
-            self.file.close()
-        return out
+OUT_ROWS = 10_000
 
 
-def _after(rows: pd.DataFrame, key: tuple) -> np.ndarray:
-    ts, attempt_id = key
-    return ((rows["ts"] > ts) | ((rows["ts"] == ts) & (rows["attempt_id"] > attempt_id))).to_numpy()
+def stream_quota(requests: DataFrame, duration: int = V.SESSION_SECONDS, ttl_seconds: int = 2 * V.SESSION_SECONDS) -> DataFrame:
+    """Outcome of every request as it comes in: ACCEPTED, QUOTA or EXPIRED (append mode).
+
+    ``requests(request_id, team_name, ts, started_at, question_limit, refunded)``.  Every row is answered in its own
+    micro-batch; rows of one batch count in the order of (ts, request_id), so batches in time order give what
+    ``quota_admission`` gives for all rows.  A null flag counts as not refunded, a null limit as the default.  A team's
+    count lives ``ttl_seconds`` after its last consuming request.  One task holds the narrow columns of a team's rows of
+    one micro-batch; the source's trigger limit (files or bytes per trigger) bounds them.  To drain a table, start the
+    query without idle batches (see ``run_to_table``).
+    """
+    _rocksdb(requests)
+    expired = F.coalesce(remaining_seconds(F.col("started_at"), F.col("ts"), duration) <= 0, F.lit(False))
+    slim = requests.select(
+        "team_name", "request_id", "ts", expired.alias("expired"),
+        F.coalesce("refunded", F.lit(False)).alias("refunded"),
+        F.coalesce(F.col("question_limit").cast("long"), F.lit(V.QUESTION_LIMIT).cast("long")).alias("question_limit"))
+    kind = requests.schema["request_id"].dataType.simpleString()
+    return slim.groupBy("team_name").transformWithStateInPandas(
+        _Admission(ttl_seconds), f"team_name string, request_id {kind}, ts timestamp, used_before long, outcome string, "
+        "status_code int", "Append", "ProcessingTime")
+
+
+LANE_OUTPUT = "lane_id string, state string, error_count long, at timestamp, cause string"
 
 
 def _that_can_matter(attempts: DataFrame) -> DataFrame:
@@ -131,60 +142,96 @@ def _that_can_matter(attempts: DataFrame) -> DataFrame:
     return attempts.mapInArrow(run, attempts.schema)
 
 
-def stream_lane_monitor(attempts: DataFrame, cooldown: int = V.COOLDOWN_SECONDS) -> DataFrame:
-    """Lane state after each batch of attempts; a cooled-down lane turns AVAILABLE by a timer.
+class _Lane(StatefulProcessor):
+    """A lane's latest attempt, its latest success, and the errors after that success.
 
-    ``attempts(attempt_id, lane_id, ts, success, status_code, error)`` with a watermark on ``ts``.  A micro-batch's
-    attempts of a lane count in the order of (ts, attempt_id) over all Arrow batches that they come in; ``cause`` tells
-    rows after attempts from rows of the timer.
-
-    Batches are folded one by one into the latest attempt, the latest success and the errors after it, so a task's
-    memory does not grow with a lane.  A lane's errors after its latest success still pass through one task.
+    Errors that the watermark has passed are a number: any success still to come is later than they are.  Errors that
+    a late success may still precede are kept one by one, by (ts, attempt_id), in a list.
     """
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            errors, _ = state.get
-            state.update((errors, "AVAILABLE"))
-            at = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-            yield pd.DataFrame({"lane_id": [key[0]], "state": ["AVAILABLE"], "error_count": [errors], "at": [at],
-                                "cause": ["timer"]})
-            return
-        errors, name = state.get if state.exists else (0, "AVAILABLE")
-        end = good = None
-        failed = _Errors()
-        for rows in batches:
-            rows = rows.sort_values(["ts", "attempt_id"], kind="stable")
-            if not len(rows):
-                continue
-            last = rows.iloc[-1]
-            if end is None or (last["ts"], last["attempt_id"]) >= (end["ts"], end["attempt_id"]):
-                end = last
-            successes = rows[rows["success"]]
-            if len(successes):
-                own = (successes["ts"].iloc[-1], successes["attempt_id"].iloc[-1])
-                good = own if good is None else max(good, own)
-            failed.add(rows[~rows["success"]], good)
+
+    def __init__(self, kind: str, cooldown: int):
+        self.kind, self.cooldown = kind, cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState(
+            "head", f"passed long, good_ts long, good_id {self.kind}, end_ts long, end_id {self.kind}, success boolean, "
+            "limited boolean")
+        self.open = handle.getListState("open", f"ts long, attempt_id {self.kind}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        passed, good, end, success, limited = 0, None, None, True, False
+        if self.head.exists():
+            passed, good_ts, good_id, end_ts, end_id, success, limited = self.head.get()
+            good, end = (None if good_ts is None else (good_ts, good_id)), (end_ts, end_id)
+        known = [(r[0], r[1]) for r in self.open.get()] if self.open.exists() else []
+        before = good
+        for timer in list(self.handle.listTimers()):
+            if timer * 1000 <= mark:  # its own call would come after these rows
+                yield self._row(key, "AVAILABLE", passed + len(known), timer * 1000, "timer")
+            self.handle.deleteTimer(timer)
+        for frame in rows:
+            ts = frame["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            for at, name, ok, full in zip(ts.tolist(), frame["attempt_id"].tolist(), frame["success"].tolist(),
+                                          frame["limited"].tolist(), strict=True):
+                if at < mark:  # too late: what it could change has been counted
+                    continue
+                one = (at, name)
+                if end is None or one >= end:
+                    end, success, limited = one, bool(ok), bool(full)
+                if not ok and (good is None or one > good):
+                    known.append(one)
+                elif ok and (good is None or one > good):
+                    good = one
+            known = known if good is None else [e for e in known if e > good]
         if end is None:
             return
-        errors = failed.count(good) + (errors if good is None else 0)
-        latest = end["ts"]
-        if end["success"]:
-            name = "AVAILABLE"
-        elif end["limited"]:
-            name = "RATE_LIMITED"
-        else:
-            name = "DEGRADED" if errors >= DEGRADED_AFTER else "AVAILABLE"
-        state.update((errors, name))
-        until = int(latest.timestamp() * 1000) + cooldown * 1000
-        if name in ("RATE_LIMITED", "DEGRADED") and until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
-        yield pd.DataFrame({"lane_id": [key[0]], "state": [name], "error_count": [errors], "at": [latest],
-                            "cause": ["attempt"]})
-
-    slim = attempts.select("attempt_id", "lane_id", "ts", "success",
+        if good != before:
+            passed = 0  # all that the watermark had passed came before this success
+        passed += sum(e[0] < mark for e in known)
+        known = [e for e in known if e[0] >= mark]
+        self.head.update((passed, *(good or (None, None)), *end, success, limited))
+        if known:
+            self.open.put(known)
+        elif self.open.exists():
+            self.open.clear()
+        errors = passed + len(known)
+        state = "AVAILABLE" if success else "RATE_LIMITED" if limited else "DEGRADED" if errors >= DEGRADED_AFTER else "AVAILABLE"
+        until = end[0] // 1000 + self.cooldown * 1000
+        if state != "AVAILABLE" and until > mark // 1000:
+            self.handle.registerTimer(until)
+        yield self._row(key, state, errors, end[0], "attempt")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, *_ = self.head.get()
+        errors = passed + (len(list(self.open.get())) if self.open.exists() else 0)
+        yield self._row(key, "AVAILABLE", errors, expiredTimerInfo.getExpiryTimeInMs() * 1000, "timer")
+
+    @staticmethod
+    def _row(key, state: str, errors: int, micros: int, cause: str) -> pd.DataFrame:
+        return pd.DataFrame({"lane_id": [key[0]], "state": [state], "error_count": [errors],
+                             "at": [pd.Timestamp(micros, unit="us")], "cause": [cause]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_lane_monitor(attempts: DataFrame, cooldown: int = V.COOLDOWN_SECONDS) -> DataFrame:
+    """Lane state after each batch of attempts; a cooled-down lane turns AVAILABLE by a timer.
+
+    ``attempts(attempt_id, lane_id, ts, success, status_code, error)`` with a watermark on ``ts``.  Attempts count in the
+    order of (ts, attempt_id), whatever the batches in which they come, as long as the watermark has not passed them;
+    later ones are left out.  ``cause`` tells rows after attempts from rows of the timer, whose ``at`` is the end of the
+    cooldown.  A lane's state holds the errors after its latest success that the watermark has not passed, two narrow
+    columns each; of an Arrow batch only the latest success and the errors after it reach the lane's task.
+    """
+    _rocksdb(attempts)
+    slim = attempts.select("attempt_id", "lane_id", "ts", F.coalesce("success", F.lit(False)).alias("success"),
                            rate_limited(F.col("status_code"), F.col("error")).alias("limited"))
-    return _that_can_matter(slim).groupBy("lane_id").applyInPandasWithState(
-        update, LANE_OUTPUT, LANE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    kind = attempts.schema["attempt_id"].dataType.simpleString()
+    return _that_can_matter(slim).groupBy("lane_id").transformWithStateInPandas(
+        _Lane(kind, cooldown), LANE_OUTPUT, "Update", "EventTime")
 
 
 def stream_admin_metrics(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -194,10 +241,11 @@ def stream_admin_metrics(events: DataFrame, width: str = "1 hour", delay: str =
             .select(F.col("window.start").alias("window_start"), "team_name", "events", "last_activity_at"))
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", idle_batches: bool = True) -> DataFrame:
     """Drain the available input into Parquet and return what was written.
 
-    In update mode every batch is appended with its number; the last row per key wins.
+    In update mode every batch is appended with its number; the last row per key wins.  Without ``idle_batches`` there
+    is no batch without rows: state with a time-to-live would ask for such batches for ever.
     """
     spark = stream.sparkSession
     schema = stream.schema
@@ -206,8 +254,14 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         # the batch number names the folder, so a replayed batch overwrites itself
         batch.withColumn("batch_no", F.lit(number)).write.mode("overwrite").parquet(f"{path}/b{number:06d}")
 
-    query = (stream.writeStream.outputMode(mode).foreachBatch(write)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    spark.conf.set(idle, str(idle_batches).lower())  # a query keeps the value that it starts with
+    try:
+        query = (stream.writeStream.outputMode(mode).foreachBatch(write)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(idle, before)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()

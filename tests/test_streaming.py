@@ -1,8 +1,11 @@
 """Streaming jobs over several files, one micro-batch per file."""
 
-import pandas as pd
+import random
+
 from pyspark.sql import functions as F
 
+from folioscope.operators.lanes import lane_failure_runs
+from folioscope.operators.usage import quota_admission
 from folioscope.sources.collection import CollectionStore
 from folioscope.streaming import jobs as J
 
@@ -43,28 +46,63 @@ def test_lanes_follow_time_over_all_batches(spark, tmp_path):
     assert (last.state, last.error_count) == ("DEGRADED", 3)
 
 
-def test_hot_lanes_are_folded_and_never_held_whole(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(J, "HELD_ERRORS", 50)
-    frame = pd.DataFrame({"ts": pd.to_datetime(range(2000), unit="s"), "attempt_id": range(2000)}).sample(frac=1, random_state=1)
-    errors, most, good = J._Errors(), 0, None
-    for at in range(0, 2000, 20):
-        good = (pd.Timestamp(700, unit="s"), 700) if at >= 1000 else None
-        errors.add(frame[at:at + 20], good)
-        most = max(most, errors.held)
-    assert most <= 50 and errors.count(good) == 1299
+ATTEMPTS = "attempt_id long, lane_id string, ts timestamp, success boolean, status_code int, error string"
 
-    schema = "attempt_id long, lane_id string, ts timestamp, success boolean, status_code int, error string"
-    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("attempt_id"))
-    rows = [(i, lane, None, lane == "a" and i in (7, 300), 500, None) for i in range(900) for lane in "ab"]
-    df = spark.createDataFrame(rows, schema).withColumn("ts", at).orderBy(F.rand(5))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+
+def test_late_successes_give_what_the_whole_log_gives(spark, tmp_path):
+    """Attempts of three batches in any order, as late as the watermark lets them be, against the batch operator."""
+    rng = random.Random(9)
+    rows = [(i, lane, None, (i, lane) in {(7, "a"), (22, "a"), (40, "b"), (3, "c"), (58, "c")} or lane == "d" and i % 4 == 0,
+             429 if lane == "c" and i == 59 else 500, None) for i in range(60) for lane in "abcd"]
+    whole = spark.createDataFrame(rows, ATTEMPTS).withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("attempt_id")))
+    deal = {(i, lane): rng.choice((0, 1, 2)) for i in range(60) for lane in "abcd"}
+    deal |= {(7, "a"): 2, (22, "a"): 1, (40, "b"): 2, (58, "c"): 0}
+    part = F.element_at(F.create_map(*[x for (i, lane), n in deal.items() for x in (F.lit(f"{i}{lane}"), F.lit(n))]),
+                        F.concat(F.col("attempt_id").cast("string"), "lane_id"))
+    parts = [whole.filter(part == n).orderBy(F.rand(n)) for n in range(3)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        stream = files(spark, tmp_path, [df]).withWatermark("ts", "1 minute")
+        stream = files(spark, tmp_path, parts).withWatermark("ts", "2 minutes")
         out = J.run_to_table(J.stream_lane_monitor(stream), f"{tmp_path}/out", f"{tmp_path}/check", mode="update").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    last = {r.lane_id: (r.state, r.error_count) for r in out if r.cause == "attempt"}
-    assert last == {"a": ("DEGRADED", 599), "b": ("DEGRADED", 900)}
+    last = {}
+    for r in sorted((r for r in out if r.cause == "attempt"), key=lambda r: r.batch_no):
+        last[r.lane_id] = (r.state, r.error_count)
+    runs = lane_failure_runs(whole).filter("attempt_id = 59").collect()
+    assert last == {r.lane_id: (r.state_after, r.error_count) for r in runs} and len(last) == 4
+
+
+def test_a_lane_opens_again_when_the_watermark_passes_its_cooldown(spark, tmp_path):
+    at = F.timestamp_seconds(1_700_000_000 + F.col("attempt_id"))
+    first = spark.createDataFrame([(i, "a", None, False, 500, None) for i in range(4)], ATTEMPTS).withColumn("ts", at)
+    second = spark.createDataFrame([(500, "b", None, True, 200, None)], ATTEMPTS).withColumn("ts", at)
+    third = spark.createDataFrame([(520, "a", None, False, 500, None), (2, "a", None, True, 200, None)], ATTEMPTS).withColumn("ts", at)
+    stream = files(spark, tmp_path, [first, second, third]).withWatermark("ts", "1 minute")
+    out = J.run_to_table(J.stream_lane_monitor(stream, 60), f"{tmp_path}/out", f"{tmp_path}/check", mode="update").collect()
+    own = [(r.cause, r.state, r.error_count) for r in sorted(out, key=lambda r: r.batch_no) if r.lane_id == "a"]
+    # the success of second 2 comes after the watermark has passed it and changes nothing
+    assert own[:3] == [("attempt", "DEGRADED", 4), ("timer", "AVAILABLE", 4), ("attempt", "DEGRADED", 5)]
+    opened = next(r["at"] for r in out if r.cause == "timer" and r.lane_id == "a")
+    assert opened.timestamp() == 1_700_000_003 + 60
+
+
+def test_quota_answers_every_request_over_several_batches(spark, tmp_path):
+    schema = "request_id long, team_name string, ts timestamp, started_at timestamp, question_limit int, refunded boolean"
+    rng = random.Random(4)
+    rows = [(i, rng.choice(("hot", "hot", "hot", "x", "y", None)), None, None, 9 if i % 2 else 12, rng.random() < 0.2)
+            for i in range(240)]
+    start = F.timestamp_seconds(F.lit(1_700_000_000))
+    whole = spark.createDataFrame(rows, schema).withColumn("started_at", F.when(F.col("team_name") != "y", start)).withColumn(
+        "ts", F.timestamp_seconds(1_700_000_000 + 20 * F.floor(F.col("request_id") / 3)))
+    parts = [whole.filter(F.floor(F.col("request_id") / 60) == n).orderBy(F.rand(n)) for n in range(4)]
+    stream = J.stream_quota(files(spark, tmp_path, parts), duration=1200)
+    out = J.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/check", idle_batches=False).collect()
+    expected = quota_admission(whole, 1200).collect()
+    assert len({r.batch_no for r in out}) == 4 and {r.outcome for r in out} == {"ACCEPTED", "QUOTA", "EXPIRED"}
+    assert {r.request_id: (r.team_name, r.used_before, r.outcome, r.status_code) for r in out} == {
+        r.request_id: (r.team_name, r.used_before, r.outcome, r.status_code) for r in expected}
+    assert len(out) == len(expected)
 
 
 def test_attempts_before_a_success_of_their_batch_are_not_shuffled(spark):
