@@ -1,18 +1,20 @@
 """The vector collection: table operations and a Parquet store on shared storage.
 
-The functions work on any two DataFrames.  :class:`CollectionStore` keeps one folder per
-document type and writes every change as a new version beside the old one, so readers
-never see half a write and untouched types are never rewritten.
+The functions work on any two DataFrames.  :class:`CollectionStore` keeps the points as Parquet
+in folders by document type and document bucket and replaces the folders that a change touches.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import vocab as V
+from folioscope.session import materialize
 
 METRICS = {"cosine": "Cosine", "euclid": "Euclid", "dot": "Dot"}
 
@@ -96,71 +98,120 @@ def index_verification(expected: DataFrame, indexed: DataFrame, key: str = "docu
             .unionByName(have.join(want, key, "left_anti").withColumn("problem", F.lit("unexpected"))))
 
 
+BUCKETS = 64
+
+
 class CollectionStore:
-    """Versioned Parquet collection below ``root``."""
+    """Two plain Parquet tables below ``root``: ``collections``, one row per document type, and ``points``.
+
+    Points lie in folders by document type and bucket; a bucket holds the documents whose hash falls into it.  A change
+    reads the buckets of the documents that it touches, writes the result aside and replaces these folders by dynamic
+    partition overwrite, so its cost follows the documents touched and a repeated change gives the same table.  A
+    replaced bucket always gets one row without chunk id, so that a bucket left without points is replaced too; chunk
+    ids are never null otherwise.  Writers of one document type take turns.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _versions(self, document_type: str) -> list[str]:
-        folder = self._path(f"{self.root}/{document_type}")
-        if not self._fs.exists(folder):
-            return []
-        done = [s.getPath() for s in self._fs.listStatus(folder)
-                if self._fs.exists(self._path(s.getPath(), "_SUCCESS"))]
-        return sorted(p.toString() for p in done)
-
-    def _write(self, df: DataFrame, document_type: str) -> None:
-        number = len(self._versions(document_type))
-        df.drop("document_type").write.mode("errorifexists").parquet(
-            f"{self.root}/{document_type}/v{number:06d}-{uuid.uuid4().hex[:8]}")
+        self.buckets = buckets
+
+    def bucket_of(self, document_id: str = "document_id") -> Column:
+        return F.pmod(F.xxhash64(F.col(document_id).cast("string")), F.lit(self.buckets)).cast("int")
+
+    def overwrite(self, rows: DataFrame, path: str, keys: list[str]) -> None:
+        """Replace the folders of ``path`` that ``rows`` has rows for; large ones are written by several tasks."""
+        (rows.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*keys).parquet(path))
+
+    def read_folder(self, path: str, schema: T.StructType) -> DataFrame:
+        """The rows of a table that may not have been written yet."""
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def registered(self) -> dict[str, T.StructType]:
+        """The schema of each document type's points; there are a few types."""
+        rows = self.read_folder(f"{self.root}/collections", T.StructType([
+            T.StructField("points_schema", T.StringType()), T.StructField("document_type", T.StringType())]))
+        return {r["document_type"]: T.StructType.fromJson(json.loads(r["points_schema"])) for r in rows.collect()}
 
     def create(self, schema_of: DataFrame, document_type: str, dimension: int,
                metric: str = "cosine", recreate: bool = False) -> bool:
         """Create an empty collection if absent; ``recreate`` empties an existing one."""
         if dimension <= 0:
             raise ValueError("dimension must be positive")
-        if self._versions(document_type) and not recreate:
+        known = document_type in self.registered()
+        if known and not recreate:
             return False
-        name = METRICS.get(metric.lower(), METRICS["cosine"])
-        meta = {"dimension": dimension, "metric": name}
-        empty = schema_of.limit(0)
+        if known:  # every bucket is replaced by its empty form
+            self._replace(self.read(document_type).limit(0), document_type, list(range(self.buckets)))
+        empty = schema_of.drop("document_type").limit(0)
         if "vector" in empty.columns:
-            empty = empty.withMetadata("vector", meta)
-        self._write(empty, document_type)
+            empty = empty.withMetadata("vector", {
+                "dimension": dimension, "metric": METRICS.get(metric.lower(), METRICS["cosine"])})
+        self.overwrite(self.spark.createDataFrame([(json.dumps(empty.schema.jsonValue()), document_type)],
+                                                  "points_schema string, document_type string"),
+                       f"{self.root}/collections", ["document_type"])
         return True
 
     def reset(self, schema_of: DataFrame, document_type: str, dimension: int) -> bool:
         return self.create(schema_of, document_type, dimension, recreate=True)
 
-    def read(self, document_type: str) -> DataFrame:
-        versions = self._versions(document_type)
-        if not versions:
+    def exists(self, document_type: str) -> bool:
+        return document_type in self.registered()
+
+    def read(self, document_type: str, buckets: list[int] | None = None) -> DataFrame:
+        """The points of a type, of some buckets only if they are named."""
+        schema = self.registered().get(document_type)
+        if schema is None:
             raise ValueError(f"no collection {document_type!r}")
-        return self.spark.read.parquet(versions[-1]).withColumn("document_type", F.lit(document_type))
+        full = T.StructType([*schema.fields, T.StructField("document_type", T.StringType()),
+                             T.StructField("bucket", T.IntegerType())])
+        rows = self.read_folder(f"{self.root}/points", full).filter(F.col("document_type") == document_type)
+        if buckets is not None:
+            rows = rows.filter(F.col("bucket").isin(buckets))
+        return rows.filter("chunk_id is not null").drop("bucket")
+
+    def touched(self, documents: DataFrame) -> list[int]:
+        """The buckets of some documents: numbers below ``buckets``."""
+        return sorted(r[0] for r in documents.select(self.bucket_of()).distinct().collect())
+
+    def _replace(self, rows: DataFrame, document_type: str, buckets: list[int]) -> None:
+        """Make ``rows`` the points of the named buckets."""
+        if not buckets:
+            return
+        path = f"{self.root}/points"
+        full = rows.withColumn("document_type", F.lit(document_type)).withColumn("bucket", self.bucket_of())
+        marks = self.spark.createDataFrame([(document_type, b) for b in buckets], "document_type string, bucket int")
+        # the rows come from the folders that are replaced: written aside first
+        self.overwrite(materialize(full.unionByName(marks, allowMissingColumns=True), "points"), path,
+                       ["document_type", "bucket"])
 
     def upsert(self, rows: DataFrame, document_type: str) -> None:
-        base = self.read(document_type)
-        self._write(collection_upsert(base, rows.withColumn("document_type", F.lit(document_type))), document_type)
-
-    def exists(self, document_type: str) -> bool:
-        return bool(self._versions(document_type))
+        """Insert or replace by chunk id, within the document that a chunk belongs to."""
+        buckets = self.touched(rows)
+        base = self.read(document_type, buckets)
+        self._replace(collection_upsert(base, rows.withColumn("document_type", F.lit(document_type))), document_type, buckets)
 
     def replace_documents(self, rows: DataFrame, document_type: str, documents: DataFrame | None = None) -> None:
         """Replace every document of ``documents`` (by default those in ``rows``) by its new rows."""
-        kept = collection_delete_document(self.read(document_type), rows if documents is None else documents)
+        changed = rows.select("document_id").distinct() if documents is None else documents.select("document_id").distinct()
+        buckets = self.touched(changed.unionByName(rows.select("document_id")))
+        kept = collection_delete_document(self.read(document_type, buckets), changed)
         fresh = rows.withColumn("document_type", F.lit(document_type))
-        self._write(kept.unionByName(fresh.select(*kept.columns)), document_type)
+        self._replace(kept.unionByName(fresh.select(*kept.columns)), document_type, buckets)
 
     def delete_documents(self, documents: DataFrame, document_type: str) -> None:
-        self._write(collection_delete_document(self.read(document_type), documents), document_type)
+        buckets = self.touched(documents)
+        self._replace(collection_delete_document(self.read(document_type, buckets), documents), document_type, buckets)
 
     def info(self) -> DataFrame:
-        kinds = [k for k in (V.COMPANY, V.INSTRUCTION) if self._versions(k)]
+        known = self.registered()
+        kinds = [k for k in (V.COMPANY, V.INSTRUCTION) if k in known]
         rows = self.spark.createDataFrame([], "document_type string")
         for kind in kinds:
             rows = rows.unionByName(self.read(kind).select("document_type"))

@@ -29,22 +29,32 @@ def stream_ingest(pages: DataFrame, store: CollectionStore, document_type: str,
                   index: Callable[[DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
     """Index every arriving micro-batch of pages: chunks, payload and vectors of the documents that it touches.
 
-    A document's pages may come in several batches.  Every batch keeps its pages in a folder of its own (a replayed
-    batch writes it again); the touched documents are built anew from all their pages, the latest batch's version of
-    each.  They replace what the collection had of them, also where nothing is left to index.
+    A document's pages may come in several batches; a page that comes again replaces the one before (of two in one
+    batch, the greater text stays).  Pages lie beside the
+    points in folders by document type and bucket.  A batch reads and replaces only the buckets of its documents, in
+    the pages and in the points, so its cost follows the batch and not what came before; a replayed batch gives the
+    same tables.  Touched documents are built anew from all their pages and replace what the collection had of them,
+    also where nothing is left to index.
     """
     build = index or (lambda df: index_pages(df, document_type))
-    folder = f"{store.root}/pages-{document_type}"
+    folder, keys = f"{store.root}/pages", ["document_type", "bucket"]
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.withColumn("batch_no", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/b{number:06d}")
-        schema = T.StructType([*batch.schema.fields, T.StructField("batch_no", T.IntegerType())])
-        kept = spark.read.schema(schema).parquet(f"{folder}/b*").filter(F.col("batch_no") <= number)
-        touched = kept.filter(F.col("batch_no") == number).select("document_id").distinct()
-        last = F.max_by(F.struct(*batch.columns), "batch_no").alias("p")
-        pages = kept.join(touched, "document_id", "left_semi").groupBy("document_id", "page_number").agg(last).select("p.*")
-        rows = materialize(build(pages), "ingested")
+        arrived = materialize(batch, "arrived")  # read several times below
+        touched = arrived.select("document_id").distinct()
+        buckets = store.touched(touched)
+        if not buckets:
+            return
+        named = arrived.withColumns({"document_type": F.lit(document_type), "bucket": store.bucket_of()})
+        page = ["document_id", "page_number"]
+        last = F.max(F.struct(*[c for c in named.columns if c not in [*keys, *page]])).alias("p")
+        named = named.groupBy(*keys, *page).agg(last).select(*keys, *page, "p.*")
+        here = F.col("bucket").isin(buckets) & (F.col("document_type") == document_type)
+        kept = store.read_folder(folder, named.schema).filter(here)
+        pages = kept.join(named.select(*page), page, "left_anti").unionByName(named)
+        pages = materialize(pages, "pages")
+        store.overwrite(pages, folder, keys)
+        rows = materialize(build(pages.join(touched, "document_id", "left_semi").select(*batch.columns)), "ingested")
         if not store.exists(document_type):
             store.create(rows, document_type, V.EMBEDDING_DIMENSION)
         store.replace_documents(rows, document_type, touched)

@@ -46,6 +46,36 @@ def test_lanes_follow_time_over_all_batches(spark, tmp_path):
     assert (last.state, last.error_count) == ("DEGRADED", 3)
 
 
+def test_a_batch_reads_and_replaces_only_its_buckets(spark, tmp_path):
+    """Ten documents in three batches; a replayed batch changes nothing; folders of other documents stay as they are."""
+    store = CollectionStore(spark, f"{tmp_path}/store", buckets=16)
+    page = "document_id string, page_number long, text string"
+    batches = [[(f"d{i}", 1, f"first {i}") for i in range(10)], [("d3", 2, "second 3"), ("d4", 1, "")], [("d3", 1, "new 3")]]
+
+    def index(pages):
+        return pages.filter("text <> ''").groupBy("document_id").agg(
+            F.array_join(F.array_sort(F.collect_list(F.struct("page_number", "text"))).getField("text"), "|").alias("content")
+        ).withColumn("chunk_id", F.col("document_id")).withColumn("vector", F.array(F.lit(1.0)))
+
+    written = []
+    for n, rows in enumerate(batches):
+        stream = files(spark, f"{tmp_path}/{n}", [spark.createDataFrame(rows, page)])
+        J.stream_ingest(stream, store, "company", f"{tmp_path}/check{n}", index).awaitTermination()
+        written.append({p.parent.name: p.name for p in (tmp_path / "store/points/document_type=company").glob("bucket=*/*.parquet")})
+        if n == 1:  # the same batch again
+            before = sorted(tuple(r) for r in store.read("company").collect())
+            J.stream_ingest(files(spark, f"{tmp_path}/again", [spark.createDataFrame(rows, page)]), store, "company",
+                            f"{tmp_path}/check-again", index).awaitTermination()
+            assert sorted(tuple(r) for r in store.read("company").collect()) == before
+    content = {r.document_id: r.content for r in store.read("company").collect()}
+    assert content == {**{f"d{i}": f"first {i}" for i in range(10) if i != 4}, "d3": "new 3|second 3"}
+    mine = {f"bucket={b}" for b in store.touched(spark.createDataFrame([("d3",), ("d4",)], "document_id string"))}
+    assert all(written[0][b] == written[2][b] for b in written[0] if b not in mine)
+    own = store.touched(spark.createDataFrame([("d3",)], "document_id string"))
+    plan = store.read("company", own)._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(bucket#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
 ATTEMPTS = "attempt_id long, lane_id string, ts timestamp, success boolean, status_code int, error string"
 
 
