@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import vocab as V
@@ -11,7 +13,7 @@ from folioscope.operators import catalog as C
 from folioscope.operators import usage as U
 from folioscope.plans import duck as D, inputs as I
 from folioscope.plans.q_corpus import DOCS
-from folioscope.session import scratch_root
+from folioscope.session import materialize, scratch_root
 from folioscope.sources import collection as K
 from folioscope.sources import pages as P
 from folioscope.sources import tables as T
@@ -135,29 +137,81 @@ def append_prompt_log(spark, sf):
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"))
 
 
-def _teams_source(spark, sf):
-    """A text dump of the teams: JSON members and ISO times."""
-    return I.teams(spark, sf).select("team_name", F.to_json("member_names").alias("member_names"), F.concat(
-        F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("started_at"))
-
-
-def _teams_target(spark, sf):
-    """Teams that bought something are already in the target."""
-    buyers = I.quotas(spark, sf).filter("questions_used > 10").select("team_name")
-    return I.teams(spark, sf).join(buyers, "team_name", "left_semi")
+MOVES = [
+    T.Move("audit_logs", parents={"team_id": "teams"}),
+    T.Move("documents", parents={"team_id": "teams"}),
+    T.Move("prompt_logs", stripped=("team_name",)),
+    T.Move("events"),
+    T.Move("teams", natural=("team_name",), generates=True, stripped=("team_name",)),
+]
+
+
+def _iso(ts):
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
+def _dump(spark, sf):
+    """A text dump of five tables: teams, prompts, events (orders), documents and audit rows (events)."""
+    log = I.table(spark, sf, "events")
+    padded = F.concat(F.lit("  team-"), F.col("user_id").cast("string"), F.lit(" "))
+    teams = log.groupBy("user_id").agg(F.min("ts").alias("ts")).select(
+        F.col("user_id").cast("string").alias("id"), padded.alias("team_name"),
+        F.to_json(F.array(F.concat(F.lit("member-"), F.col("user_id").cast("string")))).alias("member_names"), _iso("ts").alias("started_at"))
+    prompts = log.filter(F.col("event_type").isin("view", "click")).select(
+        F.col("event_id").cast("string").alias("id"), padded.alias("team_name"), F.col("props").alias("prompt"), _iso("ts").alias("created_at"))
+    events = I.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("name"),
+        (F.col("o_orderkey") % 20).cast("string").alias("question_limit"),
+        F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+    documents = I.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
+        F.col("n_chars").cast("string").alias("file_size"), (F.col("doc_id") % 170).cast("string").alias("team_id"))
+    audit = log.select(F.col("event_id").cast("string").alias("id"), F.when(
+        F.col("event_type") != "error", F.col("user_id").cast("string")).alias("team_id"), "event_type", _iso("ts").alias("timestamp"))
+    return {"teams": teams, "prompt_logs": prompts, "events": events, "documents": documents, "audit_logs": audit}
+
+
+TEAM_SHIFT = 5000   # keys that the target gave to its own teams
+
+
+def _there(spark, sf):
+    """What the target holds before the move: teams that bought something, under keys of its own, and some of the rest."""
+    rows = {name: T.converted(df, spark.createDataFrame([], TARGETS[name])) for name, df in _dump(spark, sf).items()}
+    buyers = materialize(I.table(spark, sf, "events").groupBy("user_id").agg(
+        F.count_if(F.col("event_type") == "purchase").alias("n")).filter("n > 10").select(F.col("user_id").alias("team_id")), "buyers")
+    teams = rows["teams"].join(buyers, F.col("id") == F.col("team_id"), "left_semi").withColumn("id", F.col("id") + TEAM_SHIFT)
+    teams = teams.withColumn("team_name", F.trim("team_name"))
+    prompts = rows["prompt_logs"].filter("id % 3 = 0").withColumn("team_name", F.trim("team_name"))
+    documents = rows["documents"].filter("id % 4 = 0").join(buyers, "team_id", "left_semi").withColumn("team_id", F.col("team_id") + TEAM_SHIFT)
+    audit = rows["audit_logs"].filter("id % 7 = 0 and team_id is null")
+    return {"teams": teams, "prompt_logs": prompts, "events": rows["events"].filter("id % 5 = 0"),
+            "documents": documents.select(*rows["documents"].columns), "audit_logs": audit}
+
+
+TARGETS = {
+    "teams": "id long, team_name string, member_names array<string>, started_at timestamp",
+    "prompt_logs": "id long, team_name string, prompt string, created_at timestamp",
+    "events": "id long, name string, question_limit int, created_at timestamp",
+    "documents": "id long, filename string, file_size long, team_id long",
+    "audit_logs": "id long, team_id long, event_type string, timestamp timestamp",
+}
 
 
 def migrate_if_absent(spark, sf):
-    moved = T.migrate_if_absent(_teams_source(spark, sf), _teams_target(spark, sf), "team_name")
-    return moved.select("team_name", F.array_join("member_names", "|").alias("member_names"),
-                        F.date_format("started_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started_at"))
+    """The new rows of all five tables, as text beside their keys."""
+    moved = T.migrate_cascade(MOVES, _dump(spark, sf), _there(spark, sf))
+    parts = []
+    for name, table in moved.items():
+        rows = table.inserted
+        team = F.col("team_id") if "team_id" in rows.columns else F.lit(None).cast("long")
+        rest = [c for c in rows.columns if c not in ("id", "team_id")]
+        parts.append(rows.select(F.lit(name).alias("table_name"), "id", team.alias("team_id"), T.row_text(rows, rest).alias("content")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def migration_reconcile(spark, sf):
-    source, target = _teams_source(spark, sf), _teams_target(spark, sf)
-    after = target.unionByName(T.migrate_if_absent(source, target, "team_name"))
-    docs, labels = I.table(spark, sf, "documents"), I.table(spark, sf, "labels")
-    return T.migration_reconcile({"teams": (source, after), "documents": (docs, labels)})
+    source, target = _dump(spark, sf), _there(spark, sf)
+    return T.reconcile_cascade(MOVES, source, target, T.migrate_cascade(MOVES, source, target))
 
 
 def add_sources_column(spark, sf):
@@ -190,8 +244,19 @@ catalog AS (SELECT filename, CASE WHEN ext = '' THEN 'PDF' ELSE upper(ext) END A
 SLIM_SQL = ", ".join(SLIM)
 NEW = f"""fresh AS (SELECT d.* REPLACE ('quality-' || l.quality AS section_type) FROM docs d JOIN labels l ON l.doc_id = d.chunk_id),
 toxic AS (SELECT document_id FROM docs d JOIN labels l ON l.doc_id = d.chunk_id WHERE toxic = 1 GROUP BY 1 HAVING count(*) >= 2)"""
-TEAM_TABLES = """teams AS (SELECT 'team-' || user_id AS team_name, 'member-' || user_id AS member_names, min(ts) AS started_at,
-  count(*) FILTER (event_type = 'purchase') AS bought FROM events GROUP BY user_id)"""
+WHEN = "%Y-%m-%d %H:%M:%S.%f"
+MIGRATION = f"""teams AS (SELECT user_id AS id, 'team-' || user_id || '|[member-' || user_id || ']|' || strftime(min(ts), '{WHEN}')
+  AS content, count(*) FILTER (event_type = 'purchase') AS bought FROM events GROUP BY user_id),
+new_teams AS (SELECT (SELECT coalesce(max(id) + {TEAM_SHIFT}, 0) FROM teams WHERE bought > 10)
+  + row_number() OVER (ORDER BY id) AS id, id AS old_id, content FROM teams WHERE bought <= 10),
+team_keys AS (SELECT t.id, t.bought, coalesce(n.id, t.id + {TEAM_SHIFT}) AS new_id FROM teams t LEFT JOIN new_teams n ON n.old_id = t.id),
+prompts AS (SELECT event_id AS id, 'team-' || user_id || '|' || coalesce(props, '<null>') || '|' || strftime(ts, '{WHEN}') AS content
+  FROM events WHERE event_type IN ('view', 'click')),
+orders_text AS (SELECT o_orderkey AS id, o_orderpriority || '|' || o_orderkey % 20 || '|'
+  || strftime(CAST(o_orderdate AS TIMESTAMP), '{WHEN}') AS content FROM orders),
+docs_text AS (SELECT doc_id AS id, 'doc-' || doc_id || '.pdf|' || n_chars AS content, doc_id % 170 AS team_id FROM documents),
+audit AS (SELECT event_id AS id, CASE WHEN event_type <> 'error' THEN user_id END AS team_id,
+  event_type || '|' || strftime(ts, '{WHEN}') AS content FROM events)"""
 
 ORACLES = {
     "document_catalog": D.with_(FILES) + "SELECT * FROM catalog",
@@ -234,12 +299,28 @@ SELECT n AS document_name, 'missing' AS problem FROM e WHERE n NOT IN (SELECT n
 UNION ALL SELECT n, 'unexpected' FROM i WHERE n NOT IN (SELECT n FROM e)""",
     "append_prompt_log": """SELECT 'team-' || user_id AS team_name, props AS prompt, event_id AS page,
 strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM events WHERE event_type IN ('view', 'click')""",
-    "migrate_if_absent": D.with_(TEAM_TABLES) + """SELECT team_name, member_names,
-strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at FROM teams WHERE bought <= 10""",
-    "migration_reconcile": D.with_(TEAM_TABLES) + """SELECT 'teams' AS table_name, (SELECT count(*) FROM teams) AS source_count,
-(SELECT count(*) FROM teams) AS target_count, true AS matches UNION ALL
-SELECT 'documents', (SELECT count(*) FROM documents), (SELECT count(*) FROM labels),
-(SELECT count(*) FROM documents) = (SELECT count(*) FROM labels)""",
+    "migrate_if_absent": D.with_(MIGRATION) + """SELECT 'teams' AS table_name, id, CAST(NULL AS BIGINT) AS team_id, content
+FROM new_teams UNION ALL
+SELECT 'prompt_logs', id, NULL, content FROM prompts WHERE id % 3 <> 0 UNION ALL
+SELECT 'events', id, NULL, content FROM orders_text WHERE id % 5 <> 0 UNION ALL
+SELECT 'documents', d.id, k.new_id, content FROM docs_text d JOIN team_keys k ON k.id = d.team_id
+  WHERE NOT (d.id % 4 = 0 AND k.bought > 10) UNION ALL
+SELECT 'audit_logs', a.id, k.new_id, content FROM audit a LEFT JOIN team_keys k ON k.id = a.team_id
+  WHERE NOT (a.id % 7 = 0 AND a.team_id IS NULL)""",
+    "migration_reconcile": D.with_(MIGRATION) + """, found AS (
+SELECT 'teams' AS table_name, content AS source_text, content AS target_text, false AS orphan FROM teams UNION ALL
+SELECT 'prompt_logs', id || '|' || content, id || '|' || content, false FROM prompts UNION ALL
+SELECT 'events', id || '|' || content, id || '|' || content, false FROM orders_text UNION ALL
+SELECT 'documents', d.id || '|' || content || '|' || coalesce('team-' || k.id, '<null>'),
+  d.id || '|' || content || '|' || 'team-' || k.id, k.id IS NULL FROM docs_text d LEFT JOIN team_keys k ON k.id = d.team_id UNION ALL
+SELECT 'audit_logs', id || '|' || coalesce('team-' || team_id, '<null>') || '|' || content,
+  id || '|' || coalesce('team-' || team_id, '<null>') || '|' || content, false FROM audit),
+counts AS (SELECT table_name, count(*) AS source_count, count(*) FILTER (NOT orphan) AS target_count,
+  count(*) FILTER (orphan) AS orphan_count,
+  CAST(sum(CAST('0x' || md5(source_text)[1:8] AS BIGINT)) % 2305843009213693952 AS BIGINT) AS source_checksum,
+  CAST(coalesce(sum(CAST('0x' || md5(target_text)[1:8] AS BIGINT)) FILTER (NOT orphan), 0) % 2305843009213693952 AS BIGINT)
+    AS target_checksum FROM found GROUP BY 1)
+SELECT *, source_count = target_count AS matches, source_checksum = target_checksum AS contents_match FROM counts""",
     "add_sources_column": """SELECT 'team-' || user_id AS team_name, 3 * count(*) AS rows, count(*) AS with_sources
 FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id""",
 }
