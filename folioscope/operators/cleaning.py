@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import squash, strip
+from folioscope.session import materialize
 
 MIN_PAGES = 3
 
@@ -90,7 +91,11 @@ def strip_header_footer(pages: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """All cleaning rules; one row per page with ``raw_chars`` and ``clean_chars``."""
+    """All cleaning rules; one row per page with ``raw_chars`` and ``clean_chars``.
+
+    The pages are written once: their edges, their numbers and their texts are three readers.
+    """
+    pages = materialize(pages, "raw-pages")
     marked = _with_repeated(pages, threshold)
     kept = _without_repeated(normalized_lines(F.col("text")))
     lines = F.transform(kept, lambda x: F.regexp_replace(x, "[ \t]+", " "))

@@ -41,7 +41,8 @@ def optimize_chunks(chunks: DataFrame, min_tokens: int = MIN_TOKENS,
 def chunk_pages(pages: DataFrame, titles: DataFrame | None = None, max_tokens: int = MAX_TOKENS,
                 overlap: int = OVERLAP_TOKENS, clean: bool = True) -> DataFrame:
     """Raw pages to validated chunks (``reject_reason`` is null for good ones)."""
-    cleaned = clean_pages(pages) if clean else pages
+    # the section pass refers to a page's text many times, which would clean it as often
+    cleaned = materialize(clean_pages(pages), "clean-pages") if clean else pages
     # page sections feed the packing, the headings and the chunk texts: computed once
     paged = materialize(page_sections(cleaned), "page-sections")
     # the section index holds no text

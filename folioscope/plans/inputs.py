@@ -15,8 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text-heavy table, read by splits; its files decide how it is spread."""
-    return table(spark, sf_dir, name)
+    """A text-heavy table.
+
+    Its splits are its tasks; a table of fewer splits than the cluster has cores is spread by its first column, as
+    encoders and patterns cost more than the shuffle of a small table.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(2 * cores, rows.columns[0])
 
 
 def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from folioscope.functions import vocab as V
 from folioscope.functions.time import micros
 from folioscope.operators import lanes as L
 from folioscope.operators import logs as G
+from folioscope.operators.redaction import redact_secret_table as redact_table
 from folioscope.operators import usage as U
 from folioscope.plans import duck as D, inputs as I
 
@@ -194,6 +195,18 @@ def redact_secrets(spark, sf):
     return G.redact_secrets(rows, SECRETS)
 
 
+def redact_secret_table(spark, sf):
+    """Customer names as secrets, some with their segment behind, in a message for every order."""
+    key, named = F.col("c_custkey"), F.concat("c_name", F.lit("-"), "c_mktsegment")
+    customers = I.table(spark, sf, "customer")
+    secrets = customers.filter(key % 3 != 0).select(F.col("c_name").alias("secret")).unionByName(
+        customers.filter(key % 5 == 0).select(named.alias("secret")))
+    orders = I.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    rows = orders.join(customers, "c_custkey").select(
+        "o_orderkey", F.concat(F.lit("call of "), named, F.lit(" from "), "c_name").alias("message"))
+    return redact_table(rows, secrets)
+
+
 def clean_answers(spark, sf):
     turns = I.table(spark, sf, "conversations")
     content = F.when(F.col("role") == "system", " \n ").otherwise(
@@ -214,7 +227,7 @@ QUERIES = {name: globals()[name] for name in (
     "prompt_history team_search recent_activity repeat_questions cache_hit_rate lane_effective_state lane_ranking "
     "lane_pool_summary lane_reconcile lane_failure_runs provider_usage parse_structured_logs latency_summary "
     "stage_timing latency_percentiles latency_percentiles_approx throughput_and_status status_histogram "
-    "http_request_log redact_secrets clean_answers").split()}
+    "http_request_log redact_secrets redact_secret_table clean_answers").split()}
 
 # ---- SQL -----------------------------------------------------------------------------------
 def ts(x, name=None):
@@ -372,6 +385,10 @@ HAVING count(*) FILTER (event_type = 'view') > 0""",
     "redact_secrets": f"""SELECT event_id, CASE WHEN value < 1 THEN 'UnknownError' ELSE
 replace(replace(event_type || ' ' || props, {D.q(SECRETS[0])}, '{V.REDACTED}'), 'error', '{V.REDACTED}') END AS message
 FROM events""",
+    "redact_secret_table": f"""SELECT o_orderkey, 'call of ' || CASE WHEN c_custkey % 5 = 0 THEN '{V.REDACTED}'
+  WHEN c_custkey % 3 <> 0 THEN '{V.REDACTED}-' || c_mktsegment ELSE c_name || '-' || c_mktsegment END || ' from '
+  || CASE WHEN c_custkey % 3 <> 0 THEN '{V.REDACTED}' ELSE c_name END AS message
+FROM orders JOIN customer ON c_custkey = o_custkey""",
     "clean_answers": f"""SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN md5({D.strip('text')}) END AS answer_md5,
 CASE role WHEN 'user' THEN 'empty_choices' WHEN 'system' THEN 'empty_text' END AS error,
 CASE WHEN role <> 'user' THEN CASE WHEN turn > 2 THEN 'length' ELSE 'stop' END END AS finish_reason,
