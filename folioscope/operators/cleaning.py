@@ -9,17 +9,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import squash, strip
+from folioscope.functions.text import WS, squash, strip
 from folioscope.session import materialize
 
 MIN_PAGES = 3
 
 
-def normalized_lines(text: Column) -> Column:
-    """Stripped lines after line-break, no-break-space and zero-width normalisation."""
+def _plain(text: Column) -> Column:
     unix = F.regexp_replace(text, r"\r\n|\r", "\n")
     plain = F.replace(F.translate(unix, "\u00a0", " "), F.lit("\u200b"), F.lit(""))
-    return F.transform(F.split(plain, "\n"), strip)
+    # most texts have none of these, which a plain search tells faster
+    odd = F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\u00a0")) | F.contains(text, F.lit("\u200b"))
+    return F.when(odd, plain).otherwise(text)
+
+
+def normalized_lines(text: Column) -> Column:
+    """Stripped lines after line-break, no-break-space and zero-width normalisation."""
+    return F.transform(F.split(_plain(text), "\n"), strip)
+
+
+def _squashed_lines(text: Column) -> Column:
+    """``squash`` of every line but for its margins, by one pattern over the whole text: no match crosses a line end.
+
+    Plain ASCII without two spaces in a row, which a short pattern tells, has nothing to replace.
+    """
+    squashed = F.regexp_replace(text, rf"[{WS}&&[^\n]]+", " ")
+    return F.split(F.when(text.rlike(r"  |[^\x20-\x7e\n]"), squashed).otherwise(text), "\n")
 
 
 def normalize_chars(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -96,10 +111,14 @@ def clean_pages(pages: DataFrame, threshold: float = 0.75) -> DataFrame:
     The pages are written once: their edges, their numbers and their texts are three readers.
     """
     pages = materialize(pages, "raw-pages")
-    marked = _with_repeated(pages, threshold)
-    kept = _without_repeated(normalized_lines(F.col("text")))
-    lines = F.transform(kept, lambda x: F.regexp_replace(x, "[ \t]+", " "))
-    cleaned = marked.withColumn("__clean", F.coalesce(_collapse(F.array_join(lines, "\n")), F.lit("")))
+    marked = _with_repeated(pages, threshold).withColumn("__plain", _plain(F.col("text")))
+    some = F.size("__repeated") > 0
+    # a column that only a lambda refers to would be computed for every element, so the lines are zipped first
+    both = F.arrays_zip(F.split("__plain", "\n").alias("line"), _squashed_lines(F.col("__plain")).alias("squashed"))
+    stay = F.filter(both, lambda x: ~F.array_contains("__repeated", F.trim(x["squashed"])))
+    kept = F.when(some, F.transform(stay, lambda x: x["line"])).otherwise(F.split("__plain", "\n"))
+    lines = F.array_join(F.transform(kept, strip), "\n")
+    cleaned = marked.withColumn("__clean", F.coalesce(_collapse(F.regexp_replace(lines, "[ \t]{2,}|\t", " ")), F.lit("")))
     return cleaned.select(
         *[c for c in pages.columns if c != "text"], F.col("__clean").alias("text"),
         F.coalesce(F.length("text"), F.lit(0)).alias("raw_chars"),
