@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import map_texts, ranked, slices
+from folioscope.session import materialize
 
 NGRAM = 1
 BUCKETS = 10_000
@@ -141,7 +142,8 @@ def resample(docs: DataFrame, target: DataFrame, ngram: int = NGRAM, buckets: in
     Of the documents with ``least_words`` words or more, ``percent`` of a hundred are drawn, rounded down.
     """
     gain = gains(bucket_counts(docs, ngram, buckets), bucket_counts(target, ngram, buckets))
-    rows = weigh(docs, gain, ngram, seed).select(
+    # the range sort reads its rows twice, to sample and to sort them
+    rows = materialize(weigh(docs, gain, ngram, seed), "weights").select(
         "*", (F.col("n_words") >= least_words).cast("long").alias("able"), F.negative("score").alias("down"),
         F.col("doc_id").isNull().alias("last"))
     placed = ranked(rows, [], ["down", "last", "doc_id", "n_features", "weight"], ["able"], "scores")
