@@ -12,13 +12,18 @@ so a list is kept for a part of a set: sets of one range of sizes differ by at m
 are dealt into more than D parts by their hash, and so two sets that link have a part alike.  Ranges grow by a fixed
 factor; a set that can link with sets of the next range enters its lists as well.
 
-Lists.  Classes that share a key (subset or part) are candidates.  A light list compares all its pairs; in a heavy list
-(more than ``LIGHT`` classes) every set is compared with one pivot p only, the class that shares most lists with
-others.  If u is not linked to p, |v| >= |p|, and u and v share nothing outside p, then |u & v| <= |u & p| and
-|u | v| >= |u | p|, so u and v do not link either.  Hence a heavy list still owes pairs, one of them not linked to p,
-that share a shingle outside p or whose other set is so small that |u & p| could be enough.  The first make new lists
-below p, joined by the same rule, the second are compared.  After ``LEVELS`` levels lists compare all their pairs,
-whatever their length, so that no link between two components is lost; near copies of one text end before.
+Lists.  Classes that share a key (subset or part) are candidates.  A light list gives all its pairs; in a heavy list
+(more than ``LIGHT`` classes) every set is first paired with one pivot only, the class that shares most lists with others.
+
+Sketches.  A set's sketch has the parity of its shingles per bucket, between 2 and 4 buckets a shingle.  A bucket of
+different parity holds a shingle that one of two sets has alone, so sketches that differ in more places than linked
+sets of these sizes can prove that there is no link.  Shingles themselves are moved only for pairs that sketches pass.
+
+Components, not links, are asked for, so a pair is compared only while its classes are in different components.  Of a
+class's pairs the one with the nearest sketch is verified first, then the others, if still apart.  Heavy lists whose
+classes are not in one component by then owe the pairs across components: sketches meet in blocks of bounded size, the
+classes of the list's largest component only with those of others.  A block first gives a spanning forest of the pairs
+that sketches pass; after these are verified it gives all passed pairs that are still apart, so no link is lost.
 
 Sets are only built for classes in lists of two or more; they are recomputed from their texts.  Everything that several
 branches read is written to the shared folder once.  Components grow by large-star and small-star steps.
@@ -30,7 +35,6 @@ own, linked if their sets are equal; a component of null ids only has a null com
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 
@@ -46,12 +50,15 @@ from folioscope.session import materialize
 
 WORDS = 4
 PERCENT = 85
-LIGHT = 3
-LEVELS = 4
+LIGHT = 4
+BLOCK = 512
+CROWD = 64
 GROWTH = 1.4
 FILTER_BITS = 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0x5851F42D4C957F2D)
+_SMALL: dict[int, int] = {}
+_RANGES: dict[tuple[int, int], tuple[int, int, int]] = {}
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -119,23 +126,25 @@ def enumerated(size: int, percent: int = PERCENT) -> bool:
     return sum(math.comb(size, m) for m in range(missing + 1)) <= max(1, size + 1)
 
 
-@functools.cache
 def largest_small(percent: int = PERCENT) -> int:
-    size = 1
-    while enumerated(size + 1, percent):
-        size += 1
-    return size
+    if percent not in _SMALL:
+        size = 1
+        while enumerated(size + 1, percent):
+            size += 1
+        _SMALL[percent] = size
+    return _SMALL[percent]
 
 
-@functools.cache
 def size_range(c: int, percent: int = PERCENT) -> tuple[int, int, int]:
     """(largest size, most apart, parts) of the c-th range of large sizes.
 
     A few parts more than needed make up for parts that are empty by chance.
     """
-    top = int((largest_small(percent) + 1) * GROWTH ** c)
-    apart = max(most_apart(top, percent), most_apart(top - 1, percent) + 1)
-    return top, apart, apart + 3 + apart // 16
+    if (c, percent) not in _RANGES:
+        top = int((largest_small(percent) + 1) * GROWTH ** c)
+        apart = max(most_apart(top, percent), most_apart(top - 1, percent) + 1)
+        _RANGES[c, percent] = top, apart, apart + 3 + apart // 16
+    return _RANGES[c, percent]
 
 
 def ranges_of(size: int, percent: int = PERCENT) -> list[int]:
@@ -171,30 +180,76 @@ def entry_keys(values: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate([np.asarray(x, dtype=np.uint64) for x in out])
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """The parities of a set's shingles over a power of two of buckets, 64 at least."""
+    buckets = 64 << max(0, len(values) - 1 >> 5).bit_length()
+    with np.errstate(over="ignore"):
+        place = scramble(values + _NONE) & np.uint64(buckets - 1)
+    counts = np.bincount(place.astype(np.int64), minlength=buckets)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they were with fewer buckets."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def may_link(a: list[bytes], an: np.ndarray, b: list[bytes], bn: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(i, j) of the pairs of a[i] and b[j] that sizes and sketches do not rule out."""
+    found = []
+    widths = [np.array([len(x) for x in side]) // 8 for side in (a, b)]
+    for wa in np.unique(widths[0]):
+        i = np.flatnonzero(widths[0] == wa)
+        one = np.frombuffer(b"".join(a[k] for k in i), dtype=np.uint64).reshape(len(i), wa)
+        for wb in np.unique(widths[1]):
+            if max(wa, wb) > 4 * min(wa, wb) and percent >= 50:
+                continue  # sizes are more than twice apart
+            j = np.flatnonzero(widths[1] == wb)
+            two = np.frombuffer(b"".join(b[k] for k in j), dtype=np.uint64).reshape(len(j), wb)
+            words = int(min(wa, wb))
+            left, right = fold(one, words), fold(two, words)
+            step = max(1, (1 << 21) // max(1, len(j) * words))
+            for start in range(0, len(i), step):
+                here = i[start:start + step]
+                differ = np.bitwise_count(left[start:start + step, None] ^ right[None]).sum(axis=2, dtype=np.int64)
+                total = an[here][:, None] + bn[j][None]
+                rows, columns = np.nonzero(differ <= total - 2 * -(-percent * total // (100 + percent)))
+                found.append((here[rows], j[columns]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+
+
 def linked(overlap: Column, a: Column, b: Column, percent: int = PERCENT) -> Column:
     return 100 * overlap >= percent * (a + b - overlap)
 
 
 def _features(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The columns of ``docs`` but the text, with n, key and list entries of every row's set.
+    """The columns of ``docs`` but the text, with n, key, sketch and list entries of every row's set.
 
-    Of copies within a piece of a partition, one has the entries.
+    Of copies within a piece of a partition, one has sketch and entries.
     """
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, T.StructField("n", T.LongType()), T.StructField("key", T.LongType()),
+                           T.StructField("sketch", T.BinaryType()),
                            T.StructField("entries", T.ArrayType(T.LongType()))])
 
     def run(batch):
-        keys, entries, seen, sizes = [], [], set(), []
+        keys, sketches, entries, seen, sizes = [], [], [], set(), []
         for values in shingle_sets(batch.column("text").to_pylist(), words):
             key = class_key(values) if len(values) else None
             keys.append(key)
             sizes.append(len(values))
-            entries.append(None if key is None or key in seen else entry_keys(values, percent).view(np.int64))
+            new = key is not None and key not in seen
+            sketches.append(sketch(values) if new else None)
+            entries.append(entry_keys(values, percent).view(np.int64) if new else None)
             seen.add(key)
         return pa.RecordBatch.from_arrays(
             [*[batch.column(f.name) for f in kept], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-             pa.array(entries, pa.list_(pa.int64()))], names=schema.names)
+             pa.array(sketches, pa.binary()), pa.array(entries, pa.list_(pa.int64()))], names=schema.names)
 
     return map_texts(docs, run, schema)
 
@@ -216,16 +271,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 def _bits(tokens: DataFrame) -> np.ndarray:
     """A bitmap of fixed size of the tokens' low bits, to drop most other entries before they are shuffled."""
-    def run(batches):
-        own = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for batch in batches:
-            own[batch.column("token").to_numpy() & (1 << FILTER_BITS) - 1] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for r in tokens.coalesce(6).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return np.unpackbits(out).astype(bool)
+    place = F.col("token").bitwiseAND((1 << FILTER_BITS) - 1) + 1
+    made = tokens.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((1 << FILTER_BITS) // 32768, dtype="V4096")
+    for r in made.collect():  # of fixed size, whatever the tokens
+        out[r["bucket"] - 1] = np.frombuffer(r["bits"], dtype="V4096")[0]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
 def _split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
@@ -264,61 +316,157 @@ def _shared_entries(features: DataFrame) -> DataFrame:
 
 
 def _lists(entries: DataFrame) -> DataFrame:
-    """Entries (gid, token, key, n, degree, apart) with their list's size and pivot; lists without a pair to find go."""
-    totals = entries.groupBy("gid", "token").agg(
-        F.count("*").alias("size"), F.max(F.struct("degree", F.negative("n").alias("less"), "key")).alias("pivot"),
-        F.max("apart").alias("open"))
-    totals = totals.filter((F.col("size") > 1) & F.col("open")).select(
-        "gid", "token", "size", F.col("pivot.key").alias("pivot"))
-    return entries.join(totals, ["gid", "token"])
+    """Entries (token, key, n) with their list's size and pivot."""
+    degrees = entries.groupBy("key").agg(F.count("*").alias("degree"))
+    ranked = entries.join(degrees, "key")
+    totals = ranked.groupBy("token").agg(
+        F.count("*").alias("size"), F.max(F.struct("degree", F.negative("n").alias("less"), "key")).alias("pivot"))
+    return entries.join(totals.select("token", "size", F.col("pivot.key").alias("pivot"),
+                                      F.negative("pivot.less").alias("pn")), "token")
 
 
 def _close(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _level(lists: DataFrame, owed: DataFrame | None, sets: DataFrame, percent: int,
-           light: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, entries one level down, pairs still to compare) of written ``lists`` and the pairs ``owed`` before."""
-    few = lists if light is None else lists.filter(F.col("size") <= light)
-    left = few.select("gid", "token", F.col("key").alias("a"), F.col("n").alias("an"), F.col("apart").alias("a_apart"))
-    right = few.select("gid", "token", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("apart").alias("b_apart"))
-    pairs = left.join(right, ["gid", "token"]).filter(
-        (F.col("a") < F.col("b")) & (F.col("a_apart") | F.col("b_apart")) & _close(F.col("an"), F.col("bn"), percent))
-    pairs = pairs.select("a", "b")
-    if owed is not None:
-        pairs = pairs.unionByName(owed)
-    wanted = pairs.withColumn("heavy", F.lit(False)).withColumn("gid", F.lit(0).cast("long"))
-    many = lists.filter(F.lit(False)) if light is None else lists.filter(F.col("size") > light)
-    pivots = many.filter(F.col("key") != F.col("pivot"))
-    wanted = wanted.unionByName(pivots.select(
-        F.col("key").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("heavy"),
-        F.xxhash64("gid", "pivot").alias("gid"))).distinct()
-    one = sets.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at"))
-    two = sets.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt"))
-    known = wanted.join(one, "a").join(two, "b").withColumn("overlap", F.size(F.array_intersect("at", "bt")).cast("long"))
-    known = known.withColumn("linked", linked(F.col("overlap"), F.col("an"), F.col("bn"), percent))
-    # an overlap with any set that a links to must have so many shingles outside the pivot
-    outside = F.greatest(F.lit(1), F.ceil(F.col("an") * percent / 100.0) - F.col("overlap"))
-    keep = (F.col("an") - F.col("overlap") - outside + 1).cast("int")
-    down = F.when(F.col("heavy") & (keep > 0),
-                  F.slice(F.array_except("at", "bt"), F.lit(1), F.greatest(keep, F.lit(0))))
-    known = materialize(known.select("a", "b", "gid", "heavy", "linked", "an", "bn", "overlap", down.alias("down")), "pairs")
-    links = known.filter("linked").select("a", "b")
-    judged = known.filter("heavy")
-    degrees = lists.select(F.col("key").alias("a"), "degree").distinct()
-    below = judged.filter("down is not null").join(degrees, "a").select(
-        "gid", F.explode("down").alias("token"), F.col("a").alias("key"), F.col("an").alias("n"), "degree",
-        (~F.col("linked")).alias("apart")).distinct()
-    # sets so much smaller than the pivot that what u has of the pivot could do, once per pair of the pivot's group
-    most = F.floor(F.col("overlap") * (100 + percent) / float(percent) - F.col("an") + 1e-9)
-    far = judged.filter("not linked").select("gid", "a", most.alias("most"))
-    lesser = judged.filter("an < bn").select("gid", F.col("a").alias("b"), F.col("an").alias("n"))
-    lesser = lesser.join(far.groupBy("gid").agg(F.max("most").alias("reach")), "gid").filter("n <= reach").drop("reach")
-    far = far.join(lesser.groupBy("gid").agg(F.min("n").alias("least")), "gid").filter("most >= least").drop("least")
-    more = far.join(lesser, "gid").filter((F.col("n") <= F.col("most")) & (F.col("a") != F.col("b")))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links, below, more
+def _first_pairs(lists: DataFrame, percent: int, light: int) -> DataFrame:
+    """Distinct (a, b) with ``crowd``, the size of the largest list that gave them: light lists whole, heavy ones by pivot."""
+    few = lists.filter(F.col("size") <= light)
+    left = few.select("token", F.col("key").alias("a"), F.col("n").alias("an"), "size")
+    right = few.select("token", F.col("key").alias("b"), F.col("n").alias("bn"))
+    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & _close(F.col("an"), F.col("bn"), percent))
+    many = lists.filter((F.col("size") > light) & (F.col("key") != F.col("pivot")) & _close(F.col("n"), F.col("pn"), percent))
+    both = pairs.select("a", "b", "size").unionByName(
+        many.select(F.col("key").alias("a"), F.col("pivot").alias("b"), "size"))
+    return both.groupBy("a", "b").agg(F.max("size").alias("crowd"))
+
+
+def _meet(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b, crowd, ...) with an, bn and ``column`` of both sides as a_ and b_ columns.
+
+    A class can be the second of many pairs; its value is copied for every ``CROWD`` or so of them.
+    """
+    parts = F.pow(F.lit(4), F.ceil(F.log(4.0, F.greatest(F.lit(1.0), F.col("crowd") / CROWD)))).cast("long")
+    salted = pairs.withColumn("salt", parts + F.pmod(F.xxhash64("a"), parts))
+    second = salted.select("b", "salt").distinct().join(
+        values.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col(column).alias(f"b_{column}")), "b")
+    first = values.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col(column).alias(f"a_{column}"))
+    return salted.join(first, "a").join(second, ["b", "salt"]).drop("salt")
+
+
+def _passed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b, crowd, far) of the pairs that sketches do not rule out; ``far`` counts differing buckets."""
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), dtype=np.int64)
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            words = min(len(one), len(two))
+            out[k] = np.bitwise_count(fold(one, words) ^ fold(two, words)).sum()
+        return pd.Series(out)
+
+    total = F.col("an") + F.col("bn")
+    most = total - 2 * F.ceil(percent * total / F.lit(100 + percent) - 1e-9)
+    far = F.pandas_udf(distance, "long")("a_sketch", "b_sketch")
+    return _meet(pairs, sketches, "sketch").withColumn("far", far).filter(F.col("far") <= most).select(
+        "a", "b", "crowd", "far")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose sets link."""
+    overlap = F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")
+    known = _meet(pairs.select("a", "b", "crowd"), sets, "tokens")
+    return known.filter(linked(overlap, F.col("an"), F.col("bn"), percent)).select("a", "b")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes are not in one component yet."""
+    one = roots.select(F.col("key").alias("a"), F.col("root").alias("_ra"))
+    two = roots.select(F.col("key").alias("b"), F.col("root").alias("_rb"))
+    known = pairs.join(one, "a", "left").join(two, "b", "left")
+    return known.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).drop("_ra", "_rb")
+
+
+def _open_lists(lists: DataFrame, roots: DataFrame, light: int) -> DataFrame:
+    """Entries (token, key, n, size, root, main, mains) of heavy lists with two components or more."""
+    many = lists.filter(F.col("size") > light).select("token", "key", "n", "size").join(roots, "key", "left")
+    many = many.withColumn("root", F.coalesce("root", "key"))
+    ends = many.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    many = many.join(ends.select("token"), "token", "left_semi")
+    main = many.groupBy("token", "root").agg(F.count("*").alias("count")).groupBy("token").agg(
+        F.max(F.struct("count", "root")).alias("main"))
+    return many.join(main, "token").select(
+        "token", "key", "n", "size", "root", (F.col("root") == F.col("main.root")).alias("main"),
+        F.col("main.count").alias("mains"))
+
+
+def _block_pairs(opened: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Distinct (a, b, crowd) across components that sketches pass: a spanning forest of each pair of blocks, or all."""
+    def blocks(count):
+        return F.ceil(count / BLOCK).cast("int")
+
+    spread = F.xxhash64("key")
+    kin, other = blocks(F.col("mains")), blocks(F.col("size") - F.col("mains"))
+    own = F.when(F.col("main"), F.pmod(spread, kin)).otherwise(F.pmod(spread, other) + kin).cast("int")
+    # blocks of the largest component meet those of others, these meet all
+    met = F.when(F.col("main"), F.sequence(kin, kin + other - 1)).otherwise(F.sequence(F.lit(0), kin + other - 1))
+    rows = opened.join(sketches.select("key", "sketch"), "key").withColumn("own", own)
+    rows = rows.select("token", "key", "n", "size", "root", "sketch", "own", F.explode(met).alias("met"))
+    rows = rows.select("token", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "key", "n",
+                       "size", "root", "sketch")
+    rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "key")
+
+    def compare(i, j, own, keys, sizes, roots, sketched):
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        x, y = may_link([sketched[k] for k in left], sizes[left], [sketched[k] for k in right], sizes[right], percent)
+        x, y = left[x], right[y]
+        across = (roots[x] != roots[y]) & ((x < y) if i == j else True)
+        x, y = x[across], y[across]
+        if not forest:
+            return keys[x], keys[y]
+        top: dict[int, int] = {}
+
+        def find(r):
+            while top.get(r, r) != r:
+                r = top[r]
+            return r
+
+        chosen = []
+        for k, (p, q) in enumerate(zip(roots[x].tolist(), roots[y].tolist(), strict=True)):
+            p, q = find(p), find(q)
+            if p != q:
+                top[max(p, q)] = min(p, q)
+                chosen.append(k)
+        return keys[x[chosen]], keys[y[chosen]]
+
+    def run(batches):
+        held, name = [], None  # the rows of one pair of blocks, two blocks at most
+
+        def done():
+            own, keys, sizes, roots, size = (np.concatenate([b.column(c).to_numpy() for b in held])
+                                             for c in ("own", "key", "n", "root", "size"))
+            sketched = [v for b in held for v in b.column("sketch").to_pylist()]
+            a, b = compare(name[1], name[2], own, keys, sizes, roots, sketched)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                                               pa.array(np.full(len(a), size[0]), pa.int64())], names=["a", "b", "crowd"])
+
+        for batch in batches:
+            ids = [batch.column(c).to_numpy() for c in ("token", "i", "j")]
+            change = np.flatnonzero(np.any([v[1:] != v[:-1] for v in ids], axis=0)) + 1
+            for start, stop in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
+                if start == stop:
+                    continue
+                here = tuple(int(v[start]) for v in ids)
+                if held and here != name:
+                    yield done()
+                    held = []
+                name = here
+                held.append(batch.slice(start, stop - start))
+        if held:
+            yield done()
+
+    made = rows.mapInArrow(run, "a long, b long, crowd long")
+    return made.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("crowd").alias("crowd"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -351,35 +499,31 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int
     rows = docs.select("doc_id", *carry, "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"))
     features = materialize(_features(rows, words, percent), "features")
     full = features.filter("key is not null")
-    shared = materialize(_shared_entries(features), "entries")
-    degrees = shared.groupBy("key").agg(F.count("*").alias("degree"))
-    entries = shared.join(degrees, "key").select(F.lit(0).cast("long").alias("gid"), "token", "key", "n", "degree",
-                                                 F.lit(True).alias("apart"))
-    lists = materialize(_lists(entries), "lists")
-    wanted = full.select("key", "rid").join(degrees.select("key"), "key", "left_semi").groupBy("key").agg(
-        F.min("rid").alias("rid"))
+    lists = materialize(_lists(_shared_entries(features)), "lists")
+    sketches = features.filter("sketch is not null").select("key", "n", "sketch")
+    sketches = materialize(sketches.join(lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sketches")
+    pairs = materialize(_passed(_first_pairs(lists, percent, light), sketches, percent), "pairs")
+    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+    named = named.unionByName(lists.filter(F.col("size") > light).select("key")).distinct()
+    wanted = full.select("key", "rid").join(named, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid"))
     sets = materialize(_sets(rows, materialize(wanted, "wanted"), words), "sets")
-    found, owed, level = [], None, 0
-    while not (lists.isEmpty() and (owed is None or owed.isEmpty())):
-        level += 1
-        some = sets
-        if level > 1:  # lists below a pivot have few of the classes
-            named = [lists.select(F.col("key").alias("token")), lists.select(F.col("pivot").alias("token")),
-                     owed.select(F.col("a").alias("token")), owed.select(F.col("b").alias("token"))]
-            some, _ = _split(sets, "key", _bits(functools.reduce(DataFrame.unionByName, named)))
-        links, below, owed = _level(lists, owed, some, percent, light if level < LEVELS else None)
-        found.append(links)
-        owed = materialize(owed, "owed")
-        lists = materialize(_lists(below), "lists")
-    if found:
-        links = found[0]
-        for more in found[1:]:
-            links = links.unionByName(more)
-        links = materialize(links.distinct(), "links")
-        roots = components(links)
-        classes = full.groupBy("key").agg(F.min("doc_id").alias("class_id")).join(roots, "key", "left")
-    else:
-        classes = full.groupBy("key").agg(F.min("doc_id").alias("class_id")).withColumn("root", F.lit(None).cast("long"))
+    nearest = pairs.groupBy("a").agg(F.min(F.struct("far", "b", "crowd")).alias("best")).select(
+        "a", "best.b", "best.crowd")
+    links = materialize(_verified(nearest, sets, percent), "links")
+    roots = materialize(components(links), "roots")
+    opened = materialize(_open_lists(lists, roots, light), "opened")
+    # pairs tried before are not tried again
+    rest = _apart(pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b", "crowd"), roots)
+    rest = rest.unionByName(_block_pairs(opened, sketches, percent, forest=True))
+    rest = rest.groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+    links = materialize(links.unionByName(_verified(rest, sets, percent)), "links")
+    roots = materialize(components(links), "roots")
+    opened = materialize(_open_lists(opened.select("token", "key", "n", "size"), roots, light), "opened")
+    if not opened.isEmpty():
+        last = _block_pairs(opened, sketches, percent, forest=False)
+        links = materialize(links.unionByName(_verified(last, sets, percent)), "links")
+        roots = materialize(components(links), "roots")
+    classes = full.groupBy("key").agg(F.min("doc_id").alias("class_id")).join(roots, "key", "left")
     classes = materialize(classes.select("key", "class_id", F.coalesce("root", "key").alias("root")), "classes")
     least = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
     classes = classes.join(least, "root")
