@@ -22,8 +22,8 @@ sets of these sizes can prove that there is no link.  Shingles themselves are mo
 Components, not links, are asked for, so a pair is compared only while its classes are in different components.  Of a
 class's pairs the one with the nearest sketch is verified first, then the others, if still apart.  Heavy lists whose
 classes are not in one component by then owe the pairs across components: sketches meet in blocks of bounded size, the
-classes of the list's largest component only with those of others.  A block first gives a spanning forest of the pairs
-that sketches pass; after these are verified it gives all passed pairs that are still apart, so no link is lost.
+classes of the list's largest component only with those of others.  Blocks give all pairs that sketches pass; where these
+are many, first a spanning forest of them and, after that is verified, all that are still apart, so no link is lost.
 
 Sets are only built for classes in lists of two or more; they are recomputed from their texts.  Everything that several
 branches read is written to the shared folder once.  Components grow by large-star and small-star steps.
@@ -51,7 +51,8 @@ from folioscope.session import materialize
 WORDS = 4
 PERCENT = 85
 LIGHT = 4
-BLOCK = 512
+BLOCK = 2048
+SPARE = 8
 CROWD = 64
 GROWTH = 1.4
 FILTER_BITS = 23
@@ -399,8 +400,11 @@ def _open_lists(lists: DataFrame, roots: DataFrame, light: int) -> DataFrame:
         F.col("main.count").alias("mains"))
 
 
-def _block_pairs(opened: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Distinct (a, b, crowd) across components that sketches pass: a spanning forest of each pair of blocks, or all."""
+def _block_pairs(opened: DataFrame, sketches: DataFrame, percent: int, spare: int | None) -> DataFrame:
+    """(token, a, b, crowd, cut) of the pairs across components that sketches pass.
+
+    Two blocks with more than ``spare`` such pairs a row give a spanning forest of them, marked as cut.
+    """
     def blocks(count):
         return F.ceil(count / BLOCK).cast("int")
 
@@ -422,8 +426,8 @@ def _block_pairs(opened: DataFrame, sketches: DataFrame, percent: int, forest: b
         x, y = left[x], right[y]
         across = (roots[x] != roots[y]) & ((x < y) if i == j else True)
         x, y = x[across], y[across]
-        if not forest:
-            return keys[x], keys[y]
+        if spare is None or len(x) <= spare * (len(left) + len(right)):
+            return keys[x], keys[y], False
         top: dict[int, int] = {}
 
         def find(r):
@@ -437,7 +441,7 @@ def _block_pairs(opened: DataFrame, sketches: DataFrame, percent: int, forest: b
             if p != q:
                 top[max(p, q)] = min(p, q)
                 chosen.append(k)
-        return keys[x[chosen]], keys[y[chosen]]
+        return keys[x[chosen]], keys[y[chosen]], True
 
     def run(batches):
         held, name = [], None  # the rows of one pair of blocks, two blocks at most
@@ -446,9 +450,11 @@ def _block_pairs(opened: DataFrame, sketches: DataFrame, percent: int, forest: b
             own, keys, sizes, roots, size = (np.concatenate([b.column(c).to_numpy() for b in held])
                                              for c in ("own", "key", "n", "root", "size"))
             sketched = [v for b in held for v in b.column("sketch").to_pylist()]
-            a, b = compare(name[1], name[2], own, keys, sizes, roots, sketched)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                                               pa.array(np.full(len(a), size[0]), pa.int64())], names=["a", "b", "crowd"])
+            a, b, cut = compare(name[1], name[2], own, keys, sizes, roots, sketched)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(a), name[0]), pa.int64()), pa.array(np.minimum(a, b), pa.int64()),
+                 pa.array(np.maximum(a, b), pa.int64()), pa.array(np.full(len(a), size[0]), pa.int64()),
+                 pa.array(np.full(len(a), cut))], names=["token", "a", "b", "crowd", "cut"])
 
         for batch in batches:
             ids = [batch.column(c).to_numpy() for c in ("token", "i", "j")]
@@ -465,8 +471,11 @@ def _block_pairs(opened: DataFrame, sketches: DataFrame, percent: int, forest: b
         if held:
             yield done()
 
-    made = rows.mapInArrow(run, "a long, b long, crowd long")
-    return made.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("crowd").alias("crowd"))
+    return rows.mapInArrow(run, "token long, a long, b long, crowd long, cut boolean")
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -491,7 +500,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int = LIGHT,
-         carry: tuple[str, ...] = ()) -> DataFrame:
+         spare: int = SPARE, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``carry``, n_shingles, component_id, class_id and root of every row.
 
     ``class_id`` is the least id with the same set; ``root`` is null for empty sets, else equal within a component.
@@ -514,13 +523,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int
     opened = materialize(_open_lists(lists, roots, light), "opened")
     # pairs tried before are not tried again
     rest = _apart(pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b", "crowd"), roots)
-    rest = rest.unionByName(_block_pairs(opened, sketches, percent, forest=True))
-    rest = rest.groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+    met = materialize(_block_pairs(opened, sketches, percent, spare), "blocks")
+    rest = _distinct_pairs(rest.unionByName(met.select("a", "b", "crowd")))
     links = materialize(links.unionByName(_verified(rest, sets, percent)), "links")
     roots = materialize(components(links), "roots")
-    opened = materialize(_open_lists(opened.select("token", "key", "n", "size"), roots, light), "opened")
+    owing = opened.join(met.filter("cut").select("token").distinct(), "token", "left_semi")
+    opened = materialize(_open_lists(owing.select("token", "key", "n", "size"), roots, light), "opened")
     if not opened.isEmpty():
-        last = _block_pairs(opened, sketches, percent, forest=False)
+        last = _distinct_pairs(_block_pairs(opened, sketches, percent, None))
         links = materialize(links.unionByName(_verified(last, sets, percent)), "links")
         roots = materialize(components(links), "roots")
     classes = full.groupBy("key").agg(F.min("doc_id").alias("class_id")).join(roots, "key", "left")

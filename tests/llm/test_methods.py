@@ -44,6 +44,41 @@ def test_join_equals_all_pairs(docs):
     assert found == {i: (root[i], len(sets[i])) for i in range(len(texts))}
 
 
+def test_lists_of_many_components_equal_all_pairs(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng, texts = random.Random(4), []
+    for group in range(2):  # copies of one text, some of which link and some of which just do not
+        base = [f"g{group}w{k}" for k in range(90)]
+        for k in range(45):
+            words = list(base)
+            for at in rng.sample(range(90), rng.choice((1, 2, 3, 4))):
+                words[at] = f"x{group}y{k}z{at}"
+            texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    assert 4 < len(set(root)) < 90
+    for spare in (0, 8):  # all blocks give forests first, or whole pairs at once
+        found = jaccard_join.join(docs(list(enumerate(texts))), spare=spare).collect()
+        assert {r.doc_id: r.component_id for r in found} == dict(enumerate(root))
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 31, 33, 64, 65, 300, 3000):
+        whole = rng.integers(1 << 63, size=2 * n, dtype=np.uint64)
+        for drop in range(0, max(1, n // 6), max(1, n // 20)):
+            for more in (0, drop):
+                a, b = np.unique(whole[:n]), np.unique(whole[drop:n + more])
+                both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+                x, _ = jaccard_join.may_link([jaccard_join.sketch(a)], np.array([len(a)]),
+                                             [jaccard_join.sketch(b)], np.array([len(b)]), 85)
+                assert len(x) or 100 * both < 85 * either
+
+
 def test_parts_leave_no_linked_sizes_apart():
     for a in range(1, 400):
         for b in range(a, 100 * a // 85 + 1):
