@@ -29,7 +29,6 @@ without labels of both kinds every score is 0; equal texts get equal scores.
 from __future__ import annotations
 
 import itertools
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -61,23 +60,27 @@ ROUNDS = 2
 NOTHING = -3.0
 
 
-@cache
+_CODES: dict[str, np.ndarray] = {}   # a plain value travels with the functions, a cached function only by name
+
+
 def _codes() -> np.ndarray:
     """Letter code per code point: 0 for no letter, 1 to 26 for a to z, else by the code point."""
-    points = np.arange(0x110000)
-    codes = (27 + points % (LETTERS - 27)).astype(np.int64)
-    codes[97:123] = np.arange(1, 27)
-    letters = np.zeros(len(points), dtype=bool)
-    letters[[i for i in range(0x110000) if chr(i).isalpha()]] = True
-    codes[~letters] = 0
-    return codes
+    if "codes" not in _CODES:
+        points = np.arange(0x110000)
+        codes = (27 + points % (LETTERS - 27)).astype(np.int64)
+        codes[97:123] = np.arange(1, 27)
+        letters = np.zeros(len(points), dtype=bool)
+        letters[[i for i in range(0x110000) if chr(i).isalpha()]] = True
+        codes[~letters] = 0
+        _CODES["codes"] = codes.astype(np.uint8)
+    return _CODES["codes"]
 
 
 def encode(units: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By window length: (unit number, codes), units stripped of other characters at both ends."""
     codes = _codes()
     lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-    flat = codes[np.frombuffer("".join(units).encode("utf-32-le", "replace"), dtype=np.uint32)]
+    flat = codes[np.frombuffer("".join(units).encode("utf-32-le", "replace"), dtype=np.uint32)].astype(np.int64)
     owner = np.repeat(np.arange(len(units)), lengths)
     letters = np.flatnonzero(flat)
     if not len(letters):
