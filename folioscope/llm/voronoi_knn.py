@@ -1,10 +1,13 @@
 """Exact top-k by inner product as a Voronoi join.
 
-Vectors are grouped by their nearest pivot.  A summary of each group (rows, radius around the pivot) bounds the inner
-product of a query q with any member c of the group with pivot p: q.p - |q| r <= q.c <= q.p + |q| r.  The groups' lower
-bounds give a score that k candidates reach for certain; a query is copied only to groups whose upper bound reaches it.
-Groups are cut into blocks of about ``BLOCK_ROWS`` rows, on the side of the data and of the queries, and each pair of
-blocks is solved by one task of bounded size; the best k per query and block are merged by a window.
+Vectors are grouped by their nearest pivot; there are about as many pivots as blocks of ``BLOCK_ROWS`` rows, within
+``PIVOTS`` and ``MOST_PIVOTS``.  A query first meets one group only, whose pivot has the largest product with it; the k-th
+score that it finds there is a score that its results reach for certain.  A summary of each other group bounds the inner
+product of the query q with any member c: with u the direction of the pivot p, c lies between the least and the largest
+c.u of the group, at most a distance s off that direction and at most r from the pivot, so
+q.c <= max(q.u * c.u) + |q - (q.u)u| s and q.c <= q.p + |q| r.  The query is copied only to groups whose bound reaches
+its k-th score.  Groups are cut into blocks of about ``BLOCK_ROWS`` rows, on the side of the data and of the queries, and
+each pair of blocks is solved by one task of bounded size; the best k per query are merged by a window.
 
 Components are floor(256 * x) with x as double.  Products are exact: by float64 matrix products while all sums stay
 below 2**53, else by whole numbers of any length; a score beyond a long is cut to the largest or smallest long.
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from folioscope.session import materialize
 
 PIVOTS = 32
+MOST_PIVOTS = 1024
 BLOCK_ROWS = 1024
 SCALE = 256.0
 TOP = 5
@@ -61,34 +65,56 @@ def _matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
     return np.array(list(column), dtype=np.float64).reshape(len(column), dim)
 
 
+class Cells:
+    """Pivots of one length, with what is known of the rows of their cells."""
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        n = len(pivots)
+        norms = np.sqrt((pivots ** 2).sum(axis=1))
+        self.pivots, self.directions = pivots, pivots / np.where(norms > 0, norms, 1.0)[:, None]
+        self.counts = np.zeros(n, dtype=np.int64)
+        self.low, self.high, self.off, self.far = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+
+
 def assign_cells(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Add the cell (place of the nearest pivot) and the distance to its pivot."""
+    """Add the cell (place of a nearest pivot), the distance to the pivot, and the length along and off its direction."""
     def run(frames):
         for frame in frames:
-            cell, far = np.zeros(len(frame), dtype=np.int32), np.zeros(len(frame))
+            cell, far, along, off = np.zeros(len(frame), dtype=np.int32), *np.zeros((3, len(frame)))
             for dim, place in frame.groupby("dim").indices.items():
-                v, p = _matrix(frame["v"].iloc[place], dim), pivots_of(pivots, dim)
-                squares = np.stack([((v - one) ** 2).sum(axis=1) for one in p], axis=1)
-                cell[place] = squares.argmin(axis=1)
-                far[place] = np.sqrt(squares.min(axis=1))
-            yield frame.assign(cell=cell, far=far)
-
-    return rows.mapInPandas(run, "row_id long, vec_id long, dim int, v array<double>, cell int, far double")
-
-
-def reached(v: np.ndarray, pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, k: int) -> np.ndarray:
-    """Boolean (query, cell): whether the cell can hold one of the query's best k."""
-    middle = v @ pivots.T
-    slack = np.sqrt((v ** 2).sum(axis=1))[:, None] * radius[None, :]
-    slack = slack * (1 + 1e-9) + 1e-9 * (1 + np.abs(middle))
-    lower, upper = middle - slack, middle + slack
-    lower[:, counts == 0] = -np.inf
-    order = np.argsort(-lower, axis=1, kind="stable")
-    enough = np.cumsum(counts[order], axis=1) >= k + 1  # one of them is the query itself
-    sure = np.take_along_axis(lower, order, axis=1)
-    at = enough.argmax(axis=1)
-    least = np.where(enough.any(axis=1), sure[np.arange(len(v)), at], -np.inf)
-    return (upper >= least[:, None]) & (counts > 0)[None, :]
+                v, known = _matrix(frame["v"].iloc[place], dim), Cells(pivots_of(pivots, dim))
+                with np.errstate(all="ignore"):
+                    own = ((known.pivots ** 2).sum(axis=1)[None] - 2 * (v @ known.pivots.T)).argmin(axis=1)
+                    u = known.directions[own]
+                    cell[place], along[place] = own, (v * u).sum(axis=1)
+                    far[place] = np.sqrt(((v - known.pivots[own]) ** 2).sum(axis=1))
+                    off[place] = np.sqrt(((v - along[place][:, None] * u) ** 2).sum(axis=1))
+            yield frame.assign(cell=cell, far=far, along=along, off=off)
+
+    return rows.mapInPandas(run, "row_id long, vec_id long, dim int, v array<double>, cell int, far double, along double, "
+                                 "off double")
+
+
+def home(v: np.ndarray, cells: Cells, k: int) -> np.ndarray:
+    """The cell that each query meets first: the nearest by inner product of those with more than k rows, if any."""
+    middle = v @ cells.pivots.T
+    middle[:, cells.counts == 0] = -np.inf
+    full = cells.counts > k
+    return np.where(full[None, :], middle, -np.inf).argmax(axis=1) if full.any() else middle.argmax(axis=1)
+
+
+def reached(v: np.ndarray, cells: Cells, least: np.ndarray) -> np.ndarray:
+    """Boolean (query, cell): whether the cell can hold a score of ``least`` or more; unknown bounds reach all."""
+    with np.errstate(all="ignore"):
+        norms = np.sqrt((v ** 2).sum(axis=1))[:, None]
+        along = v @ cells.directions.T
+        rest = np.sqrt(np.maximum(0.0, norms ** 2 - along ** 2) + 1e-9 * norms ** 2)
+        by_direction = np.maximum(along * cells.low, along * cells.high) + rest * cells.off
+        by_radius = v @ cells.pivots.T + norms * cells.far
+        room = 1e-9 * (1 + norms * (np.maximum(abs(cells.low), abs(cells.high)) + cells.off + cells.far))
+        # scores are cut to longs, so no bound is below the smallest
+        upper = np.maximum(np.minimum(by_direction, by_radius) + room, -float(_LONGEST))
+        return ~(upper < least[:, None]) & (cells.counts > 0)[None, :]
 
 
 def products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -123,35 +149,26 @@ def solve(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
         ("query_row", "query_id", "vec_id", "score"), columns, strict=True)})
 
 
-def top_k(vectors: DataFrame, k: int = TOP, every: int = QUERY_EVERY, pivots: int = PIVOTS,
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score of every row whose vec_id is divisible by ``every``."""
-    rows = materialize(quantised(vectors), "vectors")
-    centres = choose_pivots(rows, pivots)
-    placed = materialize(assign_cells(rows, centres), "cells")
-    # a summary per cell: its number follows the pivots, not the rows
-    summary: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for r in placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
-        n = len(pivots_of(centres, r["dim"]))
-        counts, radius = summary.setdefault(r["dim"], (np.zeros(n, dtype=np.int64), np.zeros(n)))
-        counts[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
-
-    def copy(frames):
-        for frame in frames:
-            for dim, place in frame.groupby("dim").indices.items():
-                own = frame.iloc[place]
-                counts, radius = summary[dim]
-                hit = reached(_matrix(own["v"], dim), pivots_of(centres, dim), counts, radius, k)
-                query, cell = np.nonzero(hit)
-                yield own.iloc[query][["row_id", "vec_id", "dim", "v"]].assign(cell=cell.astype(np.int32))
+def summaries(placed: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, Cells]:
+    """What is known of each cell, by length; the size follows the pivots, not the rows."""
+    found: dict[int, Cells] = {}
+    for r in placed.groupBy("dim", "cell").agg(
+            F.count("*").alias("n"), F.min("along").alias("low"), F.max("along").alias("high"),
+            F.max("off").alias("off"), F.max("far").alias("far")).collect():
+        cells = found.setdefault(r["dim"], Cells(pivots_of(centres, r["dim"])))
+        cells.counts[r["cell"]] = r["n"]
+        cells.low[r["cell"]], cells.high[r["cell"]] = r["low"], r["high"]
+        cells.off[r["cell"]], cells.far[r["cell"]] = r["off"], r["far"]
+    return found
+
 
-    queries = placed.filter(F.col("vec_id") % every == 0)
-    copied = materialize(queries.mapInPandas(copy, "row_id long, vec_id long, dim int, v array<double>, cell int"), "copies")
-    load = {(r["dim"], r["cell"]): r["n"] for r in copied.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
+def meet(copies: DataFrame, placed: DataFrame, summary: dict[int, Cells], k: int, block_rows: int) -> DataFrame:
+    """query_row, query_id, vec_id, score: the best k of each block of data for the queries copied to its cell."""
+    load = {(r["dim"], r["cell"]): r["n"] for r in copies.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
     blocks = [(dim, c, max(1, -(-int(n) // block_rows)), -(-load[dim, c] // block_rows))
-              for dim, (counts, _) in summary.items() for c, n in enumerate(counts) if (dim, c) in load]
-    spark = vectors.sparkSession
-    shape = spark.createDataFrame(blocks or [(-1, -1, 1, 1)], "dim int, cell int, data_blocks int, query_blocks int")
+              for dim, cells in summary.items() for c, n in enumerate(cells.counts) if (dim, c) in load]
+    shape = copies.sparkSession.createDataFrame(
+        blocks or [(-1, -1, 1, 1)], "dim int, cell int, data_blocks int, query_blocks int")
     turn = F.xxhash64("row_id")
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
@@ -162,10 +179,47 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = QUERY_EVERY, pivots: in
             "row_id", "vec_id", "dim", "v", "cell", "data_block", "query_block")
 
     keys = ["dim", "cell", "data_block", "query_block"]
-    left = dealt(copied, "query_blocks", "data_blocks").groupBy(*keys)
-    right = dealt(placed.drop("far"), "data_blocks", "query_blocks").groupBy(*keys)
-    near = left.cogroup(right).applyInPandas(
+    left = dealt(copies, "query_blocks", "data_blocks").groupBy(*keys)
+    right = dealt(placed, "data_blocks", "query_blocks").groupBy(*keys)
+    return left.cogroup(right).applyInPandas(
         lambda a, b: solve(a, b, k), "query_row long, query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, k: int = TOP, every: int = QUERY_EVERY, pivots: int | None = None,
+          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score of every row whose vec_id is divisible by ``every``."""
+    rows = materialize(quantised(vectors), "vectors")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(PIVOTS, rows.count() // block_rows))
+    centres = choose_pivots(rows, pivots)
+    placed = materialize(assign_cells(rows, centres), "cells")
+    summary = summaries(placed, centres)
+    schema = "row_id long, vec_id long, dim int, v array<double>, cell int"
+
+    def first(frames):
+        for frame in frames:
+            for dim, place in frame.groupby("dim").indices.items():
+                own = frame.iloc[place]
+                yield own.assign(cell=home(_matrix(own["v"], dim), summary[dim], k).astype(np.int32))
+
+    def others(frames):
+        for frame in frames:
+            for dim, place in frame.groupby("dim").indices.items():
+                own = frame.iloc[place]
+                least = own["least"].to_numpy(dtype=np.float64, na_value=-np.inf)
+                hit = reached(_matrix(own["v"], dim), summary[dim], np.where(np.isnan(least), -np.inf, least))
+                hit[np.arange(len(own)), own["cell"]] = False  # met before
+                query, cell = np.nonzero(hit)
+                yield own.iloc[query][["row_id", "vec_id", "dim", "v"]].assign(cell=cell.astype(np.int32))
+
+    queries = placed.filter(F.col("vec_id") % every == 0).select("row_id", "vec_id", "dim", "v")
+    placed = placed.select("row_id", "vec_id", "dim", "v", "cell")
+    queries = materialize(queries.mapInPandas(first, schema), "queries")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    near = materialize(meet(queries, placed, summary, k, block_rows).withColumn("rank", F.row_number().over(order))
+                       .filter(F.col("rank") <= k), "near")
+    sure = near.filter(F.col("rank") == k).select(F.col("query_row").alias("row_id"), F.col("score").cast("double").alias("least"))
+    copies = materialize(queries.join(sure, "row_id", "left").mapInPandas(others, schema), "copies")
+    both = near.drop("rank").unionByName(meet(copies, placed, summary, k, block_rows))
+    ranked = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
