@@ -53,17 +53,29 @@ LANDMARK = frozenset(("article", "main"))
 #: An open element of the second kind ends where one of the first kind begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}}
+#: Words that mark surroundings wherever they stand in a class or id.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|popup|modal|"
-    r"newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|"
-    r"comment\w*|disqus|respond|repl(?:y|ies)|share\w*|social\w*|related\w*|recommend\w*|widget\w*|toolbar|pagination|"
-    r"pager|copyright|skip\w*|search\w*|tags?)(?:$|[\s_-])", re.I)
+    r"(?:^|[_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|popup|modal|newsletter|"
+    r"subscribe|signup|login|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|footer\w*|masthead|comment\w*|disqus|respond|"
+    r"repl(?:y|ies)|social\w*|recommend\w*|widget\w*|toolbar|pagination|pager|copyright|skip\w*)(?:$|[_-])", re.I)
+#: Words that an article uses as well (``post-header``, ``share-price``): with words of layout about them only.
+UNSURE = re.compile(
+    r"^(?:(?:site|page|main|top|global|web|layout|cookie|legal)[_-]+)*(?:header|notices?|shar(?:e|ing)|related|search|side|"
+    r"tags?)(?:[_-]+(?:bars?|box|buttons?|links?|lists?|icons?|forms?|widget|wrap(?:per)?|container|inner|section|area|"
+    r"block|panel|posts|articles|stories|pages|content|top|bottom|left|right|nav|menu|\d+))*$", re.I)
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu|menubar)$", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?"
     r"(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|(?<![\w-])(hidden)(?![\w-])", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
+#: What a head may hold; any other element ends it.
+IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
+
+
+def surrounding(names: str) -> bool:
+    """Whether a class list or an id names surroundings."""
+    return any(MARKED.search(name) or UNSURE.match(name) for name in names.split())
 
 
 class Page:
@@ -101,6 +113,9 @@ class Page:
         del self._open[at:]
 
     def _start(self, tag: str, attributes: str) -> None:
+        if tag not in IN_HEAD and any(one[0] == "head" for one in self._open):
+            self._flush()
+            self._close([one[0] for one in self._open].index("head"))
         if tag == "br":
             self._buffer.append(" ")
             return
@@ -112,14 +127,13 @@ class Page:
         self._flush()
         if tag in VOID:
             return
-        if tag != "p" or True:
-            # a paragraph ends where any block begins
-            for at in range(len(self._open) - 1, -1, -1):
-                if self._open[at][0] == "p":
-                    self._close(at)
-                    break
-                if self._open[at][0] in BLOCK:
-                    break
+        # a paragraph ends where any block begins
+        for at in range(len(self._open) - 1, -1, -1):
+            if self._open[at][0] == "p":
+                self._close(at)
+                break
+            if self._open[at][0] in BLOCK:
+                break
         if ended := ENDS.get(tag):
             for at in range(len(self._open) - 1, -1, -1):
                 if self._open[at][0] in ended:
@@ -130,25 +144,25 @@ class Page:
         self._push(tag, attributes)
 
     def _push(self, tag: str, attributes: str) -> None:
-        label, marked, hidden = tag, tag in AROUND, tag in HIDDEN
+        label, marked, hidden, named = tag, tag in AROUND, tag in HIDDEN, False
         if attributes:
-            for name, a, b, c, gone in _NAMES.findall(attributes):
-                value = a or b or c
-                hidden = hidden or bool(gone)
-                if name.lower() == "role":
+            for name, a, b, c in _ATTRIBUTE.findall(attributes):
+                name, value = name.lower(), a or b or c
+                hidden = hidden or name == "hidden"
+                if name == "role":
                     marked = marked or bool(ROLES.match(value))
-                elif value:
-                    label += ("." if name.lower() == "class" else "#") + value.strip()
-                    marked = marked or tag not in ("html", "body", *LANDMARK) and bool(MARKED.search(value))
+                elif value and name in ("class", "id"):
+                    label += ("." if name == "class" else "#") + value.strip()
+                    named = named or tag not in ("html", "body", *LANDMARK) and surrounding(value)
         if self._open:
             _, path, above, landmark, concealed = self._open[-1]
             self.children.setdefault(path, []).append(label)
             # a header of the article itself holds its title
-            if tag == "header" and landmark and label == tag:
+            if tag == "header" and landmark:
                 marked = False
-            label, marked, hidden = f"{path}>{label}", marked or above, hidden or concealed
+            label, marked, hidden = f"{path}>{label}", marked or named or above, hidden or concealed
         else:
-            landmark = False
+            landmark, marked = False, marked or named
         if tag in LANDMARK and not marked:
             landmark = self.landmark = True
         self._open.append((tag, label, marked, landmark, hidden))
