@@ -1,6 +1,7 @@
 """Quality by positive-unlabelled learning.
 
-Trusted positives are documents labelled good, the rest is unlabelled web text; labels of bad documents are not used.
+Trusted positives are documents labelled good.  Every row that is not held out and not a trusted positive is unlabelled web
+text, whatever its label: labels of bad documents are not used, neither as negatives nor to leave them out.
 With the class prior p, logistic loss and a linear score z of bounded text statistics, the non-negative risk is
 
     p * E+[log(1 + e^-z)] + max(0, Eu[log(1 + e^z)] - p * E+[log(1 + e^z)]).
@@ -192,8 +193,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("quality").alias("quality"))
     training = found.filter("not held_out").join(known, F.col("doc_id") == F.col("_id"), "left")
-    training = materialize(training.filter("quality is null or quality = 1").select(
-        "x", F.col("quality").isNotNull().alias("positive")), "training")
+    training = materialize(training.select("x", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("positive")), "training")
     w = fit(training).weights
 
     def run(batches):

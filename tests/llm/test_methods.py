@@ -221,6 +221,26 @@ def test_neighbours_equal_all_pairs(spark):
         assert found == expected
 
 
+def test_bounds_keep_queries_out_of_most_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(10)
+    middles = rng.normal(size=(24, 16))
+    v = np.concatenate([m + 0.05 * rng.normal(size=(60, 16)) for m in middles]).round(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    q = np.floor(256 * v)
+    rows = voronoi_knn.quantised(df)
+    centres = voronoi_knn.choose_pivots(rows, 40)
+    cells = voronoi_knn.summaries(voronoi_knn.assign_cells(rows, centres), centres)[16]
+    assert cells.counts.sum() == len(v)
+    scores = q[::50] @ q.T
+    least = np.sort(scores, axis=1)[:, -6]  # the fifth besides the query itself, at the worst
+    hit = voronoi_knn.reached(q[::50], cells, least)
+    assert (hit * cells.counts).sum() / (len(hit) * len(v)) < 0.3
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in voronoi_knn.top_k(df, pivots=40).collect()}
+    for i, row in zip(range(0, len(v), 50), scores, strict=True):
+        order = sorted((j for j in range(len(v)) if j != i), key=lambda j: (-int(row[j]), j))[:5]
+        assert [found[i, r] for r in range(1, 6)] == [(j, int(row[j])) for j in order]
+
+
 def test_source_targets(docs):
     rows = [(i, "w " * (5 + i), "en", s, 0) for i, s in enumerate(["a"] * 30 + ["b"] * 10 + ["c"] * 10 + [None] * 3)]
     drawn = mixing.decide(docs(rows), ["doc_id", "source"]).collect()
@@ -251,6 +271,30 @@ def test_shared_branch_goes_and_articles_stay(spark):
     assert {r.text for r in site_style.extract(pages).collect()} == {"One article."}
 
 
+def test_markup_is_read_as_browsers_do():
+    def text(html):
+        return site_style.main_text(html, set())
+    assert text("<html><head><title>T</title><body><p>hello</p>") == "hello"
+    assert text("<head><title>T</title><p>hello</p>") == "hello"
+    assert text('<p style="overflow:hidden">a</p><p title="hidden gems">b</p><p hidden>c</p><p hidden="">d</p>') == "a\n\nb"
+    article = '<article><div class="post-header"><h1>T</h1></div><header class="entry-header"><h2>S</h2></header>{}</article>'
+    kept = '<p class="share-price">p</p><p class="related-work">w</p><p class="article-notice">n</p>'
+    gone = "".join(f'<div class="{c}">x</div>' for c in (
+        "share-buttons", "cookie-notice", "site-header", "related posts", "notice", "comment-list", "sidebar left", "ad"))
+    assert text(article.format(kept + gone)) == "T\n\nS\n\np\n\nw\n\nn"
+
+
+def test_bad_labels_are_not_used(spark, docs):
+    rng = random.Random(7)
+    rows = docs([(i, " ".join(f"word{rng.randrange(300)}" for _ in range(50)) + "." * (i % 3)) for i in range(200)])
+    good = [(i, 1, 0) for i in range(60)]
+    bad = [(i, 0, 0) for i in range(100, 160)]
+    schema = "doc_id long, quality int, toxic int"
+    one, two = ({r.doc_id: round(r.score, 9) for r in pu_quality.score(rows, spark.createDataFrame(x, schema)).collect()}
+                for x in (good, good + bad))
+    assert one == two
+
+
 def test_masked_split_and_inserted_forms_of_learned_insults():
     rng = random.Random(4)
     syllables = ["th", "er", "on", "an", "re", "in", "the", "at"]
