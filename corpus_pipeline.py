@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns the columns of documents; the
 last adds shard, slot and shard_bytes.  Stages are written as Parquet to the shared folder and read again.
+
+Results for odd input, by stage: texts that are null, empty or without letters go with the language stage; near copies keep
+the row with the smallest id of a group, a row with an id before one without, and one of rows equal in all columns; an
+item of the benchmark that is null, empty or too short to match removes nothing; a null source is a source of its own in
+the mix, and of equal rows each counts; shards take rows with null ids as well.  Extra columns stay as they are, whatever
+their names, but for those that the last stage adds.  Without documents every stage returns none.
 """
 
 from __future__ import annotations
