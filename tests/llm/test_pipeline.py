@@ -5,6 +5,7 @@ import itertools
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -95,3 +96,22 @@ def test_clean_short_texts_stay_and_foreign_passages_go(spark, docs):
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, given.unionByName(extra), SF).select("doc_id").collect()}
     named = {r.doc_id for r in given.filter("text rlike '[a-zA-Z]'").select("doc_id").collect()}
     assert len(named - kept) <= 0.001 * len(named) and {r for r in kept if r < 0} == {-1, -2, -3, -4}
+
+
+def test_whole_run_on_odd_rows_and_on_empty_tables(spark, odd, tmp_path):
+    names = ("_id", "_row", "_values", "key", "n", "rid", "size", "copies", "score", "root")
+    items = spark.createDataFrame([(1, None), (2, ""), (None, "Dolor sit  amet consectetur lorem ipsum dolor")],
+                                  "item_id long, text string")
+    for name, rows in (("odd", odd), ("empty", odd.limit(0))):
+        folder = str(tmp_path / name)
+        rows = rows.withColumns({c: F.lit("clash") for c in names})
+        rows.write.parquet(f"{folder}/documents.parquet")
+        (items if name == "odd" else items.limit(0)).write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert set(rows.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+        found = out.collect()
+        if name == "odd":  # 2, 3, 4 and 7 have no letters; 5 holds the item; 9 is a copy of 1
+            assert found and {r.doc_id for r in found} <= {1, 6, 8, 10, None}
+            assert all(r.text is not None and r.size == "clash" for r in found)
+        else:
+            assert found == []
