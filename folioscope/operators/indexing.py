@@ -19,12 +19,14 @@ from folioscope.operators.scans import row_numbers, width_block
 # An encoder maps batches of texts to batches of vectors.  It is a generator function, so
 # a model is loaded once per Python worker, before the first batch.
 Encoder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
+SLICE_CHARS = 1 << 20   # characters of the texts (and components of the vectors) encoded at once
 
 
 def hashing_encoder(dimension: int = V.EMBEDDING_DIMENSION) -> Encoder:
     """Word counts hashed into ``dimension`` buckets; needs no model weights.
 
-    A batch hashes each of its distinct words once and counts all buckets at once.
+    A batch is taken in slices of about ``SLICE_CHARS`` characters, so that a task's memory does not grow with its
+    texts; a slice hashes each of its distinct words once and counts all buckets at once.
     """
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         @lru_cache(maxsize=200_000)
@@ -32,15 +34,30 @@ def hashing_encoder(dimension: int = V.EMBEDDING_DIMENSION) -> Encoder:
             return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dimension
 
         word = re.compile(r"\w+")
-        for batch in texts:
-            words = [word.findall((text or "").lower()) for text in batch]
+
+        def slices(batch: pd.Series) -> Iterator[list]:
+            held, size = [], 0
+            for text in batch:
+                held.append(text or "")
+                size += len(held[-1]) + dimension
+                if size >= SLICE_CHARS:
+                    yield held
+                    held, size = [], 0
+            if held:
+                yield held
+
+        def counted(own: list) -> np.ndarray:
+            words = [word.findall(text.lower()) for text in own]
             row = np.repeat(np.arange(len(words)), [len(w) for w in words])
             flat = np.empty(len(row), dtype=object)
             flat[:] = [w for own in words for w in own]
             codes, names = pd.factorize(flat)
             place = np.fromiter(map(bucket, names), dtype=np.int64, count=len(names))
             counts = np.bincount(row * dimension + place[codes] if len(row) else row, minlength=len(words) * dimension)
-            yield pd.Series(list(counts.reshape(len(words), dimension).astype(np.float32)))
+            return counts.reshape(len(words), dimension).astype(np.float32)
+
+        for batch in texts:
+            yield pd.Series([vector for own in slices(batch) for vector in counted(own)], dtype=object)
 
     return encode
 
