@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.operators import indexing as X
 from folioscope.operators import ranking as R
 from folioscope.operators import retrieval as S
 from folioscope.plans.retrieve import retrieve_batch
@@ -166,3 +167,55 @@ def test_retrieval_never_shows_internal_chunks(spark):
     got = out.ranked.collect()
     assert got and all(r.document_type == "company" for r in got)
     assert out.contexts.first().chunks_used == len({r.chunk_id for r in got})
+
+
+def test_near_scores_keep_their_order(spark):
+    """Scores that differ by a few millionths, which single precision alone would mix up."""
+    base = np.random.default_rng(3).standard_normal(32)
+    m = np.array([base + 1e-3 * np.random.default_rng(i).standard_normal(32) for i in range(400)]).astype(np.float32)
+    chunks = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "chunk_id long, vector array<float>")
+    queries = spark.createDataFrame([(0, [float(x) for x in base])], "query_id long, vector array<double>")
+    m, q = m.astype(np.float64), base
+    scores = np.round((m @ q) / np.linalg.norm(m, axis=1) / np.linalg.norm(q), 6)
+    got = [r.chunk_id for r in S.vector_topk(chunks, queries, 20, None).orderBy("rank").collect()]
+    assert got == sorted(range(400), key=lambda j: (-scores[j], j))[:20]
+
+
+def test_rows_without_text_give_the_same_results(spark, rows):
+    """Ids repeat with other texts, and a text is null."""
+    data = [("q", 1, 1, "a revenue 2025\n| revenue 7 |"), ("q", 2, 1, "other"), ("q", 3, 2, None), ("p", 1, 3, "profit 3")]
+    full = spark.createDataFrame(data, "query_id string, final_rank int, chunk_id int, content string").select(
+        "*", F.lit("T revenue").alias("section_title"), F.lit("list").alias("section_type"), F.lit(3).alias("hierarchy_level"),
+        F.lit("d").alias("document_name"), F.array(F.lit(1)).alias("page_numbers"), F.lit(0).alias("estimated_tokens"),
+        F.lit("company").alias("document_type"), F.lit("user_visible").alias("visibility"), F.lit(0.5).alias("score"),
+        F.col("query_id").alias("query_text"), F.col("final_rank").alias("rank"))
+    slim, texts = S.without_text(full), S.text_store(full)
+    assert "content" not in slim.columns
+    assert rows(R.build_context(slim, texts=texts), "query_id", "context_text", "chunks_used") == rows(
+        R.build_context(full), "query_id", "context_text", "chunks_used")
+    asked = spark.createDataFrame([("q", "x", "A", "D")], "query_id string, query_text string, archetype string, depth string")
+    assert rows(R.build_prompts(asked, slim, texts=texts)) == rows(R.build_prompts(asked, full))
+    required = spark.createDataFrame([("q", ["revenue", "net_profit"]), ("p", ["profit"])], "query_id string, required_metrics array<string>")
+    assert rows(S.check_coverage(slim, required, texts), "query_id", "found_metrics", "has_numbers") == rows(
+        S.check_coverage(full, required), "query_id", "found_metrics", "has_numbers")
+    once = full.filter("final_rank = 1")
+    assert rows(R.rerank_score(S.without_text(once), texts), "query_id", "rerank") == rows(
+        R.rerank_score(once), "query_id", "rerank")
+    assert rows(S.evidence_flags(slim, ["profit"], ["revenue"], texts), "query_id", "ownership_found", "marketing_found") == rows(
+        S.evidence_flags(full, ["profit"], ["revenue"]), "query_id", "ownership_found", "marketing_found")
+
+
+def test_encoder_memory_does_not_grow_with_a_batch(monkeypatch):
+    import tracemalloc
+    import pandas as pd
+    texts = pd.Series([" ".join(f"w{i}x{j}" for j in range(2000)) for i in range(150)])
+    monkeypatch.setattr(X, "SLICE_CHARS", 1 << 40)
+    whole = next(X.hashing_encoder()(iter([texts])))
+    monkeypatch.setattr(X, "SLICE_CHARS", 1 << 16)
+    tracemalloc.start()
+    parts = next(X.hashing_encoder()(iter([texts])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+    # the bucket cache takes at most 200,000 words; the batch itself has 300,000 words
+    assert peak < 45e6
