@@ -16,6 +16,7 @@ from folioscope.functions.vocab import MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS
 from folioscope.operators import orbits
 from folioscope.operators.scans import row_numbers, running, width_block
 from folioscope.operators.structure import SECTION_BLOCK
+from folioscope.session import materialize
 
 GAP = 2  # characters of the blank line between joined parts
 
@@ -26,19 +27,20 @@ def _tokens(chars: int) -> int:
 
 def _packing_step(group: pd.DataFrame, max_tokens: int, overlap: int) -> orbits.Step:
     """Next break after a break at item i: a small previous section is carried over."""
-    p = group["reading_order"].to_numpy()
-    chars = group["chars"].to_numpy()
-    tok = np.maximum(1, np.rint(chars / 4.0)).astype(np.int64)
+    # plain numbers: a step looks at one item at a time
+    p = group["reading_order"].tolist()
+    chars = group["chars"].tolist()
+    tok = [_tokens(c) for c in chars]
     n = len(p)
 
     def step(i: int) -> int:
-        held = int(chars[i])
-        if i > 0 and 0 < tok[i - 1] <= overlap:
-            held += GAP + int(chars[i - 1])
+        held = chars[i]
+        if i > 0 and tok[i - 1] <= overlap:
+            held += GAP + chars[i - 1]
         for j in range(i + 1, n):
             if _tokens(held) + tok[j] > max_tokens:
-                return int(p[j])
-            held += GAP + int(chars[j])
+                return p[j]
+            held += GAP + chars[j]
         return int(orbits.OPEN)
 
     return step
@@ -63,7 +65,7 @@ def assign_sections(sections: DataFrame, max_tokens: int = MAX_TOKENS,
     entered = orbits.entries(items, ["document_id"], "reading_order", ["reading_order"], block,
                              reach, make_step, halo=True)
 
-    def emit(group: pd.DataFrame) -> pd.DataFrame:
+    def emit(group: pd.DataFrame) -> dict[str, np.ndarray]:
         number = int(group[orbits.BLOCK].iloc[0])
         p = group["reading_order"].to_numpy()
         chars = group["chars"].to_numpy()
@@ -80,13 +82,11 @@ def assign_sections(sections: DataFrame, max_tokens: int = MAX_TOKENS,
             if i > 0 and 0 < _tokens(chars[i - 1]) <= overlap:
                 repeats.append((int(p[i - 1]), end))
             i = j
-        ends = np.concatenate(parts)
-        out = pd.DataFrame({"reading_order": p[first:last], "chunk_end": ends, "is_overlap": False})
-        if repeats:
-            extra = pd.DataFrame(repeats, columns=["reading_order", "chunk_end"])
-            out = pd.concat([out, extra.assign(is_overlap=True)], ignore_index=True)
-        out.insert(0, "document_id", group["document_id"].iloc[0])
-        return out
+        again = np.array(repeats, dtype=np.int64).reshape(-1, 2)
+        n = last - first + len(again)
+        names = np.repeat(group["document_id"].to_numpy()[:1], n)
+        return {"document_id": names, "reading_order": np.concatenate([p[first:last], again[:, 0]]),
+                "chunk_end": np.concatenate([*parts, again[:, 1]]), "is_overlap": np.arange(n) >= last - first}
 
     kind = items.schema["document_id"].dataType.simpleString()
     return orbits.walk(entered, ["document_id"], ["reading_order"],
@@ -106,19 +106,20 @@ def semantic_chunks(sections: DataFrame, titles: DataFrame | None = None,
     closes the chunk.  ``titles(document_id, title)`` gives the title before any heading.
     """
     assigned = assign_sections(sections, max_tokens, overlap, block)
-    place = ["page_number", "section_no"] if texts is not None else ["page_number"]
-    columns = [*place, "section_type"] if texts is not None else [*place, "section_type", "content"]
-    members = assigned.join(sections.select("document_id", "reading_order", *columns),
-                            ["document_id", "reading_order"])
-    if texts is not None:
-        members = members.join(texts.select("document_id", *place, "content"), ["document_id", *place])
+    place = ["page_number", "section_no"] if texts is not None else ["reading_order"]
+    store = sections if texts is None else texts
+    # numbering, headings and types need no text: it joins the finished chunks, moved once to its chunk
+    members = materialize(assigned.join(sections.select("document_id", *dict.fromkeys(
+        ["reading_order", "page_number", *place, "section_type"])), ["document_id", "reading_order"]), "members")
     kinds = F.collect_set("section_type")
     packed = members.groupBy("document_id", "chunk_end").agg(
         F.min(F.when(~F.col("is_overlap"), F.col("reading_order"))).alias("__first"),
         F.max("reading_order").alias("__last"),
         F.array_sort(F.collect_set("page_number")).alias("page_numbers"),
         F.when(F.size(kinds) == 1, kinds[0]).otherwise("composite").alias("section_type"),
-        F.count("*").alias("section_count"),
+        F.count("*").alias("section_count"))
+    contents = members.select(*dict.fromkeys(["document_id", "chunk_end", "reading_order", *place])).join(
+        store.select("document_id", *place, "content"), ["document_id", *place]).groupBy("document_id", "chunk_end").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "content"))),
                                  lambda x: x["content"]), "\n\n").alias("content"))
     heading = F.when(F.col("section_type") == "heading", F.struct("reading_order", "title", "level"))
@@ -137,7 +138,7 @@ def semantic_chunks(sections: DataFrame, titles: DataFrame | None = None,
     fallback = F.when(F.coalesce(F.col("__title"), F.lit("")) != "", F.col("__title")).otherwise("General")
     numbered = row_numbers(titled, ["document_id"], ["__first"],
                            width_block(F.col("__first"), block), "__n")
-    return numbered.select(
+    return contents.join(numbered, ["document_id", "chunk_end"]).select(
         "document_id", (F.col("__n") - 1).alias("chunk_order"), "page_numbers",
         F.coalesce(F.col("__g.title"), fallback).alias("section_title"), "section_type",
         F.coalesce(F.col("__g.level"), F.lit(1)).alias("hierarchy_level"), "content",
@@ -226,6 +227,36 @@ def join_pairs(members: DataFrame, order: list[str]) -> DataFrame:
                  ).withColumn("char_count", F.length("content"))
 
 
+def join_heads(pieces: DataFrame, named: DataFrame, key: list[str], min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """Merged pairs of ``pieces``; ``named(*key, place, pair, number)`` holds every piece's place, its pair's first
+    place and its pair's number.
+
+    The first piece of a pair of two is below ``min_tokens``, so it travels to the second: long texts move once.
+    """
+    second = named.filter("place > pair").select(*key, "pair")
+    of_first = named.filter("place = pair").select(*key, F.col("place").alias("pair"))
+    columns = ["page_numbers", "section_title", "section_type", "hierarchy_level", "content"]
+    tiny = pieces.filter(F.col("estimated_tokens") < min_tokens).join(of_first, key)
+    heads = tiny.select("document_id", "pair", F.struct(*columns).alias("__head")).join(
+        second, ["document_id", "pair"])
+    gone = heads.select("document_id", "pair", F.lit(True).alias("__gone"))
+    slim = (named.join(heads.select(*key, "__head"), key, "left")
+            .join(gone.withColumnRenamed("pair", "place"), ["document_id", "place"], "left").filter("__gone is null"))
+    head, both = F.col("__head"), F.col("__head").isNotNull()
+    merged = pieces.join(slim.select(*key, "number", "__head"), key)
+    return merged.select(
+        "document_id", F.col("number").alias("chunk_order"),
+        F.array_sort(F.array_distinct(F.when(both, F.concat(head["page_numbers"], "page_numbers")).otherwise(
+            F.col("page_numbers")))).alias("page_numbers"),
+        F.when(both, head["section_title"]).otherwise(F.col("section_title")).alias("section_title"),
+        F.when(both & (head["section_type"] != F.col("section_type")), "composite")
+        .otherwise(F.when(both, head["section_type"]).otherwise(F.col("section_type"))).alias("section_type"),
+        F.least(head["hierarchy_level"], "hierarchy_level").alias("hierarchy_level"),
+        F.concat_ws("\n\n", head["content"], "content").alias("content"), both.alias("merged")
+    ).withColumn("estimated_tokens", estimate_tokens(F.col("content"))
+                 ).withColumn("char_count", F.length("content"))
+
+
 def merge_tiny(chunks: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS,
                block: int = SECTION_BLOCK) -> DataFrame:
     """Merge every chunk below ``min_tokens`` with its successor where both fit.

@@ -144,8 +144,11 @@ def entries(items: DataFrame, keys: list[str], pos: str, order: list[str], width
 
 
 def walk(entered: DataFrame, keys: list[str], order: list[str], schema: str,
-         emit: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Run ``emit`` on every (key, block) group of an entered table."""
+         emit: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
+    """Run ``emit``, which returns columns, on every (key, block) group of an entered table."""
+
+    def table(ready):
+        return pd.DataFrame({name: np.concatenate([part[name] for part in ready]) for name in ready[0]})
 
     def run(batches):
         ready, size = [], 0
@@ -153,9 +156,9 @@ def walk(entered: DataFrame, keys: list[str], order: list[str], schema: str,
             ready.append(emit(group))
             size += len(group)
             if size > 20000:
-                yield pd.concat(ready, ignore_index=True)
+                yield table(ready)
                 ready, size = [], 0
         if ready:
-            yield pd.concat(ready, ignore_index=True)
+            yield table(ready)
 
     return _in_blocks(entered, keys, order).mapInPandas(run, schema)

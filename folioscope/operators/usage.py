@@ -179,15 +179,14 @@ def repeat_questions(log: DataFrame, ttl_seconds: int = V.ANSWER_TTL_SECONDS,
     entered = orbits.entries(items, ["question_key"], "at", ["at", "id"], block_micros, reach,
                              make_step, halo=False)
 
-    def emit(group: pd.DataFrame) -> pd.DataFrame:
+    def emit(group: pd.DataFrame) -> dict[str, np.ndarray]:
         at = group["at"].to_numpy()
         hit = np.ones(len(at), dtype=bool)
         i = int(np.searchsorted(at, group[orbits.CARRY].iloc[0]))
         while i < len(at):
             hit[i] = False
             i = int(np.searchsorted(at, at[i] + reach))
-        return pd.DataFrame({"id": group["id"].to_numpy(), "question_key": group["question_key"].to_numpy(),
-                             "is_hit": hit})
+        return {"id": group["id"].to_numpy(), "question_key": group["question_key"].to_numpy(), "is_hit": hit}
 
     kind = items.schema["id"].dataType.simpleString()
     return orbits.walk(entered, ["question_key"], ["at", "id"],

@@ -32,10 +32,10 @@ def optimize_chunks(chunks: DataFrame, min_tokens: int = MIN_TOKENS,
     # a pair is named by its first place, so counting first places renumbers the pairs
     ranked = running(pairs, ["document_id"], ["chunk_order"], width_block(F.col("chunk_order"), SECTION_BLOCK),
                      {"__rank": ("sum", (F.col("chunk_order") == F.col("pair")).cast("long"))})
-    named = dense.select(*key, "place").join(
+    named = materialize(dense.select(*key, "place").join(
         ranked.select("document_id", F.col("chunk_order").alias("place"),
-                      (F.col("__rank") - 1).alias("pair")), ["document_id", "place"])
-    return chunking.join_pairs(pieces.join(named, key), ["place"]).drop("merged")
+                      "pair", (F.col("__rank") - 1).alias("number")), ["document_id", "place"]), "piece-pairs")
+    return chunking.join_heads(pieces, named, key, min_tokens).drop("merged")
 
 
 def chunk_pages(pages: DataFrame, titles: DataFrame | None = None, max_tokens: int = MAX_TOKENS,

@@ -158,3 +158,17 @@ def test_validation_reports_the_first_failure(spark):
         "missing_metadata", "too_many_tokens"]
     empty = C.chunk_statistics(df.withColumn("char_count", F.length("content")).limit(0)).first()
     assert empty.total_chunks == 0 and empty.average_tokens == 0.0
+
+
+def test_texts_of_pairs_are_not_gathered(spark):
+    """Numbering finds the pairs; only the short first piece of a pair travels, no text is collected by document."""
+    chunks = spark.createDataFrame(
+        [("d", i, [i], f"t{i}", kind, level, c, tok(c), len(c))
+         for i, (c, kind, level) in enumerate([("a" * 8, "list", 3), ("b" * 60, "list", 2), ("c" * 8, "table", 1), ("e" * 8, "list", 4)])],
+        "document_id string, chunk_order long, page_numbers array<int>, section_title string, "
+        "section_type string, hierarchy_level int, content string, estimated_tokens int, char_count int")
+    out = corpus.optimize_chunks(chunks, min_tokens=8, max_tokens=30)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.chunk_order, r.page_numbers, r.section_title, r.section_type, r.hierarchy_level, r.content)
+           for r in out.orderBy("chunk_order").collect()]
+    assert got == [(0, [0, 1], "t0", "list", 2, "a" * 8 + "\n\n" + "b" * 60), (1, [2, 3], "t2", "composite", 1, "c" * 8 + "\n\n" + "e" * 8)]
