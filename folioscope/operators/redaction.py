@@ -12,6 +12,7 @@ texts without a secret; null and empty texts become the name of an unknown error
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import Broadcast
@@ -21,9 +22,11 @@ from pyspark.sql import types as T
 
 from folioscope.functions import vocab as V
 from folioscope.functions.text import strip
+from folioscope.session import materialize
 
 BLOCK_CHARS = 4 << 20
 _PLACES = "__places"
+_ROW = "__row"
 
 
 def resolve(text: str, places: list[tuple[int, int]], marker: str) -> str:
@@ -61,20 +64,32 @@ def redact_secret_table(rows: DataFrame, secrets: DataFrame, text: str = "messag
                         block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``rows`` with every secret of ``secrets(secret)`` replaced in column ``text``.
 
-    Rows stay where they are: nothing is shuffled but the distinct secrets.  The driver holds one block at a time.
+    The driver holds one block at a time, and a task one automaton: with several blocks the places that each finds are
+    written before the next is built, and join their rows by number.  With one block rows stay where they are.
     """
     spark = rows.sparkSession
     known = secrets.select("secret").filter(F.length(strip(F.col("secret"))) > V.MIN_SECRET_CHARS).distinct()
     chars = known.agg(F.coalesce(F.sum(F.length("secret")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
     place = T.ArrayType(T.ArrayType(T.IntegerType()))
-    found = rows.withColumn(_PLACES, F.array().cast(place))
+    none = F.array().cast(place)
+    found = rows.withColumn(_PLACES, none)
+    numbered, parts = rows, []
+    if blocks > 1:
+        numbered = materialize(rows.withColumn(_ROW, F.monotonically_increasing_id()), "redacted-rows")
     for block in range(blocks if chars else 0):
         own = spark.sparkContext.broadcast(
             [r[0] for r in known.filter(F.pmod(F.xxhash64("secret"), F.lit(blocks)) == block).collect()])
 
         here = F.pandas_udf(walker(own), place)(F.col(text))
-        found = found.withColumn(_PLACES, F.concat(_PLACES, here))
+        if blocks == 1:
+            found = rows.withColumn(_PLACES, here)
+        else:
+            parts.append(materialize(numbered.select(_ROW, here.alias(_PLACES)).filter(F.size(_PLACES) > 0), "places"))
+            own.destroy()
+    if parts:
+        places = reduce(DataFrame.unionByName, parts).groupBy(_ROW).agg(F.flatten(F.collect_list(_PLACES)).alias(_PLACES))
+        found = numbered.join(places, _ROW, "left").withColumn(_PLACES, F.coalesce(_PLACES, none)).drop(_ROW)
 
     def replaced(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, places in columns:

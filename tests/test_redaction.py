@@ -46,3 +46,13 @@ def test_overlaps_markers_and_no_secrets(spark):
     assert found == {1: f"abc{m} {m} {m}{m}", 2: f"{m}_API"}
     assert {r.message for r in redact_secret_table(rows, table.limit(0)).collect()} == {"abcdefghijk abcdef abcdefabcdef", "REDACTED_API"}
     assert redact_secret_table(rows.limit(0), table).count() == 0
+
+
+def test_a_task_holds_one_block_of_secrets(spark, rows):
+    """With many blocks the last plan runs one Python step, and rows with equal texts stay as many as they are."""
+    table = spark.createDataFrame([(f"secret-{i:03d}",) for i in range(200)], "secret string")
+    texts = spark.createDataFrame([(i % 3, f"of secret-{i % 3:03d} and secret-199!") for i in range(9)] + [(None, None)], "id long, message string")
+    out = redact_secret_table(texts, table, block_chars=100)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert rows(out.filter("id is not null")) == sorted([(i, f"of {V.REDACTED} and {V.REDACTED}!") for i in range(3)] * 3)
+    assert out.filter("id is null").first().message == "UnknownError"
