@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.scans import row_numbers, width_block
+from folioscope.session import materialize
 
 ID_BLOCK = 1 << 16
 
@@ -98,15 +99,19 @@ QUESTION_TEXTS = [
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of the conversations and one question per customer."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+    """User turns of the conversations and one question per customer.
+
+    They are written once, spread over the cores: rules over a question cost more than its write, and a repartition alone
+    would leave them to the tasks that read the tables, as filters move ahead of it.
+    """
+    turns = text_table(spark, sf_dir, "conversations").filter("role = 'user'").select(
         F.concat(F.lit("turn-"), F.col("conv_id").cast("string"), F.lit("-"),
                  F.col("turn").cast("string")).alias("query_id"), "text")
     texts = F.array(*[F.lit(t) for t in QUESTION_TEXTS])
-    customers = table(spark, sf_dir, "customer").select(
+    customers = text_table(spark, sf_dir, "customer").select(
         F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("query_id"),
         F.element_at(texts, (F.col("c_nationkey") + 1).cast("int")).alias("text"))
-    return turns.unionByName(customers)
+    return materialize(turns.unionByName(customers), "questions")
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

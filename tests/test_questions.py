@@ -57,3 +57,15 @@ def test_guidance(spark):
     r = Q.guidance_terms(hits).first()
     assert r.guidance_terms == ["gross profit", "revenue", "cogs"]
     assert r.guidance_summary == "[Guidance 1]: Gross Profit and revenue\n[Guidance 2]: COGS"
+
+
+def test_questions_are_spread_ahead_of_their_rules(spark, tmp_path):
+    """Rules over questions run on all cores, also when each table is one small file."""
+    from folioscope.plans import q_questions
+    spark.createDataFrame([(i, 1, "user", f"What is revenue {i}?") for i in range(200)], "conv_id long, turn int, role string, text string"
+                          ).coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(i, i % 25) for i in range(200)], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(
+        str(tmp_path / "customer.parquet"))
+    asked = q_questions.valid(spark, str(tmp_path))
+    assert asked.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert asked.count() == 392
