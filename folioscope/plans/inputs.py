@@ -104,14 +104,16 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     They are written once, spread over the cores: rules over a question cost more than its write, and a repartition alone
     would leave them to the tasks that read the tables, as filters move ahead of it.
     """
-    turns = text_table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select(
         F.concat(F.lit("turn-"), F.col("conv_id").cast("string"), F.lit("-"),
                  F.col("turn").cast("string")).alias("query_id"), "text")
     texts = F.array(*[F.lit(t) for t in QUESTION_TEXTS])
-    customers = text_table(spark, sf_dir, "customer").select(
+    customers = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("query_id"),
         F.element_at(texts, (F.col("c_nationkey") + 1).cast("int")).alias("text"))
-    return materialize(turns.unionByName(customers), "questions")
+    rows = turns.unionByName(customers)
+    parts = max(2 * spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    return materialize(rows.repartition(parts, "query_id"), "questions")
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
