@@ -34,6 +34,22 @@ def test_topk_is_exact_in_one_and_many_blocks(spark, monkeypatch, metric, bound)
         assert [c for _, c in sorted(got[i])] == order
 
 
+def test_no_vector_is_shuffled_for_the_pairs_of_blocks(spark, monkeypatch):
+    """Many blocks on both sides, ids that repeat: vectors are read per pair of blocks and never exchanged."""
+    monkeypatch.setattr(S, "QUERY_ROWS", 3)
+    monkeypatch.setattr(S, "HELD_BYTES", 1)
+    m, chunks = vectors(spark, 60, 8, 1, "chunk_id")
+    q, queries = vectors(spark, 17, 8, 2, "query_id")
+    named = chunks.withColumn("chunk_id", F.concat(F.lit("c"), F.lpad(F.col("chunk_id").cast("string"), 3, "0")))
+    found = S.vector_topk(named, queries.unionByName(queries.filter("query_id = 4")), 4, None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+    scores = np.round((q @ m.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(m, axis=1)[None], 6)
+    for i in range(17):
+        order = sorted((-scores[i, j], f"c{j:03d}") for j in range(60) for _ in range(2 if i == 4 else 1))[:4]
+        assert [r.chunk_id for r in found.filter(F.col("query_id") == i).orderBy("rank").collect()] == [c for _, c in order]
+
+
 def test_unusable_vectors_are_listed_and_never_shift_scores(spark, rows):
     inf = float("inf")
     chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [0.0, 1.0, 0.0]), (5, [1.0]),
