@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import strip
 from folioscope.operators import chunking as C
 from folioscope.operators import cleaning, structure
 from folioscope.plans import corpus
@@ -172,3 +173,24 @@ def test_texts_of_pairs_are_not_gathered(spark):
     got = [(r.chunk_order, r.page_numbers, r.section_title, r.section_type, r.hierarchy_level, r.content)
            for r in out.orderBy("chunk_order").collect()]
     assert got == [(0, [0, 1], "t0", "list", 2, "a" * 8 + "\n\n" + "b" * 60), (1, [2, 3], "t2", "composite", 1, "c" * 8 + "\n\n" + "e" * 8)]
+
+
+def test_line_rules_with_cheap_tests_equal_the_plain_patterns(spark):
+    odd = ["", " ", "\t1. tab", " 2) nbsp", "٣ digits", "Section 4", "sECTION 4: x", "part 2 y", "Chapter 1 z", "chair 3", "1.2.3 - a",
+           "(a) item", "(A1)  item", "- dash", "*　star", "• dot", "– en", "overview", "Overviews", "OVERVIEW of", "Table of Contents",
+           "a | b", "x   y   z", "x\t\t\ty   z", "UPPER CASE", "Title Case", "ǅtitle", "# Mark", "#Mark", "\x1f7 unit", "word\x85"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(odd)], "n int, line string")
+    c = F.col("line")
+    got = df.select("n", structure._numbered(c).alias("a"), structure._item(c).alias("b"), (structure._rule(c) == "keyword").alias("k"),
+                    structure._stripped(c).alias("s"), c.rlike(structure.NUMBERED).alias("a0"),
+                    (c.rlike(structure.BULLET) | c.rlike(structure.NUMBERED_ITEM)).alias("b0"), c.rlike(structure.KEYWORD).alias("k0"), strip(c).alias("s0")).collect()
+    assert all((r.a, r.b, r.s) == (r.a0, r.b0, r.s0) for r in got)
+    assert all(r.k == r.k0 for r in got if not r.a0)
+
+
+def test_a_filter_on_headings_does_not_strip_lines_again(spark):
+    pages = spark.createDataFrame([("d", 1, " # A \nb\n1.2 C ")], "document_id string, page_number int, text string")
+    found = structure.detect_heading(structure.page_lines(pages)).filter("is_heading")
+    assert [(r.line_no, r.heading_title, r.heading_level) for r in found.orderBy("line_no").collect()] == [(0, "A", 1), (2, "1.2 C", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim(" not in plan[plan.index("Filter"):plan.index("Generate")]
