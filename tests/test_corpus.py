@@ -178,13 +178,14 @@ def test_texts_of_pairs_are_not_gathered(spark):
 def test_line_rules_with_cheap_tests_equal_the_plain_patterns(spark):
     odd = ["", " ", "\t1. tab", " 2) nbsp", "٣ digits", "Section 4", "sECTION 4: x", "part 2 y", "Chapter 1 z", "chair 3", "1.2.3 - a",
            "(a) item", "(A1)  item", "- dash", "*　star", "• dot", "– en", "overview", "Overviews", "OVERVIEW of", "Table of Contents",
-           "a | b", "x   y   z", "x\t\t\ty   z", "UPPER CASE", "Title Case", "ǅtitle", "# Mark", "#Mark", "\x1f7 unit", "word\x85"]
+           "a | b", "x   y   z", "x\t\t\ty   z", "u\xa0\xa0\xa0v \u2003 w", "a \x1c b \t c", "a\n\n\nb", "UPPER CASE", "Title Case", "ǅtitle", "# Mark", "#Mark", "\x1f7 unit", "word\x85"]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(odd)], "n int, line string")
     c = F.col("line")
     got = df.select("n", structure._numbered(c).alias("a"), structure._item(c).alias("b"), (structure._rule(c) == "keyword").alias("k"),
+                    structure._wide_gaps(c).alias("g"), c.rlike(structure.WIDE_GAPS).alias("g0"),
                     structure._stripped(c).alias("s"), c.rlike(structure.NUMBERED).alias("a0"),
                     (c.rlike(structure.BULLET) | c.rlike(structure.NUMBERED_ITEM)).alias("b0"), c.rlike(structure.KEYWORD).alias("k0"), strip(c).alias("s0")).collect()
-    assert all((r.a, r.b, r.s) == (r.a0, r.b0, r.s0) for r in got)
+    assert all((r.a, r.b, r.g, r.s) == (r.a0, r.b0, r.g0, r.s0) for r in got)
     assert all(r.k == r.k0 for r in got if not r.a0)
 
 
