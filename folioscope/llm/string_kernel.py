@@ -29,6 +29,7 @@ without labels of both kinds every score is 0; equal texts get equal scores.
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pandas as pd
@@ -110,18 +111,19 @@ def self_kernels(codes: np.ndarray) -> dict[int, np.ndarray]:
     """The kernel of each row with itself by order, by the recursion over prefixes of both."""
     rows, n = codes.shape
     same = (codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] > 0)
-    inner = np.ones((n + 1, n + 1, rows), dtype=np.float32)
     match = np.ascontiguousarray(same.transpose(1, 2, 0)).astype(np.float32) * np.float32(DECAY ** 2)
-    out = {1: (match * inner[:-1, :-1]).sum(axis=(0, 1)).astype(np.float64)}
+    inner = match.copy()
+    out = {1: inner.sum(axis=(0, 1)).astype(np.float64)}
     for order in range(2, ORDER + 1):
-        after = np.zeros((n + 1, n + 1, rows), dtype=np.float32)
-        for i in range(1, n + 1):
-            run = np.zeros(rows, dtype=np.float32)
-            for j in range(1, n + 1):
-                run = np.float32(DECAY) * run + match[i - 1, j - 1] * inner[i - 1, j - 1]
-                after[i, j] = np.float32(DECAY) * after[i - 1, j] + run
-        inner = after
-        out[order] = (match * inner[:-1, :-1]).sum(axis=(0, 1)).astype(np.float64)
+        # common subsequences that end at or before two places, less by DECAY for every place since
+        for j in range(1, n):
+            inner[:, j] += np.float32(DECAY) * inner[:, j - 1]
+        for i in range(1, n):
+            inner[i] += np.float32(DECAY) * inner[i - 1]
+        longer = np.zeros_like(match)
+        np.multiply(match[1:, 1:], inner[:-1, :-1], out=longer[1:, 1:])
+        inner = longer
+        out[order] = inner.sum(axis=(0, 1)).astype(np.float64)
     return out
 
 
@@ -183,43 +185,82 @@ def values(units: list[str], tables: np.ndarray, place: np.ndarray | None = None
     return np.where(np.isneginf(out), 0.0, out)
 
 
-def joined(texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
-    """(text, unit) of two to four neighbouring short pieces read as one word, up to WINDOW characters."""
-    row, out = [], []
-    for i, text in enumerate(texts):
-        pieces = text.lower().split() if text else []
-        short = [len(p) <= PIECE for p in pieces]
-        seen = set()
-        for a in range(len(pieces) - 1):
-            if not short[a]:
-                continue
-            unit = pieces[a]
-            for b in range(a + 1, min(a + 4, len(pieces))):
-                unit += pieces[b]
-                if not short[b] or len(unit) > WINDOW:
-                    break
-                if len(unit) > 2:
-                    seen.add(unit)
-        row += [i] * len(seen)
-        out += seen
-    return np.array(row, dtype=np.int64), out
+def weighed(codes: np.ndarray, table: np.ndarray, order: int) -> np.ndarray:
+    """The weighted sum of ``table`` over each row's subsequences, for all last places of a choice at once.
+
+    A number with a place without letter is below 0 and read as 0, which has no weight.
+    """
+    n, out = codes.shape[1], np.zeros(len(codes))
+    letters = np.ascontiguousarray(np.where(codes > 0, codes, -2 * LETTERS ** ORDER).T)
+    for places in itertools.combinations(range(n - 1), order - 1):
+        number = letters[places[0]]
+        for p in places[1:]:
+            number = number * LETTERS + letters[p]
+        weights = np.array([DECAY ** (last - places[0] + 1) for last in range(places[-1] + 1, n)], dtype=table.dtype)
+        found = table.take(number * LETTERS + letters[places[-1] + 1:], mode="clip")
+        found *= weights[:, None]
+        out += found.sum(axis=0, dtype=np.float64)
+    return out
+
+
+def decisions(units: list[str], table: np.ndarray, step: int = 6000) -> np.ndarray:
+    """``values`` with the one column ``table``, which is 0 for no letter."""
+    out = np.full(len(units), -np.inf)
+    for _, (owner, codes) in encode(units).items():
+        for at in range(0, len(owner), step):
+            part = codes[at:at + step]
+            total, held = np.zeros(len(part)), np.zeros(len(part))
+            own = self_kernels(part)
+            for order, share in SHARES.items():
+                sums, norm = weighed(part, table, order), np.sqrt(own[order])
+                total += np.sqrt(share) * np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+                held += share * (norm > 0)
+            total = np.divide(total, np.sqrt(held), out=np.zeros_like(total), where=held > 0)
+            np.maximum.at(out, owner[at:at + step], total)
+    return np.where(np.isneginf(out), 0.0, out)
+
+
+def joined(words: list[list[str]]) -> tuple[np.ndarray, list[str]]:
+    """(text, unit) of two to four neighbouring short pieces of a text's words read as one word, up to WINDOW characters."""
+    flat = list(itertools.chain.from_iterable(words))
+    text = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    size = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
+    rows, out = [np.zeros(0, dtype=np.int64)], []
+    run, total = size <= PIECE, size
+    for k in range(1, 4):
+        # pieces from a place to the k-th after it: all short, of one text
+        run = run[:-1] & (size[k:] <= PIECE) & (text[k:] == text[:len(text) - k])
+        total = total[:-1] + size[k:]
+        at = np.flatnonzero(run & (total <= WINDOW) & (total > 2)).tolist()
+        rows.append(text[at])
+        out += ["".join(flat[a:a + k + 1]) for a in at]
+    return np.concatenate(rows), out
 
 
 LOOKS_LIKE = str.maketrans("013457@$!|", "oieastasil")
+MASKS = re.compile(r"[013457@$!|]")
 
 
 def unmasked(units: list[str]) -> tuple[np.ndarray, list[str]]:
     """(number, unit) of the units in which signs or digits stand among letters, read as the letters they look like."""
-    read = [u.rstrip("!|").translate(LOOKS_LIKE) for u in units]
-    at = [i for i, (u, r) in enumerate(zip(units, read, strict=True)) if not u.startswith(r) and any(map(str.isalpha, u))]
-    return np.array(at, dtype=np.int64), [read[i] for i in at]
+    at, read = [], []
+    for i in [i for i, unit in enumerate(units) if MASKS.search(unit)]:
+        plain = units[i].rstrip("!|").translate(LOOKS_LIKE)
+        if not units[i].startswith(plain) and any(map(str.isalpha, units[i])):
+            at.append(i)
+            read.append(plain)
+    return np.array(at, dtype=np.int64), read
+
+
+def words_of(texts: list[str | None]) -> list[list[str]]:
+    return [t.lower().split() if t else [] for t in texts]
 
 
-def units_of(texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+def units_of(texts: list[str | None], words: list[list[str]] | None = None) -> tuple[np.ndarray, list[str]]:
     """(text, unit) of every unit of the texts' sentences."""
-    words = [t.lower().split() if t else [] for t in texts]
+    words = words_of(texts) if words is None else words
     flat = list(itertools.chain.from_iterable(words))
-    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    row = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
     single = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)) == 1
     if single.any():
         # runs of three or more single letters of one text are read as one word
@@ -239,16 +280,17 @@ class Machine:
         self.table, self.bias, self.slope, self.shift = table, bias, slope, shift
 
     def units(self, units: list[str]) -> np.ndarray:
-        own = values(units, self.table[:, None])[:, 0]
+        own = decisions(units, self.table)
         at, read = unmasked(units)
         if len(read):
-            own[at] = np.maximum(own[at], values(read, self.table[:, None])[:, 0])
+            own[at] = np.maximum(own[at], decisions(read, self.table))
         return own + self.bias
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """The worst unit's decision value of each text."""
-        row, flat = units_of(texts)
-        more, units = joined(texts)
+        words = words_of(texts)
+        row, flat = units_of(texts, words)
+        more, units = joined(words)
         row, flat = np.concatenate([row, more]), flat + units
         out = np.full(len(texts), NOTHING)
         if len(flat):

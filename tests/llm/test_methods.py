@@ -174,6 +174,34 @@ def test_self_kernel_and_gaps():
     assert [u for u in units if len(u) > 3] == ["idiot,"] and len(row) == len(units)
 
 
+def test_scoring_reads_few_table_rows_at_a_time_and_changes_no_value():
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=string_kernel.LETTERS ** string_kernel.ORDER).astype(np.float32)
+    table[0] = 0
+    units = ["moron", "m.o.r.o.n", "a", "ab", "abc", "?!", "", "it's", "x-y-z", "aaaa", "unbelievablylong.word", "été你好"]
+    wanted = string_kernel.values(units, table[:, None])[:, 0]
+    assert np.allclose(string_kernel.decisions(units, table), wanted, rtol=1e-9, atol=1e-12)
+    assert np.allclose(string_kernel.decisions(units, table, step=2), wanted, rtol=1e-9, atol=1e-12)
+
+    class Counted(np.ndarray):
+        calls = 0
+
+        def take(self, *args, **options):
+            Counted.calls += 1
+            return np.asarray(self).take(*args, **options)
+
+    string_kernel.decisions(["abcdefghijkl"], table.view(Counted))
+    assert 0 < Counted.calls <= 11 + 55 + 165  # one per choice of all places but the last, not 66 + 220 + 495
+
+    texts = [["id", "iot", "a"], ["wo", "rth", "less", "you"], [], ["longer-than-five", "id"], ["iot"]]
+    row, found = string_kernel.joined(texts)
+    assert sorted(zip(row.tolist(), found, strict=True)) == [
+        (0, "idiot"), (0, "idiota"), (0, "iota"), (1, "lessyou"), (1, "rthless"), (1, "rthlessyou"), (1, "worth"),
+        (1, "worthless"), (1, "worthlessyou")]
+    at, read = string_kernel.unmasked(["m0r0n", "plain", "done!", "$1", "l33t!", "b|g"])
+    assert (at.tolist(), read) == ([0, 4, 5], ["moron", "leet", "blg"])
+
+
 def test_machine_learns_insults_and_their_variants():
     rng = random.Random(4)
     syllables = ["th", "er", "on", "an", "re", "in", "the", "at"]
