@@ -12,6 +12,11 @@ so a list is kept for a part of a set: sets of one range of sizes differ by at m
 are dealt into more than D parts by their hash, and so two sets that link have a part alike.  Ranges grow by a fixed
 factor; a set that can link with sets of the next range enters its lists as well.
 
+Blocks of entries.  Most list entries are alone in their list.  So an entry moves as 32 bits of its key and 32 bits of
+its class, many to a row, by the group that 10 more bits of its key name; where a group's rows meet, entries of one class
+only are dropped.  Lists whose keys agree in these 42 bits become one, which adds candidates and loses none; classes that
+agree in their 32 bits could hide from each other, so they form a list of their own.
+
 Lists.  Classes that share a key (subset or part) are candidates.  A light list gives all its pairs; in a heavy list
 (more than ``LIGHT`` classes) every set is first paired with one pivot only, the class that shares most lists with others.
 
@@ -55,7 +60,8 @@ BLOCK = 2048
 SPARE = 8
 CROWD = 64
 GROWTH = 1.4
-FILTER_BITS = 23
+FILTER_BITS = 25
+GROUP_BITS = 10
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0x5851F42D4C957F2D)
 _SMALL: dict[int, int] = {}
@@ -228,31 +234,68 @@ def linked(overlap: Column, a: Column, b: Column, percent: int = PERCENT) -> Col
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def _features(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The columns of ``docs`` but the text, with n, key, sketch and list entries of every row's set.
-
-    Of copies within a piece of a partition, one has sketch and entries.
+def group_entries(entries: list[np.ndarray], keys: list[int]) -> tuple[list[int], list[bytes]]:
+    """(group, packed entries) of classes' entries: 32 bits of every entry's key, then 32 bits of every entry's class."""
+    if not entries:
+        return [], []
+    place = np.concatenate(entries) >> np.uint64(32 - GROUP_BITS)
+    owner = np.repeat(np.array(keys, dtype=np.int64).view(np.uint64).astype(np.uint32), [len(e) for e in entries])
+    group = (place >> np.uint64(32)).astype(np.uint16)
+    order = np.argsort(group, kind="stable")
+    group, mark, owner = group[order], place[order].astype(np.uint32), owner[order]
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+    return [int(group[a]) for a in cuts[:-1]], [mark[a:b].tobytes() + owner[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
+
+
+def shared_entries(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(mark, owner) of a group's distinct entries whose mark has two owners or more."""
+    both = np.concatenate([np.frombuffer(p, dtype=np.uint32).reshape(2, -1) for p in packed], axis=1)
+    joint = both[0].astype(np.uint64)
+    joint <<= np.uint64(32)
+    joint |= both[1]
+    joint.sort()
+    joint = joint[np.concatenate([[True], joint[1:] != joint[:-1]])]
+    mark = joint >> np.uint64(32)
+    same = mark[1:] == mark[:-1]
+    keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    return mark[keep].astype(np.int64), (joint[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _features(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The columns of ``docs`` but the text, with n, key and sketch of every row's set; and the packed list entries by group.
+
+    Both are written by one pass over the texts.  Of copies within a piece of a partition, one has sketch and entries.
     """
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    kept = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, T.StructField("n", T.LongType()), T.StructField("key", T.LongType()),
-                           T.StructField("sketch", T.BinaryType()),
-                           T.StructField("entries", T.ArrayType(T.LongType()))])
+                           T.StructField("sketch", T.BinaryType()), T.StructField("group", T.IntegerType()),
+                           T.StructField("packed", T.BinaryType())])
 
     def run(batch):
-        keys, sketches, entries, seen, sizes = [], [], [], set(), []
+        keys, sketches, entries, seen, sizes = [], [], [], {}, []
         for values in shingle_sets(batch.column("text").to_pylist(), words):
             key = class_key(values) if len(values) else None
-            keys.append(key)
-            sizes.append(len(values))
             new = key is not None and key not in seen
             sketches.append(sketch(values) if new else None)
-            entries.append(entry_keys(values, percent).view(np.int64) if new else None)
-            seen.add(key)
+            if new:
+                seen[key] = None
+                entries.append(entry_keys(values, percent))
+            keys.append(key)
+            sizes.append(len(values))
+        groups, packed = group_entries(entries, list(seen))
+        def beside(column):
+            return pa.concat_arrays([column, pa.nulls(len(groups), column.type)])
+
+        none = len(keys)
         return pa.RecordBatch.from_arrays(
-            [*[batch.column(f.name) for f in kept], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-             pa.array(sketches, pa.binary()), pa.array(entries, pa.list_(pa.int64()))], names=schema.names)
+            [*[beside(batch.column(f.name)) for f in kept], beside(pa.array(sizes, pa.int64())),
+             beside(pa.array(keys, pa.int64())), beside(pa.array(sketches, pa.binary())),
+             pa.concat_arrays([pa.nulls(none, pa.int32()), pa.array(groups, pa.int32())]),
+             pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array(packed, pa.binary())])], names=schema.names)
 
-    return map_texts(docs, run, schema)
+    made = materialize(map_texts(docs, run, schema), "features")
+    return (made.filter("group is null").drop("group", "packed"),
+            made.filter("group is not null").select("group", "packed"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -271,49 +314,55 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _bits(tokens: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the tokens' low bits, to drop most other entries before they are shuffled."""
+    """A bitmap of fixed size, as bytes, of the tokens' low bits, to drop most other rows before they are shuffled."""
     place = F.col("token").bitwiseAND((1 << FILTER_BITS) - 1) + 1
     made = tokens.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros((1 << FILTER_BITS) // 32768, dtype="V4096")
     for r in made.collect():  # of fixed size, whatever the tokens
         out[r["bucket"] - 1] = np.frombuffer(r["bits"], dtype="V4096")[0]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
 
 
 def _split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``column`` may be one of those in ``bits``, rows that cannot be), told apart where they lie."""
-    sent = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    sent = df.sparkSession.sparkContext.broadcast(bits)
 
     def may(values: pd.Series) -> pd.Series:
         at = values.to_numpy() & (1 << FILTER_BITS) - 1
-        return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+        return pd.Series((sent.value[at >> 3] >> (at & 7) & 1).astype(bool))
 
     marked = F.pandas_udf(may, "boolean")(F.col(column))
     return df.filter(marked), df.filter(~marked)
 
 
-def _shared_entries(features: DataFrame) -> DataFrame:
+def _shared_entries(features: DataFrame, blocks: DataFrame) -> DataFrame:
     """Distinct (token, key, n) of the lists that hold two classes or more."""
-    flat = features.filter("entries is not null").select(F.explode("entries").alias("token"), "key", "n")
-    ends = flat.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    shared = materialize(ends.filter("low < high").select("token"), "shared")
-    bits = features.sparkSession.sparkContext.broadcast(np.packbits(_bits(shared)))
-    schema = T.StructType.fromDDL("token long, key long, n long")
-
     def run(batches):
-        known = np.unpackbits(bits.value).astype(bool)
+        held, name = [], None  # the entries of one group, 8 bytes each
+
+        def done():
+            mark, owner = shared_entries(held)
+            return pa.RecordBatch.from_arrays([pa.array(mark + (name << 32)), pa.array(owner)], names=["token", "owner"])
+
         for batch in batches:
-            lists = batch.column("entries").fill_null([])
-            token = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
-            keep = known[token & (1 << FILTER_BITS) - 1]
-            row = row[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[keep]), batch.column("key").take(row), batch.column("n").take(row)], names=schema.names)
+            groups = batch.column("group").to_numpy()
+            for group, packed in zip(groups.tolist(), batch.column("packed").to_pylist(), strict=True):
+                if held and group != name:
+                    yield done()
+                    held = []
+                name = group
+                held.append(packed)
+        if held:
+            yield done()
 
-    some = features.filter("entries is not null").select("key", "n", "entries").mapInArrow(run, schema)
-    return some.join(shared, "token", "left_semi").distinct()
+    met = blocks.repartition("group").sortWithinPartitions("group").mapInArrow(run, "token long, owner long")
+    classes = features.filter("key is not null").select(
+        F.col("key").bitwiseAND(0xFFFFFFFF).alias("owner"), "key", "n").distinct()
+    # classes that look alike; tokens of the others are not negative
+    twins = classes.groupBy("owner").agg(F.count("*").alias("count")).filter("count > 1").select("owner")
+    alike = classes.join(twins, "owner").select((-1 - F.col("owner")).alias("token"), "key", "n")
+    return materialize(met.join(classes, "owner").select("token", "key", "n").unionByName(alike), "entries")
 
 
 def _lists(entries: DataFrame) -> DataFrame:
@@ -506,9 +555,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int
     ``class_id`` is the least id with the same set; ``root`` is null for empty sets, else equal within a component.
     """
     rows = docs.select("doc_id", *carry, "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"))
-    features = materialize(_features(rows, words, percent), "features")
+    features, blocks = _features(rows, words, percent)
     full = features.filter("key is not null")
-    lists = materialize(_lists(_shared_entries(features)), "lists")
+    lists = materialize(_lists(_shared_entries(features, blocks)), "lists")
     sketches = features.filter("sketch is not null").select("key", "n", "sketch")
     sketches = materialize(sketches.join(lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sketches")
     pairs = materialize(_passed(_first_pairs(lists, percent, light), sketches, percent), "pairs")

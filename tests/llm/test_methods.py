@@ -66,6 +66,32 @@ def test_lists_of_many_components_equal_all_pairs(docs, monkeypatch):
         assert {r.doc_id: r.component_id for r in found} == dict(enumerate(root))
 
 
+def test_entries_meet_packed_and_none_is_lost(spark):
+    rng = np.random.default_rng(5)
+    keys = [7, 9, 7 + (1 << 32), -3, 11]  # the first and the third agree in 32 bits
+    entries = [rng.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in keys]
+    entries[1][:10], entries[2][20:30], entries[3][:5] = entries[0][:10], entries[0][20:30], entries[1][:5]
+    groups, packed = jaccard_join.group_entries(entries, keys)
+    assert sum(map(len, packed)) == 8 * 200 and groups == sorted(set(groups))  # 8 bytes an entry, whatever its key
+    # pieces of two tasks, one of them with a copy of a class
+    more, again = jaccard_join.group_entries(entries[4:], keys[4:])
+    blocks = spark.createDataFrame([(g, bytearray(p)) for g, p in zip(groups + more, packed + again, strict=True)],
+                                   "group int, packed binary")
+    features = spark.createDataFrame([(k, 40) for k in [*keys, 11]], "key long, n long")
+    found = collections.defaultdict(set)
+    for r in jaccard_join._shared_entries(features, blocks.repartition(3)).collect():
+        assert r.key not in found[r.token] and r.n == 40
+        found[r.token].add(r.key)
+    place = 1 << 64 - 32 - jaccard_join.GROUP_BITS
+    wanted = collections.defaultdict(set)
+    for key, own in zip(keys, entries, strict=True):
+        for e in own.tolist():
+            wanted[e // place].add(key)
+    hidden = {keys[0], keys[2]}  # they meet in a list of their own, and enter each other's lists
+    lists = {t: k | hidden if k & hidden else k for t, k in wanted.items() if len({x & 0xFFFFFFFF for x in k}) > 1}
+    assert found == {**lists, -1 - 7: hidden} and len(lists) == 10
+
+
 def test_sketches_rule_out_no_link():
     rng = np.random.default_rng(3)
     for n in (1, 5, 31, 33, 64, 65, 300, 3000):
