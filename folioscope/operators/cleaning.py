@@ -66,16 +66,18 @@ def detect_header_footer(pages: DataFrame, threshold: float = 0.75) -> DataFrame
     so a document holding a third of all pages does not load one task.
     """
     filled = F.filter(F.split("text", "\n"), lambda x: strip(x) != "")
-    per_page = pages.select("document_id", filled.alias("__filled")).select(
+    sizes = materialize(pages.groupBy("document_id").agg(F.count("*").alias("pages")).filter(
+        F.col("pages") >= MIN_PAGES), "page-counts")
+    # written first, so Spark knows how many documents have enough pages before any line moves
+    long = pages.select("document_id", filled.alias("__filled")).join(sizes, "document_id", "left_semi")
+    per_page = long.select(
         "document_id",
         F.explode(F.array(
             F.struct(F.lit("header").alias("kind"), _candidates(F.col("__filled"), False).alias("lines")),
             F.struct(F.lit("footer").alias("kind"), _candidates(F.col("__filled"), True).alias("lines")),
         )).alias("edge"))
     counts = (per_page.select("document_id", "edge.kind", F.explode("edge.lines").alias("line"))
-              .groupBy("document_id", "kind", "line").agg(F.count("*").alias("occurrences")))
-    sizes = pages.groupBy("document_id").agg(F.count("*").alias("pages")).filter(
-        F.col("pages") >= MIN_PAGES)
+              .groupBy("document_id", "kind", "line").agg(F.count("*").alias("occurrences")).filter("occurrences >= 2"))
     need = F.greatest(F.lit(2), F.floor(F.col("pages") * F.lit(threshold)).cast("long"))
     return counts.join(sizes, "document_id").filter(F.col("occurrences") >= need)
 
@@ -87,9 +89,9 @@ def _repeated(pages: DataFrame, threshold: float) -> DataFrame:
 
 
 def _with_repeated(pages: DataFrame, threshold: float) -> DataFrame:
-    # plain equi-join: Spark broadcasts the set when its measured size is small and
-    # splits a skewed document otherwise
-    return pages.join(_repeated(pages, threshold), "document_id", "left").withColumn(
+    # plain equi-join: the set is written first, so Spark knows its size before pages move; it broadcasts a small
+    # set and splits a skewed document otherwise
+    return pages.join(materialize(_repeated(pages, threshold), "repeated"), "document_id", "left").withColumn(
         "__repeated", F.coalesce("__repeated", F.array().cast("array<string>")))
 
 
@@ -105,12 +107,14 @@ def strip_header_footer(pages: DataFrame, threshold: float = 0.75) -> DataFrame:
     return marked.withColumn("text", F.array_join(kept, "\n")).drop("__repeated")
 
 
-def clean_pages(pages: DataFrame, threshold: float = 0.75) -> DataFrame:
+def clean_pages(pages: DataFrame, threshold: float = 0.75, stored: bool = False) -> DataFrame:
     """All cleaning rules; one row per page with ``raw_chars`` and ``clean_chars``.
 
-    The pages are written once: their edges, their numbers and their texts are three readers.
+    The pages are written once: their edges, their numbers and their texts are three readers.  ``stored`` says that
+    they lie in files as they are.
     """
-    pages = materialize(pages, "raw-pages")
+    if not stored:
+        pages = materialize(pages, "raw-pages")
     marked = _with_repeated(pages, threshold).withColumn("__plain", _plain(F.col("text")))
     some = F.size("__repeated") > 0
     # a column that only a lambda refers to would be computed for every element, so the lines are zipped first

@@ -39,10 +39,10 @@ def optimize_chunks(chunks: DataFrame, min_tokens: int = MIN_TOKENS,
 
 
 def chunk_pages(pages: DataFrame, titles: DataFrame | None = None, max_tokens: int = MAX_TOKENS,
-                overlap: int = OVERLAP_TOKENS, clean: bool = True) -> DataFrame:
+                overlap: int = OVERLAP_TOKENS, clean: bool = True, stored: bool = False) -> DataFrame:
     """Raw pages to validated chunks (``reject_reason`` is null for good ones)."""
-    # the section pass refers to a page's text many times, which would clean it as often
-    cleaned = materialize(clean_pages(pages), "clean-pages") if clean else pages
+    # the section pass refers to a page's text once, so cleaning runs in the same pass
+    cleaned = clean_pages(pages, stored=stored) if clean else pages
     # page sections feed the packing, the headings and the chunk texts: computed once
     paged = materialize(page_sections(cleaned), "page-sections")
     # the section index holds no text
@@ -52,11 +52,16 @@ def chunk_pages(pages: DataFrame, titles: DataFrame | None = None, max_tokens: i
     return chunking.chunk_ids(chunking.validate_chunks(best, max_tokens))
 
 
+def payload_pages(pages: DataFrame, document_type: str, created_at: str = "", titles: DataFrame | None = None,
+                  stored: bool = False) -> DataFrame:
+    """Raw pages to collection rows without vectors.  ``stored`` pages lie in files as they are."""
+    chunks = chunking.valid_only(chunk_pages(pages, titles, stored=stored))
+    tagged = indexing.tag_dataset(chunks, document_type)
+    return indexing.build_payload(
+        tagged.withColumn("document_name", F.col("document_id").cast("string")), created_at=created_at)
+
+
 def index_pages(pages: DataFrame, document_type: str, encoder=None, created_at: str = "",
                 titles: DataFrame | None = None) -> DataFrame:
     """Raw pages to collection rows: chunk payload plus unit vector."""
-    chunks = chunking.valid_only(chunk_pages(pages, titles))
-    tagged = indexing.tag_dataset(chunks, document_type)
-    payload = indexing.build_payload(
-        tagged.withColumn("document_name", F.col("document_id").cast("string")), created_at=created_at)
-    return indexing.with_vectors(payload, encoder)
+    return indexing.with_vectors(payload_pages(pages, document_type, created_at, titles), encoder)

@@ -7,6 +7,7 @@ in folders by document type and document bucket and replaces the folders that a
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import vocab as V
-from folioscope.session import materialize
 
 METRICS = {"cosine": "Cosine", "euclid": "Euclid", "dot": "Dot"}
 
@@ -105,8 +105,9 @@ class CollectionStore:
     """Two plain Parquet tables below ``root``: ``collections``, one row per document type, and ``points``.
 
     Points lie in folders by document type and bucket; a bucket holds the documents whose hash falls into it.  A change
-    reads the buckets of the documents that it touches, writes the result aside and replaces these folders by dynamic
-    partition overwrite, so its cost follows the documents touched and a repeated change gives the same table.  A
+    reads the buckets of the documents that it touches and replaces these folders by dynamic partition overwrite, which
+    writes all new files before it drops an old one, so a change may read what it replaces; rows move and are written once.
+    Its cost follows the documents touched and a repeated change gives the same table.  A
     replaced bucket always gets one row without chunk id, so that a bucket left without points is replaced too; chunk
     ids are never null otherwise.  Writers of one document type take turns.
     """
@@ -121,7 +122,10 @@ class CollectionStore:
 
     def overwrite(self, rows: DataFrame, path: str, keys: list[str]) -> None:
         """Replace the folders of ``path`` that ``rows`` has rows for; large ones are written by several tasks."""
-        (rows.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        self._write(rows.hint("rebalance", *keys), path, keys)
+
+    def _write(self, rows: DataFrame, path: str, keys: list[str]) -> None:
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
          .partitionBy(*keys).parquet(path))
 
     def read_folder(self, path: str, schema: T.StructType) -> DataFrame:
@@ -180,16 +184,25 @@ class CollectionStore:
         """The buckets of some documents: numbers below ``buckets``."""
         return sorted(r[0] for r in documents.select(self.bucket_of()).distinct().collect())
 
-    def _replace(self, rows: DataFrame, document_type: str, buckets: list[int]) -> None:
-        """Make ``rows`` the points of the named buckets."""
+    def _replace(self, rows: DataFrame, document_type: str, buckets: list[int], fresh: DataFrame | None = None,
+                 finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Make ``rows`` the points of the named buckets, with ``finish`` of ``fresh``, which is made where it is written."""
         if not buckets:
             return
-        path = f"{self.root}/points"
-        full = rows.withColumn("document_type", F.lit(document_type)).withColumn("bucket", self.bucket_of())
+        path, keys = f"{self.root}/points", ["document_type", "bucket"]
+
+        def placed(points):
+            # a row of another bucket would replace that bucket's points
+            bucket = F.when(self.bucket_of().isin(buckets), self.bucket_of()).otherwise(
+                F.raise_error(F.lit("a row of a document that is not replaced")).cast("int"))
+            return points.withColumn("document_type", F.lit(document_type)).withColumn("bucket", bucket)
+
+        full = placed(rows)
+        if fresh is not None:
+            full = full.hint("rebalance", *keys).unionByName(finish(placed(fresh).hint("rebalance", *keys)).select(*full.columns))
         marks = self.spark.createDataFrame([(document_type, b) for b in buckets], "document_type string, bucket int")
-        # the rows come from the folders that are replaced: written aside first
-        self.overwrite(materialize(full.unionByName(marks, allowMissingColumns=True), "points"), path,
-                       ["document_type", "bucket"])
+        full = full.unionByName(marks, allowMissingColumns=True)
+        self._write(full, path, keys) if fresh is not None else self.overwrite(full, path, keys)
 
     def upsert(self, rows: DataFrame, document_type: str) -> None:
         """Insert or replace by chunk id, within the document that a chunk belongs to."""
@@ -197,13 +210,21 @@ class CollectionStore:
         base = self.read(document_type, buckets)
         self._replace(collection_upsert(base, rows.withColumn("document_type", F.lit(document_type))), document_type, buckets)
 
-    def replace_documents(self, rows: DataFrame, document_type: str, documents: DataFrame | None = None) -> None:
-        """Replace every document of ``documents`` (by default those in ``rows``) by its new rows."""
+    def replace_documents(self, rows: DataFrame, document_type: str, documents: DataFrame | None = None,
+                          finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Replace every document of ``documents`` (by default those in ``rows``) by its new rows.
+
+        ``rows`` holds rows of these documents only.  ``finish`` adds the columns that are made from a row alone, after
+        the rows have moved to their folders.
+        """
         changed = rows.select("document_id").distinct() if documents is None else documents.select("document_id").distinct()
-        buckets = self.touched(changed.unionByName(rows.select("document_id")))
+        buckets = self.touched(changed)
         kept = collection_delete_document(self.read(document_type, buckets), changed)
         fresh = rows.withColumn("document_type", F.lit(document_type))
-        self._replace(kept.unionByName(fresh.select(*kept.columns)), document_type, buckets)
+        if finish is not None:
+            self._replace(kept, document_type, buckets, fresh, finish)
+        else:
+            self._replace(kept.unionByName(fresh.select(*kept.columns)), document_type, buckets)
 
     def delete_documents(self, documents: DataFrame, document_type: str) -> None:
         buckets = self.touched(documents)

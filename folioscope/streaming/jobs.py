@@ -18,9 +18,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from folioscope.functions import vocab as V
 from folioscope.functions.text import normalized_key
+from folioscope.operators.indexing import with_vectors
 from folioscope.operators.lanes import DEGRADED_AFTER, rate_limited
 from folioscope.operators.usage import remaining_seconds
-from folioscope.plans.corpus import index_pages
+from folioscope.plans.corpus import payload_pages
 from folioscope.session import materialize
 from folioscope.sources.collection import CollectionStore
 
@@ -36,33 +37,50 @@ def stream_ingest(pages: DataFrame, store: CollectionStore, document_type: str,
     same tables.  Touched documents are built anew from all their pages and replace what the collection had of them,
     also where nothing is left to index.
     """
-    build = index or (lambda df: index_pages(df, document_type))
     folder, keys = f"{store.root}/pages", ["document_type", "bucket"]
+    page = ["document_id", "page_number"]
 
     def write(batch: DataFrame, number: int) -> None:
-        arrived = materialize(batch, "arrived")  # read several times below
-        touched = arrived.select("document_id").distinct()
+        fresh = _latest(batch.withColumn("bucket", store.bucket_of()), page).withColumn("document_type", F.lit(document_type))
+        mine = store.read_folder(folder, fresh.schema).filter(F.col("document_type") == document_type)
+        first = mine.isEmpty()
+        if first:  # nothing to keep: the batch goes straight to its folders
+            fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+                "compression", "zstd").partitionBy(*keys).parquet(folder)
+            mine = store.read_folder(folder, fresh.schema).filter(F.col("document_type") == document_type)
+            touched = mine.select("document_id").distinct()
+            pages = mine.filter("document_id is not null")
+        else:
+            fresh = materialize(fresh, "arrived")  # read several times below
+            touched = fresh.select("document_id").distinct()
+        touched = materialize(touched, "touched")
         buckets = store.touched(touched)
         if not buckets:
             return
-        named = arrived.withColumns({"document_type": F.lit(document_type), "bucket": store.bucket_of()})
-        page = ["document_id", "page_number"]
-        last = F.max(F.struct(*[c for c in named.columns if c not in [*keys, *page]])).alias("p")
-        named = named.groupBy(*keys, *page).agg(last).select(*keys, *page, "p.*")
-        here = F.col("bucket").isin(buckets) & (F.col("document_type") == document_type)
-        kept = store.read_folder(folder, named.schema).filter(here)
-        pages = kept.join(named.select(*page), page, "left_anti").unionByName(named)
-        pages = materialize(pages, "pages")
-        store.overwrite(pages, folder, keys)
-        rows = materialize(build(pages.join(touched, "document_id", "left_semi").select(*batch.columns)), "ingested")
+        if not first:
+            here = F.col("bucket").isin(buckets)
+            store.overwrite(mine.filter(here).join(fresh.select(*page), page, "left_anti").unionByName(fresh), folder, keys)
+            mine = store.read_folder(folder, fresh.schema).filter(F.col("document_type") == document_type)
+            pages = mine.filter(here).join(touched, "document_id", "left_semi")
+        pages = pages.select(*batch.columns)
+        # vectors are made where the rows are written, so they are not moved
+        rows = index(pages) if index else payload_pages(pages, document_type, stored=first)
+        finish = None if index else with_vectors
         if not store.exists(document_type):
-            store.create(rows, document_type, V.EMBEDDING_DIMENSION)
-        store.replace_documents(rows, document_type, touched)
+            store.create(finish(rows) if finish else rows, document_type, V.EMBEDDING_DIMENSION)
+        store.replace_documents(rows, document_type, touched, finish)
 
     return (pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def _latest(pages: DataFrame, page: list[str], parts: int = 8) -> DataFrame:
+    """One row per page, of several the greatest, dealt out by parts of buckets, so that a task writes few of them."""
+    dealt = pages.withColumn("part", F.pmod(F.xxhash64(*page), F.lit(parts))).repartition("bucket", "part")
+    last = F.max(F.struct(*[c for c in pages.columns if c not in ["bucket", *page]])).alias("p")
+    return dealt.groupBy("bucket", "part", *page).agg(last).select("bucket", *page, "p.*")
+
+
 def stream_repeat_filter(log: DataFrame, ttl_seconds: int = V.ANSWER_TTL_SECONDS) -> DataFrame:
     """First questions only; repeats inside the time-to-live are dropped."""
     return (log.withColumn("question_key", normalized_key(F.col("question")))

@@ -1,11 +1,13 @@
 """Streaming jobs over several files, one micro-batch per file."""
 
+import pathlib
 import random
 
 from pyspark.sql import functions as F
 
 from folioscope.operators.lanes import lane_failure_runs
 from folioscope.operators.usage import quota_admission
+from folioscope.session import run_folder
 from folioscope.sources.collection import CollectionStore
 from folioscope.streaming import jobs as J
 
@@ -76,6 +78,26 @@ def test_a_batch_reads_and_replaces_only_its_buckets(spark, tmp_path):
     assert "isnotnull(bucket#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
 
 
+def test_a_first_batch_writes_its_texts_four_times(spark, tmp_path):
+    """As pages, page sections, pieces of chunks and points; of a page that comes twice the greater text stays."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1500)) for _ in range(800)]
+    rows = [(f"d{i}", 1, t) for i, t in enumerate(texts)] + [("d5", 1, ""), (None, 1, "nobody's page")]
+    batch = spark.createDataFrame(rows, "document_id string, page_number long, text string")
+
+    def size(*folders):
+        return sum(f.stat().st_size for folder in folders for f in pathlib.Path(folder).rglob("*.parquet"))
+
+    store, stream = CollectionStore(spark, f"{tmp_path}/store"), files(spark, tmp_path, [batch])
+    before = size(run_folder(spark))
+    J.stream_ingest(stream, store, "company", f"{tmp_path}/check").awaitTermination()
+    written = size(run_folder(spark), f"{tmp_path}/store") - before
+    rows = store.read("company").collect()
+    assert {r.document_id: r.content for r in rows} == {f"d{i}": t for i, t in enumerate(texts)}
+    assert all(len(r.vector) == 384 for r in rows)
+    assert written < 5 * sum(map(len, texts))
+
+
 ATTEMPTS = "attempt_id long, lane_id string, ts timestamp, success boolean, status_code int, error string"
 
 
