@@ -30,8 +30,8 @@ classes are not in one component by then owe the pairs across components: sketch
 classes of the list's largest component only with those of others.  Blocks give all pairs that sketches pass; where these
 are many, first a spanning forest of them and, after that is verified, all that are still apart, so no link is lost.
 
-Sets are only built for classes in lists of two or more; they are recomputed from their texts.  Everything that several
-branches read is written to the shared folder once.  Components grow by large-star and small-star steps.
+Sets are only built for classes of pairs that sketches pass, before each verification; they are recomputed from their
+texts.  Everything that several branches read is written to the shared folder once.  Components grow by large-star and small-star steps.
 
 Results for odd input: null or empty texts, or texts without words, have an empty set and link with nothing; a text
 with fewer than WORDS words has its whole word sequence as one shingle; repeated rows and equal ids are rows of their
@@ -421,10 +421,14 @@ def _passed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         "a", "b", "crowd", "far")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose sets link."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose sets link; ``classes`` has key and rid of the rows ``docs``."""
+    pairs = materialize(pairs.select("a", "b", "crowd"), "verify")
+    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = classes.join(named, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid"))
+    sets = materialize(_sets(docs, materialize(wanted, "wanted"), words), "sets")
     overlap = F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")
-    known = _meet(pairs.select("a", "b", "crowd"), sets, "tokens")
+    known = _meet(pairs, sets, "tokens")
     return known.filter(linked(overlap, F.col("an"), F.col("bn"), percent)).select("a", "b")
 
 
@@ -459,21 +463,25 @@ def _block_pairs(opened: DataFrame, sketches: DataFrame, percent: int, spare: in
 
     spread = F.xxhash64("key")
     kin, other = blocks(F.col("mains")), blocks(F.col("size") - F.col("mains"))
-    own = F.when(F.col("main"), F.pmod(spread, kin)).otherwise(F.pmod(spread, other) + kin).cast("int")
+    # a list that fits in one block moves each row once; 0 and 0 meet in it
+    one = F.col("size") <= BLOCK
+    own = F.when(one, F.lit(0)).when(F.col("main"), F.pmod(spread, kin)).otherwise(F.pmod(spread, other) + kin).cast("int")
     # blocks of the largest component meet those of others, these meet all
-    met = F.when(F.col("main"), F.sequence(kin, kin + other - 1)).otherwise(F.sequence(F.lit(0), kin + other - 1))
+    met = F.when(one, F.array(F.lit(0))).when(F.col("main"), F.sequence(kin, kin + other - 1)).otherwise(
+        F.sequence(F.lit(0), kin + other - 1))
     rows = opened.join(sketches.select("key", "sketch"), "key").withColumn("own", own)
-    rows = rows.select("token", "key", "n", "size", "root", "sketch", "own", F.explode(met).alias("met"))
+    rows = rows.select("token", "key", "n", "size", "root", "main", "sketch", "own", F.explode(met).alias("met"))
     rows = rows.select("token", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "key", "n",
-                       "size", "root", "sketch")
+                       "size", "root", "main", "sketch")
     rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "key")
 
-    def compare(i, j, own, keys, sizes, roots, sketched):
+    def compare(i, j, own, keys, sizes, roots, mains, sketched):
         left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
+        # rows of the largest component need not meet each other
+        right = left[~mains[left]] if i == j else np.flatnonzero(own == j)
         x, y = may_link([sketched[k] for k in left], sizes[left], [sketched[k] for k in right], sizes[right], percent)
         x, y = left[x], right[y]
-        across = (roots[x] != roots[y]) & ((x < y) if i == j else True)
+        across = (roots[x] != roots[y]) & (((x < y) | mains[x]) if i == j else True)
         x, y = x[across], y[across]
         if spare is None or len(x) <= spare * (len(left) + len(right)):
             return keys[x], keys[y], False
@@ -496,10 +504,10 @@ def _block_pairs(opened: DataFrame, sketches: DataFrame, percent: int, spare: in
         held, name = [], None  # the rows of one pair of blocks, two blocks at most
 
         def done():
-            own, keys, sizes, roots, size = (np.concatenate([b.column(c).to_numpy() for b in held])
-                                             for c in ("own", "key", "n", "root", "size"))
+            own, keys, sizes, roots, mains, size = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held])
+                                                    for c in ("own", "key", "n", "root", "main", "size"))
             sketched = [v for b in held for v in b.column("sketch").to_pylist()]
-            a, b, cut = compare(name[1], name[2], own, keys, sizes, roots, sketched)
+            a, b, cut = compare(name[1], name[2], own, keys, sizes, roots, mains, sketched)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(a), name[0]), pa.int64()), pa.array(np.minimum(a, b), pa.int64()),
                  pa.array(np.maximum(a, b), pa.int64()), pa.array(np.full(len(a), size[0]), pa.int64()),
@@ -561,26 +569,23 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, light: int
     sketches = features.filter("sketch is not null").select("key", "n", "sketch")
     sketches = materialize(sketches.join(lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sketches")
     pairs = materialize(_passed(_first_pairs(lists, percent, light), sketches, percent), "pairs")
-    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-    named = named.unionByName(lists.filter(F.col("size") > light).select("key")).distinct()
-    wanted = full.select("key", "rid").join(named, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid"))
-    sets = materialize(_sets(rows, materialize(wanted, "wanted"), words), "sets")
+    owners = full.select("key", "rid")
     nearest = pairs.groupBy("a").agg(F.min(F.struct("far", "b", "crowd")).alias("best")).select(
         "a", "best.b", "best.crowd")
-    links = materialize(_verified(nearest, sets, percent), "links")
+    links = materialize(_verified(nearest, rows, owners, words, percent), "links")
     roots = materialize(components(links), "roots")
     opened = materialize(_open_lists(lists, roots, light), "opened")
     # pairs tried before are not tried again
     rest = _apart(pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b", "crowd"), roots)
     met = materialize(_block_pairs(opened, sketches, percent, spare), "blocks")
     rest = _distinct_pairs(rest.unionByName(met.select("a", "b", "crowd")))
-    links = materialize(links.unionByName(_verified(rest, sets, percent)), "links")
+    links = materialize(links.unionByName(_verified(rest, rows, owners, words, percent)), "links")
     roots = materialize(components(links), "roots")
     owing = opened.join(met.filter("cut").select("token").distinct(), "token", "left_semi")
     opened = materialize(_open_lists(owing.select("token", "key", "n", "size"), roots, light), "opened")
     if not opened.isEmpty():
         last = _distinct_pairs(_block_pairs(opened, sketches, percent, None))
-        links = materialize(links.unionByName(_verified(last, sets, percent)), "links")
+        links = materialize(links.unionByName(_verified(last, rows, owners, words, percent)), "links")
         roots = materialize(components(links), "roots")
     classes = full.groupBy("key").agg(F.min("doc_id").alias("class_id")).join(roots, "key", "left")
     classes = materialize(classes.select("key", "class_id", F.coalesce("root", "key").alias("root")), "classes")

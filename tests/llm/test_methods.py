@@ -66,6 +66,35 @@ def test_lists_of_many_components_equal_all_pairs(docs, monkeypatch):
         assert {r.doc_id: r.component_id for r in found} == dict(enumerate(root))
 
 
+def test_a_list_without_links_builds_no_set(docs, monkeypatch):
+    """Twelve texts share their first half: lists hold them all, and sketches rule every pair out."""
+    texts = [" ".join([f"s{k}" for k in range(60)] + [f"d{i}w{k}" for k in range(40)]) for i in range(12)]
+    built, lists, sets, opened = [], [], jaccard_join._sets, jaccard_join._open_lists
+
+    def counted(part, wanted, words):
+        built.append(wanted.count())
+        return sets(part, wanted, words)
+
+    def watched(entries, roots, light):
+        lists.append(entries.filter("size > 4").count())
+        return opened(entries, roots, light)
+
+    monkeypatch.setattr(jaccard_join, "_sets", counted)
+    monkeypatch.setattr(jaccard_join, "_open_lists", watched)
+    assert all(r.component_id == r.doc_id for r in jaccard_join.join(docs(list(enumerate(texts)))).collect())
+    assert sum(built) == 0 and lists[0] >= 12
+
+
+def test_a_list_of_one_block_gives_all_pairs_across_components(spark):
+    """Rows 0 to 8 are the list's largest component, 9 and 10 another; every pair passes at one percent."""
+    root = [0] * 9 + [9, 9, 11]
+    opened = spark.createDataFrame([(1, k, 97, 12, root[k], k < 9, 9) for k in range(12)],
+                                   "token long, key long, n long, size long, root long, main boolean, mains long")
+    sketches = spark.createDataFrame([(k, 97, bytearray([k] * 8)) for k in range(12)], "key long, n long, sketch binary")
+    found = [(r.a, r.b) for r in jaccard_join._block_pairs(opened, sketches, 1, None).collect()]
+    assert sorted(found) == [(a, b) for a, b in itertools.combinations(range(12), 2) if root[a] != root[b]]
+
+
 def test_entries_meet_packed_and_none_is_lost(spark):
     rng = np.random.default_rng(5)
     keys = [7, 9, 7 + (1 << 32), -3, 11]  # the first and the third agree in 32 bits
