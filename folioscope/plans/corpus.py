@@ -21,7 +21,7 @@ def optimize_chunks(chunks: DataFrame, min_tokens: int = MIN_TOKENS,
     Pieces are written once; numbering and pairing run on sizes only, and the texts are
     joined to the finished numbers.
     """
-    pieces = materialize(chunking.split_oversized(chunks, max_tokens).drop("split_chunk"), "pieces")
+    pieces = materialize(chunking.split_oversized(chunks, max_tokens).drop("split_chunk"), "pieces", "zstd")
     key = ["document_id", "chunk_order", "piece"]
     dense = materialize(row_numbers(
         pieces.select(*key, "estimated_tokens"), ["document_id"], ["chunk_order", "piece"],
@@ -44,7 +44,7 @@ def chunk_pages(pages: DataFrame, titles: DataFrame | None = None, max_tokens: i
     # the section pass refers to a page's text once, so cleaning runs in the same pass
     cleaned = clean_pages(pages, stored=stored) if clean else pages
     # page sections feed the packing, the headings and the chunk texts: computed once
-    paged = materialize(page_sections(cleaned), "page-sections")
+    paged = materialize(page_sections(cleaned), "page-sections", "zstd")
     # the section index holds no text
     index = materialize(number_sections(paged).drop("content"), "section-index")
     packed = chunking.semantic_chunks(index, titles, max_tokens, overlap, texts=section_texts(paged))

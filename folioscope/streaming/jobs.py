@@ -51,7 +51,7 @@ def stream_ingest(pages: DataFrame, store: CollectionStore, document_type: str,
             touched = mine.select("document_id").distinct()
             pages = mine.filter("document_id is not null")
         else:
-            fresh = materialize(fresh, "arrived")  # read several times below
+            fresh = materialize(fresh, "arrived", "zstd")  # read several times below
             touched = fresh.select("document_id").distinct()
         touched = materialize(touched, "touched")
         buckets = store.touched(touched)
