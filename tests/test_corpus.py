@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,55 @@ def test_a_filter_on_headings_does_not_strip_lines_again(spark):
     assert [(r.line_no, r.heading_title, r.heading_level) for r in found.orderBy("line_no").collect()] == [(0, "A", 1), (2, "1.2 C", 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "trim(" not in plan[plan.index("Filter"):plan.index("Generate")]
+
+
+ODD_LINES = ["", " ", "\t1. tab", " 2) nbsp", "٣ digits", "Section 4", "sECTION 4: x", "part 2 y", "chair 3", "1.2.3.4.5.6 deep", "1.2. Two",
+             "ſection 4 x", "Part", "(a) item", "(A1)  item", "- dash", "*　star", "• dot", "-x", "overview", "Overviews", "Results_x",
+             "INTRODUCTIONé", "a | b", "| x", "x   y   z", "x   y", "u\xa0\xa0\xa0v   w", "a \x1c b \t c", "UPPER CASE", "ÀÉ CAS", "Title Case",
+             "Title Case.", "Été Là", "ǅ", "# Mark", "#Mark", "####### seven", "# ", "\x1f7 unit", "word\x85", "日本語   日本   語", "😀 Title",
+             "a\rb", "(Z) Title", "1) Title", "A-Title b", "ABC", "ABCD", "x" * 120, "1 " + "x" * 120, "Overview " + "y" * 90]
+
+
+def test_lines_typed_by_columns_equal_the_line_rules(spark):
+    lines = spark.createDataFrame([(i, s) for i, s in enumerate(ODD_LINES)], "n int, line string").withColumn("line", strip("line"))
+    want = structure.classify_lines(lines).withColumn("rule", structure._rule(F.col("line"))).orderBy("n").collect()
+    kinds, rules = structure.line_kinds(pa.array([r.line for r in want]))
+    assert [structure.KINDS[k] for k in kinds] == [r.line_type for r in want]
+    assert [structure.RULES[k] for k in rules] == [r.rule for r in want]
+
+
+def test_page_sections_run_over_columns_of_lines(spark, monkeypatch):
+    """A line-by-line pass took most of the time of every query on sections; pages may be cut into several passes."""
+    monkeypatch.setattr(structure, "PASS_BYTES", 40)
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choice(ODD_LINES) for _ in range(rng.randint(1, 9))) for _ in range(60)] + [None, "", "\n\n"]
+    pages = spark.createDataFrame([(i % 5 or None, i, t) for i, t in enumerate(texts)], "document_id int, page_number int, text string")
+    paged = structure.page_sections(pages)
+    assert "MapInArrow" in paged._jdf.queryExecution().optimizedPlan().toString()
+    lines = structure.classify_lines(structure.page_lines(pages)).orderBy("page_number", "line_no").collect()
+    want = {i: [] for i, t in enumerate(texts)}
+    for page, own in itertools.groupby(lines, key=lambda r: r.page_number):
+        before = "blank"
+        for r in own:
+            if r.line_type != "blank" and (r.line_type == "heading" or r.line_type != before):
+                title = {"table": "Table", "list": "List Block", "paragraph": "Paragraph"}.get(r.line_type)
+                want[page].append([r.line_type, f"{title} (Page {page})" if title else r.heading_title,
+                                   {"table": 3, "list": 3, "paragraph": 4}.get(r.line_type, r.heading_level), []])
+            if r.line_type != "blank":
+                want[page][-1][3].append(r.line)
+            before = r.line_type
+    got = {r.page_number: r for r in paged.collect()}
+    assert got[60].sections is None and got[60].section_count is None
+    for page, sections in want.items():
+        if page != 60:
+            assert [tuple(s) for s in got[page].sections] == [(k, t, n, len("\n".join(c)), "\n".join(c)) for k, t, n, c in sections]
+            assert got[page].document_id == (page % 5 or None) and got[page].section_count == len(sections)
+
+
+def test_a_page_is_numbered_before_its_sections_become_rows(spark):
+    paged = structure.page_sections(spark.createDataFrame([("d", 1, "# A\nb"), ("d", 2, "c")], "document_id string, page_number int, text string"))
+    found = structure.number_sections(paged)
+    assert [(r.reading_order, r.title) for r in found.orderBy("reading_order").collect()] == [
+        (0, "A"), (1, "Paragraph (Page 1)"), (2, "Paragraph (Page 2)")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
