@@ -6,12 +6,18 @@ hierarchy_level, content, estimated_tokens, char_count.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from folioscope.functions.text import estimate_tokens, half_even, not_blank, strip
+from folioscope.functions.columns import stripped_lines, text_slices
+from folioscope.functions.text import estimate_tokens, half_even, not_blank
 from folioscope.functions.vocab import MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS
 from folioscope.operators import orbits
 from folioscope.operators.scans import row_numbers, running, width_block
@@ -146,42 +152,64 @@ def semantic_chunks(sections: DataFrame, titles: DataFrame | None = None,
         F.length("content").alias("char_count"), "section_count")
 
 
-def _pack_lengths(lengths: Column, max_tokens: int) -> Column:
-    """1-based first part of every piece of a greedy packing, folded over the part lengths."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("begins"))
-
-    def step(state: Column, chars: Column) -> Column:
-        joined = state["held"] + F.lit(GAP) + chars
-        tokens = F.greatest(F.lit(1), F.rint(joined / 4.0).cast("int"))
-        new = (F.size(state["begins"]) == 0) | (tokens > max_tokens)
-        return F.struct((state["at"] + 1).alias("at"), F.when(new, chars).otherwise(joined).alias("held"),
-                        F.when(new, F.concat(state["begins"], F.array(state["at"] + 1))).otherwise(
-                            state["begins"]).alias("begins"))
+def _pieces(texts: pa.StringArray, large: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, piece, text) of chunk texts; ``large`` ones are cut into parts and packed again up to ``limit`` characters.
 
-    return F.aggregate(lengths, start, step, lambda state: state["begins"])
+    A round finds the next piece of every large text at once, by search in the summed lengths of all parts.
+    """
+    whole = np.flatnonzero(~large)
+    big = np.flatnonzero(large & texts.is_valid().to_numpy(zero_copy_only=False))
+    own = texts.take(pa.array(big))
+    blank_line = pc.match_substring(own, "\n\n")
+    split = pa.concat_arrays([pc.split_pattern(own.filter(blank_line), "\n\n"), pc.split_pattern(own.filter(pc.invert(blank_line)), "\n")])
+    row = np.concatenate([big[blank_line.to_numpy(zero_copy_only=False)], big[~blank_line.to_numpy(zero_copy_only=False)]])
+    parts = stripped_lines(split.flatten())
+    row = np.repeat(row, pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    lengths = pc.utf8_length(parts).to_numpy(zero_copy_only=False)
+    parts, row, lengths = parts.filter(pa.array(lengths > 0)), row[lengths > 0], lengths[lengths > 0].astype(np.int64)
+    upto = np.cumsum(lengths + GAP)
+    at = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(row)) if len(row) else at
+    found = []
+    while len(at):
+        found.append(at)
+        held = upto[at] - lengths[at]
+        at = np.maximum(at + 1, np.searchsorted(upto, held + limit, side="right"))
+        at, ends = at[at < ends], ends[at < ends]
+    starts = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    cuts = pa.array(np.append(starts, len(row)).astype(np.int32))
+    packed = pc.binary_join(pa.ListArray.from_arrays(cuts, parts), "\n\n")
+    owner = row[starts]
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+    piece = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+    # a large text of white space keeps its row, without a text
+    void = np.setdiff1d(big, owner)
+    return (np.concatenate([whole, owner, void]), np.concatenate([np.zeros(len(whole)), piece, np.zeros(len(void))]).astype(np.int32),
+            pa.concat_arrays([pc.fill_null(texts.take(pa.array(whole)), ""), packed, pa.nulls(len(void), pa.string())]))
 
 
 def split_oversized(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Split chunks above ``max_tokens`` on blank lines (or single newlines) and re-pack.
 
     Pieces keep the chunk's pages and titles.  Adds ``piece`` (0-based) and
-    ``split_chunk``.
+    ``split_chunk``.  Texts are cut and packed some MB at a time.
     """
-    large = F.col("estimated_tokens") > max_tokens
-    blank_line = F.split("content", "\n\n")
-    raw = F.when(F.size(blank_line) > 1, blank_line).otherwise(F.split("content", "\n"))
-    parts = F.when(large, F.filter(F.transform(raw, strip), lambda x: x != "")).otherwise(F.array("content"))
-    lengths = F.when(large, F.transform("__parts", F.length)).otherwise(F.array(F.lit(1)))
-    staged = (chunks.withColumn("__parts", parts)
-              .withColumn("__starts", _pack_lengths(lengths, max_tokens)))
-    ends = F.concat(F.slice(F.col("__starts"), F.lit(2), F.size("__starts")),
-                    F.array((F.size("__parts") + 1).cast("int")))
-    texts = F.zip_with("__starts", ends, lambda s, e: F.array_join(
-        F.slice(F.col("__parts"), s, e - s), "\n\n"))
-    derived = {"content", "estimated_tokens", "char_count"}
-    split = staged.select(*[c for c in chunks.columns if c not in derived], large.alias("split_chunk"),
-                          F.posexplode(texts).alias("piece", "content"))
-    split = split.withColumn("estimated_tokens", estimate_tokens(F.col("content")))
+    kept = [c for c in chunks.columns if c not in {"content", "estimated_tokens", "char_count"}]
+    rows = chunks.select(*kept, (F.col("estimated_tokens") > max_tokens).alias("split_chunk"),
+                         F.make_valid_utf8("content").alias("content"))
+    # the longest text within the limit, as tokens are rounded half to even
+    limit = max((n for n in range(4 * max_tokens, 4 * max_tokens + 4) if _tokens(n) <= max_tokens), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "content"):
+            large = pc.fill_null(part.column("split_chunk"), False).to_numpy(zero_copy_only=False)
+            source, piece, content = _pieces(part.column("content"), large, limit)
+            same = [part.column(c).take(pa.array(source)) for c in [*kept, "split_chunk"]]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(piece), content], [*kept, "split_chunk", "piece", "content"])
+
+    schema = StructType([*[rows.schema[c] for c in [*kept, "split_chunk"]], StructField("piece", IntegerType()),
+                         StructField("content", StringType())])
+    split = rows.mapInArrow(run, schema).withColumn("estimated_tokens", estimate_tokens(F.col("content")))
     return split.withColumn("char_count", F.length("content")) if "char_count" in chunks.columns else split
 
 

@@ -1,10 +1,12 @@
 import itertools
 import random
+import re
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions import columns
 from folioscope.functions.text import strip
 from folioscope.operators import chunking as C
 from folioscope.operators import cleaning, structure
@@ -216,7 +218,7 @@ def test_lines_typed_by_columns_equal_the_line_rules(spark):
 
 def test_page_sections_run_over_columns_of_lines(spark, monkeypatch):
     """A line-by-line pass took most of the time of every query on sections; pages may be cut into several passes."""
-    monkeypatch.setattr(structure, "PASS_BYTES", 40)
+    monkeypatch.setattr(columns, "PASS_BYTES", 40)
     rng = random.Random(2)
     texts = ["\n".join(rng.choice(ODD_LINES) for _ in range(rng.randint(1, 9))) for _ in range(60)] + [None, "", "\n\n"]
     pages = spark.createDataFrame([(i % 5 or None, i, t) for i, t in enumerate(texts)], "document_id int, page_number int, text string")
@@ -249,3 +251,51 @@ def test_a_page_is_numbered_before_its_sections_become_rows(spark):
         (0, "A"), (1, "Paragraph (Page 1)"), (2, "Paragraph (Page 2)")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")
+
+
+def banner_pages(spark):
+    bodies = ["Text of page", "a  b\tc", "", "Head   line", "12345", "é x", "日本語　頁", "x\r\ny"]
+    rng = random.Random(4)
+    data = [(f"d{d}", n, None if rng.random() < 0.05 else "\n".join(
+        ["  Head \t line", *[rng.choice(bodies) for _ in range(rng.randint(0, 6))], "日本語 頁"]))
+        for d in range(9) for n in range(1 + d)]
+    return spark.createDataFrame(data, "document_id string, page_number int, text string"), data
+
+
+def clean_text(text):
+    return "" if text is None else re.sub("\r\n|\r", "\n", text).replace(" ", " ").replace("​", "")
+
+
+def test_clean_pages_take_lines_by_columns(spark, monkeypatch):
+    """Lines were compared with the repeated ones in a lambda over each page, edges were cut from all its lines."""
+    monkeypatch.setattr(columns, "PASS_BYTES", 50)
+    pages, data = banner_pages(spark)
+    found = {}
+    for r in cleaning.detect_header_footer(pages).collect():
+        found.setdefault(r.document_id, set()).add(r.line)
+    assert found["d8"] >= {"Head line", "日本語 頁"}
+    cleaned = cleaning.clean_pages(pages)
+    assert "MapInArrow" in cleaned._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.document_id, r.page_number): r for r in cleaned.collect()}
+    assert len(got) == len(data)
+    for d, n, text in data:
+        lines = [x.strip() for x in clean_text(text).split("\n") if " ".join(x.split()) not in found.get(d, ())]
+        want = re.sub("\n{3,}", "\n\n", re.sub("[ \t]{2,}|\t", " ", "\n".join(lines))).strip()
+        assert (got[d, n].text, got[d, n].raw_chars, got[d, n].clean_chars) == (want, len(text or ""), len(want))
+
+
+def test_large_chunks_are_split_by_columns(spark, monkeypatch):
+    monkeypatch.setattr(columns, "PASS_BYTES", 300)
+    rng = random.Random(6)
+    texts = [rng.choice(["\n", "\n\n", "\n\n\n"]).join(rng.choice([" ", "", "é"]) + "x" * rng.randint(0, 70) for _ in range(rng.randint(1, 25)))
+             for _ in range(80)] + [" \n ", "", "y" * 500]
+    chunks = spark.createDataFrame([(i, t, 99 if i == 80 else tok(t)) for i, t in enumerate(texts)],
+                                   "document_id int, content string, estimated_tokens int")
+    out = C.split_oversized(chunks, 30)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in out.orderBy("document_id", "piece").collect():
+        assert r.piece == len(got.setdefault(r.document_id, [])) and r.estimated_tokens == tok(r.content or "")
+        got[r.document_id].append(r.content)
+    for i, t in enumerate(texts):
+        assert got[i] == ([None] if i == 80 else split(t, 30) if tok(t) > 30 else [t])
