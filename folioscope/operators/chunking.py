@@ -102,18 +102,17 @@ def assign_sections(sections: DataFrame, max_tokens: int = MAX_TOKENS,
 
 def semantic_chunks(sections: DataFrame, titles: DataFrame | None = None,
                     max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
-                    block: int = SECTION_BLOCK, texts: DataFrame | None = None) -> DataFrame:
+                    block: int = SECTION_BLOCK, pages: DataFrame | None = None) -> DataFrame:
     """Greedy packing of sections into chunks.
 
-    ``texts(document_id, page_number, section_no, content)`` is the section store; with it
-    the numbering, which needs no text, stays free of text columns.
+    ``pages(document_id, page_number, contents)`` holds the section texts of every page; with it ``sections`` needs no
+    ``content``, and a page moves its texts to their chunks once.
 
     The governing heading is the last heading up to and including the section that
     closes the chunk.  ``titles(document_id, title)`` gives the title before any heading.
     """
     assigned = assign_sections(sections, max_tokens, overlap, block)
-    place = ["page_number", "section_no"] if texts is not None else ["reading_order"]
-    store = sections if texts is None else texts
+    place = ["reading_order"] if pages is None else ["page_number", "section_no"]
     # numbering, headings and types need no text: it joins the finished chunks, moved once to its chunk
     members = materialize(assigned.join(sections.select("document_id", *dict.fromkeys(
         ["reading_order", "page_number", *place, "section_type"])), ["document_id", "reading_order"]), "members")
@@ -124,10 +123,20 @@ def semantic_chunks(sections: DataFrame, titles: DataFrame | None = None,
         F.array_sort(F.collect_set("page_number")).alias("page_numbers"),
         F.when(F.size(kinds) == 1, kinds[0]).otherwise("composite").alias("section_type"),
         F.count("*").alias("section_count"))
-    contents = members.select(*dict.fromkeys(["document_id", "chunk_end", "reading_order", *place])).join(
-        store.select("document_id", *place, "content"), ["document_id", *place]).groupBy("document_id", "chunk_end").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "content"))),
-                                 lambda x: x["content"]), "\n\n").alias("content"))
+    if pages is None:
+        own = members.select("document_id", "chunk_end", "reading_order").join(
+            sections.select("document_id", "reading_order", "content"), ["document_id", "reading_order"])
+        held = own.select("document_id", "chunk_end", F.array(F.struct("reading_order", "content")).alias("__texts"))
+    else:
+        # a page gives a chunk all its texts in one row
+        own = members.groupBy("document_id", "page_number", "chunk_end").agg(
+            F.collect_list(F.struct("reading_order", "section_no")).alias("__own")).join(
+            pages.select("document_id", "page_number", "contents"), ["document_id", "page_number"])
+        found = F.transform("__own", lambda x: F.struct(x["reading_order"].alias("reading_order"),
+                                                        F.get("contents", x["section_no"]).alias("content")))
+        held = own.select("document_id", "chunk_end", F.filter(found, lambda x: x["content"].isNotNull()).alias("__texts"))
+    contents = held.groupBy("document_id", "chunk_end").agg(F.array_join(F.transform(
+        F.array_sort(F.flatten(F.collect_list("__texts"))), lambda x: x["content"]), "\n\n").alias("content"))
     heading = F.when(F.col("section_type") == "heading", F.struct("reading_order", "title", "level"))
     governing = running(sections.select("document_id", "reading_order", heading.alias("__h")),
                         ["document_id"], ["reading_order"],

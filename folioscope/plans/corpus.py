@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.vocab import MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS
 from folioscope.operators import chunking, indexing
 from folioscope.operators.cleaning import clean_pages
-from folioscope.operators.structure import (SECTION_BLOCK, number_sections, page_sections,
-                                            section_texts)
+from folioscope.operators.structure import SECTION_BLOCK, number_sections, page_sections
 from folioscope.operators.scans import row_numbers, running, width_block
 from folioscope.session import materialize
 
@@ -47,7 +46,7 @@ def chunk_pages(pages: DataFrame, titles: DataFrame | None = None, max_tokens: i
     paged = materialize(page_sections(cleaned), "page-sections", "zstd")
     # the section index holds no text
     index = materialize(number_sections(paged).drop("content"), "section-index")
-    packed = chunking.semantic_chunks(index, titles, max_tokens, overlap, texts=section_texts(paged))
+    packed = chunking.semantic_chunks(index, titles, max_tokens, overlap, pages=paged)
     best = optimize_chunks(packed.drop("section_count"), max_tokens=max_tokens)
     return chunking.chunk_ids(chunking.validate_chunks(best, max_tokens))
 

@@ -240,7 +240,7 @@ def test_page_sections_run_over_columns_of_lines(spark, monkeypatch):
     assert got[60].sections is None and got[60].section_count is None
     for page, sections in want.items():
         if page != 60:
-            assert [tuple(s) for s in got[page].sections] == [(k, t, n, len("\n".join(c)), "\n".join(c)) for k, t, n, c in sections]
+            assert [(*s, c) for s, c in zip(got[page].sections, got[page].contents, strict=True)] == [(k, t, n, len("\n".join(c)), "\n".join(c)) for k, t, n, c in sections]
             assert got[page].document_id == (page % 5 or None) and got[page].section_count == len(sections)
 
 
@@ -251,6 +251,8 @@ def test_a_page_is_numbered_before_its_sections_become_rows(spark):
         (0, "A"), (1, "Paragraph (Page 1)"), (2, "Paragraph (Page 2)")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")
+    slim = found.drop("content")._jdf.queryExecution().optimizedPlan().toString()
+    assert "contents" not in slim[:slim.index("MapInArrow")]
 
 
 def banner_pages(spark):
@@ -299,3 +301,16 @@ def test_large_chunks_are_split_by_columns(spark, monkeypatch):
         got[r.document_id].append(r.content)
     for i, t in enumerate(texts):
         assert got[i] == ([None] if i == 80 else split(t, 30) if tok(t) > 30 else [t])
+
+
+def test_page_texts_move_to_chunks_once(spark):
+    """With the texts of whole pages, packing gives the chunks of packing with a text beside every section."""
+    rng = random.Random(9)
+    pages = spark.createDataFrame([(f"d{d}", n, "\n\n".join(rng.choice(["# Head", "- a\n- b", "k | v", "text " * rng.randint(1, 30) + "."])
+                                                            for _ in range(rng.randint(1, 9)))) for d in range(4) for n in range(1, 8)],
+                                  "document_id string, page_number int, text string")
+    paged = structure.page_sections(pages)
+    numbered = structure.number_sections(paged)
+    want = sorted(map(tuple, C.semantic_chunks(numbered, max_tokens=30, overlap=5).collect()))
+    found = C.semantic_chunks(numbered.drop("content"), max_tokens=30, overlap=5, pages=paged)
+    assert sorted(map(tuple, found.collect())) == want and any(len(r[2]) > 1 for r in want)
