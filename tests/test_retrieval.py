@@ -235,3 +235,10 @@ def test_encoder_memory_does_not_grow_with_a_batch(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
     # the bucket cache takes at most 200,000 words; the batch itself has 300,000 words
     assert peak < 45e6
+
+
+def test_texts_are_encoded_once_when_their_vectors_are_filtered(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "")], "chunk_id int, content string").repartition(3, "chunk_id")
+    searched = X.with_vectors(docs).select("chunk_id", "vector").filter(S.finite(F.col("vector")))
+    assert [r.chunk_id for r in searched.orderBy("chunk_id").collect()] == [1, 2]
+    assert searched._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
